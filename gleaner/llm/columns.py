@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A run of ASCII letters and digits and anything beyond ASCII, before A-Z are lower-cased.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ALNUM_WORD = r"[\p{Alnum}\P{ASCII}]++"
 
 
 def lower_ascii(c: Column) -> Column:

@@ -98,9 +98,10 @@ def phrase_matches(postings: DataFrame, anchored: DataFrame, n_windows: int) ->
     pairs = postings.join(_small(anchored, n_windows), "term")
     start = F.col("pos") - F.col("offset")
     base = start - F.col("since")
-    pairs = pairs.withColumn("start", start).withColumn("base", base).where("base >= 0")
-    pairs = pairs.where(F.get("around", F.col("base") + F.col("offset2")) == F.col("term2"))
-    pairs = pairs.where(F.slice("around", F.col("base") + 1, F.size("words")) == F.col("words"))
+    pairs = pairs.withColumn("start", start).withColumn("base", base)
+    there = F.get("around", F.col("base") + F.col("offset2")) == F.col("term2")
+    same = F.slice("around", F.greatest("base", F.lit(0)) + 1, F.size("words")) == F.col("words")
+    pairs = pairs.where(F.when(F.col("base") < 0, F.lit(False)).otherwise(there & same))
     return pairs.select("doc_id", "__th", "start", F.size("words").alias("len"), "items")
 
 
