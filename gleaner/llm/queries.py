@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm.decontamination import decontaminate
 from gleaner.llm.mixing import mix_sources
+from gleaner.llm.repeats import remove_repeats
 from gleaner.llm.tokens import count_tokens
 from gleaner.tables import table
 
@@ -24,12 +26,17 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), vocabulary())
 
 
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op2_mixing, op4_token_counts, op9_substring_dedup, op10_decontamination)}
 
 
 MIX_SQL = r"""
@@ -82,5 +89,20 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least_doc AS (SELECT k, min(doc_id) AS owner FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least_doc USING (k) WHERE owner < doc_id),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d WHERE len(w) > 0),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIX_SQL, "op10_decontamination": DECONTAMINATION_SQL}
+    return {"op9_substring_dedup": REPEATS_SQL, "op2_mixing": MIX_SQL, "op10_decontamination": DECONTAMINATION_SQL}
