@@ -27,8 +27,8 @@ def sample_positions(data: np.ndarray, offsets: np.ndarray, length: int, gram: i
     low = np.uint64((1 << int(bits)) - 1)
     v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     best = sliding_min(v, w)
-    text = np.searchsorted(offsets, np.arange(len(best)), side="right")
-    inside = offsets[np.minimum(text, len(offsets) - 1)] >= np.arange(len(best)) + length
+    ends = np.repeat(offsets[1:], np.diff(offsets))[: len(best)]
+    inside = ends >= np.arange(length, length + len(best))
     at = (best[inside] & low).astype(np.int64)
     at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
     at = np.unique(at)

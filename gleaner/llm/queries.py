@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.decontamination import decontaminate
 from gleaner.llm.mixing import mix_sources
 from gleaner.llm.repeats import remove_repeats
+from gleaner.llm.suffixes import remove_repeated_strings
 from gleaner.llm.tokens import count_tokens
 from gleaner.tables import table
 
@@ -26,6 +27,11 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), vocabulary())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = remove_repeated_strings(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
@@ -36,7 +42,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_token_counts, op9_substring_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_mixing, op4_token_counts, op5_suffix_dedup, op9_substring_dedup, op10_decontamination)}
 
 
 MIX_SQL = r"""
