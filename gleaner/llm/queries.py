@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.decontamination import decontaminate
+from gleaner.llm.language import identify
 from gleaner.llm.mixing import mix_sources
 from gleaner.llm.repeats import remove_repeats
 from gleaner.llm.suffixes import remove_repeated_strings
@@ -23,6 +24,11 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return identify(docs.select("doc_id", "text"), learn_from=docs.select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), vocabulary())
 
@@ -42,7 +48,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_token_counts, op5_suffix_dedup, op9_substring_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op9_substring_dedup, op10_decontamination)}
 
 
 MIX_SQL = r"""
