@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.decontamination import decontaminate
+from gleaner.llm.jaccard import Similarity, similar_classes
 from gleaner.llm.language import identify
 from gleaner.llm.mixing import mix_sources
 from gleaner.llm.repeats import remove_repeats
@@ -38,6 +39,10 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_classes(table(spark, sf, "documents"), Similarity(n=3, num=90, den=100)).drop("__th")
+
+
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
@@ -48,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op9_substring_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op8_jaccard_join, op9_substring_dedup, op10_decontamination)}
 
 
 MIX_SQL = r"""
