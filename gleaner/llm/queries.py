@@ -9,9 +9,12 @@ from gleaner.llm.decontamination import decontaminate
 from gleaner.llm.jaccard import Similarity, similar_classes
 from gleaner.llm.language import identify
 from gleaner.llm.mixing import mix_sources
+from gleaner.llm.neighbours import build_index, nearest
 from gleaner.llm.repeats import remove_repeats
 from gleaner.llm.suffixes import remove_repeated_strings
 from gleaner.llm.tokens import count_tokens
+from gleaner.llm.urls import Rule, judge_urls
+from gleaner.session import stored
 from gleaner.tables import table
 
 
@@ -39,6 +42,19 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
 
 
+#: The URL rules.
+URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(table(spark, sf, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    index = stored(build_index(table(spark, sf, "embeddings")), "index")
+    return nearest(index, index.where(F.col("vec_id") % 100 == 0))
+
+
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return similar_classes(table(spark, sf, "documents"), Similarity(n=3, num=90, den=100)).drop("__th")
 
@@ -53,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op8_jaccard_join, op9_substring_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op6_url_filter, op7_nearest_neighbours, op8_jaccard_join, op9_substring_dedup, op10_decontamination)}
 
 
 MIX_SQL = r"""
