@@ -10,6 +10,7 @@ from gleaner.llm.jaccard import Similarity, similar_classes
 from gleaner.llm.language import identify
 from gleaner.llm.mixing import mix_sources
 from gleaner.llm.neighbours import build_index, nearest
+from gleaner.llm.pages import extract_main_text
 from gleaner.llm.repeats import remove_repeats
 from gleaner.llm.suffixes import remove_repeated_strings
 from gleaner.llm.tokens import count_tokens
@@ -24,6 +25,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_main_text(table(spark, sf, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op6_url_filter, op7_nearest_neighbours, op8_jaccard_join, op9_substring_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_main_text, op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op6_url_filter, op7_nearest_neighbours, op8_jaccard_join, op9_substring_dedup, op10_decontamination)}
 
 
 MIX_SQL = r"""
