@@ -161,15 +161,22 @@ def one_way(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).where("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """(a, b) of the pairs that are linked: suffix filter, then the intersection."""
+def _side(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{name}_{c}" if c != "node" else name) for c in df.columns])
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b) once each, of the pairs that the suffix filter leaves."""
     light = nodes.select("node", "size", "cells")
-    side = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}" if c != "node" else name) for c in df.columns])
-    near = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b")
+    near = one_way(pairs).join(_side(light, "a"), "a").join(_side(light, "b"), "b")
     apart = F.aggregate(F.zip_with("a_cells", "b_cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
     room = F.col("a_size") + F.col("b_size") - 2 * sim.overlap(F.col("a_size"), F.col("b_size"))
-    near = near.where(apart <= room).select("a", "b")
-    whole = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    return near.where(apart <= room).select("a", "b")
+
+
+def verified(near: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b) of the pairs whose sets are that similar."""
+    whole = near.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
     both = F.size(F.array_intersect("a_grams", "b_grams"))
     union = F.size("a_grams") + F.size("b_grams") - both
     return whole.where(both * sim.den >= union * sim.num).select("a", "b")
@@ -178,38 +185,44 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, sim: Similarit
 def similar_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """(doc_id, __th, n_shingles, component_id) of every row of docs; __th is xxhash64 of its text."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__th"))
-    members = stored(describe(rows, sim), "members")
-    key = F.struct("doc_id", "__th")
-    nodes = stored(
-        members.where("size > 0").groupBy("node").agg(F.min(key).alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")), "nodes"
+    members = stored(describe(rows, sim).withColumnRenamed("node", "name"), "members")
+    distinct = members.where("size > 0").groupBy("name").agg(
+        F.min(F.struct("doc_id", "__th")).alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")
     )
-    entries = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram"))
-    crowds = entries.groupBy("gram").agg(F.count("*").alias("crowd"), F.min(F.struct("pos", "size", "node")).alias("hub")).where("crowd > 1")
-    entries = stored(entries.join(crowds, "gram"), "entries")
-    useful = entries.select("node").distinct().join(nodes.select("node", "key"), "node").select("node", "key.*")
-    texts = rows.alias("r").join(useful.alias("u"), F.col("r.__th").eqNullSafe(F.col("u.__th")) & F.col("r.doc_id").eqNullSafe(F.col("u.doc_id"))).select("r.doc_id", "r.__th", "r.text")
-    sets = stored(describe(texts.dropDuplicates(["doc_id", "__th"]).select("text"), sim, sets=True).dropDuplicates(["node"]), "sets")
-
-    crowded = entries.where(F.col("crowd") > CROWD)
-    stars = fitting(crowded.select("node", "size", "pos", F.col("hub.node").alias("node2"), F.col("hub.size").alias("size2"), F.col("hub.pos").alias("pos2")), sim)
-    first_links = stored(verified(one_way(stars), nodes, sets, sim), "stars")
+    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Position and size in one number: what is shuffled is three longs a gram.
+    spot = F.shiftleft("size", 32) + F.col("pos")
+    grams = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram")).select("gram", "node", spot.alias("spot"))
+    crowds = grams.groupBy("gram").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    entries = grams.join(crowds, "gram").select("gram", "node", F.shiftright("spot", 32).alias("size"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "crowd")
+    entries = stored(entries, "entries")
+
+    few = entries.where(F.col("crowd") <= CROWD).drop("crowd")
+    other = few.select("gram", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos")])
+    within = stored(near_pairs(fitting(few.join(other, "gram").where("node < node2"), sim), nodes, sim), "within")
+    crowded = entries.where(F.col("crowd") > CROWD).drop("crowd")
+    hubs = crowded.groupBy("gram").agg(F.min(F.struct("pos", "size", "node")).alias("hub"))
+    stars = crowded.join(hubs, "gram").select("node", "size", "pos", F.col("hub.node").alias("node2"), F.col("hub.size").alias("size2"), F.col("hub.pos").alias("pos2"))
+
+    asked = within.select(F.col("a").alias("node")).unionByName(within.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
+    asked = asked.join(nodes.select("node", "key"), "node").select("node", "key.*")
+    texts = rows.alias("r").join(asked.alias("u"), F.col("r.__th").eqNullSafe(F.col("u.__th")) & F.col("r.doc_id").eqNullSafe(F.col("u.doc_id"))).select(F.col("u.node").alias("of"), "r.text")
+    sets = stored(describe(texts, sim, sets=True).select(F.col("of").alias("node"), "grams"), "sets")
+    first_links = stored(verified(near_pairs(fitting(stars, sim), nodes, sim), sets, sim), "stars")
     label = components(first_links)
 
-    named = crowded.drop("hub", "crowd").join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    named = crowded.join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     shares = named.groupBy("gram", "class").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.count("*").alias("classes"))
-    split = named.join(shares.where("classes > 1"), "gram")
-    right = lambda df: df.select("gram", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "class")])
+    split = stored(named.join(shares.where("classes > 1"), "gram"), "split")
+    right = split.select("gram", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "class")])
     outside = split.where(F.col("class") != F.col("main")).drop("main", "classes")
-    across = fitting(outside.join(right(split), "gram").where("class <> class2"), sim)
-    few = entries.where(F.col("crowd") <= CROWD).select("gram", "node", "size", "pos")
-    other = few.select("gram", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos")])
-    within = fitting(few.join(other, "gram").where("node < node2"), sim)
-    pairs = one_way(across.select("node", "node2").unionByName(within.select("node", "node2")))
-    links = first_links.unionByName(verified(pairs, nodes, sets, sim))
-    found = components(links)
+    across = fitting(outside.join(right, "gram").where("class <> class2"), sim)
+    links = first_links.unionByName(verified(within, sets, sim)).unionByName(verified(near_pairs(across, nodes, sim), sets, sim))
+    found = components(links).join(nodes.select("node", "name"), "node")
 
     own = members.drop("prefix", "cells")
-    named = own.where("size > 0").join(found, "node", "left").withColumn("__class", F.coalesce("component", "node"))
+    least_of = nodes.select("name", "node").join(found.select("name", "component"), "name", "left").select("name", F.coalesce("component", "node").alias("__class"))
+    named = own.where("size > 0").join(least_of, "name")
     least = named.groupBy("__class").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "__class").select("doc_id", "__th", F.col("size").alias("n_shingles"), "component_id")
     return named.unionByName(own.where("size = 0").select("doc_id", "__th", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
