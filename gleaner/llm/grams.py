@@ -29,7 +29,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=6)
 def _powers_up_to(base: int, n: int) -> np.ndarray:
     out = np.ones(n, dtype=np.uint64)
     step = 1
@@ -114,7 +114,7 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix(h + (ends - starts).astype(np.uint64))
 
 
-def doc_slices(offsets: np.ndarray, most: int = 2_000_000):
+def doc_slices(offsets: np.ndarray, most: int = 1_000_000):
     """(first, last) document ranges of at most `most` bytes; a longer text stands alone."""
     n, at = len(offsets) - 1, 0
     while at < n:

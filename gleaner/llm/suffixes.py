@@ -73,7 +73,6 @@ class Texts:
     def __init__(self, table: pa.Table):
         self.data, self.offsets = text_bytes(table.column("text"))
         self.batch = table.column("__batch")[0].as_py() if table.num_rows else 0
-        self.sums = None
 
     def parts(self):
         for a, b in doc_slices(self.offsets):
@@ -89,13 +88,19 @@ class Texts:
         return np.concatenate(at), np.concatenate(h)
 
     def stretches(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        """Fingerprints of [start, end), equal exactly where bytes and salt are."""
-        with np.errstate(over="ignore"):
-            if self.sums is None:
-                self.sums = np.zeros(len(self.data) + 1, np.uint64)
-                np.cumsum(BYTE_CODES[self.data] * powers(BYTE_BASE, len(self.data)), out=self.sums[1:])
-            h = (self.sums[end] - self.sums[start]) * inverse_powers(BYTE_BASE, max(1, len(self.data)))[start]
-            return mix(h + mix(np.asarray(salt, np.uint64) + (end - start).astype(np.uint64)))
+        """Fingerprints of [start, end) in the order of start, equal exactly where bytes and salt are."""
+        out = np.empty(len(start), np.uint64)
+        salt = np.broadcast_to(np.asarray(salt, np.uint64), start.shape)
+        for lo, data, _ in self.parts():
+            here = slice(*np.searchsorted(start, [lo, lo + len(data)]))
+            if here.start < here.stop:
+                a, b = start[here] - lo, end[here] - lo
+                with np.errstate(over="ignore"):
+                    sums = np.zeros(len(data) + 1, np.uint64)
+                    np.cumsum(BYTE_CODES[data] * powers(BYTE_BASE, len(data)), out=sums[1:])
+                    h = (sums[b] - sums[a]) * inverse_powers(BYTE_BASE, len(data))[a]
+                    out[here] = mix(h + mix(salt[here] + (b - a).astype(np.uint64)))
+        return out
 
     def limits(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of the texts that hold these places."""
