@@ -183,7 +183,8 @@ def verified(near: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """(doc_id, __th, n_shingles, component_id) of every row of docs; __th is xxhash64 of its text."""
+    """(doc_id, __th, n_shingles, component_id, class) of every row of docs; __th is xxhash64 of its text,
+    class tells components apart also where no member has a doc_id (null: no grams)."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__th"))
     members = stored(describe(rows, sim).withColumnRenamed("node", "name"), "members")
     distinct = members.where("size > 0").groupBy("name").agg(
@@ -224,5 +225,20 @@ def similar_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     least_of = nodes.select("name", "node").join(found.select("name", "component"), "name", "left").select("name", F.coalesce("component", "node").alias("__class"))
     named = own.where("size > 0").join(least_of, "name")
     least = named.groupBy("__class").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "__class").select("doc_id", "__th", F.col("size").alias("n_shingles"), "component_id")
-    return named.unionByName(own.where("size = 0").select("doc_id", "__th", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = named.join(least, "__class").select("doc_id", "__th", F.col("size").alias("n_shingles"), "component_id", F.col("__class").alias("class"))
+    return named.unionByName(own.where("size = 0").select("doc_id", "__th", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class")))
+
+
+def one_of_each_class(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
+    """The rows of docs that stay: of each class the one with the least doc_id (null last), and all without grams."""
+    classes = stored(similar_classes(docs.select("doc_id", "text"), sim), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__th")
+    best = classes.where("class is not null").groupBy("class").agg(F.min(order).alias("best")).select("best.doc_id", "best.__th")
+    copies = classes.groupBy("doc_id", "__th").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.__th").eqNullSafe(F.col(f"{b}.__th"))
+    once = best.alias("b").join(copies.where("n > 0").alias("c"), same("b", "c")).select("b.doc_id", "b.__th", "copies")
+    stay = once.unionByName(copies.where("n = 0").select("doc_id", "__th", F.lit(1).cast("long").alias("copies")))
+    rows = docs.withColumn("__th", F.xxhash64("text"))
+    kept = rows.alias("r").join(stay.alias("s"), same("r", "s")).select("r.*", F.col("s.copies").alias("__copies"))
+    several = kept.where("__copies > 1").dropDuplicates(["doc_id", "__th"])
+    return kept.where("__copies = 1").unionByName(several).drop("__th", "__copies")

@@ -61,7 +61,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    return similar_classes(table(spark, sf, "documents"), Similarity(n=3, num=90, den=100)).drop("__th")
+    return similar_classes(table(spark, sf, "documents"), Similarity(n=3, num=90, den=100)).drop("__th", "class")
 
 
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
