@@ -130,3 +130,14 @@ Q = {
     ),
     "G2_page": (lambda v: __import__("gleaner.operators.catalog", fromlist=["latest_page"]).latest_page(v.runs, 3, 20).select("trace_id", "started_at"), RUNS + " SELECT trace_id, started_at FROM runs ORDER BY started_at DESC, trace_id DESC LIMIT 20 OFFSET 40"),
 }
+
+
+def _throttle(v: Views):
+    from gleaner.functions.text import throttle_keys
+    from gleaner.streaming.logs import login_throttle_batch
+
+    keys = throttle_keys(F.col("username"), F.col("ip"))
+    return login_throttle_batch(v.logins.select(keys["pair"].alias("bucket"), F.col("attempt_at").cast("timestamp").alias("attempt_at"), "success"), "pair")
+
+
+Q["J3_login_throttle"] = (_throttle, None)
