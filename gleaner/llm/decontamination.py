@@ -115,12 +115,13 @@ def proximity_matches(postings: DataFrame, anchored: DataFrame, n_windows: int,
     return pairs.select("doc_id", "__th", "pos", "items").distinct()
 
 
-def index_for(docs: DataFrame, items: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame, int]:
-    """(postings of the anchor terms, anchored windows, their number), both stored in the shared folder."""
+def index_for(docs: DataFrame, items: DataFrame, n: int = 10, reach: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(postings of the anchor terms, anchored windows, their number), both stored in the shared folder.
+    reach: how far proximity_matches will look, where that is more than a phrase needs."""
     phrases = test_windows(items, n)
     anchored = stored(with_anchors(phrases, term_counts(docs, phrases)), "anchored")
     terms = stored(anchored.select("term").distinct(), "anchors")
-    postings = build_postings(docs, terms, terms.count(), n - 1)
+    postings = build_postings(docs, terms, terms.count(), n - 1 if reach is None else max(reach, n - 1))
     return stored(postings, "postings"), anchored, phrases.n_windows
 
 
