@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.components import components
 from gleaner.llm.grams import doc_slices, mix, rolling, text_bytes, word_codes, word_spans
 from gleaner.llm.language import LOWER
-from gleaner.session import stored
+from gleaner.session import bounded_batches, stored
 
 CELL_BITS = 20
 SLICES = 64
@@ -117,6 +117,7 @@ def node_name(h: np.ndarray) -> bytes:
 
 def describe(docs: DataFrame, sim: Similarity, sets: bool = False) -> DataFrame:
     """docs' other columns with node and, as asked, size, prefix and histogram, or the whole set."""
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
     shared = None if sets else docs.sparkSession.sparkContext.broadcast(gram_counts(docs, sim.n))  # 8 MB, whatever the input

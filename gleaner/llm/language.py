@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.grams import BYTE_BASE, BYTE_CODES, doc_slices, mix, rolling, text_bytes, word_codes, word_spans
+from gleaner.session import bounded_batches
 
 FEATURE_BITS = 17
 LOWER = np.arange(256, dtype=np.uint8)
@@ -278,6 +279,7 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 def identify(docs: DataFrame, limits: FitLimits = FitLimits(), learn_from: DataFrame | None = None) -> DataFrame:
     """docs with held_out, lang_pred and score.  No shuffle beyond that of the sample."""
     learn_from = docs if learn_from is None else learn_from
+    bounded_batches(docs.sparkSession)
     model = fit(training_sample(learn_from, limits), limits)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by FEATURE_BITS
     docs = docs.drop("held_out", "lang_pred", "score")
