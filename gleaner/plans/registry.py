@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.plans.views import Views
 
-MODULES = ("retrieval_queries", "catalog_queries", "telemetry_queries", "evidence_queries", "text_queries")
+MODULES = ("retrieval_queries", "catalog_queries", "telemetry_queries", "evidence_queries", "text_queries", "pack_queries")
 
 
 def _all() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:

@@ -159,3 +159,53 @@ def test_sink_days_and_ingest(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_payload_rules():
+    from gleaner.functions import payload as P
+
+    event = {"apiKey": "x", "total_tokens": 3, "a": [{"refresh-token": "y", "content": " "}], "Cookie": "z"}
+    assert P.redacted(event) == {"apiKey": "[REDACTED]", "total_tokens": 3, "a": [{"refresh-token": "[REDACTED]", "content": " "}], "Cookie": "[REDACTED]"}
+    assert not P.holds_content(event) and P.holds_content({"a": [{"question": "x"}]}) and not P.holds_content({"tags": []})
+    big = {"event": "e" * 400, "x": "y" * 500, "hit_count": 3, "z": 1}
+    small = P.capped(big, 400)
+    assert small["truncated"] and small["hit_count"] == 3 and small["z"] == 1 and "x" not in small and len(small["event"]) == 256
+    assert P.capped({"a": 1}, 100) == {"a": 1}
+
+
+def test_config_assignments():
+    from gleaner.functions.payload import config_assignments
+
+    text = "a:\n  b: 1 # how many\n  c:\n    d: 'x'\n  e: 1.50\nf: yes\nk.l = true\na:\n  b: 1\nhttp://x.org"
+    assert config_assignments(text) == [("a.b", "1", "how many"), ("a.c.d", '"x"', None), ("a.e", "1.5", None), ("f", '"yes"', None), ("k.l", "true", None)]
+    assert config_assignments(None) == []
+
+
+def test_query_terms(spark):
+    from gleaner.operators.packs import query_terms
+
+    got = spark.createDataFrame([("请问 产品8.6 缓存失效怎么配置",), ("",), (None,), ("a Foo foo",)], "q string").select(query_terms(F.col("q"))).collect()
+    assert "缓存失效" in got[0][0] and "产品8.6" in got[0][0] and "8.6" in got[0][0] and got[1][0] == got[2][0] == []
+    assert got[3][0] == ["a Foo foo", "Foo"]
+
+
+def test_bridge_and_groups(spark):
+    from gleaner.operators import packs as K
+
+    records = spark.createDataFrame([("Alpha box", "node 7"), ("Alpha", "x")], "subject string, value string")
+    asked = spark.createDataFrame([(1, "where is alpha Box now"), (2, "none here")], "query_id long, query string")
+    assert [tuple(r) for r in K.bridge_two_hop(asked, records).collect()] == [(1, "alpha box", "where is node 7 now")]
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c")], "doc_id long, product string")
+    assert {r["doc_id"]: r["group"] for r in K.scope_groups(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_evidence_pack_stages_can_be_replaced(spark):
+    from gleaner.operators import packs as K
+
+    chunks = spark.createDataFrame([(1, 1, 0, "alpha beta", [1.0, 0.0]), (2, 2, 0, "gamma delta", [0.0, 1.0])], "id long, doc_id long, chunk_index int, content string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "alpha beta", [1.0, 0.0]), (2, "zzz qqq", [-1.0, -1.0])], "query_id long, query string, query_vec array<float>")
+    records = spark.createDataFrame([(9, 1, "alpha", "alpha beta")], "id long, doc_id long, subject string, search_text string")
+    got = {r["query_id"]: r for r in K.evidence_pack(asked, chunks, records).collect()}
+    assert got[1]["outcome"] == "answered" and "r9" in got[1]["selected"] and got[2]["outcome"] in ("insufficient_evidence", "answered")
+    none = K.evidence_pack(asked, chunks, records, verify=lambda df: df.withColumn("ok", F.lit(False)))
+    assert {r["outcome"] for r in none.collect()} == {"insufficient_evidence"}
