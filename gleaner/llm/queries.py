@@ -142,5 +142,37 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+SUFFIX_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(1, CAST(length(h) / 2 AS BIGINT) - 198)) AS i FROM d WHERE length(h) >= 400)),
+rep AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+f AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM rep),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+span AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run),
+gaps AS (
+  SELECT s.doc_id, s.a, substr(h, CAST(2 * coalesce(lag(s.b) OVER w, 1) - 1 AS BIGINT), CAST(2 * (s.a - coalesce(lag(s.b) OVER w, 1)) AS BIGINT)) AS part
+  FROM span s JOIN d USING (doc_id) WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.a)),
+per AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM span GROUP BY doc_id),
+head AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS t FROM gaps GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE t || substr(h, CAST(2 * last - 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN head USING (doc_id)
+"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+h AS (SELECT doc_id, md5(array_to_string(g, ' ')) AS g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM h x JOIN h y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": REPEATS_SQL, "op2_mixing": MIX_SQL, "op10_decontamination": DECONTAMINATION_SQL}
+    return {"op5_suffix_dedup": SUFFIX_SQL, "op8_jaccard_join": JACCARD_SQL, "op9_substring_dedup": REPEATS_SQL, "op2_mixing": MIX_SQL, "op10_decontamination": DECONTAMINATION_SQL}

@@ -150,7 +150,7 @@ def test_mixing_meets_targets(spark, none):
     assert max(free) - min(free) < 1e-6
 
 
-@pytest.mark.parametrize("name", ["op2_mixing", "op9_substring_dedup", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op5_suffix_dedup", "op8_jaccard_join", "op9_substring_dedup", "op10_decontamination"])
 def test_same_rows_as_duckdb(spark, name):
     assert_same(Q.queries()[name](spark, SF), connect(SF), Q.oracle_sql()[name])
 
