@@ -42,7 +42,7 @@ def containment(terms: DataFrame, texts: DataFrame) -> DataFrame:
     grams = terms.select("query_id", "term", R.trigrams(F.col("term")).alias("g")).where(F.size("g") > 0)
     asked = grams.select("query_id", "term", F.size("g").alias("n"), F.explode("g").alias("gram"))
     held = texts.select("id", F.explode(R.trigrams(F.col("text"))).alias("gram"))
-    shared = held.join(asked, "gram").groupBy("query_id", "term", "n", "id").agg(F.count("*").alias("m"))
+    shared = held.join(R.few_terms(asked, terms.count()), "gram").groupBy("query_id", "term", "n", "id").agg(F.count("*").alias("m"))
     return shared.groupBy("query_id", "id").agg(F.round(F.max(F.col("m") / F.col("n")), 6).alias("s"))
 
 

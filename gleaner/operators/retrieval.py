@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Queries up to this many are broadcast to the chunks; beyond, Spark pairs partitions.
 BROADCAST_QUERIES = 20_000
+#: The words or trigrams of up to this many queries are broadcast (some 200 rows each); beyond, both sides are shuffled.
+BROADCAST_TERMS = 2_000
 RRF_OFFSET = 60
 CHUNKS_PER_DOCUMENT = 6
 #: Fixed value: stands for a rank that a channel does not give.
@@ -56,6 +58,10 @@ def paired(queries: DataFrame, chunks: DataFrame, n_queries: int | None = None)
     return chunks.crossJoin(F.broadcast(queries) if n <= BROADCAST_QUERIES else queries)
 
 
+def few_terms(terms: DataFrame, n_queries: int) -> DataFrame:
+    return F.broadcast(terms) if n_queries <= BROADCAST_TERMS else terms
+
+
 def best_first(*score: str) -> list[Column]:
     """The total order of all ranked results."""
     return [F.col(s).desc() for s in score] + [F.col("doc_id"), F.col("chunk_index"), F.col("id")]
@@ -79,22 +85,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def inverted_index(chunks: DataFrame) -> DataFrame:
-    """(token, id, doc_id, chunk_index, tf, len)."""
+def inverted_index(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(token, id, doc_id, chunk_index, len, tf) of all words, or of the tokens in `only`."""
     w = chunks.select("id", "doc_id", "chunk_index", words(F.col("content")).alias("w"))
     each = w.select("id", "doc_id", "chunk_index", F.size("w").alias("len"), F.explode("w").alias("token"))
+    each = each if only is None else each.join(only, "token", "left_semi")
     return each.groupBy("token", "id", "doc_id", "chunk_index", "len").agg(F.count("*").alias("tf"))
 
 
 def keyword_candidates(queries: DataFrame, chunks: DataFrame, pool: int, bm25: Bm25 = Bm25()) -> DataFrame:
-    """Chunks that hold all words of the query, by BM25."""
-    index = inverted_index(chunks)
+    """Chunks that hold all words of the query, by BM25.  Words that no query has go before any shuffle."""
+    n_queries = queries.count()
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("token"))
+    tokens = asked.select("token").distinct()
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
+    index = inverted_index(chunks, few_terms(tokens, n_queries))
     stats = chunks.select(F.size(words(F.col("content"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    hits = index.join(asked, "token")
-    df = index.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "token").crossJoin(F.broadcast(stats))  # one row
+    df = index.groupBy("token").agg(F.count("*").alias("df"))
+    scored = index.join(few_terms(asked.join(df, "token"), n_queries), "token").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (bm25.k1 + 1) / (F.col("tf") + bm25.k1 * (1 - bm25.b + bm25.b * F.col("len") / F.col("avg_len")))
     both = scored.groupBy("query_id", "id", "doc_id", "chunk_index").agg(F.count("*").alias("matched"), F.round(F.sum(part), 6).alias("score"))
@@ -117,7 +125,7 @@ def trigram_candidates(terms: DataFrame, chunks: DataFrame, pool: int, least: fl
     grams = terms.select("query_id", "term", trigrams(F.col("term")).alias("g")).where(F.size("g") > 0)
     asked = grams.select("query_id", "term", F.size("g").alias("n"), F.explode("g").alias("gram"))
     held = chunks.select("id", "doc_id", "chunk_index", F.explode(trigrams(F.col("content"))).alias("gram"))
-    shared = held.join(asked, "gram").groupBy("query_id", "term", "n", "id", "doc_id", "chunk_index").agg(F.count("*").alias("m"))
+    shared = held.join(few_terms(asked, terms.count()), "gram").groupBy("query_id", "term", "n", "id", "doc_id", "chunk_index").agg(F.count("*").alias("m"))
     scored = shared.withColumn("s", F.col("m") / F.col("n") * term_weight(F.col("term")))
     best = scored.groupBy("query_id", "id", "doc_id", "chunk_index").agg(F.round(F.max("s"), 6).alias("score")).where(F.col("score") >= least)
     return top_k(best, pool).drop("rank")
