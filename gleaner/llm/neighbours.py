@@ -35,7 +35,7 @@ class SearchPlan:
     k: int = 10
     #: Half-width of the error bound in standard deviations of the estimate.
     sigmas: float = 3.0
-    group: int = 32_768
+    group: int = 8_192
     query_block: int = 4_096
     seed: int = 11
 
@@ -62,16 +62,19 @@ def build_index(vectors: DataFrame, plan: SearchPlan = SearchPlan()) -> DataFram
 
     def encode(batches):
         for b in batches:
-            out = [[], [], []]
-            for vector, centre in zip(b.column("embedding"), b.column("centroid"), strict=True):
-                r = np.array(vector.as_py()) - np.array(centre.as_py())
-                turned = r @ rotation_of(len(r))
-                length = float(np.linalg.norm(r))
-                out[0].append(np.packbits(turned > 0).tobytes())
-                out[1].append(length)
-                out[2].append(float(np.abs(turned).sum() / np.sqrt(len(r)) / length) if length else 1.0)
+            dims = np.asarray(b.column("dim"))
+            codes, lengths, aligns = np.empty(len(dims), object), np.zeros(len(dims)), np.ones(len(dims))
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                part = b.take(pa.array(own))
+                r = as_matrix(part.column("embedding"), dim) - as_matrix(part.column("centroid"), dim)
+                turned = r @ rotation_of(int(dim))
+                lengths[own] = np.linalg.norm(r, axis=1)
+                some = own[lengths[own] > 0]
+                aligns[some] = (np.abs(turned).sum(axis=1) / np.sqrt(dim))[lengths[own] > 0] / lengths[some]
+                codes[own] = [x.tobytes() for x in np.packbits(turned > 0, axis=1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id"), b.column("embedding"), b.column("dim"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64()), b.column("centroid")],
+                [b.column("vec_id"), b.column("embedding"), b.column("dim"), pa.array(codes.tolist(), pa.binary()), pa.array(lengths), pa.array(aligns), b.column("centroid")],
                 ["vec_id", "embedding", "dim", "code", "length", "align", "centroid"],
             )
 
@@ -85,8 +88,8 @@ def build_index(vectors: DataFrame, plan: SearchPlan = SearchPlan()) -> DataFram
     return rows.join(centroids, "dim").select("vec_id", "embedding", "dim", "centroid").mapInArrow(encode, INDEX + ", centroid array<double>")
 
 
-def as_matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten()
+def as_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
     return np.asarray(flat, dtype=np.float64).reshape(-1, dim)
 
 
