@@ -165,3 +165,54 @@ def scope_status(target_product: Column, target_version: Column, product: Column
         .when(F.array_contains(versions, target_version) | F.array_contains(compatible, target_version), "compatible").when(declared, "mismatch").otherwise("unknown")
     )
     return F.when(none, "neutral").when(other, "mismatch").when(target_product.isNotNull() & product.isNull(), "unknown").otherwise(version)
+
+
+#: How support for a version is claimed and denied.
+SUPPORT_WORDS = "(?:兼容|支持|适用于?|适配)"
+DENIALS = "(?:不代表|不再|并不|并非|尚未|尚不|从未|无法|不能|不可|未|不)"
+#: Signs that a list is whole, that it is not, and that it goes on elsewhere.
+CLOSING = r"(?i)仅(?:包括|包含|有|限于|支持|允许)|只有|(?:共|一共|总计|合计)\s*(?:\d+|[一二三四五六七八九十百两]+)\s*(?:项|条|个|种|类|步)|全部(?:包括|包含|为|是|如下)|consists?\s+of|comprises?|only\s+(?:includes?|contains?)"
+OPENING = r"(?i)例如|诸如|之一|部分|主要|至少|等等|\betc\b|\.\.\.|……|for example"
+ELSEWHERE = r"(?i)另见|详见|参见|请见|请查看|见(?:附件|附录|下文)|see also"
+OVERVIEW = r"(?i)^\s*#*\s*(?:概述|简介|背景|总则|overview|introduction|summary)"
+SPECIFIC = r"(?i)必须|不得|应当|\bmust\b|\bshall\b|\d+\s*(?:%|天|个工作日|元|分钟|小时)"
+
+
+def normalize_markdown(c: Column) -> Column:
+    """Line ends, breaks, code marks, lists run into one line, and at most two blank lines, all outside of fences."""
+    t = F.regexp_replace(c, r"\r\n?", "\n")
+
+    def outside(x: Column) -> Column:
+        x = F.regexp_replace(x, r"(?i)<br\s*/?>", "\n")
+        x = F.regexp_replace(x, r"(?is)<code>(.*?)</code>", "`$1`")
+        x = F.when(F.regexp_count(x, F.lit(r" \* ")) >= 2, F.regexp_replace(x, r"[ \t]+\* ", "\n* ")).otherwise(x)
+        return F.regexp_replace(x, r"\n{4,}", "\n\n\n")
+
+    parts = F.split(t, "```")
+    made = F.transform(parts, lambda x, i: F.when(i % 2 == 0, outside(x)).otherwise(F.concat(F.lit("```"), x, F.when(x.endswith("\n"), "").otherwise("\n"), F.lit("```"))))
+    joined = F.array_join(made, "\u0000")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, "(?<=[^\n\u0000])\u0000", "\n"), "\u0000(?=[^\n\u0000])(?!```)", "\n"), "\u0000", "")
+
+
+def compatibility_statements(text: Column, product: str) -> Column:
+    """Versions of a product that a text says it supports, and that it says it does not."""
+    t = F.regexp_replace(text, r"[ \t]+", "")
+    name, version = rf"(?i:\Q{product}\E)", r"(?:版本|[vV])?(\d{1,4}(?:\.\d{1,4}){0,3})(?![\d.]*\d)"
+    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+    denied = F.array_distinct(F.concat(found(rf"{DENIALS}{SUPPORT_WORDS}{name}{version}"), found(rf"{name}{version}[，,：:;；的]*{DENIALS}{SUPPORT_WORDS}")))
+    claimed = F.concat(found(rf"(?<![不未再非能法可表尚]){SUPPORT_WORDS}{name}{version}"), found(rf"{name}{version}[，,：:;；的]*{SUPPORT_WORDS}"))
+    return F.struct(F.array_except(claimed, denied).alias("compatible"), denied.alias("unsupported"))
+
+
+def collection_flags(sentence: Column) -> Column:
+    """Whether a sentence says that its list is whole: a sign of it, and none to the contrary."""
+    closes, opens, leaves = sentence.rlike(CLOSING), sentence.rlike(OPENING), sentence.rlike(ELSEWHERE)
+    return F.struct(closes.alias("closes"), opens.alias("opens"), leaves.alias("elsewhere"), (closes & ~opens & ~leaves).alias("closed"))
+
+
+def section_kind(content: Column, declared: Column) -> Column:
+    """The declared kind, else table, overview, specific or other by the look of it."""
+    rows = F.size(F.filter(F.slice(F.split(content, "\n"), 1, 20), lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2))
+    seen = F.when(content.rlike(r"(?i)<table") | (rows >= 2), "table").when(F.substring(content, 1, 300).rlike(OVERVIEW), "overview").when(content.rlike(SPECIFIC), "specific").otherwise("other")
+    named = F.lower(F.trim(declared))
+    return F.when(named.isin("table", "specific", "overview", "other"), named).otherwise(seen)

@@ -9,12 +9,12 @@ from gleaner.operators import documents as D
 from gleaner.operators import packs as K
 from gleaner.operators import retrieval as R
 from gleaner.plans.text_queries import RECORDS_SQL
-from gleaner.plans.views import Views
+from gleaner.plans.views import Views, duckdb_views
 
 
 def _records(v: Views):
     r = D.extract_records(v.md_chunks, "doc_name")
-    return r.withColumn("id", F.xxhash64("doc_name", "line_no")).withColumnRenamed("doc_name", "doc_id")
+    return r.withColumn("id", F.concat_ws("#", "doc_name", F.lpad(F.col("line_no").cast("string"), 6, "0"))).withColumnRenamed("doc_name", "doc_id")
 
 
 def _record_queries(v: Views):
@@ -49,14 +49,14 @@ def _grams(table: str, key: str, text: str) -> str:
     return f"(SELECT DISTINCT {key}, {CONTAINED} AS gram FROM (SELECT {key}, p, unnest(range(1, length(p) - 1)) AS i FROM (SELECT {key}, '  ' || unnest({WORDS.format(text)}) || ' ' AS p FROM {table})))"
 
 
-SEARCH_SQL = RECORDS_SQL + f""", q AS (SELECT doc_name AS query_id, arg_min(subject, line_no) AS query FROM rec GROUP BY 1),
+SCORES_SQL = RECORDS_SQL + f""", q AS (SELECT doc_name AS query_id, arg_min(subject, line_no) AS query FROM rec GROUP BY 1),
 qg AS {_grams('q', 'query_id', 'query')}, qn AS (SELECT query_id, count(*) AS n FROM qg GROUP BY 1),
 ts AS (SELECT query_id, doc_name, line_no, round(count(*) / any_value(n), 6) AS s FROM {_grams('rec', 'doc_name, line_no', 'search_text')} JOIN qg USING (gram) JOIN qn USING (query_id) GROUP BY 1, 2, 3),
 ss AS (SELECT query_id, doc_name, line_no, round(count(*) / any_value(n), 6) AS s FROM {_grams('rec', 'doc_name, line_no', 'subject')} JOIN qg USING (gram) JOIN qn USING (query_id) GROUP BY 1, 2, 3),
 sc AS (SELECT ts.query_id, ts.doc_name, ts.line_no, greatest(ts.s, coalesce(ss.s, 0)) AS score FROM ts LEFT JOIN ss USING (query_id, doc_name, line_no)),
 w AS (SELECT query_id, unnest(list_distinct({WORDS.format('query')})) AS token FROM q), wn AS (SELECT query_id, count(*) AS needed FROM w GROUP BY 1),
-aw AS (SELECT query_id, doc_name, line_no, count(*) AS got FROM (SELECT doc_name, line_no, unnest(list_distinct({WORDS.format('search_text')})) AS token FROM rec) JOIN w USING (token) GROUP BY 1, 2, 3)
-SELECT sc.query_id, sc.doc_name, sc.line_no, sc.score, coalesce(got = needed, false) AS all_words FROM sc JOIN wn USING (query_id) LEFT JOIN aw USING (query_id, doc_name, line_no) WHERE score >= 0.9 OR coalesce(got = needed, false)"""
+aw AS (SELECT query_id, doc_name, line_no, count(*) AS got FROM (SELECT doc_name, line_no, unnest(list_distinct({WORDS.format('search_text')})) AS token FROM rec) JOIN w USING (token) GROUP BY 1, 2, 3)"""
+SEARCH_SQL = SCORES_SQL + """ SELECT sc.query_id, sc.doc_name, sc.line_no, sc.score, coalesce(got = needed, false) AS all_words FROM sc JOIN wn USING (query_id) LEFT JOIN aw USING (query_id, doc_name, line_no) WHERE score >= 0.9 OR coalesce(got = needed, false)"""
 
 
 def _search(v: Views):
@@ -87,12 +87,14 @@ Q = {
     "F7_evidence_pack": (_pack, None),
     "F8_second_stage_records": (
         lambda v: K.second_stage_records(_record_queries(v), _record_queries(v).select("query_id", F.col("query_id").alias("chunk_id")), _records(v).withColumn("chunk_id", F.col("doc_id"))),
-        None,
+        SCORES_SQL + " SELECT query_id, doc_name AS chunk_id, concat_ws('#', doc_name, lpad(CAST(line_no AS VARCHAR), 6, '0')) AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM sc WHERE doc_name = query_id QUALIFY place <= 8",
     ),
     "F9_expand_evidence": (lambda v: K.expand_evidence(v.chunks.where("id % 5 = 0"), v.chunks), None),
     "C16_bridge_two_hop": (lambda v: K.bridge_two_hop(_record_queries(v).withColumn("query", F.concat(F.lit("what is "), "query", F.lit(" for"))), _records(v)), None),
     "D24_scope_groups": (
         lambda v: K.scope_groups(v.docs.select("doc_id", F.explode(F.array(F.concat(F.lit("p"), F.col("doc_id") % 31), F.concat(F.lit("q"), F.floor(F.col("doc_id") / 50)))).alias("product"))),
-        None,
+        duckdb_views("docs") + """, p AS (SELECT doc_id, unnest(['p' || (doc_id % 31), 'q' || CAST(floor(doc_id / 50) AS BIGINT)]) AS product FROM docs),
+        r AS (WITH RECURSIVE reach(a, b) AS (SELECT doc_id, doc_id FROM docs UNION SELECT reach.a, y.doc_id FROM reach JOIN p x ON x.doc_id = reach.b JOIN p y ON y.product = x.product) SELECT * FROM reach)
+        SELECT a AS doc_id, min(b) AS "group" FROM r GROUP BY a""",
     ),
 }

@@ -141,3 +141,38 @@ def _throttle(v: Views):
 
 
 Q["J3_login_throttle"] = (_throttle, None)
+
+
+def _as_stream(v: Views, name: str):
+    """The view, written to the shared folder and read back as a stream."""
+    import uuid
+
+    from gleaner.session import shared_folder
+    from gleaner.streaming.logs import stream_of
+
+    base = f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}"
+    getattr(v, name).repartition(4).write.parquet(f"{base}/in")
+    return stream_of(v.spark, f"{base}/in", v.spark.read.parquet(f"{base}/in").schema, "created_at"), base
+
+
+def _sink(v: Views):
+    from gleaner.streaming.logs import write_trace_events
+
+    stream, base = _as_stream(v, "trace_events")
+    query = write_trace_events(stream, f"{base}/out", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return v.spark.read.parquet(f"{base}/out").select("event_id", "event", "payload")
+
+
+def _days(v: Views):
+    from gleaner.streaming.logs import daily_activity
+
+    stream, base = _as_stream(v, "trace_events")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out")
+    query = daily_activity(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return v.spark.read.parquet(f"{base}/out").select(F.to_date("day").alias("day"), "n")
+
+
+Q["A6_write_trace_events"] = (_sink, TE + " SELECT event_id, event, payload FROM trace_events")
+Q["J8_daily_activity_stream"] = (_days, TE + " SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM trace_events GROUP BY 1")

@@ -30,6 +30,16 @@ RECORDS_SQL = MD + """, l AS (SELECT doc_name, unnest(string_split(content, chr(
   c AS (SELECT doc_name, n, list_transform(string_split(regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', ''), '|'), lambda x: trim(x)) AS cells FROM l),
   k AS (SELECT *, row_number() OVER (PARTITION BY doc_name ORDER BY n) AS r FROM c WHERE len(cells) >= 2 AND len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-{3,}:?$'))) > 0),
   rec AS (SELECT doc_name, n AS line_no, cells[1] AS subject, 'type' AS predicate, cells[2] AS value, array_to_string(cells, ' ') AS search_text FROM k WHERE r > 1 AND cells[1] <> '' AND cells[2] <> '' QUALIFY row_number() OVER (PARTITION BY doc_name, cells[1], cells[2] ORDER BY n) = 1)"""
+LEVELS = ", ".join(f"last_value(CASE WHEN level > 0 AND level <= {k} THEN struct_pack(l := level, t := title) END IGNORE NULLS) OVER w AS s{k}" for k in range(1, 7))
+TITLES = ", ".join(f"CASE WHEN s{k}.l = {k} THEN s{k}.t END" for k in range(1, 7))
+SECTIONS_SQL = f"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, {NL})) AS p, unnest(range(0, len(string_split(text, {NL})))) AS k FROM documents),
+l AS (SELECT doc_id, 5 * k + unnest(range(0, 5)) AS n, unnest([repeat('#', CAST(1 + (k + doc_id) % 3 AS BIGINT)) || ' h' || k, p, '| a | b |', '| --- | --- |', '| x | ' || k || ' |']) AS line FROM p),
+v AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 0 END AS level, trim(regexp_replace(line, '^#+', '')) AS title FROM l),
+h AS (SELECT *, {LEVELS}, CASE WHEN level > 0 THEN 'heading' WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^\\|.*\\|$') THEN 'table' ELSE 'text' END AS kind FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+c AS (SELECT *, concat_ws(' › ', {TITLES}) AS path, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY n) AND kind <> 'heading' THEN 0 ELSE 1 END AS change FROM h),
+b AS (SELECT *, sum(change) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM c)
+SELECT doc_id, block, path, kind, min(n) AS first_line, string_agg(line, {NL} ORDER BY n) AS content FROM b WHERE kind IN ('table', 'text') GROUP BY doc_id, block, path, kind"""
 Q = {
     "A2_rows_to_kv_text": (
         lambda v: D.rows_to_kv_text(v.kv_rows, ["name", "type", "size"], "sheet", "row_id"),
@@ -39,7 +49,7 @@ Q = {
         lambda v: D.rows_to_markdown_table(v.kv_rows, ["name", "type"], "sheet", "row_id"),
         KV + f" SELECT sheet, '| name | type |' || {NL} || '| --- | --- |' || {NL} || string_agg('| ' || name || ' | ' || type || ' |', {NL} ORDER BY row_id) AS content FROM kv_rows GROUP BY sheet",
     ),
-    "E2_parse_sections": (lambda v: D.parse_sections(_headed(v), "doc_id"), None),
+    "E2_parse_sections": (lambda v: D.parse_sections(_headed(v), "doc_id"), SECTIONS_SQL),
     "E3_drop_placeholder_sections": (
         lambda v: v.events.select("event_id", F.expr("concat('> ', element_at(array('无', 'N/A', 'yes', '-'), cast(1 + event_id % 4 as int)), '\n\n', element_at(array('暂无', 'no', '-'), cast(1 + event_id % 3 as int)))").alias("t")).where(~X.is_placeholder(F.col("t"))),
         f"SELECT * FROM (SELECT event_id, '> ' || ['无', 'N/A', 'yes', '-'][1 + event_id % 4] || {NL} || {NL} || ['暂无', 'no', '-'][1 + event_id % 3] AS t FROM events) WHERE event_id % 4 = 2 OR event_id % 3 = 1",
@@ -114,4 +124,28 @@ Q = {
         lambda v: v.events.select("event_id", F.concat(F.col("user_id") % 12, F.lit("."), F.col("event_id") % 30).alias("version")).withColumn("place", F.rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(F.col("event_id") % 8).orderBy(X.version_key(F.col("version"))))),
         "SELECT event_id, (user_id % 12) || '.' || (event_id % 30) AS version, rank() OVER (PARTITION BY event_id % 8 ORDER BY user_id % 12, event_id % 30) AS place FROM events",
     ),
+    "E1_normalize_markdown": (
+        lambda v: _doc(v, X.normalize_markdown(F.concat(F.lit("a<br/>b\r\n"), F.regexp_replace("text", "\n", "\n\n\n\n\n"))).alias("t")),
+        f"SELECT doc_id, 'a' || {NL} || 'b' || {NL} || replace(text, {NL}, repeat({NL}, 3)) AS t FROM documents",
+    ),
+    "E19_compatibility_statements": (
+        lambda v: v.events.select("event_id", X.compatibility_statements(F.expr("concat('本组件支持 Box ', event_id % 9, '.', user_id % 5, '。但不再支持 Box v', event_id % 4, '.9，Box 7 兼容')"), "Box").alias("c")).select("event_id", F.array_join("c.compatible", ",").alias("compatible"), F.array_join("c.unsupported", ",").alias("unsupported")),
+        "SELECT event_id, (event_id % 9) || '.' || (user_id % 5) || ',7' AS compatible, (event_id % 4) || '.9' AS unsupported FROM events",
+    ),
+    "E33_collection_closure_flags": (
+        lambda v: v.events.select("event_id", X.collection_flags(F.expr("element_at(array('仅支持甲、乙', '共 3 项，例如甲', '只有甲，详见附录', 'it consists of two', 'others'), cast(1 + event_id % 5 as int))")).alias("f")).select("event_id", "f.*"),
+        "SELECT event_id, event_id % 5 <> 4 AS closes, event_id % 5 = 1 AS opens, event_id % 5 = 2 AS elsewhere, event_id % 5 IN (0, 3) AS closed FROM events",
+    ),
+    "E36_section_kind": (
+        lambda v: v.documents.select("doc_id", X.section_kind(F.concat(F.expr("element_at(array('| a | b |\n| c | d |\n', '# Overview\n', 'x must y\n', ''), cast(1 + doc_id % 4 as int))"), F.lit("plain words")), F.when(F.col("doc_id") % 5 == 0, " Other ")).alias("kind")),
+        "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE ['table', 'overview', 'specific', 'other'][1 + doc_id % 4] END AS kind FROM documents",
+    ),
+    "E4_split_text": (
+        lambda v: v.documents.select("doc_id", "text").mapInPandas(lambda it: (f.assign(n=[len(D.split_text(t)) for t in f["text"]])[["doc_id", "n"]] for f in it), "doc_id long, n long"),
+        None,
+    ),
+    "E5_split_table_rows": (
+        lambda v: v.md_chunks.mapInPandas(lambda it: (f.assign(parts=[len(D.split_table_rows(t)) for t in f["content"]])[["doc_name", "parts"]] for f in it), "doc_name string, parts long"),
+        None,
+    ),
 }

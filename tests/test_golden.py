@@ -209,3 +209,9 @@ def test_evidence_pack_stages_can_be_replaced(spark):
     assert got[1]["outcome"] == "answered" and "r9" in got[1]["selected"] and got[2]["outcome"] in ("insufficient_evidence", "answered")
     none = K.evidence_pack(asked, chunks, records, verify=lambda df: df.withColumn("ok", F.lit(False)))
     assert {r["outcome"] for r in none.collect()} == {"insufficient_evidence"}
+
+
+def test_markdown_outside_of_fences(spark):
+    t = "a * b * c\n```yaml\nx: 1\n\n\n\n\ny * z * w\n```\nend<br>now <code>k</code> in ```sh ls``` line"
+    got = spark.createDataFrame([(t,)], "t string").select(X.normalize_markdown(F.col("t"))).first()[0]
+    assert "a\n* b\n* c" in got and "x: 1\n\n\n\n\ny * z * w" in got and "end\nnow `k` in" in got and "\n```sh ls\n```\n line" in got
