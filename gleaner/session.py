@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,9 +44,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes the shuffle files of finished jobs.
+
+    Spark does this by itself only when the driver's heap fills; what a written
+    table no longer needs would stay on the executors' disks until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most this many rows, so that long texts fit in a Python worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
