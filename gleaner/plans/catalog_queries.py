@@ -10,7 +10,7 @@ from gleaner.plans.views import Views, duckdb_views
 D = duckdb_views("docs")
 DK = duckdb_views("docs", "kb")
 READY = "status = 'ready' AND is_active"
-SEEDS = "seeds AS (SELECT * FROM chunks WHERE id % 5 = 0)"
+SEEDS = "seeds AS (SELECT * FROM chunks)"
 ADJ = "adj AS (SELECT s.id AS seed, c.id, c.doc_id, c.chunk_index, abs(c.chunk_index - s.chunk_index) AS distance FROM seeds s JOIN chunks c ON c.doc_id = s.doc_id AND abs(c.chunk_index - s.chunk_index) = 1)"
 SEC = """sec AS (SELECT seed, id, doc_id, chunk_index, distance FROM (
   SELECT *, row_number() OVER (PARTITION BY seed, side ORDER BY distance, chunk_index, id) AS r FROM (
@@ -21,7 +21,7 @@ TAB = "tab AS (SELECT s.id AS seed, c.id, c.doc_id, c.chunk_index, abs(c.table_p
 
 
 def _seeds(v: Views):
-    return v.chunks.where("id % 5 = 0")
+    return v.chunks
 
 
 Q = {
@@ -53,7 +53,7 @@ Q = {
         duckdb_views("users", "roles", "role_kb", "kb") + """ SELECT DISTINCT user_id, kb_id FROM (SELECT user_id, kb_id FROM users LEFT JOIN roles USING (role_id), kb WHERE is_superadmin OR scope_mode = 'all'
         UNION ALL SELECT user_id, k.kb_id FROM users JOIN roles USING (role_id) JOIN role_kb k USING (role_id) JOIN kb USING (kb_id) WHERE NOT is_superadmin AND scope_mode = 'selected')""",
     ),
-    "C13_missing_ids": (lambda v: C.missing_ids(v.events.select(F.col("event_id").alias("doc_id")).where("doc_id < 400"), v.docs.select("doc_id"), "doc_id"), D + " SELECT DISTINCT event_id AS doc_id FROM events WHERE event_id < 400 AND event_id NOT IN (SELECT doc_id FROM docs)"),
+    "C13_missing_ids": (lambda v: C.missing_ids(v.events.select(F.col("event_id").alias("doc_id")), v.docs.select("doc_id"), "doc_id"), D + " SELECT DISTINCT event_id AS doc_id FROM events WHERE event_id NOT IN (SELECT doc_id FROM docs)"),
     "C14_revalidate_sources": (
         lambda v: C.revalidate_sources(v.chunks.select(F.pmod("id", F.lit(17)).alias("conv"), F.col("id").alias("pos"), ((F.col("id") * 7) % 600).alias("id")), v.chunks, v.docs),
         D + f""", s AS (SELECT id % 17 AS conv, id AS pos, (id * 7) % 600 AS id FROM chunks), live AS (SELECT c.id FROM chunks c JOIN docs USING (doc_id, kb_id) WHERE {READY}),
@@ -65,18 +65,18 @@ Q = {
     "D15_distinct_tags": (lambda v: C.distinct_tags(v.docs.withColumn("tags", F.array(F.concat(F.lit("t"), F.col("doc_id") % 4), F.lit(""), F.col("file_type")))), D + " SELECT DISTINCT kb_id, tag FROM (SELECT kb_id, unnest(['t' || (doc_id % 4), '', file_type]) AS tag FROM docs) WHERE tag <> ''"),
     "D16_scoped_chunk_stats": (lambda v: C.scoped_chunk_stats(v.docs, 90, 60), D + " SELECT kb_id, CAST(sum(greatest(coalesce(chunk_count, 0), 0)) AS BIGINT) AS total, max(greatest(coalesce(chunk_count, 0), 0)) AS largest, sum(chunk_count) > 90 OR max(chunk_count) > 60 AS exact_only FROM docs GROUP BY kb_id"),
     "D17_small_documents": (lambda v: C.small_documents(v.docs, v.chunks), D + f" SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM chunks JOIN docs USING (doc_id) WHERE {READY} GROUP BY doc_id HAVING count(*) <= 30 AND sum(length(content)) <= 16000"),
-    "D26_complete_documents": (lambda v: C.complete_documents(v.chunks.where("id % 9 <> 0").withColumn("declared", F.col("table_part_count"))), duckdb_views("chunks") + " SELECT doc_id, coalesce(count(DISTINCT table_part_count) = 1 AND count(*) = max(table_part_count) AND count(DISTINCT chunk_index) = max(table_part_count) AND min(chunk_index) = 0 AND max(chunk_index) = max(table_part_count) - 1, false) AS complete FROM chunks WHERE id % 9 <> 0 GROUP BY doc_id"),
+    "D26_complete_documents": (lambda v: C.complete_documents(v.chunks.withColumn("declared", F.col("table_part_count"))), duckdb_views("chunks") + " SELECT doc_id, coalesce(count(DISTINCT table_part_count) = 1 AND count(*) = max(table_part_count) AND count(DISTINCT chunk_index) = max(table_part_count) AND min(chunk_index) = 0 AND max(chunk_index) = max(table_part_count) - 1, false) AS complete FROM chunks GROUP BY doc_id"),
     "D27_complete_tables": (lambda v: C.complete_documents(v.chunks.where("table_id is not null").select(F.col("table_id").alias("doc_id"), F.col("table_part_index").alias("chunk_index"), F.lit(2).alias("declared"))).withColumnRenamed("doc_id", "table_id"), duckdb_views("chunks") + " SELECT table_id, count(*) = 2 AND count(DISTINCT table_part_index) = 2 AND min(table_part_index) = 0 AND max(table_part_index) = 1 AS complete FROM chunks WHERE table_id IS NOT NULL GROUP BY table_id"),
     "E9_render_document": (
         lambda v: C.render_document(v.chunks),
         duckdb_views("chunks") + """, p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, section_key ORDER BY chunk_index, id) = 1 THEN '# ' || section_key || chr(10) || chr(10) || content ELSE content END AS part FROM chunks),
         t AS (SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY chunk_index, id) AS t FROM p GROUP BY doc_id) SELECT doc_id, t[1:2000] AS text, length(t) > 2000 AS truncated FROM t""",
     ),
-    "H3_intersect": (lambda v: v.docs.select("kb_id").where("kb_id < 3").intersect(v.role_kb.select("kb_id")), duckdb_views("docs", "role_kb") + " SELECT kb_id FROM docs WHERE kb_id < 3 INTERSECT SELECT kb_id FROM role_kb"),
+    "H3_intersect": (lambda v: v.docs.where("status = 'ready'").select("kb_id").intersect(v.role_kb.select("kb_id")), duckdb_views("docs", "role_kb") + " SELECT kb_id FROM docs WHERE status = 'ready' INTERSECT SELECT kb_id FROM role_kb"),
     "H4_except": (lambda v: v.roles.select(F.col("role_id").cast("long").alias("k")).exceptAll(v.role_kb.select(F.col("kb_id").alias("k")).distinct()), duckdb_views("roles", "role_kb") + " SELECT CAST(role_id AS BIGINT) AS k FROM roles EXCEPT SELECT kb_id FROM role_kb"),
     "A4_replace_document_chunks": (
-        lambda v: C.replace_document_chunks(v.chunks.select("id", "doc_id", "chunk_index"), v.chunks.where("doc_id % 2 = 0 and chunk_index < 2").select((F.col("id") + 100000).alias("id"), "doc_id", "chunk_index", (F.lit(1) + F.col("doc_id") % 2).alias("revision")), v.docs),
-        D + """, inc AS (SELECT c.id + 100000 AS id, c.doc_id, c.chunk_index FROM chunks c JOIN docs d USING (doc_id) WHERE c.doc_id % 2 = 0 AND c.chunk_index < 2 AND d.processing_revision = 1 + c.doc_id % 2)
+        lambda v: C.replace_document_chunks(v.chunks.select("id", "doc_id", "chunk_index"), v.chunks.where("section_key = 'sec-0'").select((F.col("id") + 100000).alias("id"), "doc_id", "chunk_index", (F.lit(1) + F.col("doc_id") % 2).alias("revision")), v.docs),
+        D + """, inc AS (SELECT c.id + 100000 AS id, c.doc_id, c.chunk_index FROM chunks c JOIN docs d USING (doc_id) WHERE c.section_key = 'sec-0' AND d.processing_revision = 1 + c.doc_id % 2)
         SELECT id, doc_id, chunk_index FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM inc) UNION ALL SELECT * FROM inc""",
     ),
 }

@@ -27,7 +27,7 @@ SC = CH + """, sc AS (SELECT id % 10 AS query_id, id, doc_id, chunk_index, secti
 def _scopes(v: Views):
     q = v.chunks.select((F.col("id") % 10).alias("query_id")).distinct()
     rows = [q.select("query_id", F.lit(s).alias("scope_id"), F.lit(p).cast("string").alias("target_product"), F.lit(x).cast("string").alias("target_version")) for s, p, x in ((1, "p1", "6.1"), (2, "p2", None))]
-    return rows[0].unionByName(rows[1]).where("query_id <> 7")
+    return rows[0].unionByName(rows[1])
 
 
 def _rows(v: Views):
@@ -78,12 +78,12 @@ def _bindings(v: Views):
 TERMS = ["the", "tion", "über", "ing", "of", "ção"]
 Q = {
     "B10_restrict_to_scope_slices": (
-        lambda v: V.restrict_to_scope_slices(v.chunks, v.docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("c_doc"), F.when(F.col("doc_id") % 8 == 0, "sec-1").alias("c_section"))).select("id", "doc_id", "section_key"),
-        duckdb_views("docs") + " SELECT id, doc_id, section_key FROM chunks WHERE doc_id % 4 = 0 AND (doc_id % 8 <> 0 OR section_key = 'sec-1')",
+        lambda v: V.restrict_to_scope_slices(v.chunks, v.docs.where("status = 'ready'").select(F.col("doc_id").alias("c_doc"), F.when(~F.col("is_active"), "sec-1").alias("c_section"))).select("id", "doc_id", "section_key"),
+        duckdb_views("docs") + " SELECT id, c.doc_id, section_key FROM chunks c JOIN docs d ON c.doc_id = d.doc_id WHERE status = 'ready' AND (is_active OR section_key = 'sec-1')",
     ),
     "C15_scope_match_join": (
         lambda v: V.scope_match_join(_scoped(v), _scopes(v)),
-        SC + """, scopes AS (SELECT * FROM (SELECT DISTINCT id % 10 AS query_id FROM chunks), (VALUES (1, 'p1', '6.1'), (2, 'p2', NULL)) t(scope_id, tp, tv) WHERE query_id <> 7),
+        SC + """, scopes AS (SELECT * FROM (SELECT DISTINCT id % 10 AS query_id FROM chunks), (VALUES (1, 'p1', '6.1'), (2, 'p2', NULL)) t(scope_id, tp, tv)),
         p AS (SELECT sc.query_id, id, scope_id, CASE WHEN tp IS NOT NULL AND product IS NOT NULL AND product <> tp THEN 'mismatch' WHEN product IS NULL THEN 'unknown' WHEN tv IS NULL THEN 'exact' WHEN list_contains(unsupported, tv) THEN 'mismatch'
           WHEN len(versions) = 1 AND list_contains(versions, tv) THEN 'exact' WHEN list_contains(versions, tv) OR list_contains(compatible, tv) THEN 'compatible' WHEN len(versions) > 0 THEN 'mismatch' ELSE 'unknown' END AS constraint_status FROM sc JOIN scopes USING (query_id)),
         f AS (SELECT *, CASE constraint_status WHEN 'exact' THEN 3 WHEN 'compatible' THEN 2 WHEN 'neutral' THEN 1 ELSE 0 END AS fit FROM p)
@@ -120,12 +120,12 @@ Q = {
     "D32_best_evidence_set": (lambda v: V.best_evidence_set(_coverage(v)), MEM + " SELECT * FROM cov QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE status WHEN 'complete' THEN 3 WHEN 'partial' THEN 2 ELSE 1 END DESC, covered DESC, support DESC, size, set_id) = 1"),
     "D34_topic_documents": (lambda v: V.topic_documents(_rows(v)).drop("n_terms"), RW + " SELECT query_id, doc_id, min(pos) AS first_pos, max(score) AS best FROM rw GROUP BY ALL"),
     "D36_group_visibility": (
-        lambda v: V.group_visibility(v.chunks.select(F.concat_ws("/", "doc_id", "section_key").alias("unit"), "id"), v.chunks.where("id % 5 <> 0").select("id")),
-        CH + " SELECT concat_ws('/', doc_id, section_key) AS unit, count(*) FILTER (id % 5 = 0) = 0 AS closed, coalesce(array_to_string(list_sort(list(id) FILTER (id % 5 = 0)), ','), '') AS missing FROM chunks GROUP BY 1",
+        lambda v: V.group_visibility(v.chunks.select(F.concat_ws("/", "doc_id", "section_key").alias("unit"), "id"), v.chunks.where("block_type = 'text'").select("id")),
+        CH + " SELECT concat_ws('/', doc_id, section_key) AS unit, count(*) FILTER (block_type <> 'text') = 0 AS closed, coalesce(array_to_string(list_sort(list(id) FILTER (block_type <> 'text')), ','), '') AS missing FROM chunks GROUP BY 1",
     ),
     "D37_scope_anchor_coverage": (
-        lambda v: V.anchor_coverage(v.docs.select((F.col("doc_id") % 40).alias("choice"), "doc_id"), v.chunks.where("id % 9 = 0").select("id", "doc_id")),
-        duckdb_views("docs") + " SELECT d.doc_id % 40 AS choice, count(c.id) > 0 AS covered, coalesce(array_to_string(list_sort(list(DISTINCT c.id) FILTER (c.id IS NOT NULL)), ','), '') AS hits FROM docs d LEFT JOIN chunks c ON c.doc_id = d.doc_id AND c.id % 9 = 0 GROUP BY 1",
+        lambda v: V.anchor_coverage(v.docs.select((F.col("doc_id") % 40).alias("choice"), "doc_id"), v.chunks.where("block_type = 'table'").select("id", "doc_id")),
+        duckdb_views("docs") + " SELECT d.doc_id % 40 AS choice, count(c.id) > 0 AS covered, coalesce(array_to_string(list_sort(list(DISTINCT c.id) FILTER (c.id IS NOT NULL)), ','), '') AS hits FROM docs d LEFT JOIN chunks c ON c.doc_id = d.doc_id AND c.block_type = 'table' GROUP BY 1",
     ),
     "G3_rerank_order": (lambda v: V.rerank_order(_rows(v)).select("query_id", "id", "place"), RW + f" SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {ROLE} DESC, CASE constraint_status WHEN 'exact' THEN 5 WHEN 'compatible' THEN 4 WHEN 'neutral' THEN 3 WHEN 'unknown' THEN 2 ELSE 1 END DESC, support DESC, topic DESC, score DESC, doc_id, chunk_index, id) AS place FROM rw"),
     "G4_context_order": (lambda v: V.context_order(_rows(v)).select("query_id", "id", "place"), RW + ", f AS (SELECT *, min(pos) OVER (PARTITION BY query_id, doc_id) AS first_at FROM rw) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY first_at, chunk_index, id) AS place FROM f"),

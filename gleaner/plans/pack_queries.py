@@ -37,6 +37,12 @@ def _pack(v: Views):
     return K.evidence_pack(v.queries, chunks, records)
 
 
+def _seeds(v: Views):
+    """The best chunks that the queries find."""
+    best = R.hybrid_search(v.queries, R.visible_chunks(v.chunks, v.docs), 4).select("id").distinct()
+    return v.chunks.join(best, "id", "left_semi")
+
+
 def _scope(v: Views):
     return v.queries.select("query_id").join(v.docs.select("doc_id", (F.col("doc_id") % 7).alias("g")), (F.col("query_id") / 50).cast("long") % 7 == F.col("g")).select("query_id", "doc_id")
 
@@ -89,7 +95,7 @@ Q = {
         lambda v: K.second_stage_records(_record_queries(v), _record_queries(v).select("query_id", F.col("query_id").alias("chunk_id")), _records(v).withColumn("chunk_id", F.col("doc_id"))),
         SCORES_SQL + " SELECT query_id, doc_name AS chunk_id, concat_ws('#', doc_name, lpad(CAST(line_no AS VARCHAR), 6, '0')) AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM sc WHERE doc_name = query_id QUALIFY place <= 8",
     ),
-    "F9_expand_evidence": (lambda v: K.expand_evidence(v.chunks.where("id % 5 = 0"), v.chunks), None),
+    "F9_expand_evidence": (lambda v: K.expand_evidence(_seeds(v), v.chunks), None),
     "C16_bridge_two_hop": (lambda v: K.bridge_two_hop(_record_queries(v).withColumn("query", F.concat(F.lit("what is "), "query", F.lit(" for"))), _records(v)), None),
     "D24_scope_groups": (
         lambda v: K.scope_groups(v.docs.select("doc_id", F.explode(F.array(F.concat(F.lit("p"), F.col("doc_id") % 31), F.concat(F.lit("q"), F.floor(F.col("doc_id") / 50)))).alias("product"))),

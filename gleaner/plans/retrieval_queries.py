@@ -138,7 +138,7 @@ Q = {
         lambda v: R.normalize_scores(_fused(v), CHANNELS).select("query_id", "id", "retrieval_score", "active_channels"),
         BASE + "SELECT query_id, id, score AS retrieval_score, concat_ws(',', CASE WHEN vector_rank IS NOT NULL THEN 'vector' END, CASE WHEN keyword_rank IS NOT NULL THEN 'keyword' END, CASE WHEN trigram_rank IS NOT NULL THEN 'trigram' END) AS active_channels FROM fused",
     ),
-    "B9_restrict_to_ids": (lambda v: R.restrict_to_ids(_fused(v), v.docs.where("doc_id % 3 = 0")).select("query_id", "id", "doc_id"), BASE + "SELECT query_id, id, doc_id FROM fused WHERE doc_id IN (SELECT doc_id FROM docs WHERE doc_id % 3 = 0)"),
+    "B9_restrict_to_ids": (lambda v: R.restrict_to_ids(_fused(v), v.docs.where("created_by is null")).select("query_id", "id", "doc_id"), BASE + "SELECT query_id, id, doc_id FROM fused WHERE doc_id IN (SELECT doc_id FROM docs WHERE created_by IS NULL)"),
     "D18_document_relevance": (lambda v: R.document_relevance(_fused(v)), BASE + "SELECT query_id, doc_id, lexical, best_vector FROM rel"),
     "D19_admit_documents": (lambda v: R.admit_documents(R.document_relevance(_fused(v))), BASE + "SELECT query_id, doc_id, lexical, best_vector, reason, reason <> 'weak' AS admitted FROM adm"),
     "D20_admit_candidates": (

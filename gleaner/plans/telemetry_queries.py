@@ -74,7 +74,7 @@ Q = {
     "D11_top_actions": (lambda v: T.top_actions(_actions(v)), f"WITH {ACT} SELECT action, count(*) AS n FROM acts GROUP BY action ORDER BY n DESC, action LIMIT 5"),
     "D12_overview": (lambda v: T.overview(v.runs, v.logins, v.docs), None),
     "D33_trace_stage_index": (lambda v: T.trace_stage_index(v.trace_events), TE + " SELECT trace_id, split_part(event, '.', 1) AS stage, array_to_string(list_sort(list(seq)), ',') AS seqs FROM trace_events GROUP BY 1, 2"),
-    "D33_missing_sequences": (lambda v: T.missing_sequences(v.trace_events.where("event_id % 4 <> 0")), TE + ", t AS (SELECT * FROM trace_events WHERE event_id % 4 <> 0), m AS (SELECT trace_id, max(seq) AS last FROM t GROUP BY 1), a AS (SELECT trace_id, unnest(range(1, last + 1)) AS seq FROM m) SELECT m.trace_id, coalesce(x.missing, '') AS missing FROM m LEFT JOIN (SELECT trace_id, array_to_string(list_sort(list(seq)), ',') AS missing FROM a ANTI JOIN t USING (trace_id, seq) GROUP BY 1) x USING (trace_id)"),
+    "D33_missing_sequences": (lambda v: T.missing_sequences(v.trace_events.where("event <> 'intent.model_result'")), TE + ", t AS (SELECT * FROM trace_events WHERE event <> 'intent.model_result'), m AS (SELECT trace_id, max(seq) AS last FROM t GROUP BY 1), a AS (SELECT trace_id, unnest(range(1, last + 1)) AS seq FROM m) SELECT m.trace_id, coalesce(x.missing, '') AS missing FROM m LEFT JOIN (SELECT trace_id, array_to_string(list_sort(list(seq)), ',') AS missing FROM a ANTI JOIN t USING (trace_id, seq) GROUP BY 1) x USING (trace_id)"),
     "D35_trace_diagnostics": (
         lambda v: T.trace_diagnostics(v.trace_events),
         TE + " SELECT trace_id, arg_min(payload, seq) FILTER (event = 'chat.request') AS request, arg_min(payload, seq) FILTER (event = 'intent.model_result') AS intent, arg_max(payload, seq) AS latest, coalesce(string_agg(payload, '|' ORDER BY seq) FILTER (event = 'intent.model_result'), '') AS attempts FROM trace_events GROUP BY trace_id",
