@@ -241,6 +241,7 @@ def training_sample(docs: DataFrame, limits: FitLimits) -> list[tuple[str, str]]
     chosen = known.where(place < F.element_at(share, F.col("lang"))).select("lang", F.split("text", r"[\s]+").alias("w"), F.xxhash64("text").alias("h"))
     at = F.pmod("h", F.greatest(F.lit(1), F.size("w") - limits.words + 1)).cast("int") + 1
     snippet = chosen.select("lang", "h", F.array_join(F.slice("w", at, limits.words), " ").alias("t"))
+    snippet = snippet.groupBy("lang", "h").agg(F.first("t").alias("t"))  # copies count once
     best = snippet.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "t"))), 1, limits.documents).alias("rows"))
     return [(r["lang"], x["t"]) for r in best.collect() for x in r["rows"]]
 

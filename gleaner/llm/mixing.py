@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     holds a whole source.
     """
     rows = docs.drop(*RESULT).withColumn("size", word_count(F.col("text")))
-    digest = F.md5(F.concat_ws("|", F.lit(plan.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
+    digest = F.md5(F.concat_ws("|", F.lit(plan.seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("-"))).cast("binary"))
     rows = rows.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, 3))
     slices = rows.groupBy("source", "__slice").agg(F.sum("size").alias("slice_size"))
     sizes = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))

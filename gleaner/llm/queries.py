@@ -80,7 +80,7 @@ def queries() -> dict:
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS digest
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '-')) AS digest
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
