@@ -79,4 +79,8 @@ Q = {
         D + """, inc AS (SELECT c.id + 100000 AS id, c.doc_id, c.chunk_index FROM chunks c JOIN docs d USING (doc_id) WHERE c.section_key = 'sec-0' AND d.processing_revision = 1 + c.doc_id % 2)
         SELECT id, doc_id, chunk_index FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM inc) UNION ALL SELECT * FROM inc""",
     ),
+    "H2_union_all_matches": (
+        lambda v: C.table_siblings(_seeds(v), v.chunks).withColumn("origin", F.lit("table_sibling")).unionByName(C.adjacent_chunks(_seeds(v), v.chunks).withColumn("origin", F.lit("adjacent"))).select("seed", "id", "origin"),
+        duckdb_views("chunks") + f", {SEEDS}, {ADJ}, {TAB} SELECT seed, id, 'table_sibling' AS origin FROM tab UNION ALL SELECT seed, id, 'adjacent' FROM adj",
+    ),
 }

@@ -130,4 +130,8 @@ Q = {
     "G3_rerank_order": (lambda v: V.rerank_order(_rows(v)).select("query_id", "id", "place"), RW + f" SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {ROLE} DESC, CASE constraint_status WHEN 'exact' THEN 5 WHEN 'compatible' THEN 4 WHEN 'neutral' THEN 3 WHEN 'unknown' THEN 2 ELSE 1 END DESC, support DESC, topic DESC, score DESC, doc_id, chunk_index, id) AS place FROM rw"),
     "G4_context_order": (lambda v: V.context_order(_rows(v)).select("query_id", "id", "place"), RW + ", f AS (SELECT *, min(pos) OVER (PARTITION BY query_id, doc_id) AS first_at FROM rw) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY first_at, chunk_index, id) AS place FROM f"),
     "G7_context_priority": (lambda v: V.context_priority(_rows(v)).select("query_id", "id", "place"), RW + f" SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY is_seed DESC, CASE kind WHEN 'table' THEN 4 WHEN 'specific' THEN 3 ELSE 2 END DESC, {ROLE} DESC, score DESC, pos) AS place FROM rw"),
+    "E18_scope_status": (
+        lambda v: _scoped(v).select("id", V.X.scope_status(F.lit("p1"), F.lit("6.1"), F.col("product"), F.col("versions"), F.col("compatible"), F.col("unsupported")).alias("status")),
+        SC + " SELECT id, CASE WHEN product <> 'p1' THEN 'mismatch' WHEN product IS NULL THEN 'unknown' WHEN list_contains(unsupported, '6.1') THEN 'mismatch' WHEN len(versions) = 1 AND list_contains(versions, '6.1') THEN 'exact' WHEN list_contains(versions, '6.1') OR list_contains(compatible, '6.1') THEN 'compatible' WHEN len(versions) > 0 THEN 'mismatch' ELSE 'unknown' END AS status FROM sc",
+    ),
 }

@@ -10,6 +10,7 @@ from gleaner.operators import packs as K
 from gleaner.operators import retrieval as R
 from gleaner.plans.text_queries import RECORDS_SQL
 from gleaner.plans.views import Views, duckdb_views
+from gleaner.sources.files import rebuild_knowledge_records
 
 
 def _records(v: Views):
@@ -31,10 +32,18 @@ def _configs(v: Views):
     return v.events.where("event_type = 'purchase'").select("event_id", text.alias("text"))
 
 
+def _pack_records(v: Views):
+    return _records(v).select("id", F.lit(-1).cast("long").alias("doc_id"), "subject", "search_text")
+
+
 def _pack(v: Views):
-    chunks = R.visible_chunks(v.chunks, v.docs)
-    records = _records(v).withColumn("id", F.col("id")).select("id", F.lit(-1).cast("long").alias("doc_id"), "subject", "search_text")
-    return K.evidence_pack(v.queries, chunks, records)
+    return K.evidence_pack(v.queries, R.visible_chunks(v.chunks, v.docs), _pack_records(v))
+
+
+def _md(v: Views):
+    """One table a document, numbered by its brand."""
+    doc = F.substring("doc_name", 7, 9).cast("long")
+    return v.md_chunks.select(doc.alias("id"), doc.alias("doc_id"), (doc % 3).alias("kb_id"), "content")
 
 
 def _seeds(v: Views):
@@ -103,4 +112,16 @@ Q = {
         r AS (WITH RECURSIVE reach(a, b) AS (SELECT doc_id, doc_id FROM docs UNION SELECT reach.a, y.doc_id FROM reach JOIN p x ON x.doc_id = reach.b JOIN p y ON y.product = x.product) SELECT * FROM reach)
         SELECT a AS doc_id, min(b) AS "group" FROM r GROUP BY a""",
     ),
+    "A5_rebuild_knowledge_records": (
+        lambda v: rebuild_knowledge_records(None, _md(v), _md(v).select("doc_id", "kb_id", F.lit("ready").alias("status"), (F.col("doc_id") % 2 == 1).alias("is_active"))).select("kb_id", "doc_id", "subject", "predicate", "value"),
+        RECORDS_SQL + " SELECT CAST(doc_name[7:] AS BIGINT) % 3 AS kb_id, CAST(doc_name[7:] AS BIGINT) AS doc_id, subject, predicate, value FROM rec WHERE CAST(doc_name[7:] AS BIGINT) % 2 = 1",
+    ),
+    "A8_embed_table": (
+        lambda v: D.embed_table(v.documents.select("doc_id", "text"), "text", lambda texts: [[len(t), t.count("e")] for t in texts]).select("doc_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")),
+        "SELECT doc_id, CAST(length(text) AS DOUBLE) AS x, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS y FROM documents",
+    ),
+    "K1_replaceable_stages": (
+        lambda v: K.evidence_pack(v.queries, R.visible_chunks(v.chunks, v.docs), _pack_records(v), search_chunks=lambda q, c, k: R.hybrid_search(q, c, k, vectors=False).withColumn("vector_score", F.lit(None).cast("double"))),
+        None,
+    ),
 }

@@ -149,4 +149,10 @@ Q = {
         lambda v: R.channel_counts(_fused(v), CHANNELS),
         BASE + "SELECT query_id, count(vector_rank) AS n_vector, count(keyword_rank) AS n_keyword, count(trigram_rank) AS n_trigram, count(*) AS n FROM fused GROUP BY query_id",
     ),
+    "G1_top_k": (lambda v: R.top_k(_fused(v), 5).select("query_id", "id", "score", "rank"), BASE + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, id) AS rank FROM fused QUALIFY rank <= 5"),
+    "W3_fused_document_rank": (lambda v: R.hybrid_search(v.queries, _visible(v), 1000).select("query_id", "id", "fused_document_rank"), BASE.replace("<= 80", "<= 240") + "SELECT query_id, id, fused_document_rank FROM few"),
+    "W4_fusion_rank": (
+        lambda v: R.fuse_sources(_sources(v), 1000).select("query_id", "item", "fusion_rank"),
+        BASE + f", s AS (SELECT query_id, item, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score, min((source, pos)) AS seen FROM {SOURCES_SQL} GROUP BY query_id, item) SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, item) AS fusion_rank FROM s QUALIFY fusion_rank <= 1000",
+    ),
 }

@@ -176,3 +176,25 @@ def _days(v: Views):
 
 Q["A6_write_trace_events"] = (_sink, TE + " SELECT event_id, event, payload FROM trace_events")
 Q["J8_daily_activity_stream"] = (_days, TE + " SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM trace_events GROUP BY 1")
+
+
+def _ingest(v: Views):
+    """Documents and their next revisions, as they come in, folded to the newest of each."""
+    import uuid
+
+    from gleaner.session import shared_folder
+    from gleaner.streaming.logs import incremental_ingest, stream_of
+
+    base = f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}"
+    docs = v.docs.select("doc_id", "status", F.col("processing_revision").alias("revision"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    docs.unionByName(docs.where("status = 'ready'").withColumn("revision", F.col("revision") + 1)).repartition(3).write.parquet(f"{base}/in")
+    stream = stream_of(v.spark, f"{base}/in", v.spark.read.parquet(f"{base}/in").schema, "created_at", files=2)
+    incremental_ingest(stream, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(f"{base}/out").select("doc_id", "status", "revision")
+
+
+Q["J9_incremental_ingest"] = (_ingest, duckdb_views("docs") + " SELECT doc_id, status, processing_revision + CASE WHEN status = 'ready' THEN 1 ELSE 0 END AS revision FROM docs")
+Q["J7_out_of_order_start"] = (
+    lambda v: T.fold_trace_runs(v.trace_events.orderBy(F.col("created_at").desc())).select("trace_id", "started_at"),
+    TE + " SELECT trace_id, min(created_at) AS started_at FROM trace_events GROUP BY trace_id",
+)

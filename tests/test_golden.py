@@ -215,3 +215,21 @@ def test_markdown_outside_of_fences(spark):
     t = "a * b * c\n```yaml\nx: 1\n\n\n\n\ny * z * w\n```\nend<br>now <code>k</code> in ```sh ls``` line"
     got = spark.createDataFrame([(t,)], "t string").select(X.normalize_markdown(F.col("t"))).first()[0]
     assert "a\n* b\n* c" in got and "x: 1\n\n\n\n\ny * z * w" in got and "end\nnow `k` in" in got and "\n```sh ls\n```\n line" in got
+
+
+def test_throttle_and_dedup_streams(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    logins = [("b", minute(i), False) for i in range(7)] + [("c", minute(0), False), ("c", minute(1), True), ("c", minute(2), False)]
+    spark.createDataFrame(logins, "bucket string, attempt_at timestamp, success boolean").write.parquet(str(tmp_path / "l"))
+    table = spark.read.parquet(str(tmp_path / "l"))
+    q = L.login_throttle(L.stream_of(spark, str(tmp_path / "l"), table.schema, "attempt_at"), "pair").writeStream.format("memory").queryName("blocks").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.sql("select * from blocks").collect())) == sorted(map(tuple, L.login_throttle_batch(table, "pair").collect()))
+    turns = [(1, 1, minute(0)), (1, 1, minute(1)), (1, 2, minute(2)), (2, 1, minute(3))]
+    spark.createDataFrame(turns, "user_id long, request_id long, at_time timestamp").write.parquet(str(tmp_path / "t"))
+    stream = L.stream_of(spark, str(tmp_path / "t"), spark.read.parquet(str(tmp_path / "t")).schema, "at_time")
+    q = L.dedup_requests(stream).writeStream.format("memory").queryName("turns").option("checkpointLocation", str(tmp_path / "d")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["user_id"], r["request_id"]) for r in spark.sql("select * from turns").collect()) == [(1, 1), (1, 2), (2, 1)]
