@@ -10,6 +10,7 @@ batches as packets, too.
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +67,19 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as their range needs."""
+    low = int(ids.min()) if len(ids) else 0
+    width = max(1, -(-(int(ids.max()) - low).bit_length() // 8)) if len(ids) else 1
+    offset = (ids.astype(np.int64).view(np.uint64) - np.int64(low).view(np.uint64)).astype("<u8")
+    return struct.pack("<qB", low, width) + offset.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_ids(raw: bytes) -> np.ndarray:
+    low, width = struct.unpack_from("<qB", raw)
+    return (unpack(raw[9:], width) + np.int64(low).view(np.uint64)).view(np.int64)
+
+
 def shortened(h: np.ndarray, width: int) -> np.ndarray:
     return h >> np.uint64(64 - 8 * width) if width < 8 else h
 

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gleaner.llm.grams import SPACE, doc_slices, mix, rolling, text_bytes, word_codes, word_spans
-from gleaner.llm.packets import Layout, by_batch, contains, cut, in_batches, joined, layout, pack, shortened, unpack
+from gleaner.llm.packets import Layout, by_batch, contains, cut, in_batches, joined, layout, pack, pack_ids, shortened, unpack, unpack_ids
 
 RESULT = ("n_words", "n_removed", "kept_text")
 SECOND_BASE = 0xA0761D6478BD642F
-PROBES = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("plain", pa.binary()), ("anchor", pa.binary()), ("doc", pa.binary())])
+PROBES = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("plain", pa.binary()), ("anchor", pa.binary())])
 HITS = pa.schema([("batch", pa.int32()), ("h", pa.binary())])
 WINDOWS = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("h", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary())])
 OWNERS = pa.schema([("batch", pa.int32()), ("h", pa.binary()), ("doc", pa.binary())])
@@ -72,8 +72,8 @@ class Words:
 
 
 def block_probes(words: Words, block: int) -> tuple[np.ndarray, ...]:
-    """Distinct block fingerprints of the batch, sorted, with: smallest anchored doc_id, is an anchor,
-    stands in several documents here; and every position's fingerprint."""
+    """Distinct block fingerprints of the batch, sorted, with: is an anchor, is one and stands in
+    several documents here; and every position's fingerprint."""
     h = words.grams(block)
     at = np.flatnonzero(words.whole(block))
     keys = h[at]
@@ -85,18 +85,16 @@ def block_probes(words: Words, block: int) -> tuple[np.ndarray, ...]:
     row = words.row[at]
     ids = words.ids[row]
     anchored = (at - words.first[row]) % block == 0
-    top = np.iinfo(np.int64).max
     if not len(keys):
-        none = np.zeros(0, np.int64)
-        return unique, none, none.astype(bool), none.astype(bool), h, at
-    owner = np.minimum.reduceat(np.where(anchored, ids, top)[order], firsts)
+        none = np.zeros(0, bool)
+        return unique, none, none, h, at
     is_anchor = np.maximum.reduceat(anchored[order].astype(np.int8), firsts) > 0
     several = np.minimum.reduceat(ids[order], firsts) != np.maximum.reduceat(ids[order], firsts)
-    return unique, owner, is_anchor, several & is_anchor, h, at
+    return unique, is_anchor, several & is_anchor, h, at
 
 
 def send_probes(table: pa.Table, block: int, lay: Layout) -> pa.Table:
-    unique, owner, is_anchor, _, _, _ = block_probes(Words(table), block)
+    unique, is_anchor, _, _, _ = block_probes(Words(table), block)
     batch = table.column("__batch")[0].as_py()
     edges = cut(unique, lay.buckets)
     rows = []
@@ -104,7 +102,7 @@ def send_probes(table: pa.Table, block: int, lay: Layout) -> pa.Table:
         span = slice(edges[b], edges[b + 1])
         if edges[b] < edges[b + 1]:
             a = is_anchor[span]
-            rows.append((b, batch, pack(unique[span][~a], lay.width), pack(unique[span][a], lay.width), owner[span][a].astype("<i8").tobytes()))
+            rows.append((b, batch, pack(unique[span][~a], lay.width), pack(unique[span][a], lay.width)))
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PROBES)], schema=PROBES)
 
 
@@ -130,7 +128,7 @@ def match_probes(table: pa.Table, lay: Layout) -> pa.Table:
 def candidate_windows(table: pa.Table, hits: pa.Table, block: int, window: int, lay: Layout) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """(words, window starts, their two fingerprints) of windows that hold a hit."""
     words = Words(table)
-    unique, _, _, several, h, at = block_probes(words, block)
+    unique, _, several, h, at = block_probes(words, block)
     wanted = np.sort(unpack(joined(hits, "h"), lay.width)) if hits.num_rows else np.zeros(0, np.uint64)
     far, _ = contains(wanted, shortened(unique, lay.width))
     hot = unique[far | several]
@@ -163,7 +161,7 @@ def send_windows(table: pa.Table, hits: pa.Table, block: int, window: int, lay:
     batch = table.column("__batch")[0].as_py() if table.num_rows else 0
     edges = cut(key, lay.buckets)
     rows = [
-        (b, batch, key[s].astype("<u8").tobytes(), second[s].astype("<u4").tobytes(), owner[s].astype("<i8").tobytes())
+        (b, batch, key[s].astype("<u8").tobytes(), second[s].astype("<u4").tobytes(), pack_ids(owner[s]))
         for b in range(lay.buckets)
         if edges[b] < edges[b + 1]
         for s in [slice(edges[b], edges[b + 1])]
@@ -176,7 +174,7 @@ def match_windows(table: pa.Table) -> pa.Table:
     sizes = [len(x.as_py()) // 8 for x in table.column("h")]
     key = np.frombuffer(joined(table, "h"), "<u8")
     second = np.frombuffer(joined(table, "h2"), "<u4")
-    doc = np.frombuffer(joined(table, "doc"), "<i8")
+    doc = np.concatenate([unpack_ids(x.as_py()) for x in table.column("doc")])
     batch = np.repeat(np.array(table.column("batch").to_pylist(), np.int32), sizes)
     order = np.lexsort((doc, second, key))
     key, second, doc, batch = key[order], second[order], doc[order], batch[order]
