@@ -39,7 +39,8 @@ from gleaner.session import bounded_batches, stored
 
 CELL_BITS = 20
 SLICES = 64
-HISTOGRAM = 32
+#: Cells of the suffix filter: enough to tell sets of some thousand grams apart.
+HISTOGRAM = 256
 #: A gram that more nodes share than this starts with a hub.
 CROWD = 48
 
@@ -137,16 +138,16 @@ def describe(docs: DataFrame, sim: Similarity, sets: bool = False) -> DataFrame:
                     sizes.append(len(own))
                     order = np.lexsort((own, rank[offsets[r] : offsets[r + 1]]))
                     prefixes.append(own[order[: int(sim.prefix(np.int64(len(own))))]].view(np.int64))
-                    cells.append(np.bincount((own & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).astype(np.int32))
+                    cells.append(np.minimum(np.bincount((own & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 32_767).astype(np.int16))
             cols = [b.column(c) for c in rest] + [pa.array(names, pa.binary())]
             if sets:
                 cols += [pa.array(wholes, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, [*rest, "node", "grams"])
             else:
-                cols += [pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
+                cols += [pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))]
                 yield pa.RecordBatch.from_arrays(cols, [*rest, "node", "size", "prefix", "cells"])
 
-    extra = "node binary, grams array<bigint>" if sets else "node binary, size bigint, prefix array<bigint>, cells array<int>"
+    extra = "node binary, grams array<bigint>" if sets else "node binary, size bigint, prefix array<bigint>, cells array<smallint>"
     return docs.mapInArrow(rows, ", ".join([*fields, extra]))
 
 
@@ -207,7 +208,7 @@ def similar_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     stars = crowded.join(hubs, "gram").select("node", "size", "pos", F.col("hub.node").alias("node2"), F.col("hub.size").alias("size2"), F.col("hub.pos").alias("pos2"))
 
     asked = within.select(F.col("a").alias("node")).unionByName(within.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
-    asked = asked.join(nodes.select("node", "key"), "node").select("node", "key.*")
+    asked = stored(asked.join(nodes.select("node", "key"), "node").select("node", "key.*"), "asked")
     texts = rows.alias("r").join(asked.alias("u"), F.col("r.__th").eqNullSafe(F.col("u.__th")) & F.col("r.doc_id").eqNullSafe(F.col("u.doc_id"))).select(F.col("u.node").alias("of"), "r.text")
     sets = stored(describe(texts, sim, sets=True).select(F.col("of").alias("node"), "grams"), "sets")
     first_links = stored(verified(near_pairs(fitting(stars, sim), nodes, sim), sets, sim), "stars")
