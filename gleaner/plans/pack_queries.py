@@ -91,7 +91,12 @@ Q = {
         lambda v: K.match_config(v.spark.createDataFrame([(1, "what is server.port here"), (2, "listenport3 value"), (3, "nothing")], "query_id long, query string"), P.extract_config_assignments(_configs(v), "event_id", "text").drop("event_id")),
         "WITH p AS (SELECT * FROM events WHERE event_type = 'purchase') SELECT 1 AS query_id, 'server.port' AS path, CAST(event_id % 100 AS VARCHAR) AS value, 100.0::DOUBLE AS score FROM p UNION ALL SELECT 2, 'server.port', CAST(event_id % 100 AS VARCHAR), 61.0::DOUBLE FROM p WHERE user_id % 5 = 3",
     ),
-    "E22_entity_facts": (lambda v: K.entity_facts(_record_queries(v), _records(v)), None),
+    "E22_entity_facts": (
+        lambda v: K.entity_facts(_record_queries(v), _records(v)),
+        SCORES_SQL + f""" SELECT query_id, id, kind AS "by", row_number() OVER (PARTITION BY query_id ORDER BY kind, subject, id) AS place FROM (
+        SELECT DISTINCT q.query_id, concat_ws('#', doc_name, lpad(CAST(line_no AS VARCHAR), 6, '0')) AS id, subject, CASE WHEN contains(lower(query), lower(subject)) THEN 'subject' WHEN contains(lower(query), lower(value)) THEN 'value' END AS kind
+        FROM rec, q WHERE list_has_any(list_concat({WORDS.format('subject')}, {WORDS.format('value')}), {WORDS.format('query')})) WHERE kind IS NOT NULL QUALIFY place <= 60""",
+    ),
     "E24_redact_json_keys": (
         lambda v: P.redact_json_keys(_payloads(v), "payload"),
         """SELECT event_id, '{"event":"' || event_type || '","apiKey":"[REDACTED]","tokens":' || (event_id % 9) || ',"deep":[{"password":"[REDACTED]","content":"' || CASE WHEN event_id % 2 = 0 THEN 'text' ELSE ' ' END || '"}],"long":"' || repeat('x', event_id % 200) || '","hit_count":3}' AS payload FROM events""",
@@ -105,7 +110,13 @@ Q = {
         SCORES_SQL + " SELECT query_id, doc_name AS chunk_id, concat_ws('#', doc_name, lpad(CAST(line_no AS VARCHAR), 6, '0')) AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM sc WHERE doc_name = query_id QUALIFY place <= 8",
     ),
     "F9_expand_evidence": (lambda v: K.expand_evidence(_seeds(v), v.chunks), None),
-    "C16_bridge_two_hop": (lambda v: K.bridge_two_hop(_record_queries(v).withColumn("query", F.concat(F.lit("what is "), "query", F.lit(" for"))), _records(v)), None),
+    "C16_bridge_two_hop": (
+        lambda v: K.bridge_two_hop(_record_queries(v).withColumn("query", F.concat(F.lit("what is "), "query", F.lit(" for"))), _records(v)),
+        SCORES_SQL + """, a AS (SELECT query_id, 'what is ' || query || ' for' AS query FROM q), s AS (SELECT lower(trim(subject)) AS s, min(value) AS value FROM rec GROUP BY 1 HAVING length(s) >= 2),
+        ws AS (SELECT query_id, query, string_split(query, ' ') AS w FROM a), sp AS (SELECT DISTINCT query_id, query, lower(array_to_string(list_slice(w, i, i + n - 1), ' ')) AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ws), (SELECT unnest([1, 2, 3, 4]) AS n)),
+        best AS (SELECT sp.*, value FROM sp JOIN s USING (s) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(sp.s) DESC, sp.s DESC) = 1)
+        SELECT query_id, s AS subject, query[1:instr(lower(query), s) - 1] || value || query[instr(lower(query), s) + length(s):] AS query FROM best""",
+    ),
     "D24_scope_groups": (
         lambda v: K.scope_groups(v.docs.select("doc_id", F.explode(F.array(F.concat(F.lit("p"), F.col("doc_id") % 31), F.concat(F.lit("q"), F.floor(F.col("doc_id") / 50)))).alias("product"))),
         duckdb_views("docs") + """, p AS (SELECT doc_id, unnest(['p' || (doc_id % 31), 'q' || CAST(floor(doc_id / 50) AS BIGINT)]) AS product FROM docs),

@@ -112,7 +112,17 @@ Q = {
           FROM w JOIN b ON b.trace_id = w.trace_id AND b.seq = w.seq + 1) SELECT * FROM w WHERE took)
         SELECT b.trace_id, b.seq, b.event, b.bytes FROM b JOIN r ON b.trace_id = r.trace_id AND b.seq = r.seq""",
     ),
-    "A7_export_trace": (lambda v: T.export_trace(v.trace_events, 3, 2000), None),
+    "A7_export_trace": (
+        lambda v: T.export_trace(v.trace_events, 3, 2000),
+        TE + f""", t AS (SELECT trace_id, seq, event, CAST(strlen(payload) + 512 AS BIGINT) AS bytes, CASE WHEN seq = max(seq) FILTER (event IN {ALL_TERM}) OVER (PARTITION BY trace_id) THEN 0 WHEN event IN ('retrieval.candidate', 'rerank.candidate') THEN 2 ELSE 1 END AS priority FROM trace_events),
+        b AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY priority, seq) AS place FROM t),
+        r AS (WITH RECURSIVE w AS (
+          SELECT trace_id, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS used, 0 AS n, false AS took FROM (SELECT DISTINCT trace_id FROM b)
+          UNION ALL
+          SELECT b.trace_id, b.place, CASE WHEN used + bytes <= 2000 AND n < 3 THEN used + bytes ELSE used END, CASE WHEN used + bytes <= 2000 AND n < 3 THEN n + 1 ELSE n END, used + bytes <= 2000 AND n < 3
+          FROM w JOIN b ON b.trace_id = w.trace_id AND b.place = w.place + 1) SELECT * FROM w WHERE took)
+        SELECT b.trace_id, b.seq, b.event, b.bytes FROM b JOIN r ON b.trace_id = r.trace_id AND b.place = r.place""",
+    ),
     "W6_recent_history": (lambda v: T.recent_history(v.messages).select("conv_id", "turn", "role", "back"), MSG + " SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM messages QUALIFY back <= 6"),
     "W6_last_exchange": (
         lambda v: T.last_exchange(v.messages),
