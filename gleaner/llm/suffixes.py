@@ -285,7 +285,7 @@ def sampled_splitters(docs: DataFrame, buckets: int, n_docs: int) -> np.ndarray:
     """buckets - 1 leading tokens at even ranks of a bounded sample of places."""
     every = max(1, n_docs // (SPLITTER_SAMPLE // 8))
     rows = docs.select("text", F.xxhash64("text").alias("h")).where((F.octet_length("text") >= 200) & (F.pmod("h", F.lit(every)) == 0))
-    place = F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.pmod(F.xxhash64("h", k), F.length("text") - 100).cast("int")))
+    place = F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.pmod(F.xxhash64("h", k), F.greatest(F.length("text") - 7, F.lit(1))).cast("int")))
     places = rows.select("text", place.alias("at")).select(F.encode(F.substring("text", F.col("at") + 1, F.lit(8)), "UTF-8").alias("lead"))
     found = [int.from_bytes(bytes(r[0][:8]).ljust(8, b"\0"), "big") for r in places.limit(2 * SPLITTER_SAMPLE).collect()]
     tokens = np.sort(np.array(found, dtype=np.uint64))

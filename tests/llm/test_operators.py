@@ -63,6 +63,14 @@ def test_suffix_dedup(docs, none, rows, monkeypatch, batch):
     assert digest(none).count() == 0
 
 
+def test_suffix_dedup_of_texts_with_fewer_characters_than_bytes(spark):
+    rows = [(1, "ж" * 100), (2, "".join(chr(0x430 + i % 32) for i in range(100))), (3, "".join(chr(0x4E00 + i) for i in range(100))), (4, "".join(chr(0x4E00 + i) for i in range(70))), (5, "\U0001f600" * 50), (6, "short")]
+    few = spark.createDataFrame(rows, DOC)
+    assert len(suffixes.sampled_splitters(few, 4, len(rows))) == 3
+    digest = suffixes.remove_repeated_strings(few).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256))
+    assert ordered(digest) == brute.repeated_bytes(rows)
+
+
 def test_suffix_dedup_with_hot_grams(docs, rows, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_BATCHES", 2)
     monkeypatch.setattr(suffixes, "layout", lambda d, u: packets.layout(d, u, 20_000))
