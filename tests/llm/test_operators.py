@@ -254,6 +254,14 @@ def test_main_text(spark):
     assert pages.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_comments_marked_as_articles_go():
+    source = "<article class='post'><p>Text</p><article class='comment'><p>First!</p></article><article itemprop=comment><p>Second</p></article><article class='card'><p>Part</p></article><p>End</p></article>"
+    blocks, kept = pages.blocks_of(source)
+    assert [b for b, k in zip(blocks, kept) if k == pages.KEPT] == ["Text", "Part", "End"]
+    blocks, kept = pages.blocks_of("<main class='sidebar-left'><article class='post social'><p>Text</p></article></main>")
+    assert kept == [pages.KEPT]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/abdivp =\"'!-&;", max_size=120))
 def test_any_html_is_read(source):
