@@ -17,6 +17,9 @@ FILLER_PREFIXES = ["请帮我", "麻烦帮我", "我想知道", "我想了解",
 FILLER_SUFFIXES = ["应该怎么配置", "要怎么配置", "怎么配置", "如何配置", "要配置什么", "配置什么", "怎么办", "是什么", "可以吗", "吗"]
 GENERIC_TERMS = ["请问", "帮我", "麻烦", "如何", "怎么", "怎样", "什么", "配置", "问题", "解决", "现在", "当前", "要配置什么", "配置什么", "怎么配置", "如何配置", "应该怎么配置"]
 
+#: Chunks of a scope, and of one of its documents, up to which the vector and trigram channels read it.
+SCOPE_CHUNKS, SCOPE_DOCUMENT_CHUNKS = 1200, 600
+
 
 def query_terms(query: Column, most: int = 16) -> Column:
     """Search terms of a question: whole, unwrapped, its words and tokens; distinct whatever the case, in order."""
@@ -46,8 +49,8 @@ def containment(terms: DataFrame, texts: DataFrame) -> DataFrame:
     return shared.groupBy("query_id", "id").agg(F.round(F.max(F.col("m") / F.col("n")), 6).alias("s"))
 
 
-def search_records(queries: DataFrame, records: DataFrame, k: int = 20, least: float = 0.18) -> DataFrame:
-    """Records (id, doc_id, subject, search_text) like the query, or holding all of its words."""
+def search_records(queries: DataFrame, records: DataFrame, k: int = 20, least: float = 0.18, own: DataFrame | None = None) -> DataFrame:
+    """Records (id, doc_id, subject, search_text) like the query, or holding all of its words; only each query's own (query_id, id) where these are given."""
     terms = queries.select("query_id", F.col("query").alias("term"))
     by_text = containment(terms, records.select("id", F.col("search_text").alias("text"))).withColumnRenamed("s", "text_score")
     by_subject = containment(terms, records.select("id", F.col("subject").alias("text"))).withColumnRenamed("s", "subject_score")
@@ -58,6 +61,7 @@ def search_records(queries: DataFrame, records: DataFrame, k: int = 20, least: f
     held = records.select("id", F.explode(F.array_distinct(R.words(F.col("search_text")))).alias("token")).join(asked, "token").groupBy("query_id", "id").agg(F.count("*").alias("got"))
     full = held.join(needed, "query_id").where("got = needed").select("query_id", "id", F.lit(True).alias("all_words"))
     rows = scored.join(full, ["query_id", "id"], "left").where((F.col("score") >= least) | F.col("all_words"))
+    rows = rows if own is None else rows.join(own, ["query_id", "id"], "left_semi")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "score", F.coalesce("all_words", F.lit(False)).alias("all_words"), "rank")
 
@@ -66,11 +70,14 @@ def search_within_documents(queries: DataFrame, chunks: DataFrame, scope: DataFr
     """Hybrid search in each query's own documents (query_id, doc_id); large scopes keep the keyword channel only."""
     pool = min(48, max(16, 4 * total))
     own = scope.select("query_id", "doc_id").distinct()
-    found = {
-        "keyword": R.keyword_candidates(queries, chunks, 240),
-        "trigram": R.trigram_candidates(queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")), chunks, 240),
+    sizes = own.join(chunks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").groupBy("query_id").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    exact = own.join(sizes.where((F.col("n") <= SCOPE_CHUNKS) & (F.col("most") <= SCOPE_DOCUMENT_CHUNKS)), "query_id", "left_semi")
+    terms = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
+    inside = {
+        "vector": R.vector_candidates(queries, chunks, pool, exact),
+        "keyword": R.keyword_candidates(queries, chunks, pool, scope=own),
+        "trigram": R.trigram_candidates(terms, chunks, pool, scope=exact),
     }
-    inside = {n: R.top_k(c.join(own, ["query_id", "doc_id"], "left_semi"), pool).drop("rank") for n, c in found.items()}
     fused = R.fuse({n: R.channel_rank(c) for n, c in inside.items()})
     few = fused.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.col("score").desc(), "best_rank", "chunk_index", "id"))).where(F.col("r") <= per_document)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "best_rank", "doc_id", "chunk_index", "id")
@@ -104,9 +111,9 @@ def evidence_pack(
 
 def second_stage_records(queries: DataFrame, chosen: DataFrame, records: DataFrame, k: int = 8) -> DataFrame:
     """The best records of each query's chosen chunks (query_id, chunk_id), without a threshold."""
-    hits = search_records(queries, records, 10_000, 0.0).join(records.select("id", "chunk_id"), "id").join(chosen, ["query_id", "chunk_id"], "left_semi")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "chunk_id", "id", "score", "place")
+    own = records.select("id", "chunk_id").join(chosen.select("query_id", "chunk_id").distinct(), "chunk_id")
+    hits = search_records(queries, records, k, 0.0, own)
+    return hits.join(records.select("id", "chunk_id"), "id").select("query_id", "chunk_id", "id", "score", F.col("rank").alias("place"))
 
 
 def expand_evidence(seeds: DataFrame, chunks: DataFrame, most: int = 12, most_chars: int = 16_000) -> DataFrame:

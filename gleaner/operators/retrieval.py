@@ -72,11 +72,17 @@ def top_k(df: DataFrame, k: int, score: str = "score", by: str = "query_id") ->
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_candidates(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
-    """(query_id, id, doc_id, chunk_index, score): the pool nearest chunks by cosine."""
+def within(pairs: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """Pairs of a query and a chunk in the query's own documents (query_id, doc_id); no scope: all."""
+    return pairs if scope is None else pairs.join(scope, ["query_id", "doc_id"], "left_semi")
+
+
+def vector_candidates(queries: DataFrame, chunks: DataFrame, pool: int, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, doc_id, chunk_index, score): the pool nearest chunks by cosine, in a scope of distinct rows if there is one."""
     left = queries.select("query_id", "query_vec", F.sqrt(dot(F.col("query_vec"), F.col("query_vec"))).alias("qn"))
     right = chunks.where(F.col("embedding").isNotNull()).select("id", "doc_id", "chunk_index", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("cn"))
-    scored = paired(left, right).select("query_id", "id", "doc_id", "chunk_index", F.round(dot(F.col("query_vec"), F.col("embedding")) / (F.col("qn") * F.col("cn")), 6).alias("score"))
+    both = paired(left, right) if scope is None else right.join(scope.select("query_id", "doc_id"), "doc_id").join(left, "query_id")
+    scored = both.select("query_id", "id", "doc_id", "chunk_index", F.round(dot(F.col("query_vec"), F.col("embedding")) / (F.col("qn") * F.col("cn")), 6).alias("score"))
     return top_k(scored, pool).drop("rank")
 
 
@@ -93,7 +99,7 @@ def inverted_index(chunks: DataFrame, only: DataFrame | None = None) -> DataFram
     return each.groupBy("token", "id", "doc_id", "chunk_index", "len").agg(F.count("*").alias("tf"))
 
 
-def keyword_candidates(queries: DataFrame, chunks: DataFrame, pool: int, bm25: Bm25 = Bm25()) -> DataFrame:
+def keyword_candidates(queries: DataFrame, chunks: DataFrame, pool: int, bm25: Bm25 = Bm25(), scope: DataFrame | None = None) -> DataFrame:
     """Chunks that hold all words of the query, by BM25.  Words that no query has go before any shuffle."""
     n_queries = queries.count()
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("token"))
@@ -102,7 +108,7 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, pool: int, bm25: B
     index = inverted_index(chunks, few_terms(tokens, n_queries))
     stats = chunks.select(F.size(words(F.col("content"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = index.groupBy("token").agg(F.count("*").alias("df"))
-    scored = index.join(few_terms(asked.join(df, "token"), n_queries), "token").crossJoin(F.broadcast(stats))  # one row
+    scored = within(index.join(few_terms(asked.join(df, "token"), n_queries), "token"), scope).crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (bm25.k1 + 1) / (F.col("tf") + bm25.k1 * (1 - bm25.b + bm25.b * F.col("len") / F.col("avg_len")))
     both = scored.groupBy("query_id", "id", "doc_id", "chunk_index").agg(F.count("*").alias("matched"), F.round(F.sum(part), 6).alias("score"))
@@ -120,12 +126,12 @@ def term_weight(term: Column) -> Column:
     return 0.5 + 0.5 * F.least(F.char_length(term), F.lit(12)) / 12
 
 
-def trigram_candidates(terms: DataFrame, chunks: DataFrame, pool: int, least: float = 0.12) -> DataFrame:
+def trigram_candidates(terms: DataFrame, chunks: DataFrame, pool: int, least: float = 0.12, scope: DataFrame | None = None) -> DataFrame:
     """Best weighted trigram containment of any term (query_id, term) in the chunk's text."""
     grams = terms.select("query_id", "term", trigrams(F.col("term")).alias("g")).where(F.size("g") > 0)
     asked = grams.select("query_id", "term", F.size("g").alias("n"), F.explode("g").alias("gram"))
     held = chunks.select("id", "doc_id", "chunk_index", F.explode(trigrams(F.col("content"))).alias("gram"))
-    shared = held.join(few_terms(asked, terms.count()), "gram").groupBy("query_id", "term", "n", "id", "doc_id", "chunk_index").agg(F.count("*").alias("m"))
+    shared = within(held.join(few_terms(asked, terms.count()), "gram"), scope).groupBy("query_id", "term", "n", "id", "doc_id", "chunk_index").agg(F.count("*").alias("m"))
     scored = shared.withColumn("s", F.col("m") / F.col("n") * term_weight(F.col("term")))
     best = scored.groupBy("query_id", "id", "doc_id", "chunk_index").agg(F.round(F.max("s"), 6).alias("score")).where(F.col("score") >= least)
     return top_k(best, pool).drop("rank")

@@ -233,3 +233,28 @@ def test_throttle_and_dedup_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["user_id"], r["request_id"]) for r in spark.sql("select * from turns").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_scoped_search_looks_in_its_own_documents_only(spark, monkeypatch):
+    from gleaner.operators import packs as K
+
+    rows = [(i, 1000 + i, 0, "alpha", [0.0, 1.0]) for i in range(300)]
+    rows += [(900, 1, 0, "alpha " + "filler words of a long chunk " * 9, [0.0, 1.0]), (901, 1, 1, "other", [1.0, 0.0]), (902, 2, 0, "outside", [1.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "id long, doc_id long, chunk_index int, content string, embedding array<float>")
+    asked = spark.createDataFrame([(7, "alpha", [1.0, 0.0]), (8, "alpha", [1.0, 0.0])], "query_id long, query string, query_vec array<float>")
+    scope = spark.createDataFrame([(7, 1), (7, 1)], "query_id long, doc_id long")
+    got = {r["id"]: r for r in K.search_within_documents(asked, chunks, scope).collect()}
+    assert set(got) == {900, 901} and {r["query_id"] for r in got.values()} == {7}
+    assert got[900]["keyword_rank"] == got[900]["trigram_rank"] == 1 and got[901]["vector_rank"] == 1 and got[901]["keyword_rank"] is None
+    monkeypatch.setattr(K, "SCOPE_CHUNKS", 1)
+    assert [(r["id"], r["vector_rank"], r["trigram_rank"]) for r in K.search_within_documents(asked, chunks, scope).collect()] == [(900, None, None)]
+
+
+def test_second_stage_finds_records_below_ten_thousand_others(spark):
+    from gleaner.operators import packs as K
+
+    others = spark.range(10_050).selectExpr("concat('a', id) AS id", "1L AS chunk_id", "'alpha beta' AS subject", "'alpha beta' AS search_text")
+    own = spark.createDataFrame([("z1", 2, "alpha", "alpha gamma"), ("z2", 2, "delta", "alpha delta")], others.schema)
+    asked = spark.createDataFrame([(7, "alpha beta")], "query_id long, query string")
+    chosen = spark.createDataFrame([(7, 2)], "query_id long, chunk_id long")
+    assert [(r["id"], r["place"]) for r in K.second_stage_records(asked, chosen, others.unionByName(own)).orderBy("place").collect()] == [("z2", 1), ("z1", 2)]
