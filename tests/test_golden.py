@@ -258,3 +258,23 @@ def test_second_stage_finds_records_below_ten_thousand_others(spark):
     asked = spark.createDataFrame([(7, "alpha beta")], "query_id long, query string")
     chosen = spark.createDataFrame([(7, 2)], "query_id long, chunk_id long")
     assert [(r["id"], r["place"]) for r in K.second_stage_records(asked, chosen, others.unionByName(own)).orderBy("place").collect()] == [("z2", 1), ("z1", 2)]
+
+
+def test_overview_has_every_part_of_its_window(spark):
+    new, old = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 1)
+    make = spark.createDataFrame
+    run = "trace_id long, user_id long, request_kind string, evidence_status string, duration_ms long, hit_count long, selected_kb_count long, started_at timestamp_ntz"
+    runs = make([(1, 5, "chat", "hit", 10, 2, 1, new), (2, 5, "chat", "no_hit", 30, 0, 1, new), (3, 4, "chat", "hit", 20, 1, 1, new), (4, 6, "chat", "hit", 90, 9, 9, old)], run)
+    logins = make([("a", "i", True, new), ("b", "j", False, new), ("c", "k", False, old)], "username string, ip string, success boolean, attempt_at timestamp_ntz")
+    docs, users, kb, chunks = make([(1, "ready")], "doc_id long, status string"), spark.range(3), spark.range(2), spark.range(4)
+    events = make([("g", '{"k": 3}', new), ("g", '{"k": 5}', old), ("x", '{"k": 7}', new)], "event string, payload string, created_at timestamp_ntz")
+    acts = make([("b", new), ("b", new), ("a", new), ("c", old)], "action string, created_at timestamp_ntz")
+    rows = T.overview(runs, logins, docs, users, kb, chunks, events, acts, ["g"], 7).collect()
+    assert len(rows) == 1
+    got = {k: [tuple(x) for x in v] if isinstance(v, list) else v for k, v in rows[0].asDict().items()}
+    assert got["days"] == 7 and got["daily"] == [(new.date(), 3, 20)] and got["latency"] == [("chat", 20.0, 29.0)]
+    assert [(x["n"], x["hit_rate"]) for x in rows[0]["quality"]][0][0] == 3 and got["hits"] == [(1.0, 1.0)]
+    assert got["security"] == [(1, 1, 1, 1)] and got["documents"] == [("ready", 1)] and got["scale"] == [(3, 2, 2, 1, 4)]
+    assert [(x["user_id"], x["n"], x["hits"]) for x in rows[0]["top_users"]] == [(5, 2, 1), (4, 1, 1)]
+    assert got["tokens"] == [(new.date(), "g", 3, 0, 3, 1)] and len(got["token_totals"]) == 3
+    assert got["top_actions"] == [("b", 2), ("a", 1)]
