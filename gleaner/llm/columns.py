@@ -21,9 +21,9 @@ def word_count(text: Column, pattern: str = WORD) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
-def kept_in(schema_names: list[str], *wanted: str) -> str:
-    """A column name that is not taken, built from the wanted one."""
-    name = wanted[0]
-    while name.lower() in {x.lower() for x in schema_names}:
-        name = "_" + name
-    return name
+def untaken(names: list[str], wanted: str) -> str:
+    """A column name that is not among the names, built from the wanted one."""
+    taken = {x.lower() for x in names}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted

@@ -1,37 +1,46 @@
 """Language of whole texts by a linear-chain conditional random field over words.
 
 Each word's score for a language is a sum of learned weights of its features:
-prefixes and suffixes of up to four bytes, byte 2- to 4-grams, and the word itself
-(lexicon).  Learned transitions tie neighbours, so code-switched text is
-labelled word by word; forward-backward gives each word's marginals, and a
-document's score is the mean marginal of its best language.
+prefixes and suffixes of up to four bytes, byte 2- to 4-grams, and its place in the
+lexicon (the sampled words, one weight each).  Learned transitions and opening
+weights tie neighbours, so code-switched text is labelled word by word;
+forward-backward gives each word's marginals, and a document's score is the mean
+marginal of its best language.
 
 The classifier is fitted on a bounded sample (`FitLimits`); predictions use all
 words of all texts.
 
-Cases: a null text, or one without a letter, is `und` with score 0; with nothing
-to learn from, every text is; a null lang or doc_id takes no part in learning;
-ties go to the first language in order; other columns are not read.
+Cases: a null text, or one without a letter (Unicode category L), is `und` with
+score 0; with nothing to learn from, every text is; a null lang or doc_id, or a
+text without a letter, takes no part in learning; copies of a text count once, so
+that a language of few texts is learned, too; ties go to the first language in
+order; very long texts are labelled whole; other columns pass through, and a
+clash with a result column is resolved in favour of the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.columns import untaken
 from gleaner.llm.grams import BYTE_BASE, BYTE_CODES, doc_slices, mix, rolling, text_bytes, word_codes, word_spans
-from gleaner.session import bounded_batches
+from gleaner.session import bounded_batches, stored
 
 FEATURE_BITS = 17
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes that letters are made of: ASCII letters and everything beyond ASCII.
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 60_000
+#: Bytes that letters are made of: ASCII letters and everything beyond ASCII.  It tells which
+#: words of a lettered text count; whether a text has a letter is asked of Unicode.
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 LETTER[128:] = True
@@ -50,17 +59,17 @@ class FitLimits:
     seed: int = 7
 
 
-def feature_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def feature_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     """Each word's summed weights, one column a language."""
-    index, owner = features(data, starts, ends)
+    index, owner = features(data, starts, ends, lexicon)
     out = np.empty((len(starts), weights.shape[1]), np.float32)
     for k in range(weights.shape[1]):
         out[:, k] = np.bincount(owner, weights=weights[index, k], minlength=len(starts))
     return out
 
 
-def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature number, word) pairs of all words."""
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature number, word) pairs of all words; the lexicon's words follow the hashed features."""
     data = LOWER[data]
     size = ends - starts
     word = np.repeat(np.arange(len(starts)), size)
@@ -82,7 +91,12 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         long = np.flatnonzero(size >= n)
         add(grams[starts[long]], 10 + n, long)
         add(grams[ends[long] - n], 20 + n, long)
-    add(word_codes(data, starts, ends), 30, np.arange(len(starts)))
+    if len(lexicon):
+        codes = word_codes(data, starts, ends)
+        at = np.minimum(np.searchsorted(lexicon, codes), len(lexicon) - 1)
+        known = np.flatnonzero(lexicon[at] == codes)
+        index.append((1 << FEATURE_BITS) + at[known])
+        owner.append(known)
     return np.concatenate(index), np.concatenate(owner)
 
 
@@ -94,9 +108,10 @@ def lettered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # features x languages
+    weights: np.ndarray  # features and lexicon x languages
     transitions: np.ndarray  # from x to
     opening: np.ndarray
+    lexicon: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted fingerprints of words
 
 
 def marginals(model: Model, emission: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -157,6 +172,33 @@ def marginals(model: Model, emission: np.ndarray, first: np.ndarray) -> np.ndarr
     return forward.reshape(-1, k)[:n]
 
 
+def chain_expectations(emission: np.ndarray, transitions: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word marginals, summed pair marginals, log partition functions) of chains of one length.
+
+    emission: chains x words x languages.  These are the expectations in the
+    gradient of the chain likelihood.
+    """
+    n, length, k = emission.shape
+    top = emission.max(axis=2)
+    e = np.exp(emission - top[:, :, None])
+    a = np.exp(transitions)
+    alpha, beta = np.empty((n, length, k)), np.ones((n, length, k))
+    total = top.sum(axis=1)
+    for t in range(length):
+        now = (np.exp(opening) if t == 0 else alpha[:, t - 1] @ a) * e[:, t]
+        norm = now.sum(axis=1)
+        alpha[:, t] = now / norm[:, None]
+        total = total + np.log(norm)
+    for t in range(length - 2, -1, -1):
+        back = (e[:, t + 1] * beta[:, t + 1]) @ a.T
+        beta[:, t] = back / back.sum(axis=1, keepdims=True)
+    word = alpha * beta
+    word /= word.sum(axis=2, keepdims=True)
+    pair = alpha[:, :-1, :, None] * a * (e * beta)[:, 1:, None, :]
+    pair = (pair / pair.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
+    return word, pair, total
+
+
 def fit(texts: list[tuple[str, str]], limits: FitLimits) -> Model:
     """Stochastic ascent of the chain likelihood on code-switched chains of sampled words."""
     languages = sorted({lang for lang, _ in texts})
@@ -169,9 +211,8 @@ def fit(texts: list[tuple[str, str]], limits: FitLimits) -> Model:
             own[lang].append(words)
     languages = [x for x in languages if own[x]]
     k = len(languages)
-    model = Model(languages, np.zeros((1 << FEATURE_BITS, max(k, 1)), np.float32), np.zeros((k, k)), np.zeros(k))
     if k < 2:
-        return model
+        return Model(languages, np.zeros((1 << FEATURE_BITS, max(k, 1)), np.float32), np.zeros((k, k)), np.zeros(k))
     length = limits.chain_words
     chains, labels = [], []
     for _ in range(limits.chains):
@@ -190,15 +231,16 @@ def fit(texts: list[tuple[str, str]], limits: FitLimits) -> Model:
     vocabulary = sorted({w for c in chains for w in c})
     number = {w: i for i, w in enumerate(vocabulary)}
     data, offsets = text_bytes(pa.array(vocabulary))
-    index, owner = features(data, offsets[:-1], offsets[1:])
+    lexicon = np.unique(word_codes(LOWER[data], offsets[:-1], offsets[1:]))
+    model = Model(languages, np.zeros(((1 << FEATURE_BITS) + len(lexicon), k), np.float32), np.zeros((k, k)), np.zeros(k), lexicon)
+    index, owner = features(data, offsets[:-1], offsets[1:], lexicon)
     order = np.argsort(owner, kind="stable")
     index, owner = index[order], owner[order]
     firsts = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
     x = np.array([[number[w] for w in c] for c in chains])
     y = np.array(labels)
     grad_sq = np.full_like(model.weights, 1e-2)
-    trans_sq = np.full((k, k), 1.0)
-    starts = np.arange(0, 64 * length, length)
+    trans_sq, open_sq = np.full((k, k), 1.0), np.full(k, 1.0)
     for _ in range(limits.epochs):
         for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
             words = x[rows].ravel()
@@ -206,22 +248,21 @@ def fit(texts: list[tuple[str, str]], limits: FitLimits) -> Model:
             feats = np.concatenate([index[firsts[u] : firsts[u + 1]] for u in used])
             feat_owner = np.repeat(np.arange(len(used)), firsts[used + 1] - firsts[used])
             score = np.stack([np.bincount(feat_owner, weights=model.weights[feats, j], minlength=len(used)) for j in range(k)], axis=1)
-            p = marginals(model, score[inverse].astype(np.float32), starts[: len(rows)])
-            truth = np.eye(k)[y[rows].ravel()]
-            delta = truth - p
+            p, pairs, _ = chain_expectations(score[inverse].reshape(len(rows), length, k), model.transitions, model.opening)
+            truth = np.eye(k)[y[rows]]
+            delta = (truth - p).reshape(-1, k)
             per_word = np.stack([np.bincount(inverse, weights=delta[:, j], minlength=len(used)) for j in range(k)], axis=1)
             for j in range(k):
                 g = np.bincount(feats, weights=per_word[feat_owner, j], minlength=len(model.weights))
                 hit = g != 0
                 grad_sq[hit, j] += g[hit] ** 2
                 model.weights[hit, j] += limits.rate * g[hit] / np.sqrt(grad_sq[hit, j])
-            inside = np.ones(len(words), bool)
-            inside[starts[: len(rows)]] = False
-            at = np.flatnonzero(inside)
-            # Pair marginals by their product: exact where words are certain, and close elsewhere.
-            g = truth[at - 1].T @ truth[at] - p[at - 1].T @ p[at]
+            g = np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:]) - pairs
             trans_sq += g**2
             model.transitions += limits.rate * g / np.sqrt(trans_sq)
+            g = delta.reshape(len(rows), length, k)[:, 0].sum(axis=0)
+            open_sq += g**2
+            model.opening += limits.rate * g / np.sqrt(open_sq)
     return model
 
 
@@ -230,20 +271,20 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def training_sample(docs: DataFrame, limits: FitLimits) -> list[tuple[str, str]]:
-    """(lang, snippet) of a bounded number of documents of each language, chosen by a digest of the text."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * limits.documents / n))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = known.where(place < F.element_at(share, F.col("lang"))).select("lang", F.split("text", r"[\s]+").alias("w"), F.xxhash64("text").alias("h"))
+    """(lang, snippet) of a bounded number of distinct texts of each language: those of the smallest digests."""
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = stored(known.select("lang", "h").distinct().withColumn("n", least).where(F.col("n") <= limits.documents).drop("n"), "taught")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    words = known.join(few, ["lang", "h"]).select("lang", "h", F.split("text", r"[\s]+").alias("w"))
     at = F.pmod("h", F.greatest(F.lit(1), F.size("w") - limits.words + 1)).cast("int") + 1
-    snippet = chosen.select("lang", "h", F.array_join(F.slice("w", at, limits.words), " ").alias("t"))
-    snippet = snippet.groupBy("lang", "h").agg(F.first("t").alias("t"))  # copies count once
-    best = snippet.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "t"))), 1, limits.documents).alias("rows"))
-    return [(r["lang"], x["t"]) for r in best.collect() for x in r["rows"]]
+    snippet = words.select("lang", "h", F.array_join(F.slice("w", at, limits.words), " ").alias("t"))
+    return [(r["lang"], r["t"]) for r in snippet.groupBy("lang", "h").agg(F.first("t").alias("t")).collect()]
 
 
 def label_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -264,7 +305,7 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         size = ends[one] - starts[one]
         place = np.cumsum(size) - size
         take = np.arange(size.sum()) - np.repeat(place, size) + np.repeat(starts[one], size)
-        emission = feature_sums(part[take], place, place + size, model.weights)
+        emission = feature_sums(part[take], place, place + size, model.weights, model.lexicon)
         p = marginals(model, emission[inverse], first[:-1])
         row = np.repeat(np.arange(b - a), np.diff(first))
         use = lettered(part, starts, ends)
@@ -282,14 +323,17 @@ def identify(docs: DataFrame, limits: FitLimits = FitLimits(), learn_from: DataF
     learn_from = docs if learn_from is None else learn_from
     bounded_batches(docs.sparkSession)
     model = fit(training_sample(learn_from, limits), limits)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by FEATURE_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by FEATURE_BITS and FitLimits
     docs = docs.drop("held_out", "lang_pred", "score")
+    flag = untaken(docs.columns, "lettered")
     names = [*docs.columns, "lang_pred", "score"]
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = label_texts(shared.value, b.column("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+            texts, named = b.column("text"), b.column(flag)
+            langs, scores = label_texts(shared.value, pc.if_else(named, texts, pa.scalar(None, texts.type)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(labelled, out).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    judged = docs.withColumn(flag, has_letter(F.col("text"))).mapInArrow(labelled, out)
+    return judged.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))

@@ -1,5 +1,6 @@
 """Operators on small tables with odd rows, against plain Python or the library that they must agree with."""
 
+import itertools
 import random
 import zlib
 
@@ -176,6 +177,45 @@ def test_language_on_held_out_documents(spark, none):
     assert {r["lang_pred"] for r in language.identify(odd, learn_from=none).collect()} == {"und"}
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    taught = spark.createDataFrame([(i, " ".join([w] * (i % 3 + 2)), lang) for lang, w in (("en", "the river"), ("de", "der flüsse")) for i in range(1, 30)], DOC + ", lang string")
+    odd = ["… — ！", "１２３ ٣٤", "😀😀", "12 3", "", None, " \n", "\u0301"]
+    rows = [(i, t, "x", True) for i, t in enumerate(odd)] + [(100, "ß", "y", False), (101, "the " * 200_000 + "😀", "z", None)]
+    clash = spark.createDataFrame(rows, DOC + ", lang_pred string, lettered boolean")
+    got = {r["doc_id"]: r for r in language.identify(clash, learn_from=taught).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in range(len(odd)))
+    assert got[100]["lang_pred"] in ("de", "en") and got[101]["lang_pred"] == "en" and got[101]["lettered"] is None
+
+
+def test_a_language_of_one_repeated_text_is_learned(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("the of and river over under stone light".split()) for _ in range(40)), "en") for i in range(300)]
+    rows += [(1000 + i, "der große Fluss fließt unter den alten Brücken hindurch zum Meer " * 3, "de") for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOC + ", lang string")
+    got = language.identify(docs, language.FitLimits(documents=20)).groupBy("lang", "lang_pred").count().collect()
+    assert {(r["lang"], r["lang_pred"]): r["count"] for r in got} == {("en", "en"): 300, ("de", "de"): 2000}
+
+
+def test_chain_expectations_are_the_gradient_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    e, t, o = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    word, pair, total = language.chain_expectations(e, t, o)
+    paths = list(itertools.product(range(3), repeat=4))
+    for n in range(2):
+        score = np.array([o[p[0]] + sum(e[n, i, p[i]] for i in range(4)) + sum(t[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        assert np.isclose(np.log(np.exp(score).sum()), total[n])
+        share = np.exp(score - total[n])
+        assert np.allclose(word[n, 0], [share[[p[0] == k for p in paths]].sum() for k in range(3)])
+    step = 1e-5
+    for i, j in itertools.product(range(3), repeat=2):
+        d = np.zeros((3, 3))
+        d[i, j] = step
+        ahead, behind = (language.chain_expectations(e, t + s * d, o)[2].sum() for s in (1, -1))
+        assert np.isclose((ahead - behind) / (2 * step), pair[i, j], atol=1e-6)
+    ahead, behind = (language.chain_expectations(e, t, o + s * np.array([step, 0, 0]))[2].sum() for s in (1, -1))
+    assert np.isclose((ahead - behind) / (2 * step), word[:, 0, 0].sum(), atol=1e-6)
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     model = language.Model(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
