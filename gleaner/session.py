@@ -27,9 +27,11 @@ def local_session(cpus: int | str = 8, memory: str = "12g", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and Spark is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gleaner-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,7 +47,19 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by stored(), once nothing that is still to be computed reads them."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
