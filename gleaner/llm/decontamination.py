@@ -1,9 +1,24 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-Only DataFrame functions are used.  Cases: null texts have no words and stay in
-the result with zero counts; an empty benchmark hits nothing; repeated rows are
-judged alike; a null item_id still marks words as hit but is no item; columns
-beside doc_id and text are not read.
+  1. every word of every training text becomes a posting (term, doc, pos).  The
+     index is written in segments, one for each part of the input, each sorted by
+     term; a common term's list is thus spread over all segments
+  2. the terms of each test window are ordered from the rarest by their counts
+     in the index.  The rarest term's list and the second's, moved by the
+     difference of their offsets, are intersected; what is left is intersected
+     with the lists of all other terms at once
+  3. an occurrence is a document and a place at which every term of the window
+     has a posting at its own offset (exact phrase), or each has one within some
+     words of the rarest (proximity)
+
+Only DataFrame functions are used.  A document is known by 64 bits of its
+doc_id and text; two documents that share them would be judged as one, which
+among n documents with h hit ones happens with a chance below n * h / 2**64.
+
+Cases: null texts have no words and stay in the result with zero counts; an
+empty benchmark hits nothing; repeated rows are judged alike; a null item_id
+still marks words as hit but is no item; very long texts and words are taken
+whole; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -14,144 +29,154 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.columns import ALNUM_WORD, lower_ascii, word_count
-from gleaner.session import stored
+from gleaner.session import discard, stored
 
-#: A term table of at most this many rows (about 4 MB) may be broadcast.
-BROADCAST_ROWS = 60_000
+#: A table of at most this many bytes may be broadcast.
+BROADCAST_BYTES = 8_000_000
+#: Beyond it, postings meet the table in so many parts of each term.
+SALTS = 32
 
 
 @dataclass(frozen=True)
-class Phrases:
-    """Test phrases: windows (window_id, item_id, words) and their terms (term)."""
+class Windows:
+    """Test windows (window_id, words), and the items that each stands in (window_id, item_id)."""
 
-    windows: DataFrame
-    n_windows: int
+    phrases: DataFrame
+    owners: DataFrame
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ALNUM_WORD), F.lit(0))
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    """Broadcast behind a count; beyond the bound Spark shuffles both sides."""
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def doc_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("__th"))
+def bounded(df: DataFrame, *texts: str) -> bool:
+    """Whether df, whose texts are of any length, stays below the bound."""
+    size = F.sum(sum((F.octet_length(t) for t in texts), F.lit(64)))
+    return (df.agg(size).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def test_windows(items: DataFrame, n: int) -> Phrases:
+def with_term(postings: DataFrame, table: DataFrame) -> DataFrame:
+    """postings joined with a table by term: broadcast behind a check of its size, else a salted shuffle."""
+    texts = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
+    if bounded(table, *texts):
+        return postings.join(F.broadcast(table), "term")
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt", F.pmod("pos", F.lit(SALTS))).join(salted, ["term", "salt"]).drop("salt")
+
+
+def test_windows(items: DataFrame, n: int) -> Windows:
     """Every n consecutive words of an item; a shorter item is one window."""
-    words = items.select("item_id", F.transform(tokens(F.col("text")), lower_ascii).alias("w")).where(F.size("w") > 0)
+    words = items.select(F.col("item_id").cast("string").alias("item_id"), F.transform(tokens(F.col("text")), lower_ascii).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
     each = words.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), n).alias("words"))
-    windows = each.groupBy("words").agg(F.collect_set("item_id").alias("items"))
-    windows = windows.withColumn("window_id", F.sha2(F.array_join("words", " "), 256))
-    windows = stored(windows, "windows")
-    return Phrases(windows, windows.count())
+    each = stored(each.withColumn("window_id", F.sha2(F.array_join("words", " "), 256)), "windows")
+    return Windows(each.select("window_id", "words").dropDuplicates(["window_id"]), each.select("window_id", "item_id").distinct())
 
 
-def term_counts(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """(term, df): how often each test term occurs in all documents."""
-    terms = stored(phrases.windows.select(F.explode("words").alias("term")).distinct(), "terms")
-    n = terms.count()
-    seen = docs.select(F.explode(tokens(F.col("text"))).alias("raw")).select(lower_ascii(F.col("raw")).alias("term"))
-    found = seen.join(_small(terms, n), "term").groupBy("term").agg(F.count("*").alias("df"))
-    return terms.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+def build_postings(docs: DataFrame) -> DataFrame:
+    """The index: one row for every word of every text, in segments sorted by term, in the shared folder."""
+    words = docs.select(doc_key().alias("doc"), F.posexplode(tokens(F.col("text"))).alias("pos", "raw"))
+    return stored(words.select(lower_ascii(F.col("raw")).alias("term"), "doc", "pos").sortWithinPartitions("term", "doc", "pos"), "postings")
 
 
-def with_anchors(phrases: Phrases, counts: DataFrame) -> DataFrame:
-    """Each window with its terms from the rarest: anchor, second and their offsets.
+def from_the_rarest(postings: DataFrame, windows: Windows) -> DataFrame:
+    """(window_id, rare): each window's (df, term, offset) from the rarest term.
 
     Windows with a term that no document holds can't occur and go.
     """
-    placed = phrases.windows.select("window_id", F.posexplode("words").alias("offset", "term")).join(counts, "term")
-    ranked = placed.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "offset"))).alias("rare"))
-    ranked = ranked.where(F.col("rare")[0]["df"] > 0)
-    second = F.when(F.size("rare") > 1, F.col("rare")[1]).otherwise(F.col("rare")[0])
-    return ranked.join(phrases.windows, "window_id").select(
-        "window_id", "items", "words", F.col("rare")[0]["term"].alias("term"), F.col("rare")[0]["offset"].alias("offset"), second["term"].alias("term2"), second["offset"].alias("offset2")
-    )
-
-
-def build_postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> DataFrame:
-    """The index: (term, doc_id, __th, pos, around) for every occurrence of a term.
-
-    around holds the words within `reach` of the posting, from position `since`,
-    so that phrases and proximities are read off the posting itself.
+    terms = stored(windows.phrases.select(F.explode("words").alias("term")).distinct(), "terms")
+    counts = with_term(postings.select("term", "pos"), terms).groupBy("term").agg(F.count("*").alias("df"))
+    placed = windows.phrases.select("window_id", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term")).join(counts, "term")
+    ranked = placed.groupBy("window_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "term", "offset"))).alias("rare"))
+    ranked = stored(ranked.where(F.size("rare") == F.col("n")).drop("n"), "ranked")
+    discard(terms)
+    return ranked
+
+
+def term_at(k: int) -> tuple[Column, Column]:
+    return F.col("rare")[k]["term"], F.col("rare")[k]["offset"]
+
+
+def phrase_matches(postings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(doc, start, len, window_id) of every exact occurrence of a window, stored."""
+    (term, offset), (term2, offset2) = term_at(0), term_at(1)
+    lone = stored(ranked.where(F.size("rare") == 1).select(term.alias("term"), "window_id"), "lone")
+    alone = with_term(postings, lone).select("doc", F.col("pos").alias("start"), F.lit(1).alias("len"), "window_id")
+
+    pairs = stored(ranked.where(F.size("rare") > 1).select("window_id", term.alias("term"), offset.alias("offset"), term2.alias("term2"), (offset2 - offset).alias("shift")), "pairs")
+    heads = stored(pairs.select("term", "term2", "shift").distinct(), "heads")
+    seconds = stored(heads.select(F.col("term2").alias("term")).distinct(), "seconds")
+    moved = with_term(postings, heads).select("doc", F.col("pos").alias("first"), (F.col("pos") + F.col("shift")).alias("pos"), F.col("term").alias("term1"), "shift", F.col("term2").alias("term"))
+    met = moved.where("pos >= 0").join(with_term(postings, seconds), ["doc", "pos", "term"])
+    met = met.select("doc", "first", F.col("term1").alias("term"), F.col("term").alias("term2"), "shift")
+    both = met.join(pairs, ["term", "term2", "shift"]).select("doc", (F.col("first") - F.col("offset")).alias("start"), "window_id").where("start >= 0")
+    both = stored(both, "both")
+
+    rest = both.join(ranked, "window_id").select("doc", "start", "window_id", F.explode(F.slice("rare", 3, 1 << 30)).alias("x"))
+    rest = rest.select("doc", (F.col("start") + F.col("x.offset")).alias("pos"), F.col("x.term").alias("term"), "start", "window_id")
+    near = stored(both.select("doc").distinct(), "hit_docs")
+    there = postings.join(F.broadcast(near) if bounded(near) else near, "doc", "left_semi")
+    others = rest.join(there, ["doc", "pos", "term"]).groupBy("doc", "start", "window_id").agg(F.count("*").alias("found"))
+    sizes = ranked.select("window_id", F.size("rare").alias("len"))
+    whole = both.join(sizes, "window_id").join(others, ["doc", "start", "window_id"], "left").where(F.coalesce("found", F.lit(0)) + 2 == F.col("len"))
+    out = stored(alone.unionByName(whole.select("doc", "start", "len", "window_id")), "matches")
+    discard(lone, pairs, heads, seconds, both, near)
+    return out
+
+
+def proximity_matches(postings: DataFrame, ranked: DataFrame, slop: int) -> DataFrame:
+    """(doc, pos, window_id): all of a window's words within `slop` words of its rarest one, in any order.
+
+    Places are compared in cells of slop + 1 words, so that the joins are equi-joins.
     """
-    rows = _keyed(docs).select("doc_id", "__th", tokens(F.col("text")).alias("w"))
-    hits = rows.select("doc_id", "__th", "w", F.posexplode("w").alias("pos", "raw")).withColumn("term", lower_ascii(F.col("raw")))
-    hits = hits.join(_small(terms, n_terms), "term")
-    since = F.greatest(F.col("pos") - reach, F.lit(0))
-    around = F.slice("w", since + 1, F.col("pos") - since + reach + 1)
-    return hits.select("term", "doc_id", "__th", "pos", since.alias("since"), F.transform(around, lower_ascii).alias("around"))
-
-
-def phrase_matches(postings: DataFrame, anchored: DataFrame, n_windows: int) -> DataFrame:
-    """(doc_id, __th, start, len, items) of every exact occurrence of a window.
-
-    A posting of the rarest term fixes where the window would start; the second
-    rarest must stand at its own offset from there before all words are compared.
-    """
-    pairs = postings.join(_small(anchored, n_windows), "term")
-    start = F.col("pos") - F.col("offset")
-    base = start - F.col("since")
-    pairs = pairs.withColumn("start", start).withColumn("base", base)
-    there = F.get("around", F.col("base") + F.col("offset2")) == F.col("term2")
-    same = F.slice("around", F.greatest("base", F.lit(0)) + 1, F.size("words")) == F.col("words")
-    pairs = pairs.where(F.when(F.col("base") < 0, F.lit(False)).otherwise(there & same))
-    return pairs.select("doc_id", "__th", "start", F.size("words").alias("len"), "items")
-
-
-def proximity_matches(postings: DataFrame, anchored: DataFrame, n_windows: int, slop: int) -> DataFrame:
-    """(doc_id, __th, pos, items): all of a window's words within `slop` words of its rarest one, in any order."""
-    pairs = postings.join(_small(anchored, n_windows), "term")
-    rel = F.col("pos") - F.col("since")
-    lo = F.greatest(rel - slop, F.lit(0))
-    near = F.slice("around", lo + 1, rel - lo + slop + 1)
-    pairs = pairs.where(F.size(F.array_except("words", near)) == 0)
-    return pairs.select("doc_id", "__th", "pos", "items").distinct()
-
-
-def index_for(docs: DataFrame, items: DataFrame, n: int = 10, reach: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(postings of the anchor terms, anchored windows, their number), both stored in the shared folder.
-    reach: how far proximity_matches will look, where that is more than a phrase needs."""
-    phrases = test_windows(items, n)
-    anchored = stored(with_anchors(phrases, term_counts(docs, phrases)), "anchored")
-    terms = stored(anchored.select("term").distinct(), "anchors")
-    postings = build_postings(docs, terms, terms.count(), n - 1 if reach is None else max(reach, n - 1))
-    return stored(postings, "postings"), anchored, phrases.n_windows
+    cell = F.floor(F.col("pos") / (slop + 1))
+    term, _ = term_at(0)
+    firsts = stored(ranked.select(term.alias("term"), "window_id"), "firsts")
+    seeds = with_term(postings, firsts).select("doc", F.col("pos").alias("at"), "window_id")
+    wanted = ranked.select("window_id", F.explode(F.array_distinct(F.transform("rare", lambda x: x["term"]))).alias("term"))
+    cells = seeds.join(wanted, "window_id").withColumn("pos", F.col("at")).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).drop("pos")
+    terms = stored(wanted.select("term").distinct(), "near_terms")
+    there = with_term(postings, terms).withColumn("cell", cell)
+    met = cells.join(there, ["doc", "cell", "term"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
+    found = met.groupBy("doc", "at", "window_id").agg(F.count_distinct("term").alias("found"))
+    need = wanted.groupBy("window_id").agg(F.count("*").alias("need"))
+    return found.join(need, "window_id").where("found = need").select("doc", F.col("at").alias("pos"), "window_id")
 
 
 def hit_words(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """(doc_id, __th, hit_positions, hit_items) of the documents with any occurrence."""
-    postings, anchored, count = index_for(docs, items, n)
-    found = phrase_matches(postings, anchored, count).distinct()
-    where = found.select("doc_id", "__th", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"), "items")
-    spans = where.groupBy("doc_id", "__th", "pos").agg(F.flatten(F.collect_set("items")).alias("items"))
-    return spans.groupBy("doc_id", "__th").agg(F.count("*").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("hit_items"))
+    """(doc, n_hit, hit_items) of the documents with any occurrence, stored."""
+    windows = test_windows(items, n)
+    postings = build_postings(docs)
+    ranked = from_the_rarest(postings, windows)
+    found = phrase_matches(postings, ranked)
+    discard(postings)
+    places = found.select("doc", "start", "len").distinct().select("doc", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct()
+    words = places.groupBy("doc").agg(F.count("*").alias("n_hit"))
+    owned = found.select("doc", "window_id").distinct().join(windows.owners.where("item_id is not null"), "window_id").select("doc", "item_id").distinct()
+    names = owned.groupBy("doc").agg(F.array_sort(F.collect_list("item_id")).alias("hit_items"))
+    return stored(words.join(names, "doc", "left"), "hits")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     hits = hit_words(docs, items, n)
-    rows = _keyed(docs).select("doc_id", "__th", word_count(F.col("text"), ALNUM_WORD).alias("n_words"))
-    joined = rows.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.__th") == F.col("h.__th")), "left")
-    names = F.array_sort(F.transform(F.coalesce("h.hit_items", F.array().cast("array<bigint>")), lambda x: x.cast("string")))
-    return joined.select(
-        F.col("d.doc_id").alias("doc_id"),
-        F.col("d.n_words").alias("n_words"),
-        F.coalesce("h.n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    rows = docs.select("doc_id", doc_key().alias("doc"), word_count(F.col("text"), ALNUM_WORD).alias("n_words"))
+    names = F.coalesce("hit_items", F.array().cast("array<string>"))
+    return rows.join(hits, "doc", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-        (F.coalesce("h.n_hit", F.lit(0)) > 0).alias("contaminated"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The documents in which no test window occurs, with all their columns."""
-    hits = hit_words(docs, items, n).select(F.col("doc_id").alias("__id"), F.col("__th").alias("__t"))
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    return keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["__id"]) & (keyed["__th"] == hits["__t"]), "left_anti").drop("__th")
+    hits = hit_words(docs, items, n)
+    return docs.join(hits, doc_key() == hits["doc"], "left_anti")

@@ -104,7 +104,9 @@ def test_jaccard_keeps_one_of_each_class(spark, none):
     assert jaccard.one_of_each_class(none).count() == 0
 
 
-def test_decontamination(spark, docs, none, rows):
+@pytest.mark.parametrize("broadcast", [8_000_000, 0])
+def test_decontamination(spark, docs, none, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", broadcast)
     items = [(i, rows[i][1][:120] if i % 2 else rows[i][1][40:90]) for i in range(12)] + [(50, "a B"), (51, None), (51, ""), (None, "y" * 100_000), (3, rows[3][1][:120])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert ordered(dc.decontaminate(docs, bench)) == brute.contaminated(rows, items)
@@ -117,10 +119,28 @@ def test_decontamination(spark, docs, none, rows):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "one two three four five"), (2, "five x three y one z two four"), (3, "one two")], DOC)
     items = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
-    postings, anchored, n = dc.index_for(docs, items, 5, reach=8)
-    assert {r["doc_id"] for r in dc.proximity_matches(postings, anchored, n, 8).collect()} == {1, 2}
-    assert {r["doc_id"] for r in dc.proximity_matches(postings, anchored, n, 4).collect()} == {1}
-    assert {r["doc_id"] for r in dc.phrase_matches(postings, anchored, n).collect()} == {1}
+    postings = dc.build_postings(docs)
+    ranked = dc.from_the_rarest(postings, dc.test_windows(items, 5))
+    keys = {r["doc"]: r["doc_id"] for r in docs.select("doc_id", dc.doc_key().alias("doc")).collect()}
+    of = lambda found: {keys[r["doc"]] for r in found.collect()}
+    assert of(dc.proximity_matches(postings, ranked, 8)) == {1, 2}
+    assert of(dc.proximity_matches(postings, ranked, 4)) == {1}
+    assert of(dc.phrase_matches(postings, ranked)) == {1}
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    items = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 6)))) for i in range(12)]
+    docs, bench = spark.createDataFrame(texts, DOC), spark.createDataFrame(items, "item_id long, text string")
+    postings, windows = dc.build_postings(docs), dc.test_windows(bench, 4)
+    words = {r["window_id"]: r["words"] for r in windows.phrases.collect()}
+    keys = {r["doc"]: r["doc_id"] for r in docs.select("doc_id", dc.doc_key().alias("doc")).collect()}
+    ranked = dc.from_the_rarest(postings, windows)
+    rare = {r["window_id"]: r["rare"][0]["term"] for r in ranked.collect()}
+    got = {(keys[r["doc"]], r["pos"], r["window_id"]) for r in dc.proximity_matches(postings, ranked, 3).collect()}
+    want = {(d, i, w) for d, t in texts for ws in [t.split()] for i, x in enumerate(ws) for w in rare if rare[w] == x and set(words[w]) <= set(ws[max(0, i - 3) : i + 4])}
+    assert got == want
 
 
 @settings(max_examples=200, deadline=None)
