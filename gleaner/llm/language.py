@@ -278,8 +278,13 @@ def has_letter(text: Column) -> Column:
 def training_sample(docs: DataFrame, limits: FitLimits) -> list[tuple[str, str]]:
     """(lang, snippet) of a bounded number of distinct texts of each language: those of the smallest digests."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    texts = stored(known.select("lang", "h").distinct(), "taught")
+    # A digest below the share keeps about twice the documents of each language: no task sorts a whole language.
+    share = F.least(F.lit(1.0), F.lit(2.0 * limits.documents + 100) / F.count("*"))
+    counts = texts.groupBy("lang").agg(share.alias("share"))
+    place = F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0)
     least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = stored(known.select("lang", "h").distinct().withColumn("n", least).where(F.col("n") <= limits.documents).drop("n"), "taught")
+    chosen = stored(texts.join(counts, "lang").where(place < F.col("share")).select("lang", "h", least.alias("n")).where(F.col("n") <= limits.documents).drop("n"), "chosen")
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     words = known.join(few, ["lang", "h"]).select("lang", "h", F.split("text", r"[\s]+").alias("w"))
     at = F.pmod("h", F.greatest(F.lit(1), F.size("w") - limits.words + 1)).cast("int") + 1
