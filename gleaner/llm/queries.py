@@ -26,7 +26,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_main_text(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_main_text(table(spark, sf, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return extract_main_text(table(spark, sf, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:

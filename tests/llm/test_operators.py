@@ -301,44 +301,80 @@ def test_trees_learn_the_look_of_urls(spark):
 PAGE = "<html><head><title>T</title><script>var a='</p>'</script></head><body><header>Site</header><nav><a>Menu</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head</h1><p>One &amp; <b>two</b>\n three<p>Four&nbsp;five<br>six<div class=ad>Buy</div><form>Your mail <input></form></article><section id=comments><p>First!</section><aside>More</aside><footer>&copy; me</footer></body></html>"
 
 
+SHELL = "<html><body><div>Welcome to our big site where we sell many things for you</div><p>{}</p><div><a href=x>Home</a> <a>About</a></div><p>Copyright by the owners of this site all rights reserved</p></body></html>"
+HTML = "page_id long, url string, html string"
+
+
+def mains(source):
+    return [b.text for b in pages.blocks_of(source) if b.mark == pages.MAIN]
+
+
 def test_main_text(spark):
-    blocks, kept = pages.blocks_of(PAGE)
-    assert [b for b, k in zip(blocks, kept) if k == pages.KEPT] == ["Head", "One & two three", "Four five six"]
+    assert mains(PAGE) == ["Head", "One & two three", "Four five six"]
     unique = [f"unique {' '.join(str(i * 100 + k) for k in range(30))}" for i in range(20)]
-    shell = "<html><body><div>Welcome to our big site where we sell many things for you</div><p>{}</p><div><a href=x>Home</a> <a>About</a></div><p>Copyright by the owners of this site all rights reserved</p></body></html>"
-    rows = [(i, f"http://h.org/{i}", shell.format(u)) for i, u in enumerate(unique)] + [(90, None, None), (91, "http://h.org/x", ""), (92, "http://h.org/y", PAGE), (92, "http://h.org/y", PAGE), (93, "u", "plain < text & more")]
-    for pages_each in (5000, 3):
-        got = {r["page_id"]: r["text"] for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), pages.PagePlan(shard_pages=pages_each)).collect()}
-        assert [got[i] for i in range(20)] == unique and got[90] == got[91] == "" and got[92] == "Head\nOne & two three\nFour five six"
-        assert got[93].startswith("plain")
-    assert pages.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    rows = [(i, f"http://h.org/{i}", SHELL.format(u)) for i, u in enumerate(unique)] + [(90, None, None), (91, "http://h.org/x", ""), (92, "http://h.org/y", PAGE), (92, "http://h.org/y", PAGE), (93, "u", "plain < text & more")]
+    for pages_each in (5000, 7):
+        clash = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], HTML + ", host string, shard int, text string, blocks int")
+        got = {r["page_id"]: r for r in pages.extract_main_text(clash, pages.PagePlan(shard_pages=pages_each, far_sample=1)).collect()}
+        texts = {k: r["text"] for k, r in got.items()}
+        assert [texts[i] for i in range(20)] == unique and texts[90] == texts[91] == "" and texts[92] == "Head\nOne & two three\nFour five six"
+        assert texts[93].startswith("plain") and all(got[i]["n_repeated"] >= 20 and (got[i]["host"], got[i]["shard"], got[i]["blocks"]) == ("x", 1, 2) for i in range(20))
+    assert pages.extract_main_text(spark.createDataFrame([], HTML)).count() == 0
+
+
+def test_repeats_of_a_host_decide_what_markup_leaves_open(spark):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    share = "<p class=end>Send this text to a friend of yours or print it out now</p>"
+    plain = [(i, f"http://a.org/{i}", f"<article><h1>Title {i}</h1><p>{body(i)}</p>{share}</article>") for i in range(12)]
+    copies = [(100 + i, f"http://b.org/{i}", f"<article><h1>One and the same</h1><p>{body(7)}</p><p>{body(8)} end {i}</p></article>") for i in range(8)]
+    teaser = [(200, "http://c.org/1", f"<article><p>Read more</p></article><div><p>{body(1)}</p><p>{body(2)}</p></div>")]
+    bare = [(300 + i, f"http://d.org/{i}", f"<div>{body(9)} {i % 2}</div>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_main_text(spark.createDataFrame(plain + copies + teaser + bare, HTML)).collect()}
+    assert all(got[i] == f"Title {i}\n{body(i)}" for i in range(12))
+    assert all(got[100 + i] == f"One and the same\n{body(7)}\n{body(8)} end {i}" for i in range(8))
+    assert got[200] == f"Read more\n{body(1)}\n{body(2)}" and all(got[300 + i] == f"{body(9)} {i % 2}" for i in range(3))
+
+
+def test_pictures_and_side_classes_lose_no_text(spark):
+    assert mains("<article><p>x <svg class='i'/> mid</p><p>After</p><p>in <svg><title>no</title></svg> line</p><p class=side>Side</p></article>") == ["x mid", "After", "in line", "Side"]
+    long = "<article>" + "".join(f"<p>{'word%d ' % i * 200}</p>" for i in range(1500)) + "</article>"
+    got = pages.extract_main_text(spark.createDataFrame([(1, "http://h.org/", long)], HTML)).first()
+    assert got["text"].count("\n") == 1499 and len(got["text"].split()) == 300_000
 
 
 def test_comments_marked_as_articles_go():
     source = "<article class='post'><p>Text</p><article class='comment'><p>First!</p></article><article itemprop=comment><p>Second</p></article><article class='card'><p>Part</p></article><p>End</p></article>"
-    blocks, kept = pages.blocks_of(source)
-    assert [b for b, k in zip(blocks, kept) if k == pages.KEPT] == ["Text", "Part", "End"]
-    blocks, kept = pages.blocks_of("<main class='sidebar-left'><article class='post social'><p>Text</p></article></main>")
-    assert kept == [pages.KEPT]
+    assert mains(source) == ["Text", "Part", "End"]
+    assert mains("<main class='sidebar-left'><article class='post social'><p>Text</p></article></main>") == ["Text"]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/abdivp =\"'!-&;", max_size=120))
 def test_any_html_is_read(source):
-    blocks, kept = pages.blocks_of(source)
-    assert len(blocks) == len(kept) and all(b == " ".join(b.split()) and b for b in blocks)
+    assert all(b.text == " ".join(b.text.split()) and b.text for b in pages.blocks_of(source))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=60), st.integers(1, 9))
+def test_suffix_order(codes, depth):
+    order, rank = pages.suffix_order(np.array(codes, dtype=np.uint64), depth)
+    assert order.tolist() == sorted(range(len(codes)), key=lambda i: codes[i : i + depth])
+    assert all((rank[i] == rank[j]) == (codes[i : i + depth] == codes[j : j + depth]) for i in range(len(codes)) for j in range(len(codes)))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=1, max_size=60))
-def test_suffix_array(codes):
-    a = np.array(codes, dtype=np.uint64)
-    order = pages.suffix_array(a)
-    assert order.tolist() == sorted(range(len(codes)), key=lambda i: codes[i:])
-    lcp = pages.common_prefixes(a, order)
-    for p in range(1, len(codes)):
-        x, y = codes[order[p - 1] :], codes[order[p] :]
-        assert lcp[p] == next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+@given(st.lists(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), max_size=4), min_size=1, max_size=5), st.integers(1, 4))
+def test_covered_words_against_brute_force(own, n):
+    stream = pages.Stream(np.arange(len(own)), [[" ".join(b) for b in p] for p in own])
+    words = [[w for b in p for w in b] for p in own]
+    want = []
+    for i, w in enumerate(words):
+        gone = [False] * len(w)
+        for k in range(len(w) - n + 1):
+            if any(w[k : k + n] == v[m : m + n] for j, v in enumerate(words) if j != i for m in range(len(v) - n + 1)):
+                gone[k : k + n] = [True] * n
+        want += gone
+    assert stream.covered(n, np.zeros(0, np.uint64)).tolist() == want
 
 
 def test_pipeline(spark, tmp_path):
