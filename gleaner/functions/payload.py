@@ -16,8 +16,9 @@ SECRET_PARTS = ["apikey", "password", "passwd", "defaultpwd", "clientsecret", "a
 TOKEN_COUNTS = ["tokens", "prompttokens", "completiontokens", "totaltokens", "maxtokens"]
 #: Keys whose values are user, model or document text.
 CONTENT_KEYS = [
-    "answer", "body", "candidatecontent", "content", "context", "expansionqueries", "filename", "inputpreview", "matchedtext", "message", "metadata", "outputpreview", "partialanswer", "prompt", "query", "question",
-    "rawcontent", "requestbody", "requirements", "responsebody", "rerankreason", "selectedtags", "standalonequery", "tags",
+    "answer", "body", "bridgefacts", "candidatecontent", "constraintoverridereason", "constraintreason", "content", "context", "coveredrequirements", "expansionqueries", "extractionreason", "filename", "inputpreview",
+    "intentrawresponse", "matchedtext", "message", "metadata", "missingrequirements", "outputpreview", "partialanswer", "pipelineoverridereason", "prompt", "query", "queryanalysisparsed", "queryanalysisexecutionplan",
+    "queryanalysisrawresponse", "queryanalysisvalidated", "question", "rawcontent", "requestbody", "requirements", "responsebody", "rerankreason", "selectedtags", "standalonequery", "tags",
 ]
 #: What a capped event keeps first.
 FIRST_KEYS = ["timestamp", "event", "trace_id", "surface", "user_id", "conversation_id"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT = "\u001f"
 #: Evidence statuses, and the one older spelling.
@@ -45,18 +49,57 @@ def matching_line(content: Column, wanted: Column, most: int = 1200) -> Column:
     return F.substring(F.when((F.size(hits) > 0) & (wanted != ""), hits[0]).otherwise(content), 1, most)
 
 
+#: Fixed value: what a lookup ignores.
+LOOKUP_NOISE = r"[\s\-—_·,，。!！?？:：;；、/\\()（）\[\]【】《》〈〉'\"`]+"
+#: Endings that names of products and projects may carry.
+PRODUCT_ENDINGS = ["platform", "system", "平台", "系统"]
+PROJECT_ENDINGS = ["项目", "工程"]
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Unicode compatibility composition, for which Spark has no function."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
+
+
 def normalize_lookup_text(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[\s\p{P}\p{S}]+", "")
+    return F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), LOOKUP_NOISE, "")
+
+
+def exact_source_match(query: Column, content: Column) -> Column:
+    """Whether a content holds the query, whatever the width, case, spaces and punctuation."""
+    wanted = normalize_lookup_text(query)
+    return (wanted != "") & normalize_lookup_text(content).contains(wanted)
+
+
+def bare_name(c: Column, endings: list[str]) -> Column:
+    """Lower-case letters, digits and CJK; one of the endings goes, unless it is the whole name."""
+    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\x{3400}-\x{9fff}]+", "")
+    out = plain
+    for e in reversed(endings):
+        out = F.when(plain.endswith(e) & (F.char_length(plain) > len(e)), F.substring(plain, F.lit(1), F.char_length(plain) - len(e))).otherwise(out)
+    return out
+
+
+def canonical_product(c: Column) -> Column:
+    return bare_name(c, PRODUCT_ENDINGS)
+
+
+def canonical_project(c: Column) -> Column:
+    return bare_name(c, PROJECT_ENDINGS)
 
 
 def extract_versions(c: Column) -> Column:
-    """Dotted numbers of two to four parts, distinct, in order; leading zeros go."""
-    found = F.regexp_extract_all(F.regexp_replace(c, r"[^0-9.]+", " "), F.lit(r"(?:^| )(\d{1,4}(?:\.\d{1,4}){1,3})(?= |$)"), F.lit(1))
+    """Numbers of one to four dotted parts, distinct, in order; leading zeros go."""
+    found = F.regexp_extract_all(F.regexp_replace(c, r"[^0-9.]+", " "), F.lit(r"(?:^| )(\d{1,4}(?:\.\d{1,4}){0,3})(?= |$)"), F.lit(1))
     return F.array_distinct(F.transform(found, canonical_version))
 
 
 def canonical_version(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, r"\."), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")), ".")
+    """Dotted numbers without leading zeros; anything else in lower case, without a leading `v`."""
+    raw = F.regexp_replace(F.trim(c), r"(?i)^(?:版本|v)\s*", "")
+    numbers = F.array_join(F.transform(F.split(raw, r"\."), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")), ".")
+    return F.when(raw.rlike(r"^\d+(?:\.\d+)*$"), numbers).otherwise(F.lower(raw))
 
 
 def version_key(c: Column) -> Column:
@@ -79,11 +122,13 @@ def topic_terms(c: Column) -> Column:
 
 
 def redact_text(c: Column) -> Column:
-    """Bearer tokens, credential assignments and the private parts of URLs go."""
-    c = F.regexp_replace(c, r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    c = F.regexp_replace(c, rf"(?i)(\b(?:{CREDENTIAL_WORDS})\b[\"']?\s*[:=]\s*)[\"']?[^\s,;\]}}]+[\"']?", "$1[REDACTED]")
-    c = F.regexp_replace(c, r"(?i)([a-z][a-z0-9+.-]*://)[^\s\"'<>/@]*@", "$1")
-    return F.regexp_replace(c, r"(?i)([a-z][a-z0-9+.-]*://[^\s\"'<>?#]*)[?#][^\s\"'<>]*", "$1")
+    """Bearer tokens, the values of credentials and the private parts of URLs go; scheme, host, port and path stay."""
+    c = F.regexp_replace(c, r"(?i)\b(bearer)\s+[\w.~+/=-]+", "Bearer [REDACTED]")
+    value = r"(?:\"[^\"]*\"|'[^']*'|[^\s,;\]}\"']+)"
+    c = F.regexp_replace(c, rf"(?i)\b({CREDENTIAL_WORDS})([\"']?\s*[:=]\s*){value}", "$1$2[REDACTED]")
+    scheme = r"(?i)([a-z][a-z0-9+.-]*://)"
+    c = F.regexp_replace(c, scheme + r"[^\s/@\"'<>]*@", "$1")
+    return F.regexp_replace(c, scheme + r"([^\s?#\"'<>]*)[?#][^\s\"'<>]*", "$1$2")
 
 
 def preview(c: Column, most: int = 500) -> Column:
@@ -147,12 +192,10 @@ def evidence_role(role: Column, topic: Column, support: Column, status: Column,
     return F.when(contribution == "irrelevant", "irrelevant").when(contribution.isin("bridge", "complement", "background") & (first == "direct"), lesser).otherwise(first)
 
 
-def effective_score(role: Column, status: Column, scoped: Column, support: Column) -> Column:
-    return F.when((role == "irrelevant") | (status == "mismatch") | ((status == "unknown") & scoped), 0.0).otherwise(support)
-
-
-def candidate_limit(k: Column) -> Column:
-    return F.least(F.lit(30), F.greatest(F.lit(12), 3 * k))
+def candidate_limit(k: Column, simple: bool = False) -> Column:
+    """Candidates to judge for a wanted k of 1 to 20."""
+    n = F.greatest(F.lit(1), F.least(F.lit(20), k))
+    return F.least(F.lit(20), F.greatest(F.lit(8), 2 * n)) if simple else F.least(F.lit(30), F.greatest(F.lit(12), 3 * n))
 
 
 def scope_status(target_product: Column, target_version: Column, product: Column, versions: Column, compatible: Column, unsupported: Column) -> Column:
@@ -168,14 +211,33 @@ def scope_status(target_product: Column, target_version: Column, product: Column
 
 
 #: How support for a version is claimed and denied.
-SUPPORT_WORDS = "(?:兼容|支持|适用于?|适配)"
-DENIALS = "(?:不代表|不再|并不|并非|尚未|尚不|从未|无法|不能|不可|未|不)"
-#: Signs that a list is whole, that it is not, and that it goes on elsewhere.
-CLOSING = r"(?i)仅(?:包括|包含|有|限于|支持|允许)|只有|(?:共|一共|总计|合计)\s*(?:\d+|[一二三四五六七八九十百两]+)\s*(?:项|条|个|种|类|步)|全部(?:包括|包含|为|是|如下)|consists?\s+of|comprises?|only\s+(?:includes?|contains?)"
-OPENING = r"(?i)例如|诸如|之一|部分|主要|至少|等等|\betc\b|\.\.\.|……|for example"
-ELSEWHERE = r"(?i)另见|详见|参见|请见|请查看|见(?:附件|附录|下文)|see also"
-OVERVIEW = r"(?i)^\s*#*\s*(?:概述|简介|背景|总则|overview|introduction|summary)"
-SPECIFIC = r"(?i)必须|不得|应当|\bmust\b|\bshall\b|\d+\s*(?:%|天|个工作日|元|分钟|小时)"
+SUPPORT_WORDS = ["兼容", "支持", "适用于", "适用", "适配"]
+DENIALS = ["不代表", "不再", "并不", "并非", "尚未", "尚不", "从未", "无法", "不能", "不可", "未", "不"]
+#: Signs that a list is whole.
+EXCLUSIVE = ["仅包括", "仅包含", "仅有", "仅限于", "仅支持", "仅允许", "只有", "全部包括", "全部包含", "全部为", "全部是", "全部如下"]
+ALL_OF = ["所有", "所有内容", "所有项目", "所有条目", "所有成员", "所有元素", "所有项", "所有条"]
+ALL_ARE = ["如下", "为", "是"]
+TOTALS, NUMERALS = ["共", "一共", "总计", "合计"], "一二三四五六七八九十百两"
+COUNTED = ["项", "条", "个", "种", "类", "步", "阶段", "部分", "方面"]
+MADE_OF = ["构成", "组成"]
+ENGLISH_EXCLUSIVE = ["consist of", "consists of", "comprise", "comprises", "only include", "only includes", "only contain", "only contains"]
+INTRODUCING = ["如下", "如下所示", "以下为", "以下是", "依次为", "分别为", "following"]
+#: Signs that a list is not whole, and that it goes on elsewhere.
+OPENING = ["例如", "诸如", "之一", "部分", "主要", "至少", "等等", "...", "……"]
+INCLUDING = ["包括", "包含"]
+ELSEWHERE = ["另见", "详见", "参见", "请见", "请查看"]
+LOOK_AT, LOOKED_AT = ["查看", "查阅"], ["附件", "附录", "文档", "详情", "具体", "具体内容", "具体条款", "具体规则", "下文", "表"]
+IN_FULL, SEE = ["具体", "详情", "完整", "完整内容", "完整条款", "完整规则"], ["见", "查看", "参见"]
+PLACES, PLACED = ["附件", "附录", "下文", "制度", "制度正文", "文档", "表"], ["中", "内", "详见"]
+#: Headings of overviews, and signs of a specific clause.
+OVERVIEW_TITLES = ["总则", "适用范围", "适用对象", "目的", "背景", "术语定义", "术语和定义", "术语与定义", "定义"]
+SPECIFIC_WORDS = ["不超过", "不得", "必须", "应当", "标准", "上限", "下限", "步骤", "流程", "参数", "配置项"]
+SPECIFIC_UNITS = ["元", "%", "天", "小时", "分钟", "个", "次", "公里", "gb", "mb"]
+
+
+def any_of(values: list[str]) -> str:
+    """A pattern for one of these texts, the longest first."""
+    return "(?:" + "|".join(f"\\Q{v}\\E" for v in sorted(values, key=len, reverse=True)) + ")"
 
 
 def normalize_markdown(c: Column) -> Column:
@@ -194,25 +256,45 @@ def normalize_markdown(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, "(?<=[^\n\u0000])\u0000", "\n"), "\u0000(?=[^\n\u0000])(?!```)", "\n"), "\u0000", "")
 
 
-def compatibility_statements(text: Column, product: str) -> Column:
-    """Versions of a product that a text says it supports, and that it says it does not."""
+def compatibility_statements(text: Column, products: list[str]) -> Column:
+    """Versions of a product (under any of its names) that a text says it supports, that it says it does not, and the names used.
+
+    A statement is a support word before or behind a name with its version;
+    statements are collected first, then told apart by their denials.
+    """
     t = F.regexp_replace(text, r"[ \t]+", "")
-    name, version = rf"(?i:\Q{product}\E)", r"(?:版本|[vV])?(\d{1,4}(?:\.\d{1,4}){0,3})(?![\d.]*\d)"
-    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
-    denied = F.array_distinct(F.concat(found(rf"{DENIALS}{SUPPORT_WORDS}{name}{version}"), found(rf"{name}{version}[，,：:;；的]*{DENIALS}{SUPPORT_WORDS}")))
-    claimed = F.concat(found(rf"(?<![不未再非能法可表尚]){SUPPORT_WORDS}{name}{version}"), found(rf"{name}{version}[，,：:;；的]*{SUPPORT_WORDS}"))
-    return F.struct(F.array_except(claimed, denied).alias("compatible"), denied.alias("unsupported"))
+    cue = f"{any_of(DENIALS)}?{any_of(SUPPORT_WORDS)}"
+    named = rf"(?i:{any_of([p.replace(' ', '') for p in products])})(?:版本|[vV])?\d{{1,4}}(?:\.\d{{1,4}}){{0,3}}(?![\d.]*\d)"
+    collect = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    said = F.concat(collect(cue + named), collect(rf"{named}[，,：:;；的]*{cue}"))
+    denied = lambda x: x.rlike(any_of(DENIALS) + any_of(SUPPORT_WORDS))
+    version = lambda x: canonical_version(F.regexp_extract(F.regexp_extract(x, named, 0), r"([\d.]+)$", 1))
+    name = lambda x: F.lower(F.regexp_extract(x, rf"(?i:{any_of([p.replace(' ', '') for p in products])})", 0))
+    return F.struct(
+        F.array_distinct(F.transform(F.filter(said, lambda x: ~denied(x)), version)).alias("compatible"), F.array_distinct(F.transform(F.filter(said, denied), version)).alias("unsupported"), F.array_distinct(F.transform(said, name)).alias("products")
+    )
 
 
 def collection_flags(sentence: Column) -> Column:
     """Whether a sentence says that its list is whole: a sign of it, and none to the contrary."""
-    closes, opens, leaves = sentence.rlike(CLOSING), sentence.rlike(OPENING), sentence.rlike(ELSEWHERE)
-    return F.struct(closes.alias("closes"), opens.alias("opens"), leaves.alias("elsewhere"), (closes & ~opens & ~leaves).alias("closed"))
+    total = rf"{any_of(TOTALS)}\s*(?:\d+|[{NUMERALS}]+)\s*{any_of(COUNTED)}"
+    parts = rf"由.{{1,200}}{any_of(MADE_OF)}|分为.{{1,200}}(?:[、,，;；。]|$)"
+    english = "|".join(v.replace(" ", r"\s+") for v in ENGLISH_EXCLUSIVE)
+    closes = sentence.rlike(f"(?i){any_of(EXCLUSIVE)}|{any_of(ALL_OF)}{any_of(ALL_ARE)}|{total}|{parts}|{english}")
+    leads = sentence.rlike(f"(?i){any_of(INTRODUCING)}")
+    opens = sentence.rlike(rf"(?i){any_of(OPENING)}|\betc\b|(?:^|[^仅]){any_of(INCLUDING)}")
+    leaves = sentence.rlike(rf"(?i){any_of(ELSEWHERE)}|{any_of(LOOK_AT)}\s*{any_of(LOOKED_AT)}|{any_of(IN_FULL)}\s*请?{any_of(SEE)}|见{any_of(PLACES)}|{any_of(PLACES)}\s*{any_of(PLACED)}")
+    return F.struct(closes.alias("closes"), leads.alias("introduces"), opens.alias("opens"), leaves.alias("elsewhere"), ((closes | leads) & ~opens & ~leaves).alias("closed"))
 
 
 def section_kind(content: Column, declared: Column) -> Column:
     """The declared kind, else table, overview, specific or other by the look of it."""
     rows = F.size(F.filter(F.slice(F.split(content, "\n"), 1, 20), lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2))
-    seen = F.when(content.rlike(r"(?i)<table") | (rows >= 2), "table").when(F.substring(content, 1, 300).rlike(OVERVIEW), "overview").when(content.rlike(SPECIFIC), "specific").otherwise("other")
+    ruled = content.rlike(r"(?m)^\s*\|.+\|\s*$\n\s*\|\s*:?-{3,}")
+    marked = content.rlike(r"(?i)<(?:table|thead|tbody|tr|td|th)\b")
+    number = rf"第?[{NUMERALS[:-1]}0-9]+[章节、.．]\s*"
+    overview = F.trim(F.substring(content, 1, 300)).rlike(rf"^(?:\s*#{{1,6}}\s*)?(?:{number})?{any_of(OVERVIEW_TITLES)}(?:\s|[：:。]|$)")
+    specific = content.rlike(rf"(?i)第[{NUMERALS[:-1]}0-9]+条|\d+(?:\.\d+){{1,4}}\s+|{any_of(SPECIFIC_WORDS)}|\d+(?:\.\d+)?\s*{any_of(SPECIFIC_UNITS)}")
+    seen = F.when(ruled | marked | (rows >= 2), "table").when(overview, "overview").when(specific, "specific").otherwise("other")
     named = F.lower(F.trim(declared))
     return F.when(named.isin("table", "specific", "overview", "other"), named).otherwise(seen)

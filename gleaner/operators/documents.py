@@ -121,6 +121,28 @@ def split_table_rows(table: str, most: int = 1800) -> list[dict]:
     return [{"content": "\n".join(head + body[a:b]), "part_index": i, "part_count": len(runs), "row_start": a + 1, "row_end": b} for i, (a, b) in enumerate(runs)]
 
 
+def _parts(rows: DataFrame, key: str, column: str, cut: Callable[[str], list[dict]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """One row for each part that `cut` makes of a text, with the text's key and the part's number."""
+    schema = T.StructType([rows.schema[key], T.StructField("piece", T.LongType()), *[T.StructField(n, t) for n, t in fields]])
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(k, i, *[p[n] for n, _ in fields]) for k, t in zip(f[key], f[column], strict=True) for i, p in enumerate(cut(t))], columns=schema.names)
+
+    return rows.select(key, column).mapInPandas(made, schema)
+
+
+def split_texts(rows: DataFrame, key: str, column: str, size: int = 500, overlap: int = 50) -> DataFrame:
+    """(key, piece, content): the chunks of each text."""
+    return _parts(rows, key, column, lambda t: [{"content": c} for c in split_text(t, size, overlap)], [("content", T.StringType())])
+
+
+def split_tables(rows: DataFrame, key: str, column: str, most: int = 1800) -> DataFrame:
+    """(key, piece, content, row_start, row_end, part_count): the parts of each Markdown table."""
+    numbers = [(n, T.LongType()) for n in ("row_start", "row_end", "part_count")]
+    return _parts(rows, key, column, lambda t: split_table_rows(t, most) if t else [], [("content", T.StringType()), *numbers])
+
+
 CHUNK = T.StructType([T.StructField(n, t) for n, t in (("section_path", T.StringType()), ("block_type", T.StringType()), ("content", T.StringType()), ("part_index", T.LongType()), ("part_count", T.LongType()), ("first_line", T.LongType()), ("piece", T.LongType()))])
 
 

@@ -56,6 +56,15 @@ def _scope(v: Views):
     return v.queries.select("query_id").join(v.docs.select("doc_id", (F.col("doc_id") % 7).alias("g")), (F.col("query_id") / 50).cast("long") % 7 == F.col("g")).select("query_id", "doc_id")
 
 
+#: Keys and values of payloads: the first five keys hold content, the first four values say something.
+NAMES = ["content", "Bridge_Facts", "constraint-reason", "QUERY", "intentRawResponse", "model", "token", "contents"]
+VALUES = ['"x"', "0", "false", '["a"]', '" "', "null", "[]", "{}"]
+
+
+def _quoted(texts: list[str]) -> str:
+    return ", ".join(f"'{t}'" for t in texts)
+
+
 CONTAINED = "substr(p, CAST(i AS INT), 3)"
 WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -101,7 +110,10 @@ Q = {
         lambda v: P.redact_json_keys(_payloads(v), "payload"),
         """SELECT event_id, '{"event":"' || event_type || '","apiKey":"[REDACTED]","tokens":' || (event_id % 9) || ',"deep":[{"password":"[REDACTED]","content":"' || CASE WHEN event_id % 2 = 0 THEN 'text' ELSE ' ' END || '"}],"long":"' || repeat('x', event_id % 200) || '","hit_count":3}' AS payload FROM events""",
     ),
-    "E25_contains_business_content": (lambda v: P.contains_business_content(_payloads(v), "payload").select("event_id", "has_content"), "SELECT event_id, event_id % 2 = 0 AS has_content FROM events"),
+    "E25_contains_business_content": (
+        lambda v: P.contains_business_content(v.events.select("event_id", F.expr(f"concat('{{\"a\":[{{\"', element_at(array({_quoted(NAMES)}), cast(1 + event_id % {len(NAMES)} as int)), '\":', element_at(array({_quoted(VALUES)}), cast(1 + floor(event_id / {len(NAMES)}) % {len(VALUES)} as int)), '}}]}}')").alias("payload")), "payload").select("event_id", "has_content"),
+        f"SELECT event_id, event_id % {len(NAMES)} < 5 AND CAST(floor(event_id / {len(NAMES)}) AS BIGINT) % {len(VALUES)} < 4 AS has_content FROM events",
+    ),
     "E28_cap_payload": (lambda v: P.cap_payload(_payloads(v), "payload", 200), None),
     "F4_search_within_documents": (lambda v: K.search_within_documents(v.queries, R.visible_chunks(v.chunks, v.docs), _scope(v)).select("query_id", "id", "doc_id", "score", "place"), None),
     "F7_evidence_pack": (_pack, None),

@@ -26,10 +26,28 @@ def _headed(v: Views):
 VERSIONED = "concat('ver ', event_id % 9, '.0', user_id % 7, ' and ', event_id % 3, '.', user_id % 5, '.2 or 8')"
 SECRET = "concat('Bearer abc.', event_id, ' x password=', user_id, '; see https://u:p@h', event_id % 5, '.org/a/', user_id, '?q=1#z end')"
 MIXED = "concat(event_type, '-x ', '知识库检索', ' a', user_id % 9, ' ', '版本')"
+NAMED = "concat(p_brand, ' ', p_type, element_at(array(' Platform', '-系统', ' 工程', ' x'), cast(1 + p_partkey % 4 as int)))"
+NAMED_SQL = "p_brand || ' ' || p_type || [' Platform', '-系统', ' 工程', ' x'][1 + p_partkey % 4]"
+NOISE = X.LOOKUP_NOISE.replace("'", "''")
 RECORDS_SQL = MD + """, l AS (SELECT doc_name, unnest(string_split(content, chr(10))) AS line, unnest(range(0, len(string_split(content, chr(10))))) AS n FROM md_chunks),
   c AS (SELECT doc_name, n, list_transform(string_split(regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', ''), '|'), lambda x: trim(x)) AS cells FROM l),
   k AS (SELECT *, row_number() OVER (PARTITION BY doc_name ORDER BY n) AS r FROM c WHERE len(cells) >= 2 AND len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-{3,}:?$'))) > 0),
   rec AS (SELECT doc_name, n AS line_no, cells[1] AS subject, 'type' AS predicate, cells[2] AS value, array_to_string(cells, ' ') AS search_text FROM k WHERE r > 1 AND cells[1] <> '' AND cells[2] <> '' QUALIFY row_number() OVER (PARTITION BY doc_name, cells[1], cells[2] ORDER BY n) = 1)"""
+CLAIMS = """element_at(array(
+  concat('本组件支持 Box ', event_id % 9, '.', user_id % 5, '。但不再支持 Box v', event_id % 4, '.9，Box 7 兼容'),
+  concat('盒子平台', event_id % 9, '.', user_id % 5, '尚未适配，适用于盒子平台 ', event_id % 4, '.9'),
+  concat('box 0', event_id % 9, '.', user_id % 5, '：兼容；组件支持 8.6')), cast(1 + event_id % 3 as int))"""
+#: Sentences about lists: what leads them in, and what follows.
+LEADS = ["仅支持", "共 3 项：", "所有条目如下", "分为", "it consists of ", "依次为", "the following: ", "主要是", "有"]
+TAILS = ["", "，例如丙", "，详见附录"]
+HEADS = ["| a | b |\\n| c | d |\\n", "# 第一章 总则\\n", "不得超过\\n", "", "<TABLE><tr>", "目的：", "限 3 天 ", "目的地 "]
+KINDS = ["table", "overview", "specific", "other", "table", "overview", "specific", "other"]
+
+
+def quoted(texts: list[str]) -> str:
+    return ", ".join(f"'{t}'" for t in texts)
+
+
 LEVELS = ", ".join(f"last_value(CASE WHEN level > 0 AND level <= {k} THEN struct_pack(l := level, t := title) END IGNORE NULLS) OVER w AS s{k}" for k in range(1, 7))
 TITLES = ", ".join(f"CASE WHEN s{k}.l = {k} THEN s{k}.t END" for k in range(1, 7))
 SECTIONS_SQL = f"""
@@ -60,8 +78,8 @@ Q = {
         "SELECT doc_id, 'sec:' || sha256(lower(trim(source)) || chr(31) || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))[1:24] AS sid FROM documents",
     ),
     "E8_strip_section_context": (
-        lambda v: v.documents.select("doc_id", X.strip_section_context(F.concat(F.lit("【"), "source", F.lit(" › h】\n"), "text")).alias("t")),
-        "SELECT doc_id, text AS t FROM documents",
+        lambda v: v.documents.select("doc_id", X.strip_section_context(F.concat(F.expr("element_at(array('【a › h】\n', '  【b】 \n\n', 'x 【c】\n', '【d'), cast(1 + doc_id % 4 as int))"), F.lit("q"), "text")).alias("t")),
+        f"SELECT doc_id, ['', '', 'x 【c】' || {NL}, '【d'][1 + doc_id % 4] || 'q' || text AS t FROM documents",
     ),
     "E10_row_cells": (
         lambda v: v.md_chunks.select("doc_name", F.explode(F.split("content", "\n")).alias("line")).select("doc_name", F.array_join(X.row_cells(F.col("line")), "/").alias("cells")).where("cells is not null"),
@@ -74,7 +92,17 @@ Q = {
     ),
     "E17_extract_versions": (
         lambda v: v.events.select("event_id", F.array_join(X.extract_versions(F.expr(VERSIONED)), ",").alias("versions")),
-        "SELECT event_id, array_to_string(list_distinct_ordered, ',') AS versions FROM (SELECT event_id, CASE WHEN a = b THEN [a] ELSE [a, b] END AS list_distinct_ordered FROM (SELECT event_id, (event_id % 9) || '.' || (user_id % 7) AS a, (event_id % 3) || '.' || (user_id % 5) || '.2' AS b FROM events))",
+        "SELECT event_id, array_to_string(list_distinct_ordered, ',') AS versions FROM (SELECT event_id, CASE WHEN a = b THEN [a, '8'] ELSE [a, b, '8'] END AS list_distinct_ordered FROM (SELECT event_id, (event_id % 9) || '.' || (user_id % 7) AS a, (event_id % 3) || '.' || (user_id % 5) || '.2' AS b FROM events))",
+    ),
+    "E14_exact_source_match": (
+        lambda v: v.documents.select("doc_id", X.exact_source_match(F.concat(F.substring("text", 11, 30), F.expr("element_at(array(' - ', '！', ' zq', '\u3010'), cast(1 + doc_id % 4 as int))")), F.col("text")).alias("found")),
+        rf"WITH n AS (SELECT doc_id, regexp_replace(lower(text), '{NOISE}', '', 'g') AS t, regexp_replace(lower(text[11:40] || [' - ', '！', ' zq', '【'][1 + doc_id % 4]), '{NOISE}', '', 'g') AS q FROM documents) SELECT doc_id, q <> '' AND contains(t, q) AS found FROM n",
+    ),
+    "E17_canonical_names": (
+        lambda v: v.part.select("p_partkey", X.canonical_product(F.expr(NAMED)).alias("product"), X.canonical_project(F.expr(NAMED)).alias("project"), X.canonical_version(F.expr("concat(element_at(array('v', 'V ', '版本', ''), cast(1 + p_partkey % 4 as int)), '0', p_size, element_at(array('.007', '', '-RC', '.0'), cast(1 + p_partkey % 4 as int)))")).alias("version")),
+        f"""WITH n AS (SELECT p_partkey, p_size, p_partkey % 4 AS k, regexp_replace(lower({NAMED_SQL}), '[^a-z0-9㐀-鿿]+', '', 'g') AS t FROM part)
+        SELECT p_partkey, CASE WHEN k = 0 THEN t[1:length(t) - 8] WHEN k = 1 THEN t[1:length(t) - 2] ELSE t END AS product, CASE WHEN k = 2 THEN t[1:length(t) - 2] ELSE t END AS project,
+        CASE k WHEN 0 THEN p_size || '.7' WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN '0' || p_size || '-rc' ELSE p_size || '.0' END AS version FROM n""",
     ),
     "E20_canonical_evidence_status": (
         lambda v: v.events.select("event_id", X.canonical_evidence_status(F.expr("element_at(array(' Hit', 'version_mismatch', 'other', 'error'), cast(1 + event_id % 4 as int))")).alias("status")),
@@ -119,7 +147,10 @@ Q = {
         lambda v: v.events.select("event_id", F.array_join(X.normalize_tags(F.expr("""case when event_id % 5 = 0 then 'not json' else concat('[" a', event_id % 3, ' ","b","","b"]') end""")), ",").alias("tags")),
         "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'a' || (event_id % 3) || ',b' END AS tags FROM events",
     ),
-    "G5_candidate_limit": (lambda v: v.events.select("event_id", X.candidate_limit(F.col("event_id") % 15).alias("n")), "SELECT event_id, least(30, greatest(12, 3 * (event_id % 15))) AS n FROM events"),
+    "G5_candidate_limit": (
+        lambda v: v.events.select("event_id", X.candidate_limit(F.col("event_id") % 25).alias("n"), X.candidate_limit(F.col("event_id") % 25, simple=True).alias("simple")),
+        "SELECT event_id, least(30, greatest(12, 3 * least(20, event_id % 25))) AS n, least(20, greatest(8, 2 * least(20, event_id % 25))) AS simple FROM events",
+    ),
     "G6_version_order": (
         lambda v: v.events.select("event_id", F.concat(F.col("user_id") % 12, F.lit("."), F.col("event_id") % 30).alias("version")).withColumn("place", F.rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(F.col("event_id") % 8).orderBy(X.version_key(F.col("version"))))),
         "SELECT event_id, (user_id % 12) || '.' || (event_id % 30) AS version, rank() OVER (PARTITION BY event_id % 8 ORDER BY user_id % 12, event_id % 30) AS place FROM events",
@@ -129,23 +160,19 @@ Q = {
         f"SELECT doc_id, 'a' || {NL} || 'b' || {NL} || replace(text, {NL}, repeat({NL}, 3)) AS t FROM documents",
     ),
     "E19_compatibility_statements": (
-        lambda v: v.events.select("event_id", X.compatibility_statements(F.expr("concat('本组件支持 Box ', event_id % 9, '.', user_id % 5, '。但不再支持 Box v', event_id % 4, '.9，Box 7 兼容')"), "Box").alias("c")).select("event_id", F.array_join("c.compatible", ",").alias("compatible"), F.array_join("c.unsupported", ",").alias("unsupported")),
-        "SELECT event_id, (event_id % 9) || '.' || (user_id % 5) || ',7' AS compatible, (event_id % 4) || '.9' AS unsupported FROM events",
+        lambda v: v.events.select("event_id", X.compatibility_statements(F.expr(CLAIMS), ["Box", "盒子平台"]).alias("c")).select("event_id", F.array_join("c.compatible", ",").alias("compatible"), F.array_join("c.unsupported", ",").alias("unsupported"), F.array_join("c.products", ",").alias("products")),
+        """WITH e AS (SELECT event_id, (event_id % 9) || '.' || (user_id % 5) AS a, (event_id % 4) || '.9' AS b, event_id % 3 AS k FROM events)
+        SELECT event_id, CASE k WHEN 0 THEN a || ',7' WHEN 1 THEN b ELSE a END AS compatible, CASE k WHEN 0 THEN b WHEN 1 THEN a ELSE '' END AS unsupported, CASE k WHEN 0 THEN 'box' WHEN 1 THEN '盒子平台' ELSE 'box' END AS products FROM e""",
     ),
     "E33_collection_closure_flags": (
-        lambda v: v.events.select("event_id", X.collection_flags(F.expr("element_at(array('仅支持甲、乙', '共 3 项，例如甲', '只有甲，详见附录', 'it consists of two', 'others'), cast(1 + event_id % 5 as int))")).alias("f")).select("event_id", "f.*"),
-        "SELECT event_id, event_id % 5 <> 4 AS closes, event_id % 5 = 1 AS opens, event_id % 5 = 2 AS elsewhere, event_id % 5 IN (0, 3) AS closed FROM events",
+        lambda v: v.events.select("event_id", X.collection_flags(F.expr(f"concat(element_at(array({quoted(LEADS)}), cast(1 + event_id % {len(LEADS)} as int)), '甲、乙', element_at(array({quoted(TAILS)}), cast(1 + floor(event_id / {len(LEADS)}) % {len(TAILS)} as int)))")).alias("f")).select("event_id", "f.*"),
+        f"""WITH e AS (SELECT event_id, event_id % {len(LEADS)} AS i, CAST(floor(event_id / {len(LEADS)}) AS BIGINT) % {len(TAILS)} AS k FROM events), f AS (SELECT event_id, i <= 4 AS closes, i IN (2, 5, 6) AS introduces, i = 7 OR k = 1 AS opens, k = 2 AS elsewhere FROM e)
+        SELECT *, (closes OR introduces) AND NOT opens AND NOT elsewhere AS closed FROM f""",
     ),
     "E36_section_kind": (
-        lambda v: v.documents.select("doc_id", X.section_kind(F.concat(F.expr("element_at(array('| a | b |\n| c | d |\n', '# Overview\n', 'x must y\n', ''), cast(1 + doc_id % 4 as int))"), F.lit("plain words")), F.when(F.col("doc_id") % 5 == 0, " Other ")).alias("kind")),
-        "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE ['table', 'overview', 'specific', 'other'][1 + doc_id % 4] END AS kind FROM documents",
-    ),
-    "E4_split_text": (
-        lambda v: v.documents.select("doc_id", "text").mapInPandas(lambda it: (f.assign(n=[len(D.split_text(t)) for t in f["text"]])[["doc_id", "n"]] for f in it), "doc_id long, n long"),
-        None,
-    ),
-    "E5_split_table_rows": (
-        lambda v: v.md_chunks.mapInPandas(lambda it: (f.assign(parts=[len(D.split_table_rows(t)) for t in f["content"]])[["doc_name", "parts"]] for f in it), "doc_name string, parts long"),
-        None,
+        lambda v: v.documents.select("doc_id", X.section_kind(F.concat(F.expr(f"element_at(array({quoted(HEADS)}), cast(1 + doc_id % {len(HEADS)} as int))"), F.lit("plain words")), F.when(F.col("doc_id") % 5 == 0, " Other ")).alias("kind")),
+        f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE {KINDS}[1 + doc_id % {len(HEADS)}] END AS kind FROM documents",
     ),
+    "E4_split_text": (lambda v: D.split_texts(v.documents, "doc_id", "text"), None),
+    "E5_split_table_rows": (lambda v: D.split_tables(v.md_chunks, "doc_name", "content"), None),
 }
