@@ -1,8 +1,9 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-  1. every word of every training text becomes a posting (term, doc, pos).  The
-     index is written in segments, one for each part of the input, each sorted by
-     term; a common term's list is thus spread over all segments
+  1. every word of every training text becomes a posting (term, doc, pos), term
+     and doc as 64-bit fingerprints.  The index is written in segments, one for
+     each part of the input, each sorted by term; a common term's list is thus
+     spread over all segments
   2. the terms of each test window are ordered from the rarest by their counts
      in the index.  The rarest term's list and the second's, moved by the
      difference of their offsets, are intersected; what is left is intersected
@@ -10,10 +11,11 @@
   3. an occurrence is a document and a place at which every term of the window
      has a posting at its own offset (exact phrase), or each has one within some
      words of the rarest (proximity)
+  4. the words of exact phrases are compared with the text of the few documents
+     that hold any, so that equal fingerprints of unlike words or texts count
+     for nothing
 
-Only DataFrame functions are used.  A document is known by 64 bits of its
-doc_id and text; two documents that share them would be judged as one, which
-among n documents with h hit ones happens with a chance below n * h / 2**64.
+Only DataFrame functions are used.
 
 Cases: null texts have no words and stay in the result with zero counts; an
 empty benchmark hits nothing; repeated rows are judged alike; a null item_id
@@ -28,11 +30,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.columns import ALNUM_WORD, lower_ascii, word_count
+from gleaner.llm.columns import ALNUM_WORD, lower_ascii
 from gleaner.session import discard, stored
 
-#: A table of at most this many bytes may be broadcast.
+#: A table of at most this many bytes may be broadcast, at so many a row.
 BROADCAST_BYTES = 8_000_000
+ROW_BYTES = 120
 #: Beyond it, postings meet the table in so many parts of each term.
 SALTS = 32
 
@@ -43,6 +46,7 @@ class Windows:
 
     phrases: DataFrame
     owners: DataFrame
+    stored_at: DataFrame
 
 
 def tokens(text: Column) -> Column:
@@ -53,16 +57,18 @@ def doc_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def bounded(df: DataFrame, *texts: str) -> bool:
-    """Whether df, whose texts are of any length, stays below the bound."""
-    size = F.sum(sum((F.octet_length(t) for t in texts), F.lit(64)))
-    return (df.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+def term_of(word: Column) -> Column:
+    return F.xxhash64(lower_ascii(word))
+
+
+def bounded(df: DataFrame) -> bool:
+    """Whether df, of a few numbers and digests a row, may be broadcast."""
+    return df.count() * ROW_BYTES <= BROADCAST_BYTES
 
 
 def with_term(postings: DataFrame, table: DataFrame) -> DataFrame:
     """postings joined with a table by term: broadcast behind a check of its size, else a salted shuffle."""
-    texts = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
-    if bounded(table, *texts):
+    if bounded(table):
         return postings.join(F.broadcast(table), "term")
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return postings.withColumn("salt", F.pmod("pos", F.lit(SALTS))).join(salted, ["term", "salt"]).drop("salt")
@@ -74,13 +80,13 @@ def test_windows(items: DataFrame, n: int) -> Windows:
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
     each = words.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), n).alias("words"))
     each = stored(each.withColumn("window_id", F.sha2(F.array_join("words", " "), 256)), "windows")
-    return Windows(each.select("window_id", "words").dropDuplicates(["window_id"]), each.select("window_id", "item_id").distinct())
+    return Windows(each.select("window_id", "words").dropDuplicates(["window_id"]), each.select("window_id", "item_id").distinct(), each)
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
     """The index: one row for every word of every text, in segments sorted by term, in the shared folder."""
     words = docs.select(doc_key().alias("doc"), F.posexplode(tokens(F.col("text"))).alias("pos", "raw"))
-    return stored(words.select(lower_ascii(F.col("raw")).alias("term"), "doc", "pos").sortWithinPartitions("term", "doc", "pos"), "postings")
+    return stored(words.select(term_of(F.col("raw")).alias("term"), "doc", "pos").sortWithinPartitions("term"), "postings")
 
 
 def from_the_rarest(postings: DataFrame, windows: Windows) -> DataFrame:
@@ -88,9 +94,9 @@ def from_the_rarest(postings: DataFrame, windows: Windows) -> DataFrame:
 
     Windows with a term that no document holds can't occur and go.
     """
-    terms = stored(windows.phrases.select(F.explode("words").alias("term")).distinct(), "terms")
+    terms = stored(windows.phrases.select(F.explode("words").alias("word")).select(term_of(F.col("word")).alias("term")).distinct(), "terms")
     counts = with_term(postings.select("term", "pos"), terms).groupBy("term").agg(F.count("*").alias("df"))
-    placed = windows.phrases.select("window_id", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term")).join(counts, "term")
+    placed = windows.phrases.select("window_id", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word")).withColumn("term", term_of(F.col("word"))).join(counts, "term")
     ranked = placed.groupBy("window_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "term", "offset"))).alias("rare"))
     ranked = stored(ranked.where(F.size("rare") == F.col("n")).drop("n"), "ranked")
     discard(terms)
@@ -114,13 +120,13 @@ def phrase_matches(postings: DataFrame, ranked: DataFrame) -> DataFrame:
     met = moved.where("pos >= 0").join(with_term(postings, seconds), ["doc", "pos", "term"])
     met = met.select("doc", "first", F.col("term1").alias("term"), F.col("term").alias("term2"), "shift")
     both = met.join(pairs, ["term", "term2", "shift"]).select("doc", (F.col("first") - F.col("offset")).alias("start"), "window_id").where("start >= 0")
-    both = stored(both, "both")
+    both = stored(both.distinct(), "both")  # repeated rows post the same
 
     rest = both.join(ranked, "window_id").select("doc", "start", "window_id", F.explode(F.slice("rare", 3, 1 << 30)).alias("x"))
     rest = rest.select("doc", (F.col("start") + F.col("x.offset")).alias("pos"), F.col("x.term").alias("term"), "start", "window_id")
     near = stored(both.select("doc").distinct(), "hit_docs")
     there = postings.join(F.broadcast(near) if bounded(near) else near, "doc", "left_semi")
-    others = rest.join(there, ["doc", "pos", "term"]).groupBy("doc", "start", "window_id").agg(F.count("*").alias("found"))
+    others = rest.join(there, ["doc", "pos", "term"]).groupBy("doc", "start", "window_id").agg(F.count_distinct("pos").alias("found"))
     sizes = ranked.select("window_id", F.size("rare").alias("len"))
     whole = both.join(sizes, "window_id").join(others, ["doc", "start", "window_id"], "left").where(F.coalesce("found", F.lit(0)) + 2 == F.col("len"))
     out = stored(alone.unionByName(whole.select("doc", "start", "len", "window_id")), "matches")
@@ -147,28 +153,48 @@ def proximity_matches(postings: DataFrame, ranked: DataFrame, slop: int) -> Data
     return found.join(need, "window_id").where("found = need").select("doc", F.col("at").alias("pos"), "window_id")
 
 
-def hit_words(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """(doc, n_hit, hit_items) of the documents with any occurrence, stored."""
+def spelled_out(found: DataFrame, docs: DataFrame, windows: Windows) -> DataFrame:
+    """(doc_id, doc, hits) of the documents in whose text some of the phrases stand word by word: array of (start, window_id)."""
+    placed = found.join(windows.phrases, "window_id").groupBy("doc").agg(F.collect_list(F.struct("start", "window_id", "words")).alias("hits"))
+    whole = docs.select("doc_id", doc_key().alias("doc"), "text").join(placed, "doc")
+    words = whole.select("doc_id", "doc", "hits", F.transform(tokens(F.col("text")), lower_ascii).alias("w"))
+    real = F.filter("hits", lambda h: F.slice("w", h["start"] + 1, F.size(h["words"])) == h["words"])
+    kept = words.select("doc_id", "doc", F.transform(real, lambda h: F.struct(h["start"].alias("start"), h["window_id"].alias("window_id"), F.size(h["words"]).alias("len"))).alias("hits"))
+    return kept.where(F.size("hits") > 0)
+
+
+def hit_words(docs: DataFrame, items: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc, n_hit, hit_items) of the documents with any occurrence, and (doc, n_words) of all with words; both stored."""
     windows = test_windows(items, n)
     postings = build_postings(docs)
     ranked = from_the_rarest(postings, windows)
     found = phrase_matches(postings, ranked)
+    lengths = stored(postings.groupBy("doc").agg((F.max("pos") + 1).cast("long").alias("n_words")), "lengths")
     discard(postings)
-    places = found.select("doc", "start", "len").distinct().select("doc", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct()
-    words = places.groupBy("doc").agg(F.count("*").alias("n_hit"))
-    owned = found.select("doc", "window_id").distinct().join(windows.owners.where("item_id is not null"), "window_id").select("doc", "item_id").distinct()
-    names = owned.groupBy("doc").agg(F.array_sort(F.collect_list("item_id")).alias("hit_items"))
-    return stored(words.join(names, "doc", "left"), "hits")
+    real = stored(spelled_out(found.select("doc", "start", "window_id"), docs, windows).dropDuplicates(["doc_id", "doc"]), "real")
+    each = real.select("doc_id", "doc", F.explode("hits").alias("h"))
+    places = each.select("doc_id", "doc", F.explode(F.sequence("h.start", F.col("h.start") + F.col("h.len") - 1)).alias("pos")).distinct()
+    words = places.groupBy("doc_id", "doc").agg(F.count("*").alias("n_hit"))
+    owned = each.select("doc_id", "doc", "h.window_id").distinct().join(windows.owners.where("item_id is not null"), "window_id").select("doc_id", "doc", "item_id").distinct()
+    names = owned.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_list("item_id")).alias("hit_items"))
+    hits = words.alias("a").join(names.alias("b"), same_document("a", "b"), "left").select("a.*", "b.hit_items")
+    out = stored(hits, "hits")
+    discard(ranked, found, real, windows.stored_at)
+    return out, lengths
+
+
+def same_document(a: str, b: str) -> Column:
+    return (F.col(f"{a}.doc") == F.col(f"{b}.doc")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = hit_words(docs, items, n)
-    rows = docs.select("doc_id", doc_key().alias("doc"), word_count(F.col("text"), ALNUM_WORD).alias("n_words"))
+    hits, lengths = hit_words(docs, items, n)
+    rows = docs.select("doc_id", doc_key().alias("doc")).join(lengths, "doc", "left")
     names = F.coalesce("hit_items", F.array().cast("array<string>"))
-    return rows.join(hits, "doc", "left").select(
-        "doc_id",
-        "n_words",
+    return rows.alias("r").join(hits.alias("h"), same_document("r", "h"), "left").select(
+        F.col("r.doc_id").alias("doc_id"),
+        F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
@@ -178,5 +204,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The documents in which no test window occurs, with all their columns."""
-    hits = hit_words(docs, items, n)
-    return docs.join(hits, doc_key() == hits["doc"], "left_anti")
+    hits, _ = hit_words(docs, items, n)
+    bad = hits.select(F.col("doc_id").alias("id"), F.col("doc").alias("key"))
+    return docs.join(bad, (doc_key() == bad["key"]) & docs["doc_id"].eqNullSafe(bad["id"]), "left_anti")

@@ -110,6 +110,8 @@ def test_decontamination(spark, docs, none, rows, monkeypatch, broadcast):
     items = [(i, rows[i][1][:120] if i % 2 else rows[i][1][40:90]) for i in range(12)] + [(50, "a B"), (51, None), (51, ""), (None, "y" * 100_000), (3, rows[3][1][:120])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert ordered(dc.decontaminate(docs, bench)) == brute.contaminated(rows, items)
+    again = [r for r in rows if r[0] is not None and r[0] < 30]
+    assert ordered(dc.decontaminate(docs.where("doc_id < 30").unionAll(docs.where("doc_id < 30")), bench)) == brute.contaminated(again * 2, items)
     assert dc.decontaminate(none, bench).count() == 0
     assert not dc.decontaminate(docs, bench.limit(0)).where("contaminated").count()
     clean = {r[0] for r in dc.decontaminate(docs, bench).where("not contaminated").select("doc_id").collect()}
@@ -135,9 +137,10 @@ def test_proximity_against_brute_force(spark):
     docs, bench = spark.createDataFrame(texts, DOC), spark.createDataFrame(items, "item_id long, text string")
     postings, windows = dc.build_postings(docs), dc.test_windows(bench, 4)
     words = {r["window_id"]: r["words"] for r in windows.phrases.collect()}
+    spelled = {r["term"]: r["word"] for r in spark.createDataFrame([(c,) for c in "abcdefg"], "word string").select("word", dc.term_of(F.col("word")).alias("term")).collect()}
     keys = {r["doc"]: r["doc_id"] for r in docs.select("doc_id", dc.doc_key().alias("doc")).collect()}
     ranked = dc.from_the_rarest(postings, windows)
-    rare = {r["window_id"]: r["rare"][0]["term"] for r in ranked.collect()}
+    rare = {r["window_id"]: spelled[r["rare"][0]["term"]] for r in ranked.collect()}
     got = {(keys[r["doc"]], r["pos"], r["window_id"]) for r in dc.proximity_matches(postings, ranked, 3).collect()}
     want = {(d, i, w) for d, t in texts for ws in [t.split()] for i, x in enumerate(ws) for w in rare if rare[w] == x and set(words[w]) <= set(ws[max(0, i - 3) : i + 4])}
     assert got == want
