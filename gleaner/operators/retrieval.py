@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries up to this many are broadcast to the chunks; beyond, Spark pairs partitions.
+#: Queries up to this many are broadcast; beyond, they are taken in blocks or shuffled.
 BROADCAST_QUERIES = 20_000
+#: Candidates that a task holds for all queries of a block.
+TASK_CANDIDATES = 1_000_000
 #: The words or trigrams of up to this many queries are broadcast (some 200 rows each); beyond, both sides are shuffled.
 BROADCAST_TERMS = 2_000
 RRF_OFFSET = 60
@@ -48,16 +54,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def paired(queries: DataFrame, chunks: DataFrame, n_queries: int | None = None) -> DataFrame:
-    """Every query with every chunk: queries are broadcast behind a count."""
-    n = queries.count() if n_queries is None else n_queries
-    return chunks.crossJoin(F.broadcast(queries) if n <= BROADCAST_QUERIES else queries)
-
-
 def few_terms(terms: DataFrame, n_queries: int) -> DataFrame:
     return F.broadcast(terms) if n_queries <= BROADCAST_TERMS else terms
 
@@ -77,13 +73,75 @@ def within(pairs: DataFrame, scope: DataFrame | None) -> DataFrame:
     return pairs if scope is None else pairs.join(scope, ["query_id", "doc_id"], "left_semi")
 
 
-def vector_candidates(queries: DataFrame, chunks: DataFrame, pool: int, scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, doc_id, chunk_index, score): the pool nearest chunks by cosine, in a scope of distinct rows if there is one."""
-    left = queries.select("query_id", "query_vec", F.sqrt(dot(F.col("query_vec"), F.col("query_vec"))).alias("qn"))
-    right = chunks.where(F.col("embedding").isNotNull()).select("id", "doc_id", "chunk_index", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("cn"))
-    both = paired(left, right) if scope is None else right.join(scope.select("query_id", "doc_id"), "doc_id").join(left, "query_id")
-    scored = both.select("query_id", "id", "doc_id", "chunk_index", F.round(dot(F.col("query_vec"), F.col("embedding")) / (F.col("qn") * F.col("cn")), 6).alias("score"))
-    return top_k(scored, pool).drop("rank")
+def unit(c: Column) -> Column:
+    return F.sqrt(dot(c, c))
+
+
+def vector_candidates(queries: DataFrame, chunks: DataFrame, pool: int, scope: DataFrame | None = None, oversample: int = 4) -> DataFrame:
+    """(query_id, id, doc_id, chunk_index, score): the pool nearest chunks by cosine, in a scope of distinct rows if there is one.
+
+    Without a scope, queries come in blocks of a bounded size to the vectors:
+    one-byte components choose `oversample` times the pool in each batch, full
+    precision orders them, and each task passes its best pool on.
+    """
+    asked = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
+    held = chunks.where(F.col("embedding").isNotNull()).select("id", "doc_id", "chunk_index", "embedding")
+    if scope is not None:
+        left = asked.withColumn("qn", unit(F.col("query_vec")))
+        both = held.withColumn("cn", unit(F.col("embedding"))).join(scope.select("query_id", "doc_id"), "doc_id").join(left, "query_id")
+        scored = both.select("query_id", "id", "doc_id", "chunk_index", F.round(dot(F.col("query_vec"), F.col("embedding")) / (F.col("qn") * F.col("cn")), 6).alias("score"))
+        return top_k(scored, pool).drop("rank")
+    n, most = asked.count(), max(64, TASK_CANDIDATES // (oversample * pool))
+    blocks = max(1, -(-n // most))
+    found = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        near = _nearest_in_tasks(part, held, pool, oversample)
+        found = near if found is None else found.unionByName(near)
+    return top_k(found, pool).drop("rank")
+
+
+def _nearest_in_tasks(asked: DataFrame, held: DataFrame, pool: int, oversample: int) -> DataFrame:
+    kinds = {n: asked.schema["query_id"].dataType if n == "query_id" else held.schema[n].dataType for n in ("query_id", "id", "doc_id", "chunk_index")}
+    rows = asked.collect()  # one block of a bounded size
+    shared = held.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))))
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
+    arrow = {n: to_arrow_type(t) for n, t in kinds.items()}
+
+    def bytes_of(x: np.ndarray) -> np.ndarray:
+        return np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30))).astype(np.float32)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        codes, q_norm = bytes_of(q), np.linalg.norm(q, axis=1)
+        codes = codes / np.maximum(np.linalg.norm(codes, axis=1, keepdims=True), 1e-30)
+        best = None
+        for b in batches:
+            lengths = np.asarray(b.column("embedding").value_lengths())
+            b = b.take(pa.array(np.flatnonzero(lengths == q.shape[1])))
+            if not b.num_rows or not len(ids):
+                continue
+            x = np.asarray(b.column("embedding").flatten(), dtype=np.float64).reshape(-1, q.shape[1])
+            low = bytes_of(x)
+            near = codes @ (low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-30)).T
+            m = min(len(x), oversample * pool)
+            at = np.argpartition(-near, m - 1, axis=1)[:, :m].ravel()
+            who = np.repeat(np.arange(len(ids)), m)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.round(np.einsum("ij,ij->i", q[who], x[at]) / (q_norm[who] * np.linalg.norm(x, axis=1)[at]), 6)
+            meta = [np.asarray(b.column(n))[at] for n in ("doc_id", "chunk_index", "id")]
+            rows = [who, score, *meta] if best is None else [np.concatenate(p) for p in zip(best, [who, score, *meta], strict=True)]
+            keep = ~np.isnan(rows[1])
+            rows = [r[keep] for r in rows]
+            order = np.lexsort((rows[4], rows[3], rows[2], -rows[1], rows[0]))
+            first = np.searchsorted(rows[0][order], rows[0][order], side="left")
+            order = order[np.arange(len(order)) - first < pool]
+            best = [r[order] for r in rows]
+        if best is not None:
+            who, score, doc, place, own = best
+            yield pa.RecordBatch.from_arrays([pa.array([ids[w] for w in who], arrow["query_id"]), pa.array(own, arrow["id"]), pa.array(doc, arrow["doc_id"]), pa.array(place, arrow["chunk_index"]), pa.array(score)], [*kinds, "score"])
+
+    return held.mapInArrow(search, schema)
 
 
 def words(text: Column) -> Column:
@@ -200,7 +258,7 @@ def merge_query_variants(cands: DataFrame, per_document: int, total: int) -> Dat
 
 
 def fuse_sources(sources: DataFrame, limit: int) -> DataFrame:
-    """Reciprocal-rank fusion of named sources (query_id, source, pos, item); ties by first appearance."""
+    """Reciprocal-rank fusion of named sources (query_id, source, pos, item); ties by first appearance, sources in the order of their names."""
     summed = sources.groupBy("query_id", "item").agg(
         F.round(F.sum(1.0 / (RRF_OFFSET + F.col("pos"))), 9).alias("score"),
         F.min(F.struct("source", "pos")).alias("first_seen"),
@@ -221,6 +279,11 @@ def channel_counts(fused: DataFrame, channels: list[str]) -> DataFrame:
     return fused.groupBy("query_id").agg(*[F.sum(F.col(f"{c}_rank").isNotNull().cast("long")).alias(f"n_{c}") for c in channels], F.count("*").alias("n"))
 
 
+def origin_counts(rows: DataFrame, by: str, origins: str) -> DataFrame:
+    """(by, origin, n): rows of each origin (an array); origins without a row have none."""
+    return rows.select(by, F.explode(F.array_distinct(origins)).alias("origin")).groupBy(by, "origin").agg(F.count("*").alias("n"))
+
+
 def document_relevance(fused: DataFrame, keyword_least: float = 1e-4, trigram_least: float = 0.12) -> DataFrame:
     lexical = (F.coalesce("keyword_score", F.lit(0.0)) >= keyword_least) | (F.coalesce("trigram_score", F.lit(0.0)) >= trigram_least)
     return fused.groupBy("query_id", "doc_id").agg(F.bool_or(lexical).alias("lexical"), F.max("vector_score").alias("best_vector"))
@@ -234,10 +297,27 @@ def admit_documents(relevance: DataFrame, least: float = 0.78, margin: float = 0
     return relevance.withColumn("reason", reason).withColumn("admitted", F.col("reason") != "weak")
 
 
-def admit_candidates(fused: DataFrame, admitted: DataFrame) -> DataFrame:
-    """Chunks follow their document."""
-    joined = fused.join(admitted.select("query_id", "doc_id", "admitted", "reason"), ["query_id", "doc_id"])
-    return joined.select("query_id", "id", "doc_id", F.when(F.col("admitted"), "admitted").otherwise("rejected").alias("admission_status"), F.col("reason").alias("admission_reason"))
+def admit_candidates(fused: DataFrame, admitted: DataFrame, records: DataFrame | None = None, least: float = 0.18) -> DataFrame:
+    """Every candidate with its status and reason; of rejected ones only the ids are told.
+
+    Chunks follow their document; records (query_id, id, doc_id, structured_score)
+    need a score of their own, and an admitted one brings its document in.
+    """
+    chunks = fused.select("query_id", "id", "doc_id", F.lit("chunk").alias("source_kind"))
+    docs = admitted.select("query_id", "doc_id", "admitted", "reason")
+    judged = None
+    if records is not None:
+        good = F.coalesce(F.col("structured_score") >= least, F.lit(False))
+        judged = records.select("query_id", "id", "doc_id", F.lit("record").alias("source_kind"), good.alias("ok"), F.when(good, "structured_record_score").otherwise("structured_record_below_threshold").alias("why"))
+        anchors = judged.where("ok").select("query_id", "doc_id", F.lit(True).alias("anchored")).distinct()
+        docs = docs.join(anchors, ["query_id", "doc_id"], "full")
+    else:
+        docs = docs.withColumn("anchored", F.lit(None).cast("boolean"))
+    own, brought = F.coalesce("admitted", F.lit(False)), F.coalesce("anchored", F.lit(False))
+    why = F.when(own, F.col("reason")).when(brought, "structured_record_document_anchor").otherwise("document_relevance_gate")
+    rows = chunks.join(docs, ["query_id", "doc_id"], "left").select("query_id", "id", "doc_id", "source_kind", (own | brought).alias("ok"), why.alias("why"))
+    rows = rows if judged is None else rows.unionByName(judged)
+    return rows.select("query_id", "id", "doc_id", "source_kind", F.when(F.col("ok"), "admitted").otherwise("rejected").alias("admission_status"), F.col("why").alias("admission_reason"))
 
 
 def restrict_to_ids(cands: DataFrame, doc_ids: DataFrame | None) -> DataFrame:

@@ -14,18 +14,18 @@ def _scoped(v: Views):
     i = F.col("id")
     versions = F.when(i % 4 == 0, F.array(F.lit("6"), F.lit("6.1"))).when(i % 4 == 1, F.array(F.lit("6.1"))).when(i % 4 == 2, F.array(F.lit("7"))).otherwise(F.array().cast("array<string>"))
     return v.chunks.select(
-        (i % 10).alias("query_id"), "id", "doc_id", "chunk_index", "section_key", F.when(i % 5 != 0, F.concat(F.lit("p"), i % 3)).alias("product"), versions.alias("versions"),
+        F.floor(i / 40).alias("query_id"), "id", "doc_id", "chunk_index", "section_key", F.when(i % 5 != 0, F.concat(F.lit("p"), i % 3)).alias("product"), versions.alias("versions"),
         F.when(i % 6 == 2, F.array(F.lit("6.1"))).otherwise(F.array().cast("array<string>")).alias("compatible"), F.when(i % 7 == 3, F.array(F.lit("6.1"))).otherwise(F.array().cast("array<string>")).alias("unsupported"),
     )
 
 
-SC = CH + """, sc AS (SELECT id % 10 AS query_id, id, doc_id, chunk_index, section_key, CASE WHEN id % 5 <> 0 THEN 'p' || (id % 3) END AS product,
+SC = CH + """, sc AS (SELECT CAST(floor(id / 40) AS BIGINT) AS query_id, id, doc_id, chunk_index, section_key, CASE WHEN id % 5 <> 0 THEN 'p' || (id % 3) END AS product,
   CASE id % 4 WHEN 0 THEN ['6', '6.1'] WHEN 1 THEN ['6.1'] WHEN 2 THEN ['7'] ELSE CAST([] AS VARCHAR[]) END AS versions,
   CASE WHEN id % 6 = 2 THEN ['6.1'] ELSE CAST([] AS VARCHAR[]) END AS compatible, CASE WHEN id % 7 = 3 THEN ['6.1'] ELSE CAST([] AS VARCHAR[]) END AS unsupported FROM chunks)"""
 
 
 def _scopes(v: Views):
-    q = v.chunks.select((F.col("id") % 10).alias("query_id")).distinct()
+    q = v.chunks.select(F.floor(F.col("id") / 40).alias("query_id")).distinct()
     rows = [q.select("query_id", F.lit(s).alias("scope_id"), F.lit(p).cast("string").alias("target_product"), F.lit(x).cast("string").alias("target_version")) for s, p, x in ((1, "p1", "6.1"), (2, "p2", None))]
     return rows[0].unionByName(rows[1])
 
@@ -34,12 +34,12 @@ def _rows(v: Views):
     i = F.col("id")
     pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (i % n).cast("int"))
     return v.chunks.select(
-        (i % 10).alias("query_id"), "id", "doc_id", "chunk_index", "content", pick(["direct", "related", "irrelevant"], 3).alias("role"), pick(["exact", "compatible", "neutral", "unknown", "mismatch"], 5).alias("constraint_status"),
+        F.floor(i / 40).alias("query_id"), "id", "doc_id", "chunk_index", "content", pick(["direct", "related", "irrelevant"], 3).alias("role"), pick(["exact", "compatible", "neutral", "unknown", "mismatch"], 5).alias("constraint_status"),
         (i % 7 / 10).alias("support"), (i % 4 / 10).alias("topic"), (i % 9 / 10).alias("score"), (i * 31 % 503).alias("pos"), (i % 6 == 0).alias("is_seed"), pick(["table", "specific", "overview", "other"], 4).alias("kind"),
     )
 
 
-RW = CH + """, rw AS (SELECT id % 10 AS query_id, id, doc_id, chunk_index, content, ['direct', 'related', 'irrelevant'][1 + id % 3] AS role, ['exact', 'compatible', 'neutral', 'unknown', 'mismatch'][1 + id % 5] AS constraint_status,
+RW = CH + """, rw AS (SELECT CAST(floor(id / 40) AS BIGINT) AS query_id, id, doc_id, chunk_index, content, ['direct', 'related', 'irrelevant'][1 + id % 3] AS role, ['exact', 'compatible', 'neutral', 'unknown', 'mismatch'][1 + id % 5] AS constraint_status,
   id % 7 / 10 AS support, id % 4 / 10 AS topic, id % 9 / 10 AS score, id * 31 % 503 AS pos, id % 6 = 0 AS is_seed, ['table', 'specific', 'overview', 'other'][1 + id % 4] AS kind FROM chunks)"""
 ROLE = "CASE role WHEN 'direct' THEN 3 WHEN 'related' THEN 2 ELSE 1 END"
 
@@ -83,7 +83,7 @@ Q = {
     ),
     "C15_scope_match_join": (
         lambda v: V.scope_match_join(_scoped(v), _scopes(v)),
-        SC + """, scopes AS (SELECT * FROM (SELECT DISTINCT id % 10 AS query_id FROM chunks), (VALUES (1, 'p1', '6.1'), (2, 'p2', NULL)) t(scope_id, tp, tv)),
+        SC + """, scopes AS (SELECT * FROM (SELECT DISTINCT CAST(floor(id / 40) AS BIGINT) AS query_id FROM chunks), (VALUES (1, 'p1', '6.1'), (2, 'p2', NULL)) t(scope_id, tp, tv)),
         p AS (SELECT sc.query_id, id, scope_id, CASE WHEN tp IS NOT NULL AND product IS NOT NULL AND product <> tp THEN 'mismatch' WHEN product IS NULL THEN 'unknown' WHEN tv IS NULL THEN 'exact' WHEN list_contains(unsupported, tv) THEN 'mismatch'
           WHEN len(versions) = 1 AND list_contains(versions, tv) THEN 'exact' WHEN list_contains(versions, tv) OR list_contains(compatible, tv) THEN 'compatible' WHEN len(versions) > 0 THEN 'mismatch' ELSE 'unknown' END AS constraint_status FROM sc JOIN scopes USING (query_id)),
         f AS (SELECT *, CASE constraint_status WHEN 'exact' THEN 3 WHEN 'compatible' THEN 2 WHEN 'neutral' THEN 1 ELSE 0 END AS fit FROM p)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.operators import catalog as C
 from gleaner.operators import retrieval as R
 from gleaner.plans.views import Views, duckdb_views
 
@@ -12,7 +13,7 @@ WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lamb
 BASE = duckdb_views("queries", "docs") + rf""",
 vis AS (SELECT c.* FROM chunks c JOIN docs d USING (doc_id, kb_id) WHERE d.status = 'ready' AND d.is_active),
 vec_all AS (
-  SELECT query_id, id, doc_id, chunk_index, round(list_cosine_similarity(CAST(query_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM queries, vis WHERE embedding IS NOT NULL),
+  SELECT query_id, id, doc_id, chunk_index, round(list_cosine_similarity(CAST(query_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM queries, vis WHERE embedding IS NOT NULL AND query_vec IS NOT NULL),
 vec AS (SELECT * FROM vec_all QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, id) <= 80),
 w AS (SELECT id, doc_id, chunk_index, {WORDS.format('content')} AS w FROM vis),
 idx AS (SELECT token, id, doc_id, chunk_index, len, count(*) AS tf FROM (SELECT id, doc_id, chunk_index, len(w) AS len, unnest(w) AS token FROM w) GROUP BY ALL),
@@ -142,13 +143,23 @@ Q = {
     "D18_document_relevance": (lambda v: R.document_relevance(_fused(v)), BASE + "SELECT query_id, doc_id, lexical, best_vector FROM rel"),
     "D19_admit_documents": (lambda v: R.admit_documents(R.document_relevance(_fused(v))), BASE + "SELECT query_id, doc_id, lexical, best_vector, reason, reason <> 'weak' AS admitted FROM adm"),
     "D20_admit_candidates": (
-        lambda v: R.admit_candidates((f := _fused(v)), R.admit_documents(R.document_relevance(f))),
-        BASE + "SELECT f.query_id, id, f.doc_id, CASE WHEN reason <> 'weak' THEN 'admitted' ELSE 'rejected' END AS admission_status, reason AS admission_reason FROM fused f JOIN adm a ON f.query_id = a.query_id AND f.doc_id = a.doc_id",
+        lambda v: R.admit_candidates((f := _fused(v)), R.admit_documents(R.document_relevance(f.where("doc_id % 2 = 0"))), f.where("trigram_score is not null").select("query_id", "id", "doc_id", F.col("trigram_score").alias("structured_score"))),
+        BASE + """, even AS (SELECT * FROM adm WHERE doc_id % 2 = 0), rec AS (SELECT query_id, id, doc_id, trigram_score >= 0.18 AS ok FROM fused WHERE trigram_score IS NOT NULL), anchor AS (SELECT DISTINCT query_id, doc_id FROM rec WHERE ok)
+        SELECT f.query_id, f.id, f.doc_id, 'chunk' AS source_kind, CASE WHEN coalesce(e.reason <> 'weak', false) OR a.doc_id IS NOT NULL THEN 'admitted' ELSE 'rejected' END AS admission_status,
+               CASE WHEN coalesce(e.reason <> 'weak', false) THEN e.reason WHEN a.doc_id IS NOT NULL THEN 'structured_record_document_anchor' ELSE 'document_relevance_gate' END AS admission_reason
+        FROM fused f LEFT JOIN even e ON f.query_id = e.query_id AND f.doc_id = e.doc_id LEFT JOIN anchor a ON f.query_id = a.query_id AND f.doc_id = a.doc_id
+        UNION ALL SELECT query_id, id, doc_id, 'record', CASE WHEN ok THEN 'admitted' ELSE 'rejected' END, CASE WHEN ok THEN 'structured_record_score' ELSE 'structured_record_below_threshold' END FROM rec""",
     ),
     "D21_channel_counts": (
         lambda v: R.channel_counts(_fused(v), CHANNELS),
         BASE + "SELECT query_id, count(vector_rank) AS n_vector, count(keyword_rank) AS n_keyword, count(trigram_rank) AS n_trigram, count(*) AS n FROM fused GROUP BY query_id",
     ),
+    "D21_origin_counts": (
+        lambda v: R.origin_counts(C.structural_neighbors(v.chunks.where("chunk_index = 1"), v.chunks).select("doc_id", F.transform(F.split("origins", ","), lambda x: F.split_part(x, F.lit(":"), F.lit(1))).alias("origins")), "doc_id", "origins"),
+        duckdb_views("chunks") + """, s AS (SELECT * FROM chunks WHERE chunk_index = 1), t AS (SELECT DISTINCT c.doc_id, c.id, 'table_sibling' AS origin FROM s JOIN chunks c ON c.table_id = s.table_id AND abs(c.table_part_index - s.table_part_index) = 1),
+        n AS (SELECT c.doc_id, c.id, 'same_section' AS origin FROM s JOIN chunks c ON c.doc_id = s.doc_id AND c.section_key = s.section_key AND c.id <> s.id), a AS (SELECT c.doc_id, c.id, 'adjacent' AS origin FROM s JOIN chunks c ON c.doc_id = s.doc_id AND abs(c.chunk_index - s.chunk_index) = 1)
+        SELECT doc_id, origin, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM n UNION ALL SELECT * FROM a) GROUP BY ALL""",
+    ),
     "G1_top_k": (lambda v: R.top_k(_fused(v), 5).select("query_id", "id", "score", "rank"), BASE + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, id) AS rank FROM fused QUALIFY rank <= 5"),
     "W3_fused_document_rank": (lambda v: R.hybrid_search(v.queries, _visible(v), 1000).select("query_id", "id", "fused_document_rank"), BASE.replace("<= 80", "<= 240") + "SELECT query_id, id, fused_document_rank FROM few"),
     "W4_fusion_rank": (

@@ -10,14 +10,14 @@ from gleaner.tables import table
 VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     "chunks": (
         ("embeddings", "documents"),
-        """SELECT e.vec_id AS id, CAST(floor(e.vec_id / 4) AS BIGINT) AS doc_id, CAST(e.vec_id % 4 AS INT) AS chunk_index,
-           CAST(floor(e.vec_id / 4) AS BIGINT) % 5 AS kb_id, d.text AS content, e.embedding AS embedding,
-           concat('sec-', CAST(floor((e.vec_id % 4) / 2) AS INT)) AS section_key,
+        """SELECT d.doc_id AS id, CAST(floor(d.doc_id / 4) AS BIGINT) AS doc_id, CAST(d.doc_id % 4 AS INT) AS chunk_index,
+           CAST(floor(d.doc_id / 4) AS BIGINT) % 5 AS kb_id, d.text AS content, e.embedding AS embedding,
+           concat('sec-', CAST(floor((d.doc_id % 4) / 2) AS INT)) AS section_key,
            CASE WHEN e.label % 2 = 0 THEN 'table' ELSE 'text' END AS block_type,
-           CASE WHEN e.label % 2 = 0 THEN concat('t-', CAST(floor(e.vec_id / 4) AS BIGINT)) END AS table_id,
-           CASE WHEN e.label % 2 = 0 THEN CAST(e.vec_id % 4 AS INT) END AS table_part_index,
+           CASE WHEN e.label % 2 = 0 THEN concat('t-', CAST(floor(d.doc_id / 4) AS BIGINT)) END AS table_id,
+           CASE WHEN e.label % 2 = 0 THEN CAST(d.doc_id % 4 AS INT) END AS table_part_index,
            CASE WHEN e.label % 2 = 0 THEN 4 END AS table_part_count
-           FROM {embeddings} e JOIN {documents} d ON d.doc_id = e.vec_id""",
+           FROM {documents} d LEFT JOIN {embeddings} e ON d.doc_id = e.vec_id""",
         None,
     ),
     "docs": (
@@ -62,14 +62,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     "users": (("customer",), "SELECT c_custkey AS user_id, c_name AS username, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_nationkey END AS role_id, c_custkey % 50 = 0 AS is_superadmin FROM {customer}", None),
     "kv_rows": (("part",), "SELECT p_brand AS sheet, p_partkey AS row_id, p_name AS name, p_type AS type, CAST(p_size AS STRING) AS size FROM {part}", None),
     "queries": (
-        ("chunks",),
-        r"""SELECT id AS query_id, embedding AS query_vec, array_join(slice(split(lower(content), '[ \\n]+'), 1, 3), ' ') AS query FROM {chunks} WHERE id % 50 = 0""",
-        r"""SELECT id AS query_id, embedding AS query_vec, array_to_string(list_slice(string_split_regex(lower(content), '[ \n]+'), 1, 3), ' ') AS query FROM {chunks} WHERE id % 50 = 0""",
+        ("benchmark", "embeddings"),
+        r"""SELECT b.item_id AS query_id, e.embedding AS query_vec, array_join(slice(split(lower(b.text), '[ \\n]+'), 1, 3), ' ') AS query FROM {benchmark} b LEFT JOIN {embeddings} e ON e.vec_id = b.item_id""",
+        r"""SELECT b.item_id AS query_id, e.embedding AS query_vec, array_to_string(list_slice(string_split_regex(lower(b.text), '[ \n]+'), 1, 3), ' ') AS query FROM {benchmark} b LEFT JOIN {embeddings} e ON e.vec_id = b.item_id""",
     ),
+    # Tables of some 40 rows: a brand's parts, a thousand keys at a time.
     "md_chunks": (
         ("part",),
-        r"""SELECT p_brand AS doc_name, concat('| name | type |\n| --- | --- |\n', listagg(concat('| ', p_name, ' | ', p_type, ' |'), '\n') WITHIN GROUP (ORDER BY p_partkey)) AS content FROM {part} GROUP BY p_brand""",
-        """SELECT p_brand AS doc_name, concat('| name | type |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', p_name, ' | ', p_type, ' |'), chr(10) ORDER BY p_partkey)) AS content FROM {part} GROUP BY p_brand""",
+        r"""SELECT concat(p_brand, '-', CAST(floor(p_partkey / 1000) AS BIGINT)) AS doc_name, concat('| name | type |\n| --- | --- |\n', listagg(concat('| ', p_name, ' | ', p_type, ' |'), '\n') WITHIN GROUP (ORDER BY p_partkey)) AS content FROM {part} GROUP BY p_brand, floor(p_partkey / 1000)""",
+        """SELECT concat(p_brand, '-', CAST(floor(p_partkey / 1000) AS BIGINT)) AS doc_name, concat('| name | type |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', p_name, ' | ', p_type, ' |'), chr(10) ORDER BY p_partkey)) AS content FROM {part} GROUP BY p_brand, floor(p_partkey / 1000)""",
     ),
 }
 
