@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 4_000_000
+#: Text of a batch: a share of all of it, within these bounds.
+LEAST_BATCH, MOST_BATCH, BATCH_SHARE = 4_000_000, 64_000_000, 4096
 
 
 @dataclass(frozen=True)
@@ -29,10 +30,11 @@ class Layout:
     width: int
 
 
-def layout(docs: DataFrame, unit_bytes: float, batch_bytes: int = BATCH_BYTES) -> Layout:
+def layout(docs: DataFrame, unit_bytes: float, batch_bytes: int | None = None) -> Layout:
     """From the size of all texts.  unit_bytes: text per fingerprint of the rarer side;
     the width keeps chance matches under one in a hundred."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batch_bytes = batch_bytes or min(MOST_BATCH, max(LEAST_BATCH, total // BATCH_SHARE))
     batches = max(1, -(-total // batch_bytes))
     units = max(2.0, total / unit_bytes)
     width = min(8, max(4, int(-(-(np.log2(units) + 7) // 8))))
@@ -44,11 +46,16 @@ def in_batches(docs: DataFrame, batches: int) -> DataFrame:
     return docs.withColumn("__batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
 
 
-def cut(sorted_h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted fingerprints (buckets + 1 places)."""
+def occupied(buckets: np.ndarray) -> list[tuple[int, slice]]:
+    """Each bucket that occurs in sorted bucket numbers, with its stretch: as many as there are fingerprints at most."""
+    firsts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else np.zeros(0, np.int64)
+    return [(int(buckets[a]), slice(int(a), int(b))) for a, b in zip(firsts, np.append(firsts[1:], len(buckets)), strict=True)] if len(buckets) else []
+
+
+def cut(sorted_h: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """The buckets of sorted fingerprints, each a slice of the fingerprint space."""
     with np.errstate(over="ignore"):
-        b = ((sorted_h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
-    return np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
+        return occupied(((sorted_h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24))
 
 
 def pack(h: np.ndarray, width: int) -> bytes:

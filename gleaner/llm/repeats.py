@@ -3,7 +3,8 @@
 Every document is cut into non-overlapping reference blocks of half a window.
 A window that also stands elsewhere holds one whole block of that other place,
 so rolling probes at every word find it.  Probes that hit extend to the windows
-around them; a window's words are compared by a 96-bit fingerprint.
+around them; a window's words are compared by a 96-bit fingerprint: among n
+windows, some two unlike ones are taken for equal with a chance below n**2 / 2**97.
 
 Rounds (all by shuffles of packets, see packets.py):
   1. probes and anchors of all batches meet; hits go back to their batches
@@ -13,7 +14,8 @@ Rounds (all by shuffles of packets, see packets.py):
 Cases: a null text has no words and stays null; a document with a null doc_id
 is neither a source of removals nor cut; rows with one doc_id don't cut each
 other; an empty table gives no rows; other columns pass through, and a clash
-with a result column is resolved in favour of the result.
+with a result column is resolved in favour of the result.  doc_id is a whole
+number; rows equal in doc_id and text share a batch.
 """
 
 from __future__ import annotations
@@ -96,13 +98,10 @@ def block_probes(words: Words, block: int) -> tuple[np.ndarray, ...]:
 def send_probes(table: pa.Table, block: int, lay: Layout) -> pa.Table:
     unique, is_anchor, _, _, _ = block_probes(Words(table), block)
     batch = table.column("__batch")[0].as_py()
-    edges = cut(unique, lay.buckets)
     rows = []
-    for b in range(lay.buckets):
-        span = slice(edges[b], edges[b + 1])
-        if edges[b] < edges[b + 1]:
-            a = is_anchor[span]
-            rows.append((b, batch, pack(unique[span][~a], lay.width), pack(unique[span][a], lay.width)))
+    for b, span in cut(unique, lay.buckets):
+        a = is_anchor[span]
+        rows.append((b, batch, pack(unique[span][~a], lay.width), pack(unique[span][a], lay.width)))
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PROBES)], schema=PROBES)
 
 
@@ -159,13 +158,7 @@ def send_windows(table: pa.Table, hits: pa.Table, block: int, window: int, lay:
     words, starts, h, h2 = candidate_windows(table, hits, block, window, lay)
     key, second, owner = smallest_owner(words, starts, h, h2)
     batch = table.column("__batch")[0].as_py() if table.num_rows else 0
-    edges = cut(key, lay.buckets)
-    rows = [
-        (b, batch, key[s].astype("<u8").tobytes(), second[s].astype("<u4").tobytes(), pack_ids(owner[s]))
-        for b in range(lay.buckets)
-        if edges[b] < edges[b + 1]
-        for s in [slice(edges[b], edges[b + 1])]
-    ]
+    rows = [(b, batch, key[s].astype("<u8").tobytes(), second[s].astype("<u4").tobytes(), pack_ids(owner[s])) for b, s in cut(key, lay.buckets)]
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(WINDOWS)], schema=WINDOWS)
 
 

@@ -10,23 +10,27 @@ bytes, the same one wherever the string stands, so:
      distinct neighbourhood
   3. the suffixes that start in open neighbourhoods are range-partitioned by
      their leading token with sampled splitters; each bucket sorts its suffixes
-     by leading token, then by the fingerprint of the whole string (a multikey
-     sort); equal neighbours are repeats.  A leading token that several
+     by multikey quicksort: leading token first, then the fingerprint of the
+     whole string; equal neighbours are repeats.  A leading token that several
      splitters share is split by the second key, so a common token is not one
      task's work, and equal strings can't lie on two sides of a boundary
   4. batches remove the bytes under repeated strings
 
 Everything travels as packets (packets.py): a string that a batch holds often is
 sent once.  Strings are told apart by their first eight bytes and a 64-bit
-fingerprint, neighbourhoods by 64 bits.
+fingerprint, neighbourhoods by 64 bits: among n open strings, some two unlike ones
+with one beginning are taken for equal with a chance below n**2 / 2**65.
 
 Cases: a null text is empty and stays null; texts below `length` bytes lose
 nothing; equal rows remove each other; an empty table gives no rows; doc_id is
-only passed through, as are other columns.
+only passed through, as are other columns; rows equal in doc_id and text share a
+batch.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,7 +40,7 @@ from pyspark.sql import types as T
 
 from gleaner.llm.grams import BYTE_BASE, BYTE_CODES, doc_slices, inverse_powers, mix, powers, text_bytes
 from gleaner.llm.minimizers import sample_positions
-from gleaner.llm.packets import Layout, by_batch, contains, cut, in_batches, joined, layout, pack, shortened, unpack
+from gleaner.llm.packets import Layout, by_batch, contains, cut, in_batches, joined, layout, occupied, pack, shortened, unpack
 
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 #: A gram in more batches than this has its neighbourhoods dealt one by one.
@@ -53,9 +57,36 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
 
+#: Parts that quicksort leaves to a plain sort.
+SMALL_PART = 4096
+
+
+def multikey_quicksort(*keys: np.ndarray) -> np.ndarray:
+    """The order by the first key, then the next: a part is split into less, equal and more
+    than a pivot of its key; the equal part goes on with the next key."""
+    order = np.arange(len(keys[0]))
+    parts = [(0, len(order), 0)]
+    while parts:
+        a, b, depth = parts.pop()
+        if b - a < 2 or depth == len(keys):
+            continue
+        part = order[a:b]
+        if b - a <= SMALL_PART:
+            order[a:b] = part[np.lexsort([k[part] for k in keys[depth:]][::-1])]
+            continue
+        key = keys[depth][part]
+        few = np.sort(key[:: max(1, len(key) // 31)])
+        pivot = few[len(few) // 2]
+        less, same = part[key < pivot], part[key == pivot]
+        order[a:b] = np.concatenate([less, same, part[key > pivot]])
+        middle, end = a + len(less), a + len(less) + len(same)
+        parts += [(a, middle, depth), (middle, end, depth + 1), (end, b, depth)]
+    return order
+
+
 def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first place of each distinct key in it, how often it occurs)."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = multikey_quicksort(*keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     if not len(order):
         return order, order, order
     fresh = np.zeros(len(order), bool)
@@ -115,8 +146,27 @@ class Texts:
         return out
 
 
-def packets(batch: int, edges: np.ndarray, columns: list[bytes | np.ndarray], raw) -> pa.Table:
-    rows = [(b, batch, *raw(slice(edges[b], edges[b + 1]))) for b in range(len(edges) - 1) if edges[b] < edges[b + 1]]
+@dataclass(frozen=True)
+class Splitters:
+    """Even ranks of a bounded sample of leading tokens: distinct tokens, and how many of the splitters lie up to each."""
+
+    tokens: np.ndarray
+    upto: np.ndarray
+
+    @classmethod
+    def of(cls, sample: np.ndarray, buckets: int) -> Splitters:
+        tokens, counts = np.unique(sample, return_counts=True)
+        # The k-th of buckets - 1 splitters is the sample's entry at rank k * n // buckets.
+        upto = np.minimum(-(-np.cumsum(counts) * buckets // max(1, len(sample))) - 1, buckets - 1)
+        return cls(tokens, np.concatenate(([0], upto)).astype(np.int64))
+
+    def ranges(self, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Splitters below each token, and up to it."""
+        return self.upto[np.searchsorted(self.tokens, lead, side="left")], self.upto[np.searchsorted(self.tokens, lead, side="right")]
+
+
+def packets(batch: int, buckets: list[tuple[int, slice]], raw) -> pa.Table:
+    rows = [(b, batch, *raw(s)) for b, s in buckets]
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKETS)], schema=PACKETS)
 
 
@@ -145,14 +195,14 @@ def answers_of(table: pa.Table, kind: int, width: int = 8) -> tuple[np.ndarray,
 class Job:
     """The four rounds over a batch; sizes are fixed by the caller."""
 
-    def __init__(self, lay: Layout, length: int, gram: int, splitters: np.ndarray):
+    def __init__(self, lay: Layout, length: int, gram: int, splitters: Splitters):
         self.lay, self.length, self.gram, self.splitters = lay, length, gram, splitters
 
     def send_grams(self, table: pa.Table) -> pa.Table:
         texts = Texts(table)
         _, h = texts.samples(self.length, self.gram)
         h = np.unique(h)
-        return packets(texts.batch, cut(h, self.lay.buckets), [h], lambda s: (pack(h[s], self.lay.width), b"", b""))
+        return packets(texts.batch, cut(h, self.lay.buckets), lambda s: (pack(h[s], self.lay.width), b"", b""))
 
     def match_grams(self, table: pa.Table) -> pa.Table:
         batch, h, _, _ = spread(table, self.lay.width)
@@ -186,7 +236,7 @@ class Job:
         flag = (counts > 1).astype(np.uint8) | (hot[pick].astype(np.uint8) << 1)
         by = np.argsort(key, kind="stable")
         hs, cs, fs = h[pick][by], c[pick][by], flag[by]
-        return packets(texts.batch, cut(key[by], self.lay.buckets), [], lambda s: (hs[s].astype("<u8").tobytes(), cs[s].astype("<u8").tobytes(), fs[s].tobytes()))
+        return packets(texts.batch, cut(key[by], self.lay.buckets), lambda s: (hs[s].astype("<u8").tobytes(), cs[s].astype("<u8").tobytes(), fs[s].tobytes()))
 
     def match_neighbourhoods(self, table: pa.Table) -> pa.Table:
         batch, h, c, flag = spread(table)
@@ -224,8 +274,7 @@ class Job:
         return starts, lead, texts.stretches(starts, starts + self.length), begin[repeated], end[repeated]
 
     def bucket_of(self, lead: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        low = np.searchsorted(self.splitters, lead, side="left")
-        high = np.searchsorted(self.splitters, lead, side="right")
+        low, high = self.splitters.ranges(lead)
         with np.errstate(over="ignore"):
             return low + (((tail >> np.uint64(40)) * (high - low + 1).astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
 
@@ -237,9 +286,8 @@ class Job:
         lead, tail, many = lead[pick], tail[pick], (counts > 1).astype(np.uint8)
         bucket = self.bucket_of(lead, tail)
         by = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[by], np.arange(len(self.splitters) + 2))
         lead, tail, many = lead[by], tail[by], many[by]
-        return packets(texts.batch, edges, [], lambda s: (lead[s].astype("<u8").tobytes(), tail[s].astype("<u8").tobytes(), many[s].tobytes()))
+        return packets(texts.batch, occupied(bucket[by]), lambda s: (lead[s].astype("<u8").tobytes(), tail[s].astype("<u8").tobytes(), many[s].tobytes()))
 
     def sort_suffixes(self, table: pa.Table) -> pa.Table:
         """Suffixes of a bucket in order; equal neighbours from different batches are repeats."""
@@ -281,17 +329,14 @@ class Job:
         return pa.Table.from_arrays([(extra[f.name] if f.name in extra else table.column(f.name)).cast(f.type) for f in schema], schema=schema)
 
 
-def sampled_splitters(docs: DataFrame, buckets: int, n_docs: int) -> np.ndarray:
-    """buckets - 1 leading tokens at even ranks of a bounded sample of places."""
+def sampled_splitters(docs: DataFrame, buckets: int, n_docs: int) -> Splitters:
+    """Splitters for so many buckets, from a bounded sample of places: the task's closure does not grow with the input."""
     every = max(1, n_docs // (SPLITTER_SAMPLE // 8))
     rows = docs.select("text", F.xxhash64("text").alias("h")).where((F.octet_length("text") >= 200) & (F.pmod("h", F.lit(every)) == 0))
     place = F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.pmod(F.xxhash64("h", k), F.greatest(F.length("text") - 7, F.lit(1))).cast("int")))
     places = rows.select("text", place.alias("at")).select(F.encode(F.substring("text", F.col("at") + 1, F.lit(8)), "UTF-8").alias("lead"))
     found = [int.from_bytes(bytes(r[0][:8]).ljust(8, b"\0"), "big") for r in places.limit(2 * SPLITTER_SAMPLE).collect()]
-    tokens = np.sort(np.array(found, dtype=np.uint64))
-    if not len(tokens):
-        return np.zeros(0, np.uint64)
-    return tokens[(np.arange(1, buckets) * len(tokens)) // buckets]
+    return Splitters.of(np.array(found, dtype=np.uint64), buckets)
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 200, gram: int = 160) -> DataFrame:

@@ -67,7 +67,7 @@ def test_suffix_dedup(docs, none, rows, monkeypatch, batch):
 def test_suffix_dedup_of_texts_with_fewer_characters_than_bytes(spark):
     rows = [(1, "ж" * 100), (2, "".join(chr(0x430 + i % 32) for i in range(100))), (3, "".join(chr(0x4E00 + i) for i in range(100))), (4, "".join(chr(0x4E00 + i) for i in range(70))), (5, "\U0001f600" * 50), (6, "short")]
     few = spark.createDataFrame(rows, DOC)
-    assert len(suffixes.sampled_splitters(few, 4, len(rows))) == 3
+    assert suffixes.sampled_splitters(few, 4, len(rows)).upto[-1] == 3
     digest = suffixes.remove_repeated_strings(few).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256))
     assert ordered(digest) == brute.repeated_bytes(rows)
 
@@ -75,12 +75,28 @@ def test_suffix_dedup_of_texts_with_fewer_characters_than_bytes(spark):
 def test_suffix_dedup_with_hot_grams(docs, rows, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_BATCHES", 2)
     monkeypatch.setattr(suffixes, "layout", lambda d, u: packets.layout(d, u, 20_000))
-    job = suffixes.Job(packets.Layout(4, 4, 4), 200, 160, np.zeros(0, np.uint64))
-    assert job.lay.buckets == 4
     got = suffixes.remove_repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256))
     assert ordered(got) == brute.repeated_bytes(rows)
 
 
+def test_splitters_are_the_even_ranks_of_the_sample():
+    rng = np.random.default_rng(4)
+    for n, buckets in ((0, 5), (1, 4), (50, 7), (200, 64), (30, 400)):
+        sample = np.sort(rng.integers(0, 25, n).astype(np.uint64))
+        plain = sample[(np.arange(1, buckets) * n) // buckets] if n else sample
+        low, high = suffixes.Splitters.of(sample, buckets).ranges(np.arange(27, dtype=np.uint64))
+        assert low.tolist() == np.searchsorted(plain, np.arange(27), side="left").tolist() and high.tolist() == np.searchsorted(plain, np.arange(27), side="right").tolist()
+
+
+@pytest.mark.parametrize("part", [1, 3, 4096])
+def test_multikey_quicksort(monkeypatch, part):
+    monkeypatch.setattr(suffixes, "SMALL_PART", part)
+    rng = np.random.default_rng(part)
+    a, b = rng.integers(0, 9, 3000).astype(np.uint64), rng.integers(0, 2**60, 3000).astype(np.uint64) % np.uint64(50)
+    order = suffixes.multikey_quicksort(a, b)
+    assert sorted(order.tolist()) == list(range(3000)) and [(a[i], b[i]) for i in order] == sorted(zip(a, b))
+
+
 @pytest.mark.parametrize("batch", [20_000, 4_000_000])
 def test_substring_dedup(docs, none, rows, monkeypatch, batch):
     monkeypatch.setattr(repeats, "layout", lambda d, u: packets.layout(d, u, batch))
