@@ -332,9 +332,9 @@ def test_main_text(spark):
     assert mains(PAGE) == ["Head", "One & two three", "Four five six"]
     unique = [f"unique {' '.join(str(i * 100 + k) for k in range(30))}" for i in range(20)]
     rows = [(i, f"http://h.org/{i}", SHELL.format(u)) for i, u in enumerate(unique)] + [(90, None, None), (91, "http://h.org/x", ""), (92, "http://h.org/y", PAGE), (92, "http://h.org/y", PAGE), (93, "u", "plain < text & more")]
-    for pages_each in (5000, 7):
+    for size in (4_000_000, 2_500):
         clash = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], HTML + ", host string, shard int, text string, blocks int")
-        got = {r["page_id"]: r for r in pages.extract_main_text(clash, pages.PagePlan(shard_pages=pages_each, far_sample=1)).collect()}
+        got = {r["page_id"]: r for r in pages.extract_main_text(clash, pages.PagePlan(shard_bytes=size, far_sample=1)).collect()}
         texts = {k: r["text"] for k, r in got.items()}
         assert [texts[i] for i in range(20)] == unique and texts[90] == texts[91] == "" and texts[92] == "Head\nOne & two three\nFour five six"
         assert texts[93].startswith("plain") and all(got[i]["n_repeated"] >= 20 and (got[i]["host"], got[i]["shard"], got[i]["blocks"]) == ("x", 1, 2) for i in range(20))
