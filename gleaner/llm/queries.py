@@ -15,7 +15,6 @@ from gleaner.llm.repeats import remove_repeats
 from gleaner.llm.suffixes import remove_repeated_strings
 from gleaner.llm.tokens import count_tokens
 from gleaner.llm.urls import Rule, judge_urls
-from gleaner.session import stored
 from gleaner.tables import table
 
 
@@ -56,8 +55,8 @@ def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    index = stored(build_index(table(spark, sf, "embeddings")), "index")
-    return nearest(index, index.where(F.col("vec_id") % 100 == 0))
+    index = build_index(table(spark, sf, "embeddings"))
+    return nearest(index, index.rows.where(F.col("vec_id") % 100 == 0))
 
 
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:

@@ -274,29 +274,32 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[a:b], p / p.sum(axis=1, keepdims=True), atol=1e-5)
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("clusters", [1, 12])
+def test_neighbours(spark, clusters):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x = (rng.normal(size=(900, 16)) + 40 * rng.normal(size=(clusters, 16))[rng.integers(clusters, size=900)]).astype(np.float32)
     x[50] = x[51]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [1.0, None] * 8), (5400, []), (0, x[0].tolist()), (5500, [1.0, 2.0]), (5600, [2.0, 2.0])]
-    index = stored(neighbours.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
-    plan = neighbours.SearchPlan(group=200, query_block=4)
-    got = neighbours.nearest(index, index.where("vec_id % 100 = 0"), plan).collect()
+    clash = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, cell int, code string")
+    index = neighbours.build_index(clash, neighbours.SearchPlan(group=60, query_block=4))
+    queries = index.rows.where("vec_id % 100 = 0")
     found = {}
-    for r in got:
+    for r in neighbours.nearest(index, queries).collect():
         found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     assert set(found) == {*range(0, 900, 100), 5500, 5600} and found[5500] == {1: (5600, 1.0)}
     hits = 0
     for q in range(0, 900, 100):
-        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(axis=1))
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
         d[q] = np.inf
         best = np.lexsort((np.arange(900), d))[:10]
         hits += len({v for v, _ in found[q].values()} & set(best.tolist()))
-        assert [found[q][k][1] for k in sorted(found[q])] == sorted(s for _, s in found[q].values())
+        assert all(abs(s - d[v]) < 1e-9 for v, s in found[q].values()) and [found[q][k][1] for k in sorted(found[q])] == sorted(s for _, s in found[q].values())
     assert hits >= 0.9 * 90
-    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    none = stored(neighbours.build_index(empty))
-    assert neighbours.nearest(none, none).count() == 0
+    members = {(r["dim"], r["cell"]): (r["n"], r["far"]) for r in index.rows.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("length").alias("far")).collect()}
+    cells = neighbours.reachable_cells(queries.where("dim = 16"), index, members).count()
+    assert clusters == 1 or cells <= 9 * 6  # of some 15 cells each
+    none = neighbours.build_index(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert neighbours.nearest(none, none.rows).count() == 0
 
 
 def test_url_rules(spark):
