@@ -2,7 +2,8 @@
 
 Cases: a null or empty text has no bytes and no tokens; a text of one endless
 word is merged like any other, in n log n; rows and columns beside doc_id and
-text don't matter.
+text don't matter; a vocabulary whose rules for splitting or normalizing texts
+are not those known here is refused.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from gleaner.session import bounded_batches
 CACHE_PIECES = 800_000
 #: White space as the vocabulary's own pattern has it.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: What a vocabulary file must ask for, for the counts below to be the library's.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZERS = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+"
 
 
@@ -40,6 +45,9 @@ class PairMerger(dict):
     def __init__(self, path: str):
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
+        asked = [(spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers"), model.get("type"), model.get("byte_fallback"), model.get("ignore_merges")]
+        if asked != [NORMALIZERS, PRE_TOKENIZERS, "BPE", False, False]:
+            raise ValueError(f"{path} splits or normalizes texts in a way that is not known here")
         self.end = model["end_of_word_suffix"] or ""
         letters = byte_letters()
         vocab = model["vocab"]
