@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import stored
+
 #: A word is a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A run of ASCII letters and digits and anything beyond ASCII, before A-Z are lower-cased.
@@ -27,3 +29,19 @@ def untaken(names: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+#: A key is heavy with more than one in so many rows; there are at most so many heavy keys.
+HEAVY = 1000
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Keys of (key, n) with over a thousandth of all rows: a thousand at most, so that they may be broadcast."""
+    return stored(counts.where(F.col(n) * HEAVY > total).select(key), "heavy")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """rows joined with facts (one row a key): heavy keys' facts are broadcast, so that their rows stay where they are."""
+    hot = stored(facts.join(F.broadcast(heavy), key), "hot")
+    rest = rows.join(F.broadcast(heavy), key, "left_anti").join(facts, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -12,8 +12,9 @@ result does not depend on it.
      each node with one hub; only nodes outside the class that most of them
      fall in then meet the others, so that a large group of copies is not
      expanded into its pairs
-  3. a coarse histogram of both sets (suffix filter) rules out more; what is
-     left is intersected once for each pair
+  3. the suffix filter bounds the difference of two sets from below by the sizes
+     of their parts between fixed pivots of the hash order (where pivots are
+     usually chosen anew for each pair); what is left is intersected once a pair
   4. linked nodes form components
 
 Cases: a text with fewer words than n is one gram of all its words; a null or
@@ -29,13 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.columns import heavy_keys, spread_join
 from gleaner.llm.components import components
 from gleaner.llm.grams import doc_slices, mix, rolling, text_bytes, word_codes, word_spans
 from gleaner.llm.language import LOWER
-from gleaner.session import bounded_batches, stored
+from gleaner.session import bounded_batches, discard, stored
 
 CELL_BITS = 20
 SLICES = 64
@@ -43,6 +46,8 @@ SLICES = 64
 HISTOGRAM = 256
 #: A gram that more nodes share than this starts with a hub.
 CROWD = 48
+#: Tables of counts that are added up in one task.
+FAN_IN = 512
 
 
 @dataclass(frozen=True)
@@ -95,18 +100,25 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
             for _, _, h in gram_sets(b.column("text"), n):
                 cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
         raw = [np.minimum(cells[k * width : (k + 1) * width], 2**31 - 1).astype("<i4").tobytes() for k in range(SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(raw, pa.binary())], ["part", "cells"])
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array(raw, pa.binary())], ["part", "task", "cells"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for x in t.column("cells"):
             total += np.frombuffer(x.as_py(), "<i4")
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(count, "part int, cells binary").groupBy("part").applyInArrow(add, "part int, cells binary").collect()
+        first = [pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("part", "task")]
+        return pa.table({"part": first[0], "task": first[1], "cells": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+    schema, tasks = "part int, task int, cells binary", docs.rdd.getNumPartitions()
+    tables = docs.select("text").mapInArrow(count, schema)
+    while tasks > 1:  # a tree of bounded fan-in
+        tables = tables.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(add, schema)
+        tasks = -(-tasks // FAN_IN)
+    parts = tables.collect()
     out = np.zeros(1 << CELL_BITS, np.int64)
     for p in parts:
-        out[p["part"] * width : (p["part"] + 1) * width] = np.frombuffer(p["cells"], "<i8")
+        out[p["part"] * width : (p["part"] + 1) * width] += np.frombuffer(p["cells"], "<i4")
     return out
 
 
@@ -190,14 +202,15 @@ def similar_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__th"))
     members = stored(describe(rows, sim).withColumnRenamed("node", "name"), "members")
     distinct = members.where("size > 0").groupBy("name").agg(
-        F.min(F.struct("doc_id", "__th")).alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")
+        F.min(F.struct("doc_id", "__th")).alias("key"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")
     )
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # Position and size in one number: what is shuffled is three longs a gram.
     spot = F.shiftleft("size", 32) + F.col("pos")
     grams = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram")).select("gram", "node", spot.alias("spot"))
-    crowds = grams.groupBy("gram").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    entries = grams.join(crowds, "gram").select("gram", "node", F.shiftright("spot", 32).alias("size"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "crowd")
+    crowds = stored(grams.groupBy("gram").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
+    common = heavy_keys(crowds, "gram", "crowd", crowds.agg(F.sum("crowd")).first()[0] or 0)
+    entries = spread_join(grams, crowds, "gram", common).select("gram", "node", F.shiftright("spot", 32).alias("size"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "crowd")
     entries = stored(entries, "entries")
 
     few = entries.where(F.col("crowd") <= CROWD).drop("crowd")
@@ -205,7 +218,7 @@ def similar_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     within = stored(near_pairs(fitting(few.join(other, "gram").where("node < node2"), sim), nodes, sim), "within")
     crowded = entries.where(F.col("crowd") > CROWD).drop("crowd")
     hubs = crowded.groupBy("gram").agg(F.min(F.struct("pos", "size", "node")).alias("hub"))
-    stars = crowded.join(hubs, "gram").select("node", "size", "pos", F.col("hub.node").alias("node2"), F.col("hub.size").alias("size2"), F.col("hub.pos").alias("pos2"))
+    stars = spread_join(crowded, hubs, "gram", common).select("node", "size", "pos", F.col("hub.node").alias("node2"), F.col("hub.size").alias("size2"), F.col("hub.pos").alias("pos2"))
 
     asked = within.select(F.col("a").alias("node")).unionByName(within.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
     asked = stored(asked.join(nodes.select("node", "key"), "node").select("node", "key.*"), "asked")
@@ -216,18 +229,23 @@ def similar_classes(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
 
     named = crowded.join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     shares = named.groupBy("gram", "class").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.count("*").alias("classes"))
-    split = stored(named.join(shares.where("classes > 1"), "gram"), "split")
+    split = stored(spread_join(named, shares.where("classes > 1"), "gram", common), "split")
     right = split.select("gram", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "class")])
     outside = split.where(F.col("class") != F.col("main")).drop("main", "classes")
     across = fitting(outside.join(right, "gram").where("class <> class2"), sim)
     links = first_links.unionByName(verified(within, sets, sim)).unionByName(verified(near_pairs(across, nodes, sim), sets, sim))
-    found = components(links).join(nodes.select("node", "name"), "node")
-
-    own = members.drop("prefix", "cells")
-    least_of = nodes.select("name", "node").join(found.select("name", "component"), "name", "left").select("name", F.coalesce("component", "node").alias("__class"))
-    named = own.where("size > 0").join(least_of, "name")
-    least = named.groupBy("__class").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "__class").select("doc_id", "__th", F.col("size").alias("n_shingles"), "component_id", F.col("__class").alias("class"))
+    found = stored(components(links), "found")
+    discard(entries, within, asked, sets, first_links, split)
+
+    # Classes are named on nodes first: copies of a text, and large classes, meet nothing but a broadcast.
+    of_class = nodes.select("node", "name", "least_id", "copies").join(found, "node", "left").select("name", "least_id", "copies", F.coalesce("component", "node").alias("class"))
+    of_class = stored(of_class, "of_class")
+    least = of_class.groupBy("class").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    large = heavy_keys(least, "class", "n", of_class.count())
+    names = stored(spread_join(of_class, least.drop("n"), "class", large).select("name", "copies", "class", "component_id"), "names")
+    own = members.select("doc_id", "__th", "size", "name")
+    copied = heavy_keys(names, "name", "copies", own.count())
+    named = spread_join(own.where("size > 0"), names.drop("copies"), "name", copied).select("doc_id", "__th", F.col("size").alias("n_shingles"), "component_id", "class")
     return named.unionByName(own.where("size = 0").select("doc_id", "__th", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class")))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import stored
+from gleaner.session import discard, stored
 
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -135,7 +135,9 @@ def build_index(vectors: DataFrame, plan: SearchPlan = SearchPlan()) -> Index:
 
     kind = rows.schema["embedding"].dataType.simpleString()
     coded = rows.mapInArrow(encode, f"vec_id bigint, embedding {kind}, dim int, cell int, code binary, length double, align double")
-    return Index(stored(coded, "index"), centroids, plan)
+    index = stored(coded, "index")
+    discard(rows)
+    return Index(index, centroids, plan)
 
 
 def search_part(vectors: pa.Table, queries: pa.Table, centroids: dict[int, np.ndarray], plan: SearchPlan) -> pa.Table:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -184,6 +185,40 @@ def test_token_counts_of_documents(spark, docs, none, rows):
     assert tokens.count_tokens(none, Q.vocabulary()).count() == 0
 
 
+def test_unknown_vocabularies_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="not known here"):
+        tokens.PairMerger(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_mixing_against_water_filling_step_by_step(spark):
+    """Level by level, as the operator's name says, and word by word in the order of the digest."""
+    rng = random.Random(2)
+    for sources in (["a"], ["a", "b", "c", "d", None], [f"s{i}" for i in range(9)]):
+        rows = [(i, rng.choice(sources), " ".join("w" * rng.choice([0, 1, 5, 400]))) for i in range(120)] + [(121, sources[0], None), (122, sources[0], "w " * 300_000)]
+        clash = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, source string, text string, taken string, weight int")
+        got = {r["doc_id"]: r for r in mixing.mix_sources(clash).collect()}
+        sizes = {}
+        for d, s, t in rows:
+            sizes[s] = sizes.get(s, 0) + len((t or "").split())
+        weight = {s: [5, 2, 1][k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+        left, free, target = 1.5 * sum(sizes.values()), set(sizes), {}
+        while free:
+            unit = left / sum(weight[s] for s in free)
+            over = {s for s in free if weight[s] * unit > 2 * sizes[s]}
+            if not over:
+                target |= {s: weight[s] * unit for s in free}
+                break
+            target |= {s: 2.0 * sizes[s] for s in over}
+            left -= sum(target[s] for s in over)
+            free -= over
+        for s in sizes:
+            own = [got[d] for d, x, _ in rows if x == s]
+            assert abs(own[0]["target"] - target[s]) < 1e-6 * max(1, target[s]) and abs(sum(r["taken"] for r in own) - target[s]) <= 1
+            assert all(r["size"] == len((r["text"] or "").split()) and (r["taken"] // max(1, r["size"])) <= 2 and r["weight"] == 3 for r in own)
+
+
 def test_mixing_meets_targets(spark, none):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "b", "c", None, "ü"]), " ".join("w" * rng.randrange(1, 40))) for i in range(600)] + [(600, "d", None), (600, "d", None), (None, "d", "x y")]
@@ -313,6 +348,24 @@ def test_url_rules(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string"), Q.URL_RULES).count() == 0
 
 
+def test_url_rules_against_plain_python(spark):
+    rng = random.Random(6)
+    hosts = ["net", "a.net", "example.net", "x.Example.NET", "example.com", "w.example.com", "org", "b.org", "other.io", ""]
+    urls_ = [f"{rng.choice(['http', 'x', ''])}{rng.choice(['://', ':/'])}{rng.choice(hosts)}{rng.choice(['/', '/en/', '/de/a', '/fr/?q=1', '?a=/en/', '#/fr/', '', '/EN/'])}" for _ in range(300)] + ["http://net/" + "a" * 200_000]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame([(i, u, 1, "x", "y") for i, u in enumerate(urls_)], "page_id long, url string, suffix int, guess string, verdict string"), Q.URL_RULES).collect()}
+    for i, u in enumerate(urls_):
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        host, path = m[1].lower(), m[2]
+        fits = [r for r in Q.URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.name), default=None)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, best and best.name)
+        assert best is None or got[i]["verdict"] == best.verdict
+        assert got[i]["verdict"] in ("allow", "block") and got[i]["suffix"] == 1 and got[i]["guess"] == "x"
+    same = {}
+    assert all(same.setdefault(u, got[i]["verdict"]) == got[i]["verdict"] for i, u in enumerate(urls_))
+
+
 def test_trees_learn_the_look_of_urls(spark):
     rows = [(i, f"http://good.net/{i}" if i % 2 else f"http://s{i}{i}-win.bad/{i}?a=1&b=2&c={i}") for i in range(400)] + [(1000 + i, f"http://t{i}{i}-bet.other/{i}?x=1&y=2&z={i}") for i in range(20)]
     rules = [urls.Rule("allow", "good.net", "/"), urls.Rule("block", "bad", "/")]
