@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 60_000
+
+
 def visible_documents(docs: DataFrame, user: int, is_superadmin: bool = False) -> DataFrame:
     """Drafts are seen by their creator only; a superadmin sees all."""
     return docs if is_superadmin else docs.where((F.col("status") != "draft") | (F.col("created_by") == user))
@@ -49,7 +53,8 @@ def accessible_kb(users: DataFrame, roles: DataFrame, role_kb: DataFrame, kb: Da
     """(user_id, kb_id): all for superadmins and roles of scope all, the role's own for `selected`."""
     joined = users.join(roles, "role_id", "left")
     wide = joined.where(F.col("is_superadmin") | (F.col("scope_mode") == "all")).select("user_id")
-    everything = wide.crossJoin(F.broadcast(kb.select("kb_id")))  # knowledge bases are a small dimension
+    bases = kb.select("kb_id")
+    everything = wide.crossJoin(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases)  # all pairs are the result
     own = joined.where(~F.col("is_superadmin") & (F.col("scope_mode") == "selected")).join(role_kb, "role_id").join(kb.select("kb_id"), "kb_id", "left_semi").select("user_id", "kb_id")
     return everything.unionByName(own).distinct()
 

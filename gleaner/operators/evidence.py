@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import text as X
 
@@ -124,13 +128,23 @@ def restrict_to_scope_slices(cands: DataFrame, choices: DataFrame) -> DataFrame:
     return cands.join(choices, (cands["doc_id"] == choices["c_doc"]) & (choices["c_section"].isNull() | (choices["c_section"] == cands["section_key"])), "left_semi")
 
 
+#: Dictionary terms up to this many are broadcast; beyond, terms and texts meet by the first two letters.
+BROADCAST_TERMS = 5_000
+
+
 def term_matches(terms: DataFrame, texts: DataFrame) -> DataFrame:
-    """Dictionary terms (a small dimension) that a text holds: ASCII terms as whole tokens, others anywhere."""
+    """Dictionary terms that a text holds: ASCII terms as whole tokens, others anywhere."""
     plain = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    rows = texts.withColumn("__plain", plain).crossJoin(F.broadcast(terms.where(F.char_length("term") >= 2)))
+    few = terms.select("term", F.lower("term").alias("t")).where(F.char_length("term") >= 2)
+    rows = texts.select("text_id", plain.alias("plain"))
+    if few.count() <= BROADCAST_TERMS:
+        pairs = rows.crossJoin(F.broadcast(few))
+    else:
+        starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("plain") - 1, F.lit(1))), lambda i: F.substring("plain", i, F.lit(2))))
+        pairs = rows.withColumn("lead", F.explode(starts)).join(few.withColumn("lead", F.substring("t", 1, 2)), "lead")
     ascii_term = F.octet_length("term") == F.char_length("term")
-    token = F.concat(F.lit(" "), F.regexp_replace("__plain", r"[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.lower("term"), F.lit(" ")))
-    return rows.where(F.when(ascii_term, token).otherwise(F.col("__plain").contains(F.lower("term")))).select("text_id", "term")
+    token = F.concat(F.lit(" "), F.regexp_replace("plain", r"[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("t"), F.lit(" ")))
+    return pairs.where(F.when(ascii_term, token).otherwise(F.col("plain").contains(F.col("t")))).select("text_id", "term")
 
 
 def ambiguous_terms(bindings: DataFrame) -> DataFrame:
@@ -144,3 +158,23 @@ def ambiguous_terms(bindings: DataFrame) -> DataFrame:
 def topic_documents(rows: DataFrame, most_chars: int = 1800) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substring("content", 1, most_chars).alias("t")))), lambda x: x["t"]), "\n")
     return rows.groupBy("query_id", "doc_id").agg(F.min("pos").alias("first_pos"), F.max("score").alias("best"), text.alias("text")).withColumn("n_terms", F.size(X.topic_terms(F.col("text")))).drop("text")
+
+
+def with_verdicts(rows: DataFrame, verify: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """rows with topic_relevance, answer_support (0 to 1) and role, from the caller's verifier, batch by batch.
+
+    A verifier that gives another number of rows is refused; scores are held to 0..1, unknown roles are irrelevant.
+    """
+    made = T.StructType([T.StructField("topic_relevance", T.DoubleType()), T.StructField("answer_support", T.DoubleType()), T.StructField("role", T.StringType())])
+    rows = rows.drop(*made.names)
+    schema = T.StructType([*rows.schema.fields, *made.fields])
+
+    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            v = verify(f)
+            if len(v) != len(f):
+                raise ValueError(f"{len(v)} verdicts for {len(f)} rows")
+            scores = {n: v[n].astype(float).clip(0, 1).to_numpy() for n in made.names[:2]}
+            yield f.assign(**scores, role=v["role"].where(v["role"].isin(list(ROLE_RANK)), "irrelevant").to_numpy())[schema.names]
+
+    return rows.mapInPandas(judged, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import catalog as C
 from gleaner.operators import retrieval as R
+from gleaner.operators.components import components
 from gleaner.operators.telemetry import greedy_budget
 from gleaner.session import stored
 
@@ -88,45 +89,96 @@ def evidence_pack(
     queries: DataFrame, chunks: DataFrame, records: DataFrame, k: int = 10, selected: int = 6,
     search_chunks: Callable[[DataFrame, DataFrame, int], DataFrame] = R.hybrid_search, search_facts: Callable[[DataFrame, DataFrame, int], DataFrame] = search_records,
     admit: Callable[[DataFrame], DataFrame] = R.admit_documents, verify: Callable[[DataFrame], DataFrame] | None = None,
+    doc_ids: DataFrame | None = None, record_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """One row a query: what was found, admitted and selected, and the outcome.
+    """One row a query: what was found, admitted and selected, the outcome and its reason.
 
-    The searches, the admission rule and a verifier (rows in, rows out) are the
-    caller's to replace.
+    Records and chunks are fused, allow-lists (doc_id; id of records, which
+    leaves no chunk) restrict the fused list, and admission judges what is left:
+    chunks by their document, records by their score.  The searches, the
+    admission rule and a verifier (rows in, rows out) are the caller's to replace.
     """
     found = stored(search_chunks(queries, chunks, k), "found")
-    facts = search_facts(queries, records, k).join(records.select("id", "doc_id"), "id").select("query_id", "id", "doc_id", "rank", "score")
-    admitted = R.admit_candidates(found, admit(R.document_relevance(found))).select("query_id", "id", "doc_id", "admission_status")
-    items = admitted.join(found.select("query_id", "id", F.col("fusion_rank").alias("pos")), ["query_id", "id"]).select("query_id", F.lit("chunk").alias("source"), "pos", F.concat(F.lit("c"), "id").alias("item"), (F.col("admission_status") == "admitted").alias("ok"))
-    items = items.unionByName(facts.select("query_id", F.lit("record").alias("source"), F.col("rank").alias("pos"), F.concat(F.lit("r"), "id").alias("item"), F.lit(True).alias("ok")))
-    fused = R.fuse_sources(items.select("query_id", "source", "pos", "item"), 2 * k).join(items.select("query_id", "item", "ok").distinct(), ["query_id", "item"])
-    fused = fused if verify is None else verify(fused)
-    w = Window.partitionBy("query_id").orderBy("fusion_rank")
-    ranked = fused.withColumn("n", F.when(F.col("ok"), F.sum(F.col("ok").cast("int")).over(w)))
-    own = ranked.groupBy("query_id").agg(F.count("*").alias("candidates"), F.sum(F.col("ok").cast("long")).alias("admitted"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= selected, F.struct("n", "item")))), lambda x: x["item"]), ",").alias("selected"))
+    facts = search_facts(queries, records, k).join(records.select("id", "doc_id"), "id").select("query_id", F.concat(F.lit("r"), "id").alias("item"), F.col("id").cast("string").alias("id"), "doc_id", "rank", "score")
+    items = facts.select("query_id", F.lit("1 records").alias("source"), F.col("rank").alias("pos"), "item")
+    items = items.unionByName(found.select("query_id", F.lit("2 chunks").alias("source"), F.col("fusion_rank").alias("pos"), F.concat(F.lit("c"), "id").alias("item")))
+    fused = stored(R.fuse_sources(items, 2 * k), "fused")
+    chunk_rows = found.withColumn("item", F.concat(F.lit("c"), "id")).join(fused.select("query_id", "item"), ["query_id", "item"], "left_semi")
+    fact_rows = facts.join(fused.select("query_id", "item"), ["query_id", "item"], "left_semi")
+    chunk_rows, fact_rows = R.restrict_to_ids(chunk_rows, doc_ids), R.restrict_to_ids(fact_rows, doc_ids)
+    if record_ids is not None:
+        chunk_rows, fact_rows = chunk_rows.limit(0), fact_rows.join(record_ids.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
+    judged = R.admit_candidates(chunk_rows.drop("id").withColumnRenamed("item", "id"), admit(R.document_relevance(chunk_rows)), fact_rows.select("query_id", F.col("item").alias("id"), "doc_id", F.col("score").alias("structured_score")))
+    rows = judged.select("query_id", F.col("id").alias("item"), "source_kind", (F.col("admission_status") == "admitted").alias("ok"), "admission_reason").join(fused, ["query_id", "item"])
+    rows = rows if verify is None else verify(rows)
+    ranked = rows.withColumn("n", F.when(F.col("ok"), F.sum(F.col("ok").cast("int")).over(Window.partitionBy("query_id").orderBy("fusion_rank"))))
+    own = ranked.groupBy("query_id").agg(
+        F.count("*").alias("candidates"), F.sum(F.col("ok").cast("long")).alias("admitted"), F.bool_or(F.col("ok") & (F.col("source_kind") == "record")).alias("by_record"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= selected, F.struct("n", "item")))), lambda x: x["item"]), ",").alias("selected"),
+    )
     out = queries.select("query_id").join(own, "query_id", "left")
     outcome = F.when(F.col("candidates").isNull(), "no_hit").when(F.col("admitted") == 0, "insufficient_evidence").otherwise("answered")
-    return out.select("query_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("admitted", F.lit(0)).alias("admitted"), F.coalesce("selected", F.lit("")).alias("selected"), outcome.alias("outcome"))
+    reason = F.when(F.col("candidates").isNull(), "no_candidates").when(F.col("admitted") == 0, "no_candidate_met_admission_gate").when(F.col("by_record"), "structured_or_document_evidence_admitted").otherwise("document_evidence_admitted")
+    return out.select("query_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("admitted", F.lit(0)).alias("admitted"), F.coalesce("selected", F.lit("")).alias("selected"), outcome.alias("outcome"), reason.alias("reason"))
 
 
-def second_stage_records(queries: DataFrame, chosen: DataFrame, records: DataFrame, k: int = 8) -> DataFrame:
+def search_records_for_chunks(queries: DataFrame, chosen: DataFrame, records: DataFrame, k: int = 20) -> DataFrame:
     """The best records of each query's chosen chunks (query_id, chunk_id), without a threshold."""
     own = records.select("id", "chunk_id").join(chosen.select("query_id", "chunk_id").distinct(), "chunk_id")
     hits = search_records(queries, records, k, 0.0, own)
     return hits.join(records.select("id", "chunk_id"), "id").select("query_id", "chunk_id", "id", "score", F.col("rank").alias("place"))
 
 
-def expand_evidence(seeds: DataFrame, chunks: DataFrame, most: int = 12, most_chars: int = 16_000) -> DataFrame:
-    """Structural neighbours of the seeds, per document as many as fit the budget."""
-    near = C.structural_neighbors(seeds, chunks, most).join(seeds.select("id"), "id", "left_anti").join(chunks.select("id", F.char_length("content").cast("long").alias("chars")), "id")
-    return greedy_budget(near.select("doc_id", "place", "id", "chars").withColumnRenamed("place", "pos"), "doc_id", ["pos", "id"], "chars", most_chars, most).select("doc_id", "pos", "id", "chars")
+def second_stage_records(queries: DataFrame, chosen: DataFrame, records: DataFrame, k: int = 8, most_chunks: int = 2, most: int = 12) -> DataFrame:
+    """Records of each query's first chosen chunks (query_id, chunk_id, pos), fused with these chunks."""
+    first = Window.partitionBy("query_id").orderBy("pos", "chunk_id")
+    few = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most_chunks)
+    facts = search_records_for_chunks(queries, few, records, min(most, max(8, k)))
+    items = facts.select("query_id", F.lit("1 records").alias("source"), F.col("place").alias("pos"), F.concat(F.lit("r"), "id").alias("item"))
+    items = items.unionByName(few.select("query_id", F.lit("2 chunks").alias("source"), F.col("n").alias("pos"), F.concat(F.lit("c"), "chunk_id").alias("item")))
+    return R.fuse_sources(items, most).select("query_id", "item", "score", F.col("fusion_rank").alias("place"))
+
+
+def _per_query(df: DataFrame, *columns: str) -> DataFrame:
+    """Keys made the query's own, so that rows of different queries never meet."""
+    for c in columns:
+        df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.concat_ws("/", F.col("query_id"), F.col(c))))
+    return df
+
+
+def expand_evidence(queries: DataFrame, seeds: DataFrame, chunks: DataFrame, docs: DataFrame, most: int = 12, joint: int = 30, most_chars: int = 16_000) -> DataFrame:
+    """What is added to each query's seeds (query_id, id, pos): whole small documents of the seeds, hits within
+    their documents, and structural neighbours, each chunk once, as many as fit.
+
+    Up to four seeds of three documents count; whole documents come first and have
+    no limit of their own, the rest is `most` rows; with the seeds, `joint` in all.
+    """
+    rows = seeds.select("query_id", "id", "pos").join(chunks.drop("embedding"), "id")
+    first = Window.partitionBy("query_id").orderBy("doc_at", "pos", "id")
+    rows = rows.withColumn("doc_at", F.min("pos").over(Window.partitionBy("query_id", "doc_id"))).withColumn("doc_n", F.dense_rank().over(Window.partitionBy("query_id").orderBy("doc_at", "doc_id")))
+    own = stored(rows.where("doc_n <= 3").withColumn("n", F.row_number().over(first)).where("n <= 4"), "seeds")
+    scope = own.select("query_id", "doc_id").distinct()
+
+    small = scope.join(C.small_documents(docs, chunks).select("doc_id"), "doc_id", "left_semi")
+    whole = small.join(chunks.select("doc_id", "id", "chunk_index"), "doc_id").select("query_id", "id", F.lit(0).alias("stage"), F.struct(F.col("doc_id").cast("string").alias("a"), F.col("chunk_index").cast("long").alias("b")).alias("at"))
+    hits = search_within_documents(queries, chunks, scope).select("query_id", "id", F.lit(1).alias("stage"), F.struct(F.lit("").alias("a"), F.col("place").cast("long").alias("b")).alias("at"))
+    around = scope.join(chunks.drop("embedding", "content"), "doc_id").withColumn("chunk", F.col("id"))
+    near = C.structural_neighbors(_per_query(own, "id", "doc_id", "table_id"), _per_query(around, "id", "doc_id", "table_id"), most)
+    near = near.join(_per_query(around, "id").select("id", "query_id", "chunk"), "id").select("query_id", F.col("chunk").alias("id"), F.lit(2).alias("stage"), F.struct(F.col("doc_id").cast("string").alias("a"), F.col("place").cast("long").alias("b")).alias("at"))
+
+    found = whole.unionByName(hits).unionByName(near).join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    once = found.groupBy("query_id", "id").agg(F.min(F.struct("stage", "at")).alias("f")).select("query_id", "id", F.col("f.stage").alias("stage"), F.col("f.at").alias("at"))
+    sized = once.join(chunks.select("id", "doc_id", F.char_length("content").cast("long").alias("chars")), "id").withColumn("limited", F.col("stage") > 0)
+    kept = greedy_budget(sized, "query_id", ["stage", "at", "id"], "chars", most_chars, joint - 4, "limited", most)
+    return kept.select("query_id", "id", "doc_id", "stage", "chars", "place")
 
 
 def bridge_two_hop(queries: DataFrame, records: DataFrame, most: int = 500) -> DataFrame:
     """Questions rewritten with the value of the longest record subject that they name."""
     subjects = records.groupBy(F.lower(F.trim("subject")).alias("s")).agg(F.min("value").alias("value")).where(F.char_length("s") >= 2)
-    words = queries.select("query_id", "query", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("query", " "))), lambda i: F.struct(i.alias("i")))).alias("x"))
-    spans = words.select("query_id", "query", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.lower(F.array_join(F.slice(F.split("query", " "), F.col("x.i"), n), " ")))).alias("s"))
+    split = F.split("query", " ")
+    starts = queries.select("query_id", "query", F.explode(F.sequence(F.lit(1), F.size(split))).alias("i"))
+    spans = starts.select("query_id", "query", F.explode(F.transform(F.sequence(F.lit(1), F.size(split) - F.col("i") + 1), lambda n: F.lower(F.array_join(F.slice(split, F.col("i"), n), " ")))).alias("s"))
     hits = spans.distinct().join(subjects, "s")
     best = hits.groupBy("query_id", "query").agg(F.max_by(F.struct("s", "value"), F.struct(F.char_length("s"), F.col("s"))).alias("b"))
     at = F.instr(F.lower("query"), F.col("b.s"))
@@ -134,18 +186,36 @@ def bridge_two_hop(queries: DataFrame, records: DataFrame, most: int = 500) -> D
     return best.select("query_id", F.col("b.s").alias("subject"), F.substring(F.when(at > 0, text).otherwise(F.concat_ws(" ", "b.value", "query")), 1, most).alias("query"))
 
 
+def bridge_retrieve(queries: DataFrame, records: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The second hop: what `search` finds for the rewritten questions, with the subject that led there."""
+    bridged = stored(bridge_two_hop(queries, records), "bridged")
+    return search(bridged.select("query_id", "query")).join(bridged.select("query_id", "subject"), "query_id")
+
+
+def _clusters(docs: DataFrame, values: str, within: list[str], name: str) -> DataFrame:
+    """docs with `name`: the least document that is linked to theirs by shared values, inside of each outer cluster; null without values."""
+    inside = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in within]) if within else F.lit("")
+    links = docs.select(F.col("doc_id"), inside.alias("inside"), F.explode(values).alias("value")).where("value is not null")
+    hubs = links.groupBy("inside", "value").agg(F.min("doc_id").alias("hub"))
+    found = components(links.join(hubs, ["inside", "value"]).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    alone = links.select("doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias(name))
+    return docs.join(stored(alone, name), "doc_id", "left")
+
+
 def scope_groups(docs: DataFrame) -> DataFrame:
-    """Clusters of documents that share a product (doc_id, product), chains included: least document of each."""
-    label = docs.select("doc_id").distinct().withColumn("group", F.col("doc_id"))
-    before = None
-    for _ in range(50):
-        by_product = docs.join(label, "doc_id").groupBy("product").agg(F.min("group").alias("group"))
-        label = stored(docs.join(by_product, "product").groupBy("doc_id").agg(F.min("group").alias("group")), "groups")
-        now = label.agg(F.sum("group"), F.count_distinct("group")).first()
-        if now == before:
-            return label
-        before = now
-    raise RuntimeError("groups did not settle")
+    """Scopes of documents (doc_id, products, versions, projects): clusters that share a product, within them a
+    version, within these a project, chains included; each is named by its least document.
+
+    A document without values on a level is a companion of all clusters there: its
+    name is null, so that it is not copied into each of them.  dimension says what
+    tells the scopes apart.
+    """
+    rows = docs.select("doc_id", "products", "versions", "projects")
+    for values, name, outer in (("products", "product_group", []), ("versions", "version_group", ["product_group"]), ("projects", "project_group", ["product_group", "version_group"])):
+        rows = _clusters(rows, values, outer, name)
+    counts = rows.agg(*[F.count_distinct(c).alias(c) for c in ("product_group", "version_group", "project_group")])
+    dimension = F.when(F.col("product_group") > 1, "product_version").when(F.col("version_group") > 1, "version").when(F.col("project_group") > 1, "project")
+    return rows.select("doc_id", "product_group", "version_group", "project_group").crossJoin(F.broadcast(counts.select(dimension.alias("dimension"))))  # one row
 
 
 def match_config(queries: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -32,9 +32,9 @@ def day(c: str) -> Column:
     return F.to_date(c)
 
 
-def filter_traces(runs: DataFrame, prefix: str = "", status: str | None = None, kind: str | None = None, since=None, until=None) -> DataFrame:
+def filter_traces(runs: DataFrame, prefix: str = "", status: str | None = None, kind: str | None = None, since=None, until=None, conversation=None) -> DataFrame:
     out = runs.where(F.col("trace_id").cast("string").startswith(prefix))
-    for c, x in (("status", status), ("request_kind", kind)):
+    for c, x in (("status", status), ("request_kind", kind), ("conversation_id", conversation)):
         out = out if x is None else out.where(F.col(c) == x)
     out = out if since is None else out.where(F.col("started_at") >= F.lit(since).cast("timestamp_ntz"))
     return out if until is None else out.where(F.col("started_at") <= F.lit(until).cast("timestamp_ntz"))
@@ -245,20 +245,23 @@ def illegal_transitions(log: DataFrame) -> DataFrame:
     return moves.where(~allowed).select("turn_id", "moment", "previous", "state")
 
 
-def greedy_budget(rows: DataFrame, by: str, order: list[str], size: str, most: int, most_items: int | None = None) -> DataFrame:
+def greedy_budget(rows: DataFrame, by: str, order: list[str], size: str, most: int, most_items: int | None = None, counted: str | None = None, most_counted: int = 0) -> DataFrame:
     """In order, what still fits stays; what doesn't is skipped and later rows may fit again.
+    Rows where `counted` is true have a limit of their own.
 
     A fold over each group's sorted rows, inside the JVM; groups are bounded by
     the candidate pools that come before.
     """
     others = [c for c in rows.columns if c not in (by, *order)]
     item = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in others])
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast(f"array<{rows.select(item.alias('x')).schema['x'].dataType.simpleString()}>").alias("kept"))
+    empty = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast(f"array<{rows.select(item.alias('x')).schema['x'].dataType.simpleString()}>").alias("kept"))
 
     def step(acc, x):
         fits = acc["used"] + x[size] <= most
         fits = fits if most_items is None else fits & (acc["n"] < most_items)
-        return F.when(fits, F.struct((acc["used"] + x[size]).cast("long").alias("used"), (acc["n"] + 1).alias("n"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+        special = F.lit(0) if counted is None else x[counted].cast("int")
+        fits = fits & ((special == 0) | (acc["c"] < most_counted))
+        return F.when(fits, F.struct((acc["used"] + x[size]).cast("long").alias("used"), (acc["n"] + 1).alias("n"), (acc["c"] + special).alias("c"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
 
     grouped = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     folded = grouped.select(by, F.aggregate("items", empty, step, lambda acc: acc["kept"]).alias("kept"))

@@ -55,8 +55,8 @@ Q = {
     ),
     "C13_missing_ids": (lambda v: C.missing_ids(v.events.select(F.col("event_id").alias("doc_id")), v.docs.select("doc_id"), "doc_id"), D + " SELECT DISTINCT event_id AS doc_id FROM events WHERE event_id NOT IN (SELECT doc_id FROM docs)"),
     "C14_revalidate_sources": (
-        lambda v: C.revalidate_sources(v.chunks.select(F.pmod("id", F.lit(17)).alias("conv"), F.col("id").alias("pos"), ((F.col("id") * 7) % 600).alias("id")), v.chunks, v.docs),
-        D + f""", s AS (SELECT id % 17 AS conv, id AS pos, (id * 7) % 600 AS id FROM chunks), live AS (SELECT c.id FROM chunks c JOIN docs USING (doc_id, kb_id) WHERE {READY}),
+        lambda v: C.revalidate_sources(v.chunks.select(F.explode(F.array(F.floor(F.col("id") / 16), F.floor(F.col("id") / 16) + 1, F.floor(F.col("id") / 40))).alias("conv"), ((F.col("id") * 7) % 31).alias("pos"), "id"), v.chunks, v.docs),
+        D + f""", s AS (SELECT unnest([id // 16, id // 16 + 1, id // 40]) AS conv, (id * 7) % 31 AS pos, id FROM chunks), live AS (SELECT c.id FROM chunks c JOIN docs USING (doc_id, kb_id) WHERE {READY}),
         k AS (SELECT conv, id, min(pos) AS pos FROM s WHERE id IN (SELECT id FROM live) GROUP BY conv, id)
         SELECT *, row_number() OVER (PARTITION BY conv ORDER BY pos, id) AS place, 0.0::DOUBLE AS score FROM k QUALIFY place <= 5""",
     ),

@@ -45,8 +45,8 @@ ORDERED_STATES = "[" + ", ".join(f"'{s}'" for s in T.TRANSITIONS) + "]"
 ALLOWED = " OR ".join(f"(previous = '{a}' AND state IN ({', '.join(repr(b) for b in bs)}))" for a, bs in T.TRANSITIONS.items())
 Q = {
     "B7_filter_traces": (
-        lambda v: T.filter_traces(v.runs, "1", "success", "chat").select("trace_id", "status"),
-        RUNS + " SELECT trace_id, status FROM runs WHERE CAST(trace_id AS VARCHAR) LIKE '1%' AND status = 'success' AND request_kind = 'chat'",
+        lambda v: T.filter_traces(v.runs.withColumn("conversation_id", F.col("duration_ms") % 5), "1", "success", "chat", conversation=3).select("trace_id", "status"),
+        RUNS + " SELECT trace_id, status FROM runs WHERE CAST(trace_id AS VARCHAR) LIKE '1%' AND status = 'success' AND request_kind = 'chat' AND duration_ms % 5 = 3",
     ),
     "B8_filter_operations": (lambda v: T.filter_operations(_actions(v), "click", "USER1"), f"WITH {ACT} SELECT * FROM acts WHERE action LIKE 'click%' AND username ILIKE '%USER1%'"),
     "B11_mask_content": (
@@ -193,17 +193,22 @@ def _ingest(v: Views):
     import uuid
 
     from gleaner.session import shared_folder
-    from gleaner.streaming.logs import incremental_ingest, stream_of
+    from gleaner.streaming.logs import incremental_ingest, read_ingested, stream_of
 
     base = f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}"
-    docs = v.docs.select("doc_id", "status", F.col("processing_revision").alias("revision"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    docs = v.docs.select("doc_id", "status", "chunk_count", F.col("processing_revision").alias("revision"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
     docs.unionByName(docs.where("status = 'ready'").withColumn("revision", F.col("revision") + 1)).repartition(3).write.parquet(f"{base}/in")
-    stream = stream_of(v.spark, f"{base}/in", v.spark.read.parquet(f"{base}/in").schema, "created_at", files=2)
-    incremental_ingest(stream, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.parquet(f"{base}/out").select("doc_id", "status", "revision")
+    stream = stream_of(v.spark, f"{base}/in", (schema := v.spark.read.parquet(f"{base}/in").schema), "created_at", files=2)
+    chunks = lambda fresh: fresh.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("chunk_count"))).alias("n"), F.col("revision").alias("of"))
+    incremental_ingest(stream, f"{base}/out", f"{base}/state", {"chunks": chunks}).trigger(availableNow=True).start().awaitTermination()
+    kept = read_ingested(v.spark, f"{base}/out", "chunks", "doc_id long, n long, of long").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min("of").alias("least"), F.max("of").alias("most"))
+    return read_ingested(v.spark, f"{base}/out", "documents", schema).join(kept, "doc_id").select("doc_id", "status", "revision", "chunks", "least", "most")
 
 
-Q["J9_incremental_ingest"] = (_ingest, duckdb_views("docs") + " SELECT doc_id, status, processing_revision + CASE WHEN status = 'ready' THEN 1 ELSE 0 END AS revision FROM docs")
+Q["J9_incremental_ingest"] = (
+    _ingest,
+    duckdb_views("docs") + ", r AS (SELECT doc_id, status, chunk_count, processing_revision + CASE WHEN status = 'ready' THEN 1 ELSE 0 END AS revision FROM docs) SELECT doc_id, status, revision, chunk_count AS chunks, revision AS least, revision AS most FROM r",
+)
 Q["J7_out_of_order_start"] = (
     lambda v: T.fold_trace_runs(v.trace_events.orderBy(F.col("created_at").desc())).select("trace_id", "started_at"),
     TE + " SELECT trace_id, min(created_at) AS started_at FROM trace_events GROUP BY trace_id",

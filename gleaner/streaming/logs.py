@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleaner.operators.telemetry import ALL_TERMINAL, TERMINAL
+from gleaner.session import discard, stored
 
 #: Scope -> failures, minutes of the window, minutes blocked (None: alert only).
 LIMITS = {"pair": (5, 15, 15), "ip": (20, 15, 60), "account": (20, 15, None)}
@@ -129,33 +130,84 @@ def login_throttle(stream: DataFrame, scope: str) -> DataFrame:
 
 
 def login_throttle_batch(logins: DataFrame, scope: str) -> DataFrame:
-    """The same over a table, bucket by bucket in time order."""
+    """The same over a table: each bucket's attempts pass by in time order, with nothing but its state held."""
 
-    def one(key, frame):
-        out, _ = throttled(frame, (0, None, None), LIMITS[scope], scope == "pair")
-        return pd.DataFrame([(key[0], *o) for o in out], columns=["bucket", "moment", "retry_after", "alert"])
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, state = None, (0, None, None)
+        for frame in frames:
+            out = []
+            for key, part in frame.groupby("bucket", sort=False):
+                state = state if key == bucket else (0, None, None)
+                bucket = key
+                rows, state = throttled(part, state, LIMITS[scope], scope == "pair")
+                out += [(key, *r) for r in rows]
+            yield pd.DataFrame(out, columns=["bucket", "moment", "retry_after", "alert"])
 
-    return logins.select("bucket", "attempt_at", "success").groupBy("bucket").applyInPandas(one, THROTTLE)
+    ordered = logins.select("bucket", "attempt_at", "success").repartition("bucket").sortWithinPartitions("bucket", "attempt_at", "success")
+    return ordered.mapInPandas(walk, THROTTLE)
 
 
-def incremental_ingest(stream: DataFrame, target: str, checkpoint: str):
-    """New document versions replace older ones in `target`; replays change nothing."""
+#: Parts that a target's documents are dealt to; a batch rewrites only those that it touches.
+PARTS = 64
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def _state(spark: SparkSession, target: str) -> tuple[int, dict[int, str]]:
+    """(number of the newest complete manifest, part -> folder of its rows); (0, {}) before the first batch."""
+    if not _exists(spark, f"{target}/manifests"):
+        return 0, {}
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/manifests")
+    names = [x.getPath().getName() for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    done = max((n for n in names if _exists(spark, f"{target}/manifests/{n}/_SUCCESS")), default=None)
+    if done is None:
+        return 0, {}
+    rows = spark.read.schema("part int, folder string").json(f"{target}/manifests/{done}").collect()
+    return int(done), {r["part"]: r["folder"] for r in rows}
+
+
+def _rows_of(spark: SparkSession, target: str, table: str, folders: list[str], schema: T.StructType) -> DataFrame:
+    paths = [f"{target}/{table}/{f}" for f in folders if _exists(spark, f"{target}/{table}/{f}")]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_ingested(spark: SparkSession, target: str, table: str, schema: T.StructType) -> DataFrame:
+    """The rows of a table (documents, or one made of them) as of the newest complete batch."""
+    return _rows_of(spark, target, table, sorted(_state(spark, target)[1].values()), schema)
+
+
+def incremental_ingest(stream: DataFrame, target: str, checkpoint: str, made: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+    """New document versions replace older ones in `target`, with the tables made of them (say, their chunks by doc_id).
+
+    Documents are dealt to parts; a batch writes new folders for the parts that it
+    touches, then one manifest of all parts.  A crash before the manifest leaves
+    the old state; a revision that is not newer than what is there is ignored, so
+    that replays change nothing.
+    """
+    made = made or {}
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "revision").alias("r")).select("r.*")
-        try:
-            old = spark.read.parquet(target)
-        except Exception as e:  # the target is made by the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = newest.limit(0)
-        both = old.unionByName(newest).groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "revision").alias("r")).select("r.*")
-        from gleaner.session import stored
-
-        stored(both, "ingest").write.mode("overwrite").parquet(target)
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+        newest = stored(batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "revision").alias("r")).select("r.*"), "newest")
+        number, now = _state(spark, target)
+        parts = lambda df: sorted(r[0] for r in df.select(part.alias("p")).distinct().collect())
+        held = _rows_of(spark, target, "documents", [now[p] for p in parts(newest) if p in now], batch.schema)
+        fresh = newest.join(held.select("doc_id", F.col("revision").alias("had")), "doc_id", "left").where("had is null or revision > had")
+        fresh = stored(fresh.select(batch.columns), "fresh")
+        touched, version = parts(fresh), f"{number + 1:012d}"
+        for name, rows in [("documents", fresh), *[(n, f(fresh)) for n, f in made.items()]]:
+            kept = _rows_of(spark, target, name, [now[p] for p in touched if p in now], rows.schema).join(fresh.select("doc_id"), "doc_id", "left_anti")
+            kept.select(rows.columns).unionByName(rows).withColumn("part", part).write.partitionBy("part").mode("overwrite").parquet(f"{target}/{name}/{version}")
+        if touched:
+            after = now | {p: f"{version}/part={p}" for p in touched}
+            spark.createDataFrame(sorted(after.items()), "part int, folder string").coalesce(1).write.mode("overwrite").json(f"{target}/manifests/{version}")
+        discard(newest, fresh)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-__all__ = ["ALL_TERMINAL", "daily_activity", "dedup_requests", "fold_runs", "incremental_ingest", "login_throttle", "login_throttle_batch", "stream_of", "write_trace_events"]
+__all__ = ["ALL_TERMINAL", "daily_activity", "dedup_requests", "fold_runs", "incremental_ingest", "login_throttle", "login_throttle_batch", "read_ingested", "stream_of", "write_trace_events"]

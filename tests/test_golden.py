@@ -158,7 +158,7 @@ def test_sink_days_and_ingest(spark, tmp_path):
         q = L.incremental_ingest(stream, str(tmp_path / "t"), str(tmp_path / f"c{time.time_ns()}")).start()
         q.processAllAvailable()
         q.stop()
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert L.read_ingested(spark, str(tmp_path / "t"), "documents", schema).count() == 2
 
 
 def test_payload_rules():
@@ -195,8 +195,10 @@ def test_bridge_and_groups(spark):
     records = spark.createDataFrame([("Alpha box", "node 7"), ("Alpha", "x")], "subject string, value string")
     asked = spark.createDataFrame([(1, "where is alpha Box now"), (2, "none here")], "query_id long, query string")
     assert [tuple(r) for r in K.bridge_two_hop(asked, records).collect()] == [(1, "alpha box", "where is node 7 now")]
-    docs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c")], "doc_id long, product string")
-    assert {r["doc_id"]: r["group"] for r in K.scope_groups(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    rows = [(i, [f"p{i}", f"p{i + 1}"], [f"v{i % 2}"], None) for i in range(120)] + [(500, ["z"], None, ["j"]), (501, ["z"], ["v"], ["k"]), (502, None, None, None)]
+    got = {r["doc_id"]: r for r in K.scope_groups(spark.createDataFrame(rows, "doc_id long, products array<string>, versions array<string>, projects array<string>")).collect()}
+    assert all((got[i]["product_group"], got[i]["version_group"]) == (0, i % 2) for i in range(120)) and {r["dimension"] for r in got.values()} == {"product_version"}
+    assert tuple(got[500])[1:4] == (500, None, 500) and tuple(got[501])[1:4] == (500, 501, 501) and tuple(got[502])[1:4] == (None, None, None)
 
 
 def test_evidence_pack_stages_can_be_replaced(spark):
@@ -207,6 +209,11 @@ def test_evidence_pack_stages_can_be_replaced(spark):
     records = spark.createDataFrame([(9, 1, "alpha", "alpha beta")], "id long, doc_id long, subject string, search_text string")
     got = {r["query_id"]: r for r in K.evidence_pack(asked, chunks, records).collect()}
     assert got[1]["outcome"] == "answered" and "r9" in got[1]["selected"] and got[2]["outcome"] in ("insufficient_evidence", "answered")
+    assert got[1]["reason"] == "structured_or_document_evidence_admitted"
+    only = {r["query_id"]: r for r in K.evidence_pack(asked, chunks, records, doc_ids=chunks.where("doc_id = 2")).collect()}
+    assert "r9" not in only[1]["selected"] and "c1" not in only[1]["selected"]
+    facts = {r["query_id"]: r for r in K.evidence_pack(asked, chunks, records, record_ids=records.limit(0)).collect()}
+    assert {r["outcome"] for r in facts.values()} == {"no_hit"} and {r["reason"] for r in facts.values()} == {"no_candidates"}
     none = K.evidence_pack(asked, chunks, records, verify=lambda df: df.withColumn("ok", F.lit(False)))
     assert {r["outcome"] for r in none.collect()} == {"insufficient_evidence"}
 
@@ -256,8 +263,96 @@ def test_second_stage_finds_records_below_ten_thousand_others(spark):
     others = spark.range(10_050).selectExpr("concat('a', id) AS id", "1L AS chunk_id", "'alpha beta' AS subject", "'alpha beta' AS search_text")
     own = spark.createDataFrame([("z1", 2, "alpha", "alpha gamma"), ("z2", 2, "delta", "alpha delta")], others.schema)
     asked = spark.createDataFrame([(7, "alpha beta")], "query_id long, query string")
-    chosen = spark.createDataFrame([(7, 2)], "query_id long, chunk_id long")
-    assert [(r["id"], r["place"]) for r in K.second_stage_records(asked, chosen, others.unionByName(own)).orderBy("place").collect()] == [("z2", 1), ("z1", 2)]
+    chosen = spark.createDataFrame([(7, 2, 1)], "query_id long, chunk_id long, pos long")
+    assert [(r["id"], r["place"]) for r in K.search_records_for_chunks(asked, chosen, others.unionByName(own)).orderBy("place").collect()] == [("z2", 1), ("z1", 2)]
+    assert [(r["item"], r["place"]) for r in K.second_stage_records(asked, chosen, others.unionByName(own)).orderBy("place").collect()] == [("rz2", 1), ("c2", 2), ("rz1", 3)]
+
+
+def test_expansion_takes_small_documents_hits_and_neighbours(spark):
+    from gleaner.operators import packs as K
+
+    cols = "id long, doc_id long, kb_id long, chunk_index int, content string, embedding array<float>, section_key string, table_id string, table_part_index int"
+    small = [(i, 1, 0, i, f"alpha {i}", [1.0, 0.0], "s", None, None) for i in range(4)]
+    large = [(100 + i, 2, 0, i, ("beta " if i % 9 == 0 else "other ") * 100, [0.0, 1.0], f"s{i // 8}", None, None) for i in range(40)]
+    chunks = spark.createDataFrame(small + large, cols)
+    docs = spark.createDataFrame([(1, 0, "ready", True), (2, 0, "ready", True)], "doc_id long, kb_id long, status string, is_active boolean")
+    asked = spark.createDataFrame([(7, "beta", [0.0, 1.0])], "query_id long, query string, query_vec array<float>")
+    seeds = spark.createDataFrame([(7, 0, 1), (7, 118, 2)], "query_id long, id long, pos long")
+    got = K.expand_evidence(asked, seeds, chunks, docs).collect()
+    by = {r["id"]: r["stage"] for r in got}
+    assert {1, 2, 3} <= {i for i, s in by.items() if s == 0} and 118 not in by and 0 not in by
+    assert sum(s > 0 for s in by.values()) <= 12 and {s for s in by.values()} >= {0, 1} and sum(r["chars"] for r in got) <= 16_000
+    assert all(r["doc_id"] in (1, 2) for r in got)
+
+
+def test_ingest_replaces_chunks_by_revision_and_survives_a_crash(spark, tmp_path):
+    schema = "doc_id long, revision long, text string, created_at timestamp"
+    chunk = lambda fresh: fresh.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+
+    def ingest(rows, made=chunk):
+        spark.createDataFrame([(*r, minute(0)) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = L.stream_of(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, "created_at")
+        L.incremental_ingest(stream, str(tmp_path / "t"), str(tmp_path / "c"), {"chunks": made}).trigger(availableNow=True).start().awaitTermination()
+
+    words = lambda: sorted(tuple(r) for r in L.read_ingested(spark, str(tmp_path / "t"), "chunks", "doc_id long, word string").collect())
+    assert words() == []
+    ingest([(1, 2, "a b"), (2, 1, "c")])
+    ingest([(1, 1, "old"), (3, 1, "d")])
+    assert words() == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+    def fails(fresh):
+        raise RuntimeError("crash")
+
+    with pytest.raises(Exception, match="crash"):
+        ingest([(1, 3, "new")], fails)
+    assert words() == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
+    ingest([(2, 5, "e f")])
+    assert words() == [(1, "new"), (2, "e"), (2, "f"), (3, "d")]
+
+
+def test_terms_beyond_the_broadcast_bound(spark, monkeypatch):
+    from gleaner.operators import evidence as V
+
+    terms = spark.createDataFrame([("the",), ("über",), ("of it",), ("x",), ("知识",)], "term string")
+    texts = spark.createDataFrame([(1, "The end  of it, überall"), (2, "other"), (3, "我的知识库"), (4, "")], "text_id long, text string")
+    few = sorted(map(tuple, V.term_matches(terms, texts).collect()))
+    monkeypatch.setattr(V, "BROADCAST_TERMS", 0)
+    assert few == sorted(map(tuple, V.term_matches(terms, texts).distinct().collect())) == [(1, "of it"), (1, "the"), (1, "über"), (3, "知识")]
+
+
+def test_reduced_precision_search_finds_the_nearest(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 24)).astype(np.float32)
+    chunks = spark.createDataFrame([(i, i // 3, i % 3, v.tolist()) for i, v in enumerate(x)] + [(9999, 1, 0, None)], "id long, doc_id long, chunk_index int, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 2000, 100)] + [(5000, None)], "query_id long, query_vec array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for bound in (1_000_000, 400):
+        monkeypatch.setattr(R, "TASK_CANDIDATES", bound)
+        got = {}
+        for r in R.vector_candidates(asked, chunks, 40).collect():
+            got.setdefault(r["query_id"], set()).add(r["id"])
+        recall = np.mean([len(got[q] & set(np.argsort(-(unit @ unit[q]))[:40].tolist())) / 40 for q in range(0, 2000, 100)])
+        assert recall > 0.99 and 5000 not in got
+
+
+def test_verifiers_must_answer_every_row(spark):
+    from gleaner.operators import evidence as V
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, content string")
+    good = V.with_verdicts(rows, lambda f: f.assign(topic_relevance=1.7, answer_support=-1, role="direct")).collect()
+    assert [(r["topic_relevance"], r["answer_support"], r["role"]) for r in good] == [(1.0, 0.0, "direct")] * 2
+    with pytest.raises(Exception, match="verdicts for"):
+        V.with_verdicts(rows, lambda f: f.head(0).assign(topic_relevance=1.0, answer_support=1.0, role="direct")).collect()
+
+
+def test_table_functions_in_sql(spark):
+    from gleaner.sources.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    assert [r[0] for r in spark.sql("SELECT content FROM text_chunks('Some text that is long enough.')").collect()] == ["Some text that is long enough."]
+    assert spark.sql("SELECT * FROM table_parts('| a | b |\n| --- | --- |\n| 1 | 2 |')").count() == 1
 
 
 def test_overview_has_every_part_of_its_window(spark):
