@@ -156,9 +156,10 @@ def proximity_matches(postings: DataFrame, ranked: DataFrame, slop: int) -> Data
 def spelled_out(found: DataFrame, docs: DataFrame, windows: Windows) -> DataFrame:
     """(doc_id, doc, hits) of the documents in whose text some of the phrases stand word by word: array of (start, window_id)."""
     placed = found.join(windows.phrases, "window_id").groupBy("doc").agg(F.collect_list(F.struct("start", "window_id", "words")).alias("hits"))
-    placed = stored(placed, "placed")  # its size tells Spark whether to broadcast it
-    whole = docs.select("doc_id", doc_key().alias("doc"), "text").join(placed, "doc")
-    words = whole.select("doc_id", "doc", "hits", F.transform(tokens(F.col("text")), lower_ascii).alias("w"))
+    keys = stored(found.select("doc").distinct(), "hit_keys")
+    near = docs.select("doc_id", doc_key().alias("doc"), "text").join(F.broadcast(keys) if bounded(keys) else keys, "doc", "left_semi")
+    # Each text is cut into words once: what a generator makes is not computed again for each hit.
+    words = near.join(placed, "doc").select("doc_id", "doc", "hits", F.explode(F.array(F.transform(tokens(F.col("text")), lower_ascii))).alias("w"))
     real = F.filter("hits", lambda h: F.slice("w", h["start"] + 1, F.size(h["words"])) == h["words"])
     kept = words.select("doc_id", "doc", F.transform(real, lambda h: F.struct(h["start"].alias("start"), h["window_id"].alias("window_id"), F.size(h["words"]).alias("len"))).alias("hits"))
     return kept.where(F.size("hits") > 0)
