@@ -121,18 +121,18 @@ def test_jaccard_keeps_one_of_each_class(spark, none):
     assert jaccard.one_of_each_class(none).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [8_000_000, 0])
-def test_decontamination(spark, docs, none, rows, monkeypatch, broadcast):
-    monkeypatch.setattr(dc, "BROADCAST_BYTES", broadcast)
+def test_decontamination(spark, docs, none, rows, monkeypatch):
     items = [(i, rows[i][1][:120] if i % 2 else rows[i][1][40:90]) for i in range(12)] + [(50, "a B"), (51, None), (51, ""), (None, "y" * 100_000), (3, rows[3][1][:120])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert ordered(dc.decontaminate(docs, bench)) == brute.contaminated(rows, items)
+    want = brute.contaminated(rows, items)
+    assert ordered(dc.decontaminate(docs, bench)) == want
+    few = docs.where("doc_id < 30 or doc_id > 8000")
+    kept = {r["doc_id"] for r in dc.without_contaminated(few, bench).collect()}
+    assert kept == {r[0] for r in want if not r[5] and r[0] is not None and (r[0] < 30 or r[0] > 8000)}
+    assert not dc.decontaminate(few, bench.limit(0)).where("contaminated").count() and dc.decontaminate(none, bench).count() == 0
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 0)
     again = [r for r in rows if r[0] is not None and r[0] < 30]
     assert ordered(dc.decontaminate(docs.where("doc_id < 30").unionAll(docs.where("doc_id < 30")), bench)) == brute.contaminated(again * 2, items)
-    assert dc.decontaminate(none, bench).count() == 0
-    assert not dc.decontaminate(docs, bench.limit(0)).where("contaminated").count()
-    clean = {r[0] for r in dc.decontaminate(docs, bench).where("not contaminated").select("doc_id").collect()}
-    assert {r["doc_id"] for r in dc.without_contaminated(docs, bench).collect()} <= clean
 
 
 def test_proximity(spark):
