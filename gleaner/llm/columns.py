@@ -35,13 +35,16 @@ def untaken(names: list[str], wanted: str) -> str:
 HEAVY = 1000
 
 
-def heavy_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Keys of (key, n) with over a thousandth of all rows: a thousand at most, so that they may be broadcast."""
-    return stored(counts.where(F.col(n) * HEAVY > total).select(key), "heavy")
+def heavy_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
+    """Keys of (key, n) with over a thousandth of all rows: a thousand at most, so that they may be broadcast; None if there are none."""
+    heavy = stored(counts.where(F.col(n) * HEAVY > total).select(key), "heavy")
+    return None if heavy.isEmpty() else heavy
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
     """rows joined with facts (one row a key): heavy keys' facts are broadcast, so that their rows stay where they are."""
+    if heavy is None:
+        return rows.join(facts, key)
     hot = stored(facts.join(F.broadcast(heavy), key), "hot")
     rest = rows.join(F.broadcast(heavy), key, "left_anti").join(facts, key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)

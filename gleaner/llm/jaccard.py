@@ -110,11 +110,10 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
         first = [pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("part", "task")]
         return pa.table({"part": first[0], "task": first[1], "cells": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
 
-    schema, tasks = "part int, task int, cells binary", docs.rdd.getNumPartitions()
+    schema = "part int, task int, cells binary"
     tables = docs.select("text").mapInArrow(count, schema)
-    while tasks > 1:  # a tree of bounded fan-in
-        tables = tables.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(add, schema)
-        tasks = -(-tasks // FAN_IN)
+    for fan_in in (FAN_IN, FAN_IN * FAN_IN):  # a tree, so that no task adds up what all others counted
+        tables = tables.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).groupBy("part", "task").applyInArrow(add, schema)
     parts = tables.collect()
     out = np.zeros(1 << CELL_BITS, np.int64)
     for p in parts:
