@@ -2,8 +2,8 @@
 
   1. every word of every training text becomes a posting (term, doc, pos), term
      and doc as 64-bit fingerprints.  The index is written in segments, one for
-     each part of the input, each sorted by term; a common term's list is thus
-     spread over all segments
+     each part of the input, with columns coded by dictionary and run length; a
+     common term's list is thus spread over all segments
   2. the terms of each test window are ordered from the rarest by their counts
      in the index.  The rarest term's list and the second's, moved by the
      difference of their offsets, are intersected; what is left is intersected
@@ -84,9 +84,9 @@ def test_windows(items: DataFrame, n: int) -> Windows:
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
-    """The index: one row for every word of every text, in segments sorted by term, in the shared folder."""
+    """The index: one row for every word of every text, in one segment for each part of the input, in the shared folder."""
     words = docs.select(doc_key().alias("doc"), F.posexplode(tokens(F.col("text"))).alias("pos", "raw"))
-    return stored(words.select(term_of(F.col("raw")).alias("term"), "doc", "pos").sortWithinPartitions("term"), "postings")
+    return stored(words.select(term_of(F.col("raw")).alias("term"), "doc", "pos"), "postings")
 
 
 def from_the_rarest(postings: DataFrame, windows: Windows) -> DataFrame:
