@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from gleaner.llm.decontamination import decontaminate
 from gleaner.llm.jaccard import Similarity, similar_classes
 from gleaner.llm.language import identify
+from gleaner.llm.manifest import build_manifest, lower_cased_third
 from gleaner.llm.mixing import mix_sources
+from gleaner.llm.near_vectors import near_vector_classes
 from gleaner.llm.neighbours import build_index, nearest
 from gleaner.llm.pages import extract_main_text
 from gleaner.llm.repeats import remove_repeats
+from gleaner.llm.spelling import spelling_variants
 from gleaner.llm.suffixes import remove_repeated_strings
 from gleaner.llm.tokens import count_tokens
 from gleaner.llm.urls import Rule, judge_urls
@@ -72,8 +75,20 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op11_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vector_classes(table(spark, sf, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return build_manifest(table(spark, sf, "documents"), lower_cased_third())
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(table(spark, sf, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op6_url_filter, op7_nearest_neighbours, op8_jaccard_join, op9_substring_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_main_text, op2_mixing, op3_language_id, op4_token_counts, op5_suffix_dedup, op6_url_filter, op7_nearest_neighbours, op8_jaccard_join, op9_substring_dedup, op10_decontamination, op11_near_vectors, op12_manifest, op13_spelling_variants)}
 
 
 MIX_SQL = r"""
@@ -173,5 +188,98 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP B
 """
 
 
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0 AND NOT list_contains(list_transform(e, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)
+    AND list_contains(list_transform(e, lambda x: x <> 0), true)),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+m AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN m ON m.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+#: One step of crc32 over a byte, and crc32 of bytes, as DuckDB expressions.
+CRC_STEP = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, unsigned."""
+    at = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::UBIGINT)"
+    return f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {at}), lambda c, b: {CRC_STEP}))"
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def manifest_sql(height: int = 9) -> str:
+    """Trees of up to 8**height leaves and languages: one step of SQL for each level."""
+
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    def tree(name: str, leaves: str, levels: int) -> str:
+        out = f"{name}0 AS (SELECT g, pos, n, h FROM {leaves})"
+        for k in range(levels):
+            out += f""",
+{name}s{k} AS (SELECT g, pos, n, coalesce(string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k}),
+{name}{k + 1} AS (SELECT g, pos // 8 AS pos, (any_value(n) + 7) // 8 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, pos // 8)"""
+        return out
+
+    def climb(name: str, alias: str, levels: int, source: str, target: str) -> str:
+        out, at = "", source
+        for k in range(levels):
+            to = f"{target}{k}"
+            out += f""",
+{to} AS (SELECT x.* REPLACE (x.{alias} // 8 AS {alias}, CASE WHEN s.n > 1 THEN sha256(s.l || x.folded || s.r) ELSE x.folded END AS folded, x.proof || s.l || s.r AS proof)
+  FROM {at} x JOIN {name}s{k} s ON s.g = x.{'g' if name == 't' else 'one'} AND s.pos = x.{alias})"""
+            at = to
+        return out
+
+    top = 4
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf,
+         CASE WHEN {crc_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(LOWER.format('text'))} ELSE {leaf('text')} END AS found
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM d),
+{tree('t', 'p', height)},
+sub AS (SELECT g AS of, '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n, h FROM t{height}),
+{tree('r', 'sub', top)},
+start AS (SELECT p.doc_id, p.leaf, p.g, p.pos, p.found AS folded, '' AS proof, sub.h AS subroot, sub.pos AS top, '' AS one FROM p JOIN sub ON sub.of = p.g)
+{climb('t', 'pos', height, 'start', 'c')}
+{climb('r', 'top', top, f'c{height - 1}', 'e')}
+SELECT doc_id, leaf, subroot, r{top}.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r{top}.h AS verified FROM e{top - 1}, r{top}
+"""
+
+
+#: Letters beyond ASCII that a word may hold, and a byte that stands for each in the edit distance.
+BEYOND = "".join(map(chr, range(0xC0, 0x100)))
+BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_`{|}"
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, {LOWER.format('unnest(regexp_extract_all(text, ' + "'[A-Za-zÀ-ÿ]+'" + '))')} AS run FROM documents),
+per AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {crc_sql('id')} AS h FROM per),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{BEYOND}', '{BYTES}') AS key FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM w a JOIN w b ON abs(length(a.key) - length(b.key)) <= 1 AND a.word <> b.word AND levenshtein(a.key, b.key) = 1),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS top, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN top END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+r(word, last) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.last WHERE f.form IS NOT NULL),
+roots AS (SELECT r.word, r.last AS root FROM r JOIN f ON f.word = r.last WHERE f.form IS NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN roots USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_dedup": SUFFIX_SQL, "op8_jaccard_join": JACCARD_SQL, "op9_substring_dedup": REPEATS_SQL, "op2_mixing": MIX_SQL, "op10_decontamination": DECONTAMINATION_SQL}
+    return {"op11_near_vectors": VECTORS_SQL, "op12_manifest": manifest_sql(), "op13_spelling_variants": SPELLING_SQL, "op5_suffix_dedup": SUFFIX_SQL, "op8_jaccard_join": JACCARD_SQL, "op9_substring_dedup": REPEATS_SQL, "op2_mixing": MIX_SQL, "op10_decontamination": DECONTAMINATION_SQL}
