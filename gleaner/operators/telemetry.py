@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Events that end a run, by the status they give.
-TERMINAL = {"success": ["chat.response", "search_test.completed"], "error": ["chat.error", "search_test.error", "chat.persistence_error"], "interrupted": ["chat.cancelled"]}
-ALL_TERMINAL = [e for names in TERMINAL.values() for e in names]
+from gleaner.functions import variants as V
+from gleaner.operators.runs import ALL_TERMINAL
+
 #: Where a turn may go from each state.
 TRANSITIONS = {
     "accepted": ["generating", "failed", "cancelled"],
@@ -84,17 +84,15 @@ def hit_stats(runs: DataFrame) -> DataFrame:
     return runs.where("hit_count is not null").agg(F.round(F.avg("hit_count"), 2).alias("avg_hits"), F.round(F.avg("selected_kb_count"), 2).alias("avg_kbs"))
 
 
-def json_number(payload: str, key: str) -> Column:
-    """The value where it is a JSON number, else null."""
-    raw = F.regexp_extract(payload, rf'"{key}"\s*:\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[,}}]', 1)
-    return F.when(raw != "", raw.cast("double"))
-
-
-def token_usage(events: DataFrame, kinds: list[str], prompt: str = "k", completion: str = "c") -> DataFrame:
-    rows = events.where(F.col("event").isin(kinds)).withColumn("p", json_number("payload", prompt)).withColumn("c", json_number("payload", completion))
-    rows = rows.withColumn("t", F.when(F.col("p").isNotNull() | F.col("c").isNotNull(), F.coalesce("p", F.lit(0.0)) + F.coalesce("c", F.lit(0.0))))
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0)).cast("long")
-    return rows.groupBy(day("created_at").alias("day"), "event").agg(total("p").alias("prompt_tokens"), total("c").alias("completion_tokens"), total("t").alias("total_tokens"), F.count("t").alias("calls"))
+def token_usage(events: DataFrame, kinds: list[str], prompt: str = "prompt_tokens", completion: str = "completion_tokens", total: str = "total_tokens") -> DataFrame:
+    """By day and event.  Only JSON numbers count; a call's total is the one it states, else the sum of its parts; a call counts as measured with any of the three."""
+    v = F.col("__v")
+    rows = events.where(F.col("event").isin(kinds)).withColumn("__v", V.parsed("payload"))
+    rows = rows.select("event", day("created_at").alias("day"), *[V.number(v, f"$.{name}").cast("decimal(38,0)").cast("long").alias(c) for c, name in (("p", prompt), ("c", completion), ("t", total))])
+    parts = F.when(F.col("p").isNotNull() | F.col("c").isNotNull(), F.coalesce("p", F.lit(0)) + F.coalesce("c", F.lit(0)))
+    rows = rows.withColumn("t", F.coalesce("t", parts))
+    summed = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return rows.groupBy("day", "event").agg(summed("p").alias("prompt_tokens"), summed("c").alias("completion_tokens"), summed("t").alias("total_tokens"), F.count("t").alias("calls"))
 
 
 def token_rollups(usage: DataFrame) -> DataFrame:
@@ -174,27 +172,6 @@ def number_events(events: DataFrame, cap: int = 500) -> DataFrame:
     return rows.where(keep).withColumn("sequence", F.least("n", F.lit(cap))).drop("n", "terminal", "late")
 
 
-def fold_trace_runs(events: DataFrame) -> DataFrame:
-    """One row a trace: the last stage, kind and user; an error is not undone by a later success."""
-    kind = F.when(F.col("event").startswith("chat."), "chat").when(F.col("event").startswith("search_test."), "search_test")
-    state = F.lit(None).cast("string")
-    for status, names in TERMINAL.items():
-        state = F.when(F.col("event").isin(names), status).otherwise(state)
-    rows = events.withColumn("kind", kind).withColumn("state", state)
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
-    stands = F.max_by("state", F.when(F.col("state").isin("error", "interrupted"), F.col("seq")))
-    return rows.groupBy("trace_id").agg(
-        F.max_by("event", "seq").alias("current_stage"), last("kind").alias("request_kind"), last("user_id").alias("user_id"), F.min("created_at").alias("started_at"), F.max("created_at").alias("updated_at"),
-        F.coalesce(stands, last("state"), F.lit("running")).alias("status"), F.max(F.when(F.col("state").isNotNull(), F.col("created_at"))).alias("completed_at"),
-    )
-
-
-def stale_runs(runs: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
-    """Running and silent: interrupted, completed when last heard of."""
-    stale = (F.col("status") == "running") & (F.col("updated_at") < now - F.expr(f"INTERVAL {minutes} MINUTES"))
-    return runs.withColumn("completed_at", F.when(stale, F.col("updated_at")).otherwise(F.col("completed_at"))).withColumn("status", F.when(stale, "interrupted").otherwise(F.col("status")))
-
-
 def retention(rows: DataFrame, stamp: str, now: Column, kind: str) -> DataFrame:
     return rows.where(F.col(stamp) >= now - F.expr(f"INTERVAL {KEEP_DAYS[kind]} DAYS"))
 

@@ -50,9 +50,25 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
            user_id, props AS payload, ts AS created_at FROM {events}""",
         None,
     ),
+    # Trace events with the payloads of a run: fields of every type that a summary must tell apart.
+    "records": (
+        ("trace_events",),
+        """SELECT t.event_id, t.trace_id, t.seq, t.event, CASE WHEN t.event_id % 11 = 0 THEN NULL ELSE t.user_id END AS user_id, t.created_at,
+           concat('{{"n":', t.event_id, CASE WHEN t.event_id % 3 = 0 THEN concat(',"conversation_id":"c', t.trace_id % 97, '"') WHEN t.event_id % 3 = 1 THEN ',"conversation_id":""' ELSE '' END,
+             CASE t.event_id % 5 WHEN 0 THEN concat(',"question":" what  about item ', t.event_id, '?"') WHEN 1 THEN concat(',"query":"item ', t.event_id, '","answer":""')
+               WHEN 2 THEN concat(',"question":" ","answer":"', repeat('so it is. ', CAST(t.event_id % 60 AS INT)), '"') WHEN 3 THEN concat(',"meta":[{{"Candidate_Content":"', CASE WHEN t.event_id % 2 = 0 THEN 'x' ELSE ' ' END, '"}}]') ELSE '' END,
+             CASE t.event_id % 4 WHEN 0 THEN ',"selected_kb_ids":[1,2,"x"]' WHEN 1 THEN concat(',"selected_kb_count":', t.event_id % 6) WHEN 2 THEN ',"selected_kb_count":"7"' ELSE '' END,
+             CASE t.event_id % 7 WHEN 0 THEN ',"evidence_status":"no_hit","hit_count":5' WHEN 1 THEN concat(',"evidence_status":"hit","hit_count":', t.event_id % 9) WHEN 2 THEN ',"hit_count":"3","direct_evidence_count":4'
+               WHEN 3 THEN ',"hit_count":-1' WHEN 4 THEN ',"evidence_status":"skipped"' WHEN 5 THEN ',"hit_count":true,"direct_evidence_count":2' ELSE ',"evidence_status":""' END,
+             CASE t.event_id % 6 WHEN 0 THEN concat(',"total_ms":', t.event_id % 1000, '.5') WHEN 1 THEN concat(',"total_ms":', t.event_id % 1000) WHEN 2 THEN ',"total_ms":"12"' WHEN 3 THEN ',"total_ms":-4' ELSE '' END,
+             CASE t.event_id % 8 WHEN 0 THEN concat(',"prompt_tokens":', t.event_id % 500) WHEN 1 THEN concat(',"prompt_tokens":', t.event_id % 500, ',"completion_tokens":', t.event_id % 70) WHEN 2 THEN concat(',"prompt_tokens":10,"completion_tokens":5,"total_tokens":', t.event_id % 90)
+               WHEN 3 THEN ',"prompt_tokens":"44","note":"prompt_tokens: 3"' WHEN 4 THEN ',"usage":{{"prompt_tokens":9}}' WHEN 5 THEN ',"total_tokens":12,"completion_tokens":null' ELSE '' END, '}}') AS payload
+           FROM {trace_events} t""",
+        None,
+    ),
     "logins": (
         ("events",),
-        """SELECT event_id AS id, concat('u', user_id % 20) AS username, concat('10.0.0.', user_id % 5) AS ip, user_id,
+        """SELECT event_id AS id, concat('u', user_id) AS username, concat('10.0.', CAST(floor(user_id / 8) AS BIGINT)) AS ip, user_id,
            event_type <> 'error' AS success, CASE WHEN event_type = 'error' THEN concat('r', event_id % 2) END AS fail_reason, ts AS attempt_at FROM {events}""",
         None,
     ),

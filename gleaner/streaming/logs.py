@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gleaner.operators.telemetry import ALL_TERMINAL, TERMINAL
+from gleaner.functions.text import throttle_keys
+from gleaner.operators import runs as U
 from gleaner.session import discard, stored
 
 #: Scope -> failures, minutes of the window, minutes blocked (None: alert only).
 LIMITS = {"pair": (5, 15, 15), "ip": (20, 15, 60), "account": (20, 15, None)}
-RUN = "trace_id long, current_stage string, started_at timestamp, updated_at timestamp, completed_at timestamp, status string, events long"
+#: Minutes after which a silent run counts as interrupted, days a run is kept, hours an idle throttle is kept.
+SILENT_MINUTES, RUN_DAYS, THROTTLE_HOURS = 15, 30, 48
 THROTTLE = "bucket string, moment timestamp, retry_after long, alert boolean"
+ATTEMPT = "scope string, attempt_id long, moment timestamp, retry_after long, alert boolean"
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, stamp: str, late: str = "15 minutes", files: int = 100) -> DataFrame:
@@ -41,38 +45,128 @@ def dedup_requests(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(["user_id", "request_id"])
 
 
+def newer(held: list | None, seq: int, *value) -> list:
+    return [seq, *value] if held is None or seq > held[0] else held
+
+
+def prefix_minima(held: list, seq: int, at: int) -> list:
+    """(seq, time) of events that were the earliest so far in the order of seq; arrivals may be in any order."""
+    held = sorted([*held, [seq, at]])
+    out: list = []
+    for x in held:
+        if not out or x[1] < out[-1][1]:
+            out.append(x)
+    return out
+
+
+def folded(state: dict, update: dict) -> dict:
+    """The state of a run with one more event; the outcome does not depend on the order of arrival."""
+    seq, at = int(update["seq"]), int(update["at"])
+    state["events"] = state.get("events", 0) + 1
+    state["last"] = newer(state.get("last"), seq, update["event"], at)
+    state["minima"] = prefix_minima(state.get("minima", []), seq, at)
+    state["content"] = bool(state.get("content") or update["has_content"])
+    for c in U.NEWEST:
+        if update[c] is not None:
+            state[c] = newer(state.get(c), seq, update[c])
+    outcome = update["outcome"]
+    if outcome is not None:
+        state["ended"] = newer(state.get("ended"), seq, at)
+        state["won" if outcome == "success" else "lost"] = newer(state.get("won" if outcome == "success" else "lost"), seq, outcome)
+    if outcome is not None or update["stage_ms"] is not None:
+        state["span"] = newer(state.get("span"), seq, at if outcome is not None else None, update["stage_ms"])
+    return state
+
+
+def summary(trace, state: dict) -> dict:
+    """The row of SUMMARY that a state stands for; times in microseconds."""
+    started = min(at for _, at in state["minima"])
+    won, lost = state.get("won"), state.get("lost")
+    status = lost[1] if lost and (lost[1] == "error" or not won or won[0] < lost[0]) else "success" if won else "running"
+    span, ms = state.get("span"), None
+    if span and span[1] is not None:
+        ms = max(0, round((span[1] - min(at for seq, at in state["minima"] if seq <= span[0])) / 1000))
+    elif span:
+        ms = int(span[2])
+    out = {"trace_id": trace, "current_stage": state["last"][1], "content_included": state["content"], "duration_ms": ms, "started_at": started, "updated_at": state["last"][2], "status": status, "events": state["events"]}
+    return out | {"completed_at": state["ended"][1] if "ended" in state else None} | {c: state[c][1] if c in state else None for c in U.NEWEST}
+
+
 class RunFold(StatefulProcessor):
-    """The state of one trace: an error is never undone by a later success; an early event moves the start back."""
+    """A run's state with event-time timers: silence ends a running one, age deletes it.
+
+    A run that was reported as interrupted for its silence is open again with its
+    next event, as in the batch form, which judges runs by their newest event.
+    """
+
+    def __init__(self, names: list[str]):
+        self.names = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "seq long, stage string, started long, updated long, completed long, status string, events long")
+        self.handle = handle
+        self.run = handle.getValueState("run", "state string")
+
+    def _timers(self, started: int, updated: int, running: bool) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        # A timer is due once the watermark has passed it: one millisecond beyond the last full one.
+        if running:
+            self.handle.registerTimer(updated // 1000 + SILENT_MINUTES * 60_000)
+        self.handle.registerTimer(started // 1000 + RUN_DAYS * 86_400_000)
+
+    def _row(self, row: dict) -> pd.DataFrame:
+        stamp = lambda m: None if m is None else pd.Timestamp(m, unit="us")
+        return pd.DataFrame([[stamp(row[c]) if c.endswith("_at") else row[c] for c in self.names]], columns=self.names).astype({c: "object" if not c.endswith("_at") else "datetime64[us]" for c in self.names})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, stage, started, updated, completed, status, events = self.run.get() if self.run.exists() else (-1, None, None, None, None, "running", 0)
+        state = json.loads(self.run.get()[0]) if self.run.exists() else {}
         for frame in rows:
-            for n, event, at in sorted(zip(frame["seq"], frame["event"], frame["created_at"], strict=True)):
-                micros = pd.Timestamp(at).value // 1000
-                events += 1
-                started = micros if started is None else min(started, micros)
-                updated = micros if updated is None else max(updated, micros)
-                if n > seq:
-                    seq, stage = int(n), event
-                for state, names in TERMINAL.items():
-                    if event in names:
-                        completed = micros if completed is None else max(completed, micros)
-                        if not (state == "success" and status in ("error", "interrupted")):
-                            status = state
-        self.run.update((seq, stage, started, updated, completed, status, events))
-        stamp = lambda m: None if m is None else pd.Timestamp(m, unit="us")
-        yield pd.DataFrame([(key[0], stage, stamp(started), stamp(updated), stamp(completed), status, events)], columns=["trace_id", "current_stage", "started_at", "updated_at", "completed_at", "status", "events"])
+            for update in frame.astype(object).where(frame.notna(), None).to_dict("records"):
+                state = folded(state, {c: x.item() if hasattr(x, "item") else x for c, x in update.items()})
+        self.run.update((json.dumps(state),))
+        row = summary(key[0], state)
+        self._timers(row["started_at"], row["updated_at"], row["status"] == "running")
+        yield self._row(row)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.run.exists():
+            return
+        row = summary(key[0], json.loads(self.run.get()[0]))
+        if expiredTimerInfo.getExpiryTimeInMs() >= row["started_at"] // 1000 + RUN_DAYS * 86_400_000:
+            self.run.clear()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+        elif row["status"] == "running":
+            yield self._row(row | {"status": "interrupted", "completed_at": row["updated_at"]})
 
     def close(self) -> None:
         pass
 
 
 def fold_runs(stream: DataFrame) -> DataFrame:
-    """Run state after each batch, keyed by trace (trace_id, seq, event, created_at)."""
-    return stream.select("trace_id", "seq", "event", "created_at").groupBy("trace_id").transformWithStateInPandas(RunFold(), RUN, "update", "none")
+    """The summary of a run after each batch with events of it, and once when it falls silent.
+
+    stream: trace_id, seq, event, user_id, payload and created_at with a watermark.
+    """
+    kinds = dict(stream.dtypes)
+    updates = U.event_updates(stream)
+    columns = ["trace_id", "seq", "event", "outcome", "stage_ms", "has_content", *U.NEWEST]
+    updates = updates.select(*columns, "created_at", U.micros(F.col("created_at")).alias("at"))
+    schema = U.SUMMARY.format(id=kinds["trace_id"], user=kinds["user_id"], time="timestamp")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return updates.groupBy("trace_id").transformWithStateInPandas(RunFold(names), schema, "update", "eventTime")
+
+
+def merged_failures(stream: DataFrame, gap: str = "60 seconds") -> DataFrame:
+    """The stream form of telemetry.merge_failures: equal failures at most `gap` after the one before are one row.
+
+    A session of Spark's ends where the next event is a gap away; the microsecond
+    lets an event that is exactly a gap away in.  Each success is a session of its own.
+    """
+    rows = stream.withColumn("single", F.when(F.col("success"), F.col("id")))
+    session = F.session_window("attempt_at", f"{gap} 1 microseconds")
+    out = rows.groupBy(session, "username", "ip", "fail_reason", "single").agg(F.min("id").alias("id"), F.count("*").alias("attempts"), F.max("attempt_at").alias("last_at"))
+    return out.select("username", "ip", "fail_reason", "id", "attempts", "last_at")
 
 
 def advance(state: tuple, at: float, limits: tuple[int, int, int | None]) -> tuple[tuple, int, bool]:
@@ -92,33 +186,56 @@ def advance(state: tuple, at: float, limits: tuple[int, int, int | None]) -> tup
 
 
 def throttled(frame: pd.DataFrame, state: tuple, limits: tuple[int, int, int | None], clears: bool) -> tuple[list[tuple], tuple]:
-    """Attempts of one bucket in time order; a success clears the bucket where `clears`."""
+    """Attempts of one bucket in the order of time and attempt_id (if any); a success clears the bucket where `clears`."""
     out = []
-    for at, ok in sorted(zip(frame["attempt_at"], frame["success"], strict=True)):
+    named = "attempt_id" in frame
+    ids = frame["attempt_id"] if named else [0] * len(frame)
+    for at, attempt, ok in sorted(zip(frame["attempt_at"], ids, frame["success"], strict=True)):
         seconds = pd.Timestamp(at).value / 1e9
         if ok:
             state = (0, None, None) if clears else state
             continue
         state, wait, alert = advance(state, seconds, limits)
-        out.append((at, wait, alert))
+        out.append((at, wait, alert, attempt) if named else (at, wait, alert))
     return out, state
 
 
 class Throttle(StatefulProcessor):
-    """Failure counts of one bucket: blocked failures don't count, windows restart when they are next used."""
+    """Failure counts of one bucket: blocked failures don't count, windows restart when they are next used.
+
+    A bucket is forgotten once its last failure is 48 hours old and it is not blocked.
+    """
 
-    def __init__(self, scope: str):
+    def __init__(self, scope: str | None = None):
         self.scope = scope
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.bucket = handle.getValueState("bucket", "failures int, start double, blocked double")
 
+    def _forget_at(self, state: tuple, last: float) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if state == (0, None, None):
+            self.bucket.clear()
+            return
+        self.bucket.update(state)
+        self.handle.registerTimer(int(1000 * max(last + THROTTLE_HOURS * 3600, state[2] or 0)))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.bucket.get() if self.bucket.exists() else (0, None, None)
         frame = pd.concat(list(rows))
-        out, state = throttled(frame, tuple(state), LIMITS[self.scope], self.scope == "pair")
-        self.bucket.update(state)
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["bucket", "moment", "retry_after", "alert"])
+        scope = self.scope or key[0]
+        out, state = throttled(frame, tuple(state), LIMITS[scope], scope == "pair")
+        self._forget_at(state, pd.Timestamp(frame["attempt_at"].max()).value / 1e9)
+        if self.scope:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=["bucket", "moment", "retry_after", "alert"])
+        else:
+            yield pd.DataFrame([(key[0], o[3], *o[:3]) for o in out], columns=["scope", "attempt_id", "moment", "retry_after", "alert"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.bucket.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -126,7 +243,47 @@ class Throttle(StatefulProcessor):
 
 def login_throttle(stream: DataFrame, scope: str) -> DataFrame:
     """Seconds of blocking after each failed login of a stream with `bucket`, attempt_at, success."""
-    return stream.select("bucket", "attempt_at", "success").groupBy("bucket").transformWithStateInPandas(Throttle(scope), THROTTLE, "append", "none")
+    return stream.select("bucket", "attempt_at", "success").groupBy("bucket").transformWithStateInPandas(Throttle(scope), THROTTLE, "append", "eventTime")
+
+
+def in_scopes(logins: DataFrame) -> DataFrame:
+    """(scope, bucket, attempt_id, attempt_at, success): each attempt (id, username, ip, attempt_at, success) once in every scope."""
+    keys = throttle_keys(F.col("username"), F.col("ip"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), k.alias("bucket")) for s, k in keys.items()]))
+    return logins.select(each.alias("b"), F.col("id").alias("attempt_id"), "attempt_at", "success").select("b.*", "attempt_id", "attempt_at", "success")
+
+
+def longest_block(verdicts: DataFrame) -> DataFrame:
+    """(attempt_id, retry_after, scope, account_alert) of each failed attempt: the longest block over its scopes; address before pair on a tie."""
+    order = F.when(F.col("scope") == "ip", 0).otherwise(1)
+    longest = F.max(F.when(F.col("scope") != "account", F.struct(F.col("retry_after"), (-order).alias("o"), "scope"))).alias("top")
+    out = verdicts.groupBy("attempt_id").agg(longest, F.bool_or("alert").alias("account_alert"))
+    return out.select("attempt_id", F.col("top.retry_after").alias("retry_after"), F.when(F.col("top.retry_after") > 0, F.col("top.scope")).alias("scope"), "account_alert")
+
+
+def scoped_throttle(logins: DataFrame) -> DataFrame:
+    """The verdict of each scope on each failed attempt, of a table or of a stream with a watermark on attempt_at.
+
+    All scopes see an attempt in the batch that it comes in, so that
+    longest_block() over a batch's rows is whole.
+    """
+    rows = in_scopes(logins)
+    if rows.isStreaming:
+        return rows.groupBy("scope", "bucket").transformWithStateInPandas(Throttle(), ATTEMPT, "append", "eventTime")
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, (0, None, None)
+        for frame in frames:
+            out = []
+            for key, part in frame.groupby(["scope", "bucket"], sort=False):
+                state = state if key == at else (0, None, None)
+                at = key
+                found, state = throttled(part, state, LIMITS[key[0]], key[0] == "pair")
+                out += [(key[0], r[3], *r[:3]) for r in found]
+            yield pd.DataFrame(out, columns=["scope", "attempt_id", "moment", "retry_after", "alert"])
+
+    ordered = rows.repartition("scope", "bucket").sortWithinPartitions("scope", "bucket", "attempt_at", "attempt_id")
+    return ordered.mapInPandas(walk, ATTEMPT)
 
 
 def login_throttle_batch(logins: DataFrame, scope: str) -> DataFrame:
@@ -210,4 +367,4 @@ def incremental_ingest(stream: DataFrame, target: str, checkpoint: str, made: di
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-__all__ = ["ALL_TERMINAL", "daily_activity", "dedup_requests", "fold_runs", "incremental_ingest", "login_throttle", "login_throttle_batch", "read_ingested", "stream_of", "write_trace_events"]
+__all__ = ["daily_activity", "dedup_requests", "fold_runs", "incremental_ingest", "login_throttle", "login_throttle_batch", "longest_block", "merged_failures", "read_ingested", "scoped_throttle", "stream_of", "write_trace_events"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as X
 from gleaner.operators import documents as D
 from gleaner.operators import retrieval as R
+from gleaner.operators import runs as U
 from gleaner.operators import telemetry as T
 from gleaner.plans import registry
 from gleaner.sources.files import read_documents, rebuild_knowledge_records
@@ -136,7 +137,7 @@ def test_stream_folds_like_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = spark.sql("select trace_id, max_by(status, events) status, min(started_at) s from runs group by 1").collect()
-    want = T.fold_trace_runs(source).select("trace_id", "status", F.col("started_at").alias("s")).collect()
+    want = U.fold_trace_runs(source).select("trace_id", "status", F.col("started_at").alias("s")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
