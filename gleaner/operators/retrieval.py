@@ -176,7 +176,11 @@ def keyword_candidates(queries: DataFrame, chunks: DataFrame, pool: int, bm25: B
 
 def trigrams(text: Column) -> Column:
     """Distinct 3-character grams of the lower-case words, each padded by two blanks before and one after."""
-    padded = F.transform(words(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return word_trigrams(F.array_distinct(words(text)))
+
+
+def word_trigrams(distinct_words: Column) -> Column:
+    padded = F.transform(distinct_words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
@@ -184,11 +188,16 @@ def term_weight(term: Column) -> Column:
     return 0.5 + 0.5 * F.least(F.char_length(term), F.lit(12)) / 12
 
 
+def searched_text(chunks: DataFrame) -> Column:
+    """What trigrams are looked up in: the name of the file, where chunks have it, and the content."""
+    return F.concat_ws("\n", "filename", "content") if "filename" in chunks.columns else F.col("content")
+
+
 def trigram_candidates(terms: DataFrame, chunks: DataFrame, pool: int, least: float = 0.12, scope: DataFrame | None = None) -> DataFrame:
-    """Best weighted trigram containment of any term (query_id, term) in the chunk's text."""
+    """Best weighted trigram containment of any term (query_id, term) in the chunk's filename and text."""
     grams = terms.select("query_id", "term", trigrams(F.col("term")).alias("g")).where(F.size("g") > 0)
     asked = grams.select("query_id", "term", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    held = chunks.select("id", "doc_id", "chunk_index", F.explode(trigrams(F.col("content"))).alias("gram"))
+    held = chunks.select("id", "doc_id", "chunk_index", F.explode(trigrams(searched_text(chunks))).alias("gram"))
     shared = within(held.join(few_terms(asked, terms.count()), "gram"), scope).groupBy("query_id", "term", "n", "id", "doc_id", "chunk_index").agg(F.count("*").alias("m"))
     scored = shared.withColumn("s", F.col("m") / F.col("n") * term_weight(F.col("term")))
     best = scored.groupBy("query_id", "id", "doc_id", "chunk_index").agg(F.round(F.max("s"), 6).alias("score")).where(F.col("score") >= least)
@@ -220,12 +229,16 @@ def fuse(channels: dict[str, DataFrame]) -> DataFrame:
     return wide.withColumn("score", F.round(total, 9)).withColumn("best_rank", F.least(*ranks) if len(ranks) > 1 else ranks[0])
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, vectors: bool = True) -> DataFrame:
-    """The k best chunks of each query over all channels, at most six of a document in each channel and in all."""
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, vectors: bool = True, index=None) -> DataFrame:
+    """The k best chunks of each query over all channels, at most six of a document in each channel and in all.
+
+    index: a stored TextIndex of the same chunks, which spares reading their texts.
+    """
     pool = pool_size(k)
     found = {"vector": vector_candidates(queries, chunks, pool)} if vectors else {}
-    found["keyword"] = keyword_candidates(queries, chunks, pool)
-    found["trigram"] = trigram_candidates(queries.select("query_id", F.col("query").alias("term")), chunks, pool)
+    terms = queries.select("query_id", F.col("query").alias("term"))
+    found["keyword"] = keyword_candidates(queries, chunks, pool) if index is None else index.keyword_candidates(queries, pool)
+    found["trigram"] = trigram_candidates(terms, chunks, pool) if index is None else index.trigram_candidates(terms, pool)
     fused = fuse({name: channel_rank(per_document_rank(c)) for name, c in found.items()})
     one = Window.partitionBy("query_id", "doc_id").orderBy(F.col("score").desc(), "best_rank", "chunk_index", "id")
     few = fused.withColumn("fused_document_rank", F.row_number().over(one)).where(F.col("fused_document_rank") <= CHUNKS_PER_DOCUMENT)

@@ -45,7 +45,7 @@ def _pack_records(v: Views):
 
 
 def _pack(v: Views):
-    return K.evidence_pack(v.queries, R.visible_chunks(v.chunks, v.docs), _pack_records(v))
+    return K.evidence_pack(v.queries, v.searched, _pack_records(v), search_chunks=lambda q, c, k: R.hybrid_search(q, c, k, index=v.text_index))
 
 
 def _md(v: Views):
@@ -55,8 +55,8 @@ def _md(v: Views):
 
 
 def _expanded(v: Views):
-    chunks = R.visible_chunks(v.chunks, v.docs)
-    seeds = R.hybrid_search(v.queries, chunks, 8).select("query_id", "id", F.col("fusion_rank").alias("pos"))
+    chunks = v.searched
+    seeds = R.hybrid_search(v.queries, chunks, 8, index=v.text_index).select("query_id", "id", F.col("fusion_rank").alias("pos"))
     return K.expand_evidence(v.queries, seeds, chunks, v.docs)
 
 
@@ -170,7 +170,7 @@ Q = {
         f"SELECT event_id, event_id % {len(NAMES)} < 5 AND CAST(floor(event_id / {len(NAMES)}) AS BIGINT) % {len(VALUES)} < 4 AS has_content FROM events",
     ),
     "E28_cap_payload": (lambda v: P.cap_payload(_payloads(v), "payload", 200), None),
-    "F4_search_within_documents": (lambda v: K.search_within_documents(v.queries, R.visible_chunks(v.chunks, v.docs), _scope(v)).select("query_id", "id", "doc_id", "score", "place"), None),
+    "F4_search_within_documents": (lambda v: K.search_within_documents(v.queries, v.searched, _scope(v)).select("query_id", "id", "doc_id", "score", "place"), None),
     "F7_evidence_pack": (_pack, None),
     "E12_search_records_for_chunks": (
         lambda v: K.search_records_for_chunks(_record_queries(v), _record_queries(v).select("query_id", F.col("query_id").alias("chunk_id")), _records(v).withColumn("chunk_id", F.col("doc_id"))),
@@ -218,7 +218,7 @@ Q = {
         "SELECT doc_id, CAST(length(text) AS DOUBLE) AS x, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS y FROM documents",
     ),
     "K1_replaceable_stages": (
-        lambda v: K.evidence_pack(v.queries, R.visible_chunks(v.chunks, v.docs), _pack_records(v), search_chunks=lambda q, c, k: R.hybrid_search(q, c, k, vectors=False).withColumn("vector_score", F.lit(None).cast("double"))),
+        lambda v: K.evidence_pack(v.queries, v.searched, _pack_records(v), search_chunks=lambda q, c, k: R.hybrid_search(q, c, k, vectors=False, index=v.text_index).withColumn("vector_score", F.lit(None).cast("double"))),
         None,
     ),
 }

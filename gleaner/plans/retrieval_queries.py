@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from gleaner.operators import catalog as C
 from gleaner.operators import retrieval as R
 from gleaner.plans.views import Views, duckdb_views
+from gleaner.session import stored
 
 WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 BASE = duckdb_views("queries", "docs") + rf""",
-vis AS (SELECT c.* FROM chunks c JOIN docs d USING (doc_id, kb_id) WHERE d.status = 'ready' AND d.is_active),
+vis AS (SELECT c.*, d.filename FROM chunks c JOIN docs d USING (doc_id, kb_id) WHERE d.status = 'ready' AND d.is_active),
 vec_all AS (
   SELECT query_id, id, doc_id, chunk_index, round(list_cosine_similarity(CAST(query_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM queries, vis WHERE embedding IS NOT NULL AND query_vec IS NOT NULL),
 vec AS (SELECT * FROM vec_all QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, id) <= 80),
@@ -27,7 +28,7 @@ kw_all AS (
 kw AS (
   SELECT k.query_id, id, doc_id, chunk_index, score FROM kw_all k JOIN (SELECT query_id, count(*) AS needed FROM asked GROUP BY query_id) n ON k.query_id = n.query_id AND matched = needed
   QUALIFY row_number() OVER (PARTITION BY k.query_id ORDER BY score DESC, doc_id, chunk_index, id) <= 80),
-g_c AS (SELECT DISTINCT id, doc_id, chunk_index, substr(p, CAST(i AS INT), 3) AS gram FROM (SELECT id, doc_id, chunk_index, p, unnest(range(1, length(p) - 1)) AS i FROM (SELECT id, doc_id, chunk_index, '  ' || unnest(w) || ' ' AS p FROM w))),
+g_c AS (SELECT DISTINCT id, doc_id, chunk_index, substr(p, CAST(i AS INT), 3) AS gram FROM (SELECT id, doc_id, chunk_index, p, unnest(range(1, length(p) - 1)) AS i FROM (SELECT id, doc_id, chunk_index, '  ' || unnest({WORDS.format("filename || chr(10) || content")}) || ' ' AS p FROM vis))),
 g_q AS (SELECT DISTINCT query_id, query AS term, substr(p, CAST(i AS INT), 3) AS gram FROM (SELECT query_id, query, p, unnest(range(1, length(p) - 1)) AS i FROM (SELECT query_id, query, '  ' || unnest({WORDS.format('query')}) || ' ' AS p FROM queries))),
 g_n AS (SELECT query_id, count(*) AS n FROM g_q GROUP BY query_id),
 tri_all AS (
@@ -67,12 +68,16 @@ def _visible(v: Views):
     return R.visible_chunks(v.chunks, v.docs)
 
 
+def _terms(v: Views):
+    return v.queries.select("query_id", F.col("query").alias("term"))
+
+
 def _limited(v: Views) -> dict:
     q, c = v.queries, _visible(v)
     found = {
         "vector": R.vector_candidates(q, c, 80),
-        "keyword": R.keyword_candidates(q, c, 80),
-        "trigram": R.trigram_candidates(q.select("query_id", F.col("query").alias("term")), c, 80),
+        "keyword": v.text_index.keyword_candidates(q, 80),
+        "trigram": v.text_index.trigram_candidates(_terms(v), 80),
     }
     return {n: R.channel_rank(R.per_document_rank(d)) for n, d in found.items()}
 
@@ -102,8 +107,10 @@ Q = {
     ),
     "C1_chunk_document_join": (lambda v: R.chunk_document_join(v.chunks, v.docs).select("id", "doc_id", "filename", "status"), duckdb_views("docs") + " SELECT c.id, c.doc_id, d.filename, d.status FROM chunks c JOIN docs d USING (doc_id, kb_id)"),
     "C2_vector_candidates": (lambda v: R.vector_candidates(v.queries, _visible(v), 80), BASE + CAND + "vec"),
-    "C3_keyword_candidates": (lambda v: R.keyword_candidates(v.queries, _visible(v), 80), BASE + CAND + "kw"),
-    "C4_trigram_candidates": (lambda v: R.trigram_candidates(v.queries.select("query_id", F.col("query").alias("term")), _visible(v), 80), BASE + CAND + "tri"),
+    "C3_keyword_candidates": (lambda v: v.text_index.keyword_candidates(v.queries, 80), BASE + CAND + "kw"),
+    "C4_trigram_candidates": (lambda v: v.text_index.trigram_candidates(_terms(v), 80), BASE + CAND + "tri"),
+    "C3_keyword_without_index": (lambda v: R.keyword_candidates(v.queries, _visible(v), 80), BASE + CAND + "kw"),
+    "C4_trigram_without_index": (lambda v: R.trigram_candidates(_terms(v), v.searched, 80), BASE + CAND + "tri"),
     "C5_fuse_join": (lambda v: _fused(v).select([c for c in HYBRID_COLUMNS if not c.startswith("fus")]), BASE + "SELECT " + ", ".join(c for c in HYBRID_COLUMNS if not c.startswith("fus")) + " FROM fused"),
     "F1_vector_search": (
         lambda v: R.vector_search(v.queries, _visible(v), 10).select("query_id", "id", "doc_id", "score", "rank"),
@@ -113,7 +120,7 @@ Q = {
         lambda v: R.keyword_search(v.queries, _visible(v), 10).select("query_id", "id", "doc_id", "score", "rank"),
         BASE + "SELECT query_id, id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, id) AS rank FROM (SELECT * FROM kw QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_index, id) = 1) QUALIFY rank <= 10",
     ),
-    "F3_hybrid_search": (lambda v: R.hybrid_search(v.queries, _visible(v), 10).select(HYBRID_COLUMNS), BASE + "SELECT " + ", ".join(HYBRID_COLUMNS) + " FROM hybrid"),
+    "F3_hybrid_search": (lambda v: R.hybrid_search(v.queries, _visible(v), 10, index=v.text_index).select(HYBRID_COLUMNS), BASE + "SELECT " + ", ".join(HYBRID_COLUMNS) + " FROM hybrid"),
     "F5_merge_query_variants": (
         lambda v: R.merge_query_variants(_variants(v), 3, 12).select("query_id", "id", "score", "best_rank", "n_variants", "rank"),
         BASE + """, m AS (SELECT query_id, id, doc_id, chunk_index, max(score) AS score, min(rank) AS best_rank, count(DISTINCT channel) AS n_variants FROM limited WHERE channel <> 'vector' GROUP BY ALL),
@@ -131,7 +138,7 @@ Q = {
         BASE + f"SELECT query_id, item, source AS stage, row_number() OVER (PARTITION BY query_id ORDER BY source, pos, item) AS place FROM (SELECT * FROM {SOURCES_SQL} QUALIFY row_number() OVER (PARTITION BY query_id, item ORDER BY source, pos) = 1)",
     ),
     "W1_per_document_rank": (
-        lambda v: R.per_document_rank(R.trigram_candidates(v.queries.select("query_id", F.col("query").alias("term")), _visible(v), 80), 2),
+        lambda v: R.per_document_rank(v.text_index.trigram_candidates(_terms(v), 80), 2),
         BASE + "SELECT query_id, id, doc_id, chunk_index, score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_index, id) AS document_rank FROM tri QUALIFY document_rank <= 2",
     ),
     "W2_channel_rank": (lambda v: _limited(v)["trigram"].select("query_id", "id", "rank"), BASE + "SELECT query_id, id, rank FROM limited WHERE channel = 'trigram'"),
@@ -143,7 +150,7 @@ Q = {
     "D18_document_relevance": (lambda v: R.document_relevance(_fused(v)), BASE + "SELECT query_id, doc_id, lexical, best_vector FROM rel"),
     "D19_admit_documents": (lambda v: R.admit_documents(R.document_relevance(_fused(v))), BASE + "SELECT query_id, doc_id, lexical, best_vector, reason, reason <> 'weak' AS admitted FROM adm"),
     "D20_admit_candidates": (
-        lambda v: R.admit_candidates((f := _fused(v)), R.admit_documents(R.document_relevance(f.where("doc_id % 2 = 0"))), f.where("trigram_score is not null").select("query_id", "id", "doc_id", F.col("trigram_score").alias("structured_score"))),
+        lambda v: R.admit_candidates((f := stored(_fused(v), "fused")), R.admit_documents(R.document_relevance(f.where("doc_id % 2 = 0"))), f.where("trigram_score is not null").select("query_id", "id", "doc_id", F.col("trigram_score").alias("structured_score"))),
         BASE + """, even AS (SELECT * FROM adm WHERE doc_id % 2 = 0), rec AS (SELECT query_id, id, doc_id, trigram_score >= 0.18 AS ok FROM fused WHERE trigram_score IS NOT NULL), anchor AS (SELECT DISTINCT query_id, doc_id FROM rec WHERE ok)
         SELECT f.query_id, f.id, f.doc_id, 'chunk' AS source_kind, CASE WHEN coalesce(e.reason <> 'weak', false) OR a.doc_id IS NOT NULL THEN 'admitted' ELSE 'rejected' END AS admission_status,
                CASE WHEN coalesce(e.reason <> 'weak', false) THEN e.reason WHEN a.doc_id IS NOT NULL THEN 'structured_record_document_anchor' ELSE 'document_relevance_gate' END AS admission_reason

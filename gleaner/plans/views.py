@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.operators.retrieval import visible_chunks
+from gleaner.operators.text_index import TextIndex, build_text_index, shared_text_index
 from gleaner.tables import table
 
 #: name -> (physical tables and views it reads, Spark SQL, DuckDB SQL where it differs)
@@ -98,6 +100,17 @@ class Views:
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
 
+    @property
+    def searched(self) -> DataFrame:
+        """Visible chunks with the names of their files."""
+        visible = visible_chunks(self.chunks, self.docs)
+        return visible.join(self.docs.select("doc_id", "kb_id", "filename"), ["doc_id", "kb_id"])
+
+    @property
+    def text_index(self) -> TextIndex:
+        """The index of the searched chunks, shared by all queries over the same files."""
+        return shared_text_index(self.spark, [f"{self.folder}/{t}.parquet" for t in ("documents", "embeddings")], lambda: build_text_index(self.searched))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -62,14 +62,25 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of new shuffle files upon which the driver collects its garbage.
+RELEASE_BYTES = 32_000_000
+_released: dict[str, int] = {}
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Has the driver collect its garbage, upon which Spark deletes the shuffle files of finished jobs.
 
     Spark does this by itself only when the driver's heap fills; what a written
-    table no longer needs would stay on the executors' disks until then.
+    table no longer needs would stay on the executors' disks until then.  Nothing
+    is done until jobs have written RELEASE_BYTES since the last time.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    written = sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+    name = spark.sparkContext.applicationId
+    if written - _released.get(name, 0) >= RELEASE_BYTES:
+        _released[name] = written
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
