@@ -74,7 +74,7 @@ def capped(x: dict, most: int) -> dict:
 
 
 def over_json(rows: DataFrame, column: str, kind: T.DataType, rule: Callable, name: str | None = None) -> DataFrame:
-    """rows with `name` (the column itself, unless given) = rule(parsed JSON); null where it does not parse."""
+    """rows with `name` (the column itself, unless given) = rule(parsed JSON); null where it does not parse or is nested too deep for Python."""
     name = name or column
     fields = [f for f in rows.schema.fields if f.name != name]
     schema = T.StructType([*fields, T.StructField(name, kind)])
@@ -86,10 +86,9 @@ def over_json(rows: DataFrame, column: str, kind: T.DataType, rule: Callable, na
             for raw in b.column(column).to_pylist():
                 try:
                     value = rule(json.loads(raw)) if raw is not None else None
-                except ValueError:
-                    out.append(None)
-                else:
                     out.append(compact(value) if to_text and value is not None else value)
+                except (ValueError, RecursionError):
+                    out.append(None)
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(out, pa.string() if to_text else pa.bool_())], schema.names)
 
     return rows.mapInArrow(made, schema)

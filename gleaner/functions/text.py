@@ -213,28 +213,48 @@ def scope_status(target_product: Column, target_version: Column, product: Column
 #: How support for a version is claimed and denied.
 SUPPORT_WORDS = ["兼容", "支持", "适用于", "适用", "适配"]
 DENIALS = ["不代表", "不再", "并不", "并非", "尚未", "尚不", "从未", "无法", "不能", "不可", "未", "不"]
-#: Signs that a list is whole.
-EXCLUSIVE = ["仅包括", "仅包含", "仅有", "仅限于", "仅支持", "仅允许", "只有", "全部包括", "全部包含", "全部为", "全部是", "全部如下"]
-ALL_OF = ["所有", "所有内容", "所有项目", "所有条目", "所有成员", "所有元素", "所有项", "所有条"]
-ALL_ARE = ["如下", "为", "是"]
-TOTALS, NUMERALS = ["共", "一共", "总计", "合计"], "一二三四五六七八九十百两"
-COUNTED = ["项", "条", "个", "种", "类", "步", "阶段", "部分", "方面"]
-MADE_OF = ["构成", "组成"]
-ENGLISH_EXCLUSIVE = ["consist of", "consists of", "comprise", "comprises", "only include", "only includes", "only contain", "only contains"]
-INTRODUCING = ["如下", "如下所示", "以下为", "以下是", "依次为", "分别为", "following"]
-#: Signs that a list is not whole, and that it goes on elsewhere.
-OPENING = ["例如", "诸如", "之一", "部分", "主要", "至少", "等等", "...", "……"]
-INCLUDING = ["包括", "包含"]
-ELSEWHERE = ["另见", "详见", "参见", "请见", "请查看"]
-LOOK_AT, LOOKED_AT = ["查看", "查阅"], ["附件", "附录", "文档", "详情", "具体", "具体内容", "具体条款", "具体规则", "下文", "表"]
-IN_FULL, SEE = ["具体", "详情", "完整", "完整内容", "完整条款", "完整规则"], ["见", "查看", "参见"]
-PLACES, PLACED = ["附件", "附录", "下文", "制度", "制度正文", "文档", "表"], ["中", "内", "详见"]
-#: Headings of overviews, and signs of a specific clause.
+#: What a sentence says of its list, by the word that tells it.  closes: the list is whole; introduces:
+#: it follows; opens: it has more members; elsewhere: the rest stands in another place.
+SIGNS = {
+    "closes": ["仅包括", "仅包含", "仅有", "仅限于", "仅支持", "仅允许", "只有", "全部包括", "全部包含", "全部为", "全部是", "全部如下", "consist of", "consists of", "comprise", "only include", "only contain"],
+    "introduces": ["如下", "以下为", "以下是", "依次为", "分别为", "following"],
+    "opens": ["例如", "诸如", "之一", "部分", "主要", "至少", "等等", "...", "……"],
+    "elsewhere": ["另见", "详见", "参见", "请见", "请查看"],
+}
+#: Signs of two words, the second next to the first but for white space.
+PAIRS = {
+    "elsewhere": [
+        (["查看", "查阅"], ["附件", "附录", "文档", "详情", "具体", "下文", "表"]),
+        (["具体", "详情", "完整", "完整内容", "完整条款", "完整规则"], ["见", "查看", "参见", "请见", "请查看", "请参见"]),
+        (["附件", "附录", "下文", "制度", "制度正文", "文档", "表"], ["中", "内", "详见"]),
+    ],
+}
+#: Everything of a kind, and how it is told; numbers of members; verbs of parts.
+ALL_OF, ALL_ARE = ["所有", "所有内容", "所有项目", "所有条目", "所有成员", "所有元素", "所有项", "所有条"], ["如下", "为", "是"]
+SEEN_IN = ["附件", "附录", "下文", "制度", "文档", "表"]
+TOTALS, MEMBERS, NUMERALS = ["共", "总计", "合计"], ["项", "条", "个", "种", "类", "步", "阶段", "部分", "方面"], "一二三四五六七八九十百两"
+PARTS_WITHIN, MADE_OF = 200, ["构成", "组成"]
+INCLUDING, ONLY = ["包括", "包含"], "仅"
+#: Headings of overviews, tags of tables, and signs of a specific clause.
 OVERVIEW_TITLES = ["总则", "适用范围", "适用对象", "目的", "背景", "术语定义", "术语和定义", "术语与定义", "定义"]
+TABLE_TAGS = ["table", "thead", "tbody", "tr", "td", "th"]
 SPECIFIC_WORDS = ["不超过", "不得", "必须", "应当", "标准", "上限", "下限", "步骤", "流程", "参数", "配置项"]
 SPECIFIC_UNITS = ["元", "%", "天", "小时", "分钟", "个", "次", "公里", "gb", "mb"]
 
 
+def holds_any(text: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def joined(firsts: list[str], seconds: list[str]) -> list[str]:
+    return [a + b for a in firsts for b in seconds]
+
+
+def with_numbers_as(mark: str, text: Column, numerals: str = "") -> Column:
+    """Each number, with the white space around it, as the mark: `共 12 项` is `共#项`."""
+    return F.regexp_replace(text, rf"\s*(?:\d+|[{numerals}]+)\s*" if numerals else r"\s*\d+\s*", mark)
+
+
 def any_of(values: list[str]) -> str:
     """A pattern for one of these texts, the longest first."""
     return "(?:" + "|".join(f"\\Q{v}\\E" for v in sorted(values, key=len, reverse=True)) + ")"
@@ -259,42 +279,58 @@ def normalize_markdown(c: Column) -> Column:
 def compatibility_statements(text: Column, products: list[str]) -> Column:
     """Versions of a product (under any of its names) that a text says it supports, that it says it does not, and the names used.
 
-    A statement is a support word before or behind a name with its version;
-    statements are collected first, then told apart by their denials.
+    The text is cut at every name with a version; what a mention claims is told by
+    the end of the piece before it and by the start of the piece behind it.
     """
     t = F.regexp_replace(text, r"[ \t]+", "")
-    cue = f"{any_of(DENIALS)}?{any_of(SUPPORT_WORDS)}"
-    named = rf"(?i:{any_of([p.replace(' ', '') for p in products])})(?:版本|[vV])?\d{{1,4}}(?:\.\d{{1,4}}){{0,3}}(?![\d.]*\d)"
-    collect = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    said = F.concat(collect(cue + named), collect(rf"{named}[，,：:;；的]*{cue}"))
-    denied = lambda x: x.rlike(any_of(DENIALS) + any_of(SUPPORT_WORDS))
-    version = lambda x: canonical_version(F.regexp_extract(F.regexp_extract(x, named, 0), r"([\d.]+)$", 1))
-    name = lambda x: F.lower(F.regexp_extract(x, rf"(?i:{any_of([p.replace(' ', '') for p in products])})", 0))
-    return F.struct(
-        F.array_distinct(F.transform(F.filter(said, lambda x: ~denied(x)), version)).alias("compatible"), F.array_distinct(F.transform(F.filter(said, denied), version)).alias("unsupported"), F.array_distinct(F.transform(said, name)).alias("products")
-    )
+    name_of = rf"(?i:{any_of([p.replace(' ', '') for p in products])})"
+    named = rf"{name_of}(?:版本|[vV])?\d{{1,4}}(?:\.\d{{1,4}}){{0,3}}(?![\d.]*\d)"
+    pieces = F.split(t, named, -1)
+    around = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda before, behind: F.struct(before.alias("before"), behind.alias("behind")))
+    said, denied = any_of(SUPPORT_WORDS), any_of(DENIALS)
+    claim = lambda piece, pattern: F.when(piece.rlike(pattern), F.regexp_extract(piece, pattern, 1) == "")
+
+    def mention(x: Column, at: Column) -> Column:
+        before, behind = claim(at["before"], f"({denied}?){said}$"), claim(at["behind"], f"^[，,：:;；的]*({denied}?){said}")
+        either = lambda wanted: F.coalesce(before == wanted, F.lit(False)) | F.coalesce(behind == wanted, F.lit(False))
+        return F.struct(x.alias("text"), either(True).alias("yes"), either(False).alias("no"))
+
+    mentions = F.zip_with(F.regexp_extract_all(t, F.lit(named), F.lit(0)), F.slice(around, F.lit(1), F.size(around) - 1), mention)
+    version = lambda m: canonical_version(F.regexp_extract(m["text"], r"([\d.]+)$", 1))
+    name = lambda m: F.lower(F.regexp_extract(m["text"], name_of, 0))
+    pick = lambda part, keep: F.array_distinct(F.transform(F.filter(mentions, keep), part))
+    return F.struct(pick(version, lambda m: m["yes"]).alias("compatible"), pick(version, lambda m: m["no"]).alias("unsupported"), pick(name, lambda m: m["yes"] | m["no"]).alias("products"))
 
 
 def collection_flags(sentence: Column) -> Column:
     """Whether a sentence says that its list is whole: a sign of it, and none to the contrary."""
-    total = rf"{any_of(TOTALS)}\s*(?:\d+|[{NUMERALS}]+)\s*{any_of(COUNTED)}"
-    parts = rf"由.{{1,200}}{any_of(MADE_OF)}|分为.{{1,200}}(?:[、,，;；。]|$)"
-    english = "|".join(v.replace(" ", r"\s+") for v in ENGLISH_EXCLUSIVE)
-    closes = sentence.rlike(f"(?i){any_of(EXCLUSIVE)}|{any_of(ALL_OF)}{any_of(ALL_ARE)}|{total}|{parts}|{english}")
-    leads = sentence.rlike(f"(?i){any_of(INTRODUCING)}")
-    opens = sentence.rlike(rf"(?i){any_of(OPENING)}|\betc\b|(?:^|[^仅]){any_of(INCLUDING)}")
-    leaves = sentence.rlike(rf"(?i){any_of(ELSEWHERE)}|{any_of(LOOK_AT)}\s*{any_of(LOOKED_AT)}|{any_of(IN_FULL)}\s*请?{any_of(SEE)}|见{any_of(PLACES)}|{any_of(PLACES)}\s*{any_of(PLACED)}")
-    return F.struct(closes.alias("closes"), leads.alias("introduces"), opens.alias("opens"), leaves.alias("elsewhere"), ((closes | leads) & ~opens & ~leaves).alias("closed"))
+    t = F.lower(F.regexp_replace(sentence, r"\s+", " "))
+    close = F.regexp_replace(t, " ", "")  # for signs whose words may stand apart
+    sign = lambda role: holds_any(t, SIGNS[role])
+    counted = holds_any(with_numbers_as("#", t, NUMERALS), joined(TOTALS, ["#" + m for m in MEMBERS]))
+    made_of = sentence.rlike(f"由.{{1,{PARTS_WITHIN}}}{any_of(MADE_OF)}")
+    divided = sentence.rlike(f"分为.{{1,{PARTS_WITHIN}}}(?:[、,，;；。]|$)")
+    closes = sign("closes") | holds_any(t, joined(ALL_OF, ALL_ARE)) | counted | made_of | divided
+    free = t
+    for word in INCLUDING:
+        free = F.replace(free, F.lit(ONLY + word), F.lit(" "))
+    opens = sign("opens") | holds_any(free, INCLUDING) | F.array_contains(F.split(t, r"\W+"), "etc")
+    elsewhere = sign("elsewhere") | holds_any(t, joined(["见"], SEEN_IN)) | holds_any(close, [w for pair in PAIRS["elsewhere"] for w in joined(*pair)])
+    return F.struct(closes.alias("closes"), sign("introduces").alias("introduces"), opens.alias("opens"), elsewhere.alias("elsewhere"), ((closes | sign("introduces")) & ~opens & ~elsewhere).alias("closed"))
 
 
 def section_kind(content: Column, declared: Column) -> Column:
     """The declared kind, else table, overview, specific or other by the look of it."""
-    rows = F.size(F.filter(F.slice(F.split(content, "\n"), 1, 20), lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2))
-    ruled = content.rlike(r"(?m)^\s*\|.+\|\s*$\n\s*\|\s*:?-{3,}")
-    marked = content.rlike(r"(?i)<(?:table|thead|tbody|tr|td|th)\b")
-    number = rf"第?[{NUMERALS[:-1]}0-9]+[章节、.．]\s*"
-    overview = F.trim(F.substring(content, 1, 300)).rlike(rf"^(?:\s*#{{1,6}}\s*)?(?:{number})?{any_of(OVERVIEW_TITLES)}(?:\s|[：:。]|$)")
-    specific = content.rlike(rf"(?i)第[{NUMERALS[:-1]}0-9]+条|\d+(?:\.\d+){{1,4}}\s+|{any_of(SPECIFIC_WORDS)}|\d+(?:\.\d+)?\s*{any_of(SPECIFIC_UNITS)}")
+    lines = F.split(content, "\n")
+    rows = F.size(F.filter(F.slice(lines, 1, 20), lambda x: F.size(F.split(x, r"\|")) >= 3))
+    full = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: x != "")
+    ruled = F.exists(F.sequence(F.lit(1), F.greatest(F.size(full) - 1, F.lit(1))), lambda i: F.coalesce(F.get(full, i - 1).rlike(r"^\|.+\|$") & F.get(full, i).rlike(r"^\|:?-{3}"), F.lit(False)))
+    marked = F.arrays_overlap(F.regexp_extract_all(F.lower(content), F.lit(r"<(\w+)"), F.lit(1)), F.array(*[F.lit(x) for x in TABLE_TAGS]))
+    bare = F.regexp_replace(F.regexp_replace(F.trim(F.substring(content, 1, 300)), r"^\s*#{1,6}\s*", ""), rf"^第?[{NUMERALS[:-1]}0-9]+[章节、.．]\s*", "")
+    overview = F.split(bare, r"[\s：:。]", 2)[0].isin(OVERVIEW_TITLES)
+    low = F.lower(content)
+    clause = F.contains(F.regexp_replace(low, rf"[{NUMERALS[:-1]}0-9]+", "#"), F.lit("第#条")) | content.rlike(r"\d\.\d+\s")
+    specific = clause | holds_any(low, SPECIFIC_WORDS) | holds_any(with_numbers_as("#", low), ["#" + u for u in SPECIFIC_UNITS])
     seen = F.when(ruled | marked | (rows >= 2), "table").when(overview, "overview").when(specific, "specific").otherwise("other")
     named = F.lower(F.trim(declared))
     return F.when(named.isin("table", "specific", "overview", "other"), named).otherwise(seen)

@@ -17,7 +17,9 @@ def visible_documents(docs: DataFrame, user: int, is_superadmin: bool = False) -
 
 def document_actions(docs: DataFrame, users: DataFrame) -> DataFrame:
     """What each user may do with each document of theirs, and superadmins with all (user, doc pairs are given)."""
-    pairs = docs.join(users.select(F.col("user_id").alias("uid"), "is_superadmin"), (F.col("created_by") == F.col("uid")) | F.col("is_superadmin"))
+    who = users.select(F.col("user_id").alias("uid"), "is_superadmin")
+    owned = docs.join(who.where("not coalesce(is_superadmin, false)"), F.col("created_by") == F.col("uid"))
+    pairs = owned.unionByName(docs.crossJoin(who.where("is_superadmin")))  # superadmins see all documents: the result itself
     owner = F.coalesce(F.col("created_by") == F.col("uid"), F.lit(False))
     open_doc = owner | (F.col("status") != "draft")
     return pairs.select("uid", "doc_id", (F.col("is_superadmin") | open_doc).alias("can_read"), (F.col("is_superadmin") | open_doc).alias("can_update"), (F.col("is_superadmin") | owner).alias("can_delete"))

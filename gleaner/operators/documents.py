@@ -38,7 +38,7 @@ def extract_records(chunks: DataFrame, key: str) -> DataFrame:
     first = Window.partitionBy(key).orderBy("line_no")
     rows = lines.withColumn("header", F.first("cells").over(first)).withColumn("n", F.row_number().over(first)).where("n > 1")
     rows = rows.where((F.size("cells") == F.size("header")) & (F.col("cells")[0] != ""))
-    value = F.when(F.size("cells") == 2, F.col("cells")[1]).otherwise(F.array_join(F.slice("cells", 2, 100), " | "))
+    value = F.when(F.size("cells") == 2, F.col("cells")[1]).otherwise(F.array_join(F.slice("cells", 2, F.size("cells")), " | "))
     made = rows.select(key, "line_no", F.col("cells")[0].alias("subject"), F.when(F.size("cells") == 2, F.col("header")[1]).otherwise("table_row").alias("predicate"), value.alias("value"), F.array_join("cells", " ").alias("search_text"))
     once = Window.partitionBy(key, "subject", "predicate", "value").orderBy("line_no")
     return made.where("trim(value) <> ''").withColumn("r", F.row_number().over(once)).where("r = 1").drop("r")

@@ -149,7 +149,10 @@ def term_matches(terms: DataFrame, texts: DataFrame) -> DataFrame:
 
 def ambiguous_terms(bindings: DataFrame) -> DataFrame:
     """One spelling for two concepts of a knowledge base with overlapping scopes (null overlaps all)."""
-    a, b = bindings.alias("a"), bindings.alias("b")
+    known = bindings.select("kb_id", "spelling", "concept", "scope").distinct()
+    several = known.groupBy("kb_id", "spelling").agg(F.min("concept").alias("x"), F.max("concept").alias("y")).where("x < y")
+    known = known.join(several.select("kb_id", "spelling"), ["kb_id", "spelling"], "left_semi")
+    a, b = known.alias("a"), known.alias("b")
     same = (F.col("a.kb_id") == F.col("b.kb_id")) & (F.col("a.spelling") == F.col("b.spelling")) & (F.col("a.concept") < F.col("b.concept"))
     overlap = F.coalesce(F.col("a.scope") == F.col("b.scope"), F.lit(True))
     return a.join(b, same).where(overlap).select("a.kb_id", "a.spelling", F.col("a.concept").alias("concept"), F.col("b.concept").alias("other")).distinct()
