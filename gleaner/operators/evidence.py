@@ -128,24 +128,6 @@ def restrict_to_scope_slices(cands: DataFrame, choices: DataFrame) -> DataFrame:
     return cands.join(choices, (cands["doc_id"] == choices["c_doc"]) & (choices["c_section"].isNull() | (choices["c_section"] == cands["section_key"])), "left_semi")
 
 
-#: Dictionary terms up to this many are broadcast; beyond, terms and texts meet by the first two letters.
-BROADCAST_TERMS = 5_000
-
-
-def term_matches(terms: DataFrame, texts: DataFrame) -> DataFrame:
-    """Dictionary terms that a text holds: ASCII terms as whole tokens, others anywhere."""
-    plain = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    few = terms.select("term", F.lower("term").alias("t")).where(F.char_length("term") >= 2)
-    rows = texts.select("text_id", plain.alias("plain"))
-    if few.count() <= BROADCAST_TERMS:
-        pairs = rows.crossJoin(F.broadcast(few))
-    else:
-        starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("plain") - 1, F.lit(1))), lambda i: F.substring("plain", i, F.lit(2))))
-        pairs = rows.withColumn("lead", F.explode(starts)).join(few.withColumn("lead", F.substring("t", 1, 2)), "lead")
-    ascii_term = F.octet_length("term") == F.char_length("term")
-    token = F.concat(F.lit(" "), F.regexp_replace("plain", r"[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("t"), F.lit(" ")))
-    return pairs.where(F.when(ascii_term, token).otherwise(F.col("plain").contains(F.col("t")))).select("text_id", "term")
-
 
 def ambiguous_terms(bindings: DataFrame) -> DataFrame:
     """One spelling for two concepts of a knowledge base with overlapping scopes (null overlaps all)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.operators import evidence as V
+from gleaner.operators import terms as M
 from gleaner.plans.views import Views, duckdb_views
 
 CH = duckdb_views("chunks")
@@ -76,6 +77,16 @@ def _bindings(v: Views):
 
 
 TERMS = ["the", "tion", "über", "ing", "of", "ção"]
+def _term_rule(term: str, text: str) -> str:
+    """White space between the letters of a term counts for nothing; a token of ASCII letters has ends."""
+    spread, edge = r"\s*".join(term.replace(" ", "")), "[^a-z0-9_.+/-]"
+    return f"regexp_matches(lower({text}), '" + (f"(^|{edge}){spread}($|{edge})" if term.isascii() else spread) + "')"
+
+
+def _term_sql(term: str) -> str:
+    return f"SELECT doc_id AS text_id, '{term}' AS term FROM documents WHERE {_term_rule(term, 'text')}"
+
+
 Q = {
     "B10_restrict_to_scope_slices": (
         lambda v: V.restrict_to_scope_slices(v.chunks, v.docs.where("status = 'ready'").select(F.col("doc_id").alias("c_doc"), F.when(~F.col("is_active"), "sec-1").alias("c_section"))).select("id", "doc_id", "section_key"),
@@ -89,9 +100,10 @@ Q = {
         f AS (SELECT *, CASE constraint_status WHEN 'exact' THEN 3 WHEN 'compatible' THEN 2 WHEN 'neutral' THEN 1 ELSE 0 END AS fit FROM p)
         SELECT query_id, id, CASE WHEN fit > 0 THEN scope_id END AS scope_id, constraint_status, fit > 0 AS accepted FROM f QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY fit DESC, scope_id) = 1""",
     ),
-    "C17_term_matches": (
-        lambda v: V.term_matches(v.spark.createDataFrame([(t,) for t in TERMS], "term string"), v.documents.select(F.col("doc_id").alias("text_id"), "text")),
-        f"SELECT doc_id AS text_id, term FROM documents, (SELECT unnest({TERMS}) AS term) WHERE CASE WHEN strlen(term) = length(term) THEN contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || term || ' ') ELSE contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), term) END",
+    "C17_term_matches": (lambda v: M.term_matches(v.spark.createDataFrame([(t,) for t in TERMS], "term string"), v.documents.select(F.col("doc_id").alias("text_id"), "text")), " UNION ALL ".join(_term_sql(t) for t in TERMS)),
+    "C17_query_variants": (
+        lambda v: M.query_variants(v.spark.createDataFrame([(t, f"<{t}>") for t in TERMS], "term string, replacement string"), v.queries.select(F.col("query_id").alias("text_id"), F.col("query").alias("text"))),
+        duckdb_views("queries") + " " + " UNION ALL ".join(f"SELECT query_id AS text_id, '{t}' AS term, '<{t}>' AS replacement, trim(regexp_replace(regexp_replace(query, '\\s+', ' ', 'g'), '{t}', '<{t}>', 'i')) AS variant FROM queries WHERE {_term_rule(t, 'query')}" for t in TERMS),
     ),
     "C18_ambiguous_terms": (
         lambda v: V.ambiguous_terms(_bindings(v)),

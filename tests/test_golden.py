@@ -312,12 +312,13 @@ def test_ingest_replaces_chunks_by_revision_and_survives_a_crash(spark, tmp_path
 
 
 def test_terms_beyond_the_broadcast_bound(spark, monkeypatch):
-    from gleaner.operators import evidence as V
+    from gleaner.operators import terms as V
 
     terms = spark.createDataFrame([("the",), ("über",), ("of it",), ("x",), ("知识",)], "term string")
     texts = spark.createDataFrame([(1, "The end  of it, überall"), (2, "other"), (3, "我的知识库"), (4, "")], "text_id long, text string")
     few = sorted(map(tuple, V.term_matches(terms, texts).collect()))
-    monkeypatch.setattr(V, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 4)
+    monkeypatch.setattr(V, "TEXT_BYTES", 20)
     assert few == sorted(map(tuple, V.term_matches(terms, texts).distinct().collect())) == [(1, "of it"), (1, "the"), (1, "über"), (3, "知识")]
 
 
@@ -374,3 +375,16 @@ def test_overview_has_every_part_of_its_window(spark):
     assert [(x["user_id"], x["n"], x["hits"]) for x in rows[0]["top_users"]] == [(5, 2, 1), (4, 1, 1)]
     assert got["tokens"] == [(new.date(), "g", 3, 0, 3, 1)] and len(got["token_totals"]) == 3
     assert got["top_actions"] == [("b", 2), ("a", 1)]
+
+
+def test_terms_whatever_width_case_and_space(spark):
+    from gleaner.operators import terms as V
+
+    words = ["R1", "餐补", "Ｃａｆé", "a b", "x", "", None, "straße", "c++", "r1"]
+    texts = {1: "r1", 2: "R10 and xr1", 3: "版本R 1号", 4: "聚餐补录", 5: "餐 \n补", 6: "CAFÉ!", 7: "cafés", 8: "A\tB", 9: "STRASSE", 10: "use c++, or C++11", 11: None, 12: "", 13: "r1." + "y" * 100_000 + " R1"}
+    got = V.term_matches(spark.createDataFrame([(w,) for w in words], "term string"), spark.createDataFrame(list(texts.items()), "text_id long, text string"))
+    r1 = {"R1", "r1"}
+    want = {1: r1, 3: r1, 4: {"餐补"}, 5: {"餐补"}, 6: {"Ｃａｆé"}, 7: {"Ｃａｆé"}, 8: {"a b"}, 9: {"straße"}, 10: {"c++"}, 13: r1}
+    assert sorted(map(tuple, got.collect())) == sorted((i, t) for i, ts in want.items() for t in ts)
+    assert V.replaced_once("use  R1 and r1", "r1", "R2 (new)") == "use R2 (new) and r1" and V.replaced_once("餐 补", "餐补", "x") is None
+    assert V.replaced_once("R1", "R1", "ｒ1") is None and V.replaced_once("a\\1", "a", r"\1") == "\\1\\1" and V.replaced_once("R1" * 600, "R1", "x") is None
