@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,14 @@ FIRST_KEYS = ["timestamp", "event", "trace_id", "surface", "user_id", "conversat
 SUMMARY_KEYS = ["evidence_status", "selected_kb_count", "hit_count", "candidate_count", "total_ms", "elapsed_ms"]
 HIDDEN = "[REDACTED]"
 YAML_LINE = re.compile(r"^(\s*)(?:-\s+)?([A-Za-z_][\w.-]*)\s*:(?:\s+(.*?))?\s*$")
-PROPERTY_LINE = re.compile(r"^\s*([A-Za-z_][\w.-]*)\s*=\s*(.+?)\s*$")
+PROPERTY_LINE = re.compile(r"^\s*(?:export\s+)?([A-Za-z_][\w.-]*)\s*=\s*(.+?)\s*$", re.IGNORECASE)
+NAME_AND_COLON = re.compile(r"([A-Za-z_][A-Za-z0-9_.&-]*)\s*:")
+NAME_AND_SIGN = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]+\s*[:=]")
+SCALAR = re.compile(r"\s*(true|false|null|[-+]?\d+(?:\.\d+)?|\"[^\"\r\n]*\"|'[^'\r\n]*')", re.IGNORECASE)
+#: What a fence may be labelled, what may stand before a name in a run-on block, and the longest names, quoted values and notes.
+FENCE_LABELS = ["yaml", "yml", "properties", "property", "ini", "conf", "toml", "bash", "shell"]
+BEFORE_NAME = "[{(,;"
+LONGEST_NAME, LONGEST_QUOTED, LONGEST_NOTE = 128, 200, 240
 
 
 def bare(key: str) -> str:
@@ -122,26 +130,99 @@ def typed(raw: str) -> str:
     return json.dumps(text[1:-1] if quoted else text, ensure_ascii=False)
 
 
-def config_assignments(text: str | None, most: int = 100) -> list[tuple[str, str, str | None]]:
-    """(dotted path, JSON value, comment) of indented `key: value` lines and `a.b=value` lines; the first of equals."""
-    found: dict[tuple[str, str], str | None] = {}
+@dataclass(frozen=True)
+class Assignment:
+    start: int
+    end: int
+    path: str
+    value: str
+    note: str | None
+
+
+def note_of(comment: str) -> str | None:
+    return " ".join(comment.split()).strip(" `#，,。；;")[:LONGEST_NOTE] or None
+
+
+def by_lines(text: str) -> Iterator[Assignment]:
+    """Indented `key: value` lines under their parents, and `a.b=value` lines."""
     parents: dict[int, str] = {}
-    for line in (text or "").splitlines():
-        body, _, comment = line.partition(" #")
-        note = " ".join(comment.split()) or None
+    at = 0
+    for line in text.splitlines(keepends=True):
+        start, at = at, at + len(line)
+        body, _, comment = line.rstrip("\r\n").partition(" #")
+        end = start + len(line.rstrip("\r\n"))
         if m := YAML_LINE.match(body):
             depth = len(m[1].expandtabs(2))
             parents = {d: k for d, k in parents.items() if d < depth}
             if not m[3]:
                 parents[depth] = m[2]
-                continue
-            path, value = ".".join([*(parents[d] for d in sorted(parents)), m[2]]), typed(m[3])
-        elif m := PROPERTY_LINE.match(body):
-            path, value = m[1].strip("."), typed(m[2])
-        else:
+            else:
+                yield Assignment(start + m.start(2), end, ".".join([*(parents[d] for d in sorted(parents)), m[2]]), typed(m[3]), note_of(comment))
+        elif (m := PROPERTY_LINE.match(body)) and len(m[1]) <= LONGEST_NAME:
+            yield Assignment(start + m.start(1), end, m[1].strip("."), typed(m[2]), note_of(comment))
+
+
+def run_on_blocks(text: str) -> Iterator[tuple[int, str]]:
+    """(place, body) of fences on one line, without their labels."""
+    fences = [m.start() for m in re.finditer("```", text)]
+    for a, b in zip(fences[::2], fences[1::2], strict=False):
+        body = text[a + 3 : b]
+        label = re.match(r"\s*(\w+)\s+", body)
+        skip = label.end() if label and label[1].lower() in FENCE_LABELS else 0
+        if "\n" not in body[skip:] and "\r" not in body[skip:]:
+            yield a + 3 + skip, body[skip:]
+
+
+def in_run_on_block(body: str, place: int) -> Iterator[Assignment]:
+    """`key: value` in a block whose lines were run together: a value reaches up to the next key.
+
+    A name is a key behind white space or an opening sign, unless what follows
+    makes it part of an address; one with nothing before the next key is a
+    container.  Indentation is lost, so that a path is its own name only.
+    """
+    keys = []
+    for m in NAME_AND_COLON.finditer(body):
+        free = m.start() == 0 or body[m.start() - 1].isspace() or body[m.start() - 1] in BEFORE_NAME
+        if free and len(m[1]) <= LONGEST_NAME and not body[m.end() :].lstrip().startswith(("//", "\\")):
+            keys.append(m)
+    for m, after in zip(keys, [*[k.start() for k in keys[1:]], len(body)], strict=True):
+        value, _, comment = (" " + body[m.end() : after].strip()).partition(" #")
+        if value.strip():
+            yield Assignment(place + m.start(), place + after, m[1], typed(value), note_of(comment))
+
+
+def in_prose(text: str) -> Iterator[Assignment]:
+    """`key=value` and `key: value` with a plain scalar, followed by another pair, a fence or the end of the text."""
+    at = 0
+    while m := NAME_AND_SIGN.search(text, at):
+        at = m.end()
+        scalar = SCALAR.match(text, m.end())
+        name = m[0][:-1].rstrip()
+        if scalar is None or len(name) > LONGEST_NAME or len(scalar[1]) > LONGEST_QUOTED + 2:
             continue
-        found.setdefault((path.casefold(), value), note)
-    return [(p, v, c) for (p, v), c in list(found.items())[:most]]
+        line_end = min([i for i in (text.find("\n", scalar.end()), len(text)) if i >= 0])
+        rest = text[scalar.end() : line_end]
+        last = not text[line_end:].strip("\n") and len(text[line_end:]) <= 1
+        follows = re.search(r"\s+(?=[A-Za-z_][A-Za-z0-9_.-]+\s*[:=])", rest)
+        stops = [i for i in (follows.start() if follows else -1, rest.find("```"), len(rest) if last else -1) if i >= 0]
+        between = rest[: min(stops)] if stops else None
+        if between is None or (between and not between.lstrip().startswith("#")):
+            continue
+        at = scalar.end()
+        yield Assignment(m.start(), scalar.end() + len(between), ".".join(filter(None, name.split("."))), typed(scalar[1]), note_of(between))
+
+
+def config_assignments(text: str | None, most: int = 100) -> list[tuple[str, str, str | None]]:
+    """(dotted path, JSON value, comment) of the assignments of a text, the first of equals: on lines of their own, in fenced
+    blocks that were run together to one line, and in prose where none of these is."""
+    text = text or ""
+    found = [*by_lines(text), *(x for place, body in run_on_blocks(text) for x in in_run_on_block(body, place))]
+    taken = [(x.start, x.end) for x in found]
+    found += [x for x in in_prose(text) if not any(a <= x.start and x.end <= b for a, b in taken)]
+    first: dict[tuple[str, str], str | None] = {}
+    for x in sorted(found, key=lambda x: (x.start, x.end)):
+        first.setdefault((x.path.casefold(), x.value), x.note)
+    return [(p, v, c) for (p, v), c in list(first.items())[:most]]
 
 
 def extract_config_assignments(rows: DataFrame, key: str, column: str) -> DataFrame:

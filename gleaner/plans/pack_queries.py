@@ -30,7 +30,10 @@ def _payloads(v: Views):
 
 
 def _configs(v: Views):
-    text = F.expr("concat('server:\\n  port: ', event_id % 100, ' # listen port ', user_id % 5, '\\n  tls:\\n    enabled: true\\nmax.size=', user_id, '\\n')")
+    """Lines under parents and a property; by turns a block that was run together, pairs in prose, and text of another kind."""
+    run_on = "concat('```yaml cache: size: ', event_id % 60, ' # how big ttl: ', user_id % 9, 's url: http://h/', event_id % 4, '```')"
+    prose = "concat('here retry.count=', event_id % 12, ' mode=true\\nof a=', event_id, ' no value')"
+    text = F.expr(f"concat('server:\\n  port: ', event_id % 100, ' # listen port ', user_id % 5, '\\n  tls:\\n    enabled: ', event_id % 2 = 0, '\\nmax.size=', user_id, '\\n', CASE event_id % 3 WHEN 0 THEN {run_on} WHEN 1 THEN {prose} ELSE 'plain: words' END, '\\n')")
     return v.events.select("event_id", text.alias("text"))
 
 
@@ -147,7 +150,9 @@ Q = {
     "E13_query_terms": (lambda v: v.queries.select("query_id", F.array_join(K.query_terms(F.concat(F.lit("请问 "), "query", F.lit(" 怎么配置吗"))), "|").alias("terms")), None),
     "E15_extract_config_assignments": (
         lambda v: P.extract_config_assignments(_configs(v), "event_id", "text"),
-        "WITH p AS (SELECT * FROM events) SELECT event_id, 'server.port' AS path, CAST(event_id % 100 AS VARCHAR) AS value, 'listen port ' || (user_id % 5) AS meaning FROM p UNION ALL SELECT event_id, 'server.tls.enabled', 'true', NULL FROM p UNION ALL SELECT event_id, 'max.size', CAST(user_id AS VARCHAR), NULL FROM p",
+        """WITH p AS (SELECT * FROM events) SELECT event_id, 'server.port' AS path, CAST(event_id % 100 AS VARCHAR) AS value, 'listen port ' || (user_id % 5) AS meaning FROM p UNION ALL SELECT event_id, 'server.tls.enabled', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, NULL FROM p UNION ALL SELECT event_id, 'max.size', CAST(user_id AS VARCHAR), NULL FROM p
+        UNION ALL SELECT event_id, 'size', CAST(event_id % 60 AS VARCHAR), 'how big' FROM p WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'ttl', '"' || (user_id % 9) || 's"', NULL FROM p WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'url', '"http://h/' || (event_id % 4) || '"', NULL FROM p WHERE event_id % 3 = 0
+        UNION ALL SELECT event_id, 'retry.count', CAST(event_id % 12 AS VARCHAR), NULL FROM p WHERE event_id % 3 = 1 UNION ALL SELECT event_id, 'plain', '"words"', NULL FROM p WHERE event_id % 3 = 2""",
     ),
     "E16_match_config": (
         lambda v: K.match_config(v.part.select(F.col("p_partkey").alias("query_id"), F.expr("concat(element_at(array('what is server.port here ', 'listenport ', 'nothing '), cast(1 + p_partkey % 3 as int)), p_size % 10)").alias("query")), P.extract_config_assignments(_settings(v), "n_nationkey", "text").drop("n_nationkey")),

@@ -388,3 +388,28 @@ def test_terms_whatever_width_case_and_space(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, t) for i, ts in want.items() for t in ts)
     assert V.replaced_once("use  R1 and r1", "r1", "R2 (new)") == "use R2 (new) and r1" and V.replaced_once("餐 补", "餐补", "x") is None
     assert V.replaced_once("R1", "R1", "ｒ1") is None and V.replaced_once("a\\1", "a", r"\1") == "\\1\\1" and V.replaced_once("R1" * 600, "R1", "x") is None
+
+
+def test_configuration_that_was_run_together():
+    from gleaner.functions.payload import config_assignments as read
+
+    fenced = "Set it so: ```yaml server: port: 8080 # listen port; tls: enabled: true cert: /etc/a.pem url: http://h:90/x name: \"a b\"``` then go."
+    assert read(fenced) == [("port", "8080", "listen port"), ("enabled", "true", None), ("cert", '"/etc/a.pem"', None), ("url", '"http://h:90/x"', None), ("name", '"a b"', None)]
+    assert read("```\na:\n  b: 1\n```") == [("a.b", "1", None)]
+    assert read("``` {x: 1, y: two}```") == [("x", "1", None), ("y", '"two}"', None)]
+    prose = "with retry.count=5 max-wait: 2.50 and mode='fast' # how it goes level=3"
+    assert read(prose) == [("retry.count", "5", None), ("mode", '"fast"', "how it goes"), ("level", "3", None)]
+    assert read("see a=5 now") == [] and read("x=true") == [("x", "true", None)] and read("use `debug=true") == [("debug", "true", None)]
+    assert read("export PATH_OF.x = y") == [("path_of.x", '"y"', None)]
+    assert read("k: 1\nk: 1\nk: 2\n") == [("k", "1", None), ("k", "2", None)] and len(read("\n".join(f"k{i}: {i}" for i in range(130)))) == 100
+    assert read("```") == [] and read("```a: 1") == [("a", "1", None)][:0] and read("a" * 300 + "=1 x") == []
+
+
+def test_deep_json_and_wide_records(spark):
+    from gleaner.functions import payload as P
+
+    rows = spark.createDataFrame([(1, "[" * 20_000 + "]" * 20_000), (2, '{"content":"x"}')], "id int, payload string")
+    assert sorted((r["id"], r["has_content"]) for r in P.contains_business_content(rows, "payload").collect()) == [(1, None), (2, True)]
+    table = "|" + "|".join(f" h{i} " for i in range(130)) + "|\n|" + " --- |" * 130 + "\n|" + "|".join(f" c{i} " for i in range(130)) + "|"
+    value = D.extract_records(spark.createDataFrame([(1, table)], "k int, content string"), "k").first()["value"]
+    assert value.split(" | ") == [f"c{i}" for i in range(1, 130)]
