@@ -106,6 +106,12 @@ def replace_document_chunks(current: DataFrame, incoming: DataFrame, docs: DataF
     return current.join(valid.select("doc_id").distinct(), "doc_id", "left_anti").select(valid.columns).unionByName(valid)
 
 
+def with_chunk_counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """docs with chunk_count as the chunks have it after a replacement; 0 without any."""
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("__size"))
+    return docs.drop("chunk_count").join(sizes, "doc_id", "left").withColumn("chunk_count", F.coalesce("__size", F.lit(0)).cast("long")).drop("__size")
+
+
 def latest_page(df: DataFrame, page: int, size: int) -> DataFrame:
     return df.orderBy(F.col("started_at").desc(), F.col("trace_id").desc()).offset((page - 1) * size).limit(size)
 

@@ -79,6 +79,11 @@ Q = {
         D + """, inc AS (SELECT c.id + 100000 AS id, c.doc_id, c.chunk_index FROM chunks c JOIN docs d USING (doc_id) WHERE c.section_key = 'sec-0' AND d.processing_revision = 1 + c.doc_id % 2)
         SELECT id, doc_id, chunk_index FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM inc) UNION ALL SELECT * FROM inc""",
     ),
+    "A4_chunk_counts": (
+        lambda v: C.with_chunk_counts(v.docs, C.replace_document_chunks(v.chunks.select("id", "doc_id", "chunk_index"), v.chunks.where("section_key = 'sec-0' and chunk_index < 1").select((F.col("id") + 100000).alias("id"), "doc_id", "chunk_index", (F.lit(1) + F.col("doc_id") % 2).alias("revision")), v.docs)).select("doc_id", "chunk_count"),
+        D + """, inc AS (SELECT c.doc_id, count(*) AS n FROM chunks c JOIN docs d USING (doc_id) WHERE c.section_key = 'sec-0' AND c.chunk_index < 1 AND d.processing_revision = 1 + c.doc_id % 2 GROUP BY 1)
+        SELECT doc_id, coalesce(n, chunk_count) AS chunk_count FROM docs LEFT JOIN inc USING (doc_id)""",
+    ),
     "H2_union_all_matches": (
         lambda v: C.table_siblings(_seeds(v), v.chunks).withColumn("origin", F.lit("table_sibling")).unionByName(C.adjacent_chunks(_seeds(v), v.chunks).withColumn("origin", F.lit("adjacent"))).select("seed", "id", "origin"),
         duckdb_views("chunks") + f", {SEEDS}, {ADJ}, {TAB} SELECT seed, id, 'table_sibling' AS origin FROM tab UNION ALL SELECT seed, id, 'adjacent' FROM adj",

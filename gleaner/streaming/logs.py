@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -304,8 +305,8 @@ def login_throttle_batch(logins: DataFrame, scope: str) -> DataFrame:
     return ordered.mapInPandas(walk, THROTTLE)
 
 
-#: Parts that a target's documents are dealt to; a batch rewrites only those that it touches.
-PARTS = 64
+#: Documents of a part; the number of parts doubles once there are more, which deals all documents anew.
+PART_DOCUMENTS = 20_000
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:
@@ -313,17 +314,38 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def _state(spark: SparkSession, target: str) -> tuple[int, dict[int, str]]:
-    """(number of the newest complete manifest, part -> folder of its rows); (0, {}) before the first batch."""
+@dataclass(frozen=True)
+class Manifest:
+    """The state after a batch: its number, how many parts there are, and each part's folder and documents."""
+
+    number: int = 0
+    parts: int = 1
+    folders: dict[int, str] = field(default_factory=dict)
+    documents: dict[int, int] = field(default_factory=dict)
+
+
+MANIFEST = "parts int, part int, folder string, documents long"
+
+
+def _complete(spark: SparkSession, target: str) -> list[str]:
+    """Names of the complete manifests, the newest first."""
     if not _exists(spark, f"{target}/manifests"):
-        return 0, {}
+        return []
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/manifests")
     names = [x.getPath().getName() for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
-    done = max((n for n in names if _exists(spark, f"{target}/manifests/{n}/_SUCCESS")), default=None)
-    if done is None:
-        return 0, {}
-    rows = spark.read.schema("part int, folder string").json(f"{target}/manifests/{done}").collect()
-    return int(done), {r["part"]: r["folder"] for r in rows}
+    return sorted((n for n in names if _exists(spark, f"{target}/manifests/{n}/_SUCCESS")), reverse=True)
+
+
+def _manifest(spark: SparkSession, target: str, name: str | None) -> Manifest:
+    if name is None:
+        return Manifest()
+    rows = spark.read.schema(MANIFEST).json(f"{target}/manifests/{name}").collect()  # one row a part
+    return Manifest(int(name), rows[0]["parts"] if rows else 1, {r["part"]: r["folder"] for r in rows}, {r["part"]: r["documents"] for r in rows})
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _rows_of(spark: SparkSession, target: str, table: str, folders: list[str], schema: T.StructType) -> DataFrame:
@@ -333,36 +355,64 @@ def _rows_of(spark: SparkSession, target: str, table: str, folders: list[str], s
 
 def read_ingested(spark: SparkSession, target: str, table: str, schema: T.StructType) -> DataFrame:
     """The rows of a table (documents, or one made of them) as of the newest complete batch."""
-    return _rows_of(spark, target, table, sorted(_state(spark, target)[1].values()), schema)
+    return _rows_of(spark, target, table, sorted(_manifest(spark, target, next(iter(_complete(spark, target)), None)).folders.values()), schema)
 
 
-def incremental_ingest(stream: DataFrame, target: str, checkpoint: str, made: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+def incremental_ingest(stream: DataFrame, target: str, checkpoint: str, made: dict[str, Callable[[DataFrame], DataFrame]] | None = None, counted: str = "chunks"):
     """New document versions replace older ones in `target`, with the tables made of them (say, their chunks by doc_id).
 
-    Documents are dealt to parts; a batch writes new folders for the parts that it
-    touches, then one manifest of all parts.  A crash before the manifest leaves
-    the old state; a revision that is not newer than what is there is ignored, so
-    that replays change nothing.
+    Documents are dealt to parts by a digest; a batch writes new folders for the
+    parts that it touches, then one manifest of all parts.  The parts grow in
+    number with the documents, so that a batch rewrites a share of them that its
+    own size bounds.  A crash before the manifest leaves the old state; a revision
+    that is not newer than what is there is ignored, so that replays change
+    nothing.  Folders that neither the newest nor the last manifest names are
+    deleted: a reader has one batch's time.  Where documents have a chunk_count,
+    it is the number of their rows in the table `counted`.
     """
     made = made or {}
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
         newest = stored(batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "revision").alias("r")).select("r.*"), "newest")
-        number, now = _state(spark, target)
-        parts = lambda df: sorted(r[0] for r in df.select(part.alias("p")).distinct().collect())
-        held = _rows_of(spark, target, "documents", [now[p] for p in parts(newest) if p in now], batch.schema)
+        known = _complete(spark, target)
+        now = _manifest(spark, target, known[0] if known else None)
+        part = lambda parts: F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+        touched = lambda df, parts: sorted(r[0] for r in df.select(part(parts).alias("p")).distinct().collect())
+        held = _rows_of(spark, target, "documents", [now.folders[p] for p in touched(newest, now.parts) if p in now.folders], batch.schema)
         fresh = newest.join(held.select("doc_id", F.col("revision").alias("had")), "doc_id", "left").where("had is null or revision > had")
         fresh = stored(fresh.select(batch.columns), "fresh")
-        touched, version = parts(fresh), f"{number + 1:012d}"
-        for name, rows in [("documents", fresh), *[(n, f(fresh)) for n, f in made.items()]]:
-            kept = _rows_of(spark, target, name, [now[p] for p in touched if p in now], rows.schema).join(fresh.select("doc_id"), "doc_id", "left_anti")
-            kept.select(rows.columns).unionByName(rows).withColumn("part", part).write.partitionBy("part").mode("overwrite").parquet(f"{target}/{name}/{version}")
-        if touched:
-            after = now | {p: f"{version}/part={p}" for p in touched}
-            spark.createDataFrame(sorted(after.items()), "part int, folder string").coalesce(1).write.mode("overwrite").json(f"{target}/manifests/{version}")
-        discard(newest, fresh)
+        parts, expected = now.parts, sum(now.documents.values()) + fresh.count()
+        while parts * PART_DOCUMENTS < expected:
+            parts *= 2
+        # More parts: the documents of every old part are dealt anew.
+        old = touched(fresh, now.parts) if parts == now.parts else sorted(now.folders)
+        version = f"{now.number + 1:012d}"
+        tables = {n: stored(f(fresh), n) for n, f in made.items()}
+        if counted in tables and "chunk_count" in batch.columns:
+            sizes = tables[counted].groupBy("doc_id").agg(F.count("*").alias("__size"))
+            own = fresh.drop("chunk_count").join(sizes, "doc_id", "left").withColumn("chunk_count", F.coalesce("__size", F.lit(0)).cast(fresh.schema["chunk_count"].dataType))
+            tables = {"documents": own.select(batch.columns), **tables}
+        else:
+            tables = {"documents": fresh, **tables}
+        if not fresh.isEmpty() or parts != now.parts:
+            for name, rows in tables.items():
+                kept = _rows_of(spark, target, name, [now.folders[p] for p in old if p in now.folders], rows.schema).join(fresh.select("doc_id"), "doc_id", "left_anti")
+                dealt = kept.select(rows.columns).unionByName(rows).withColumn("part", part(parts))
+                dealt.repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{target}/{name}/{version}")
+            sizes = {r["part"]: r["n"] for r in spark.read.parquet(f"{target}/documents/{version}").groupBy("part").agg(F.count("*").alias("n")).collect()}
+            folders = {} if parts != now.parts else dict(now.folders)
+            documents = {} if parts != now.parts else dict(now.documents)
+            folders |= {p: f"{version}/part={p}" for p in sizes}
+            rows = [(parts, p, folder, (documents | sizes)[p]) for p, folder in sorted(folders.items())]
+            spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{target}/manifests/{version}")
+            for name in known[1:]:
+                before = _manifest(spark, target, name)
+                for folder in set(before.folders.values()) - set(now.folders.values()) - set(folders.values()):
+                    for table in tables:
+                        _delete(spark, f"{target}/{table}/{folder}")
+                _delete(spark, f"{target}/manifests/{name}")
+        discard(newest, fresh, *tables.values())
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

@@ -413,3 +413,22 @@ def test_deep_json_and_wide_records(spark):
     table = "|" + "|".join(f" h{i} " for i in range(130)) + "|\n|" + " --- |" * 130 + "\n|" + "|".join(f" c{i} " for i in range(130)) + "|"
     value = D.extract_records(spark.createDataFrame([(1, table)], "k int, content string"), "k").first()["value"]
     assert value.split(" | ") == [f"c{i}" for i in range(1, 130)]
+
+
+def test_ingest_parts_grow_and_old_versions_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "PART_DOCUMENTS", 10)
+    schema = "doc_id long, revision long, text string, chunk_count long, created_at timestamp"
+    chunk = lambda fresh: fresh.where("text <> ''").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    target, want = str(tmp_path / "t"), {}
+    for batch in ([(i, 1, "a b", None) for i in range(5)], [(i, 1, f"c{i}", 9) for i in range(5, 60)], [(2, 2, "", 7)], [(3, 2, "x y z", 7)], [(4, 0, "old", 7)]):
+        spark.createDataFrame([(*r, minute(0)) for r in batch], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = L.stream_of(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, "created_at")
+        L.incremental_ingest(stream, target, str(tmp_path / "c"), {"chunks": chunk}).trigger(availableNow=True).start().awaitTermination()
+        want |= {d: (r, t, len(t.split())) for d, r, t, _ in batch if d not in want or r > want[d][0]}
+        got = {x["doc_id"]: (x["revision"], x["text"], x["chunk_count"]) for x in L.read_ingested(spark, target, "documents", schema).collect()}
+        words = sorted(map(tuple, L.read_ingested(spark, target, "chunks", "doc_id long, word string").collect()))
+        assert got == want and words == sorted((d, w) for d, (_, t, _) in want.items() for w in t.split())
+    now = L._manifest(spark, target, L._complete(spark, target)[0])
+    assert now.parts == 8 and sum(now.documents.values()) == 60 and len(L._complete(spark, target)) == 2
+    kept = {p.relative_to(tmp_path / "t/documents").as_posix() for p in (tmp_path / "t/documents").glob("*/part=*")}
+    assert set(now.folders.values()) <= kept and len(kept) <= len(now.folders) + 2
