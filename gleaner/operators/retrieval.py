@@ -103,43 +103,47 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, pool: int, scope: D
 
 def _nearest_in_tasks(asked: DataFrame, held: DataFrame, pool: int, oversample: int) -> DataFrame:
     kinds = {n: asked.schema["query_id"].dataType if n == "query_id" else held.schema[n].dataType for n in ("query_id", "id", "doc_id", "chunk_index")}
-    rows = asked.collect()  # one block of a bounded size
-    shared = held.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))))
+    by_size: dict[int, list] = {}
+    for r in asked.collect():  # one block of a bounded size
+        by_size.setdefault(len(r[1]), []).append(r)
+    shared = held.sparkSession.sparkContext.broadcast([([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)) for n, rows in by_size.items() if n])
     schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
     arrow = {n: to_arrow_type(t) for n, t in kinds.items()}
 
     def bytes_of(x: np.ndarray) -> np.ndarray:
         return np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30))).astype(np.float32)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+    def better(best: list | None, b: pa.RecordBatch, q: np.ndarray) -> list | None:
+        """The pool of each query after one more batch; vectors of another dimension are not compared."""
+        b = b.take(pa.array(np.flatnonzero(np.asarray(b.column("embedding").value_lengths()) == q.shape[1])))
+        if not b.num_rows:
+            return best
         codes, q_norm = bytes_of(q), np.linalg.norm(q, axis=1)
         codes = codes / np.maximum(np.linalg.norm(codes, axis=1, keepdims=True), 1e-30)
-        best = None
+        x = np.asarray(b.column("embedding").flatten(), dtype=np.float64).reshape(-1, q.shape[1])
+        low = bytes_of(x)
+        near = codes @ (low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-30)).T
+        m = min(len(x), oversample * pool)
+        at = np.argpartition(-near, m - 1, axis=1)[:, :m].ravel()
+        who = np.repeat(np.arange(len(q)), m)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round(np.einsum("ij,ij->i", q[who], x[at]) / (q_norm[who] * np.linalg.norm(x, axis=1)[at]), 6)
+        meta = [np.asarray(b.column(n))[at] for n in ("doc_id", "chunk_index", "id")]
+        rows = [who, score, *meta] if best is None else [np.concatenate(p) for p in zip(best, [who, score, *meta], strict=True)]
+        rows = [r[~np.isnan(rows[1])] for r in rows]
+        order = np.lexsort((rows[4], rows[3], rows[2], -rows[1], rows[0]))
+        first = np.searchsorted(rows[0][order], rows[0][order], side="left")
+        order = order[np.arange(len(order)) - first < pool]
+        return [r[order] for r in rows]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list | None] = [None] * len(shared.value)
         for b in batches:
-            lengths = np.asarray(b.column("embedding").value_lengths())
-            b = b.take(pa.array(np.flatnonzero(lengths == q.shape[1])))
-            if not b.num_rows or not len(ids):
-                continue
-            x = np.asarray(b.column("embedding").flatten(), dtype=np.float64).reshape(-1, q.shape[1])
-            low = bytes_of(x)
-            near = codes @ (low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-30)).T
-            m = min(len(x), oversample * pool)
-            at = np.argpartition(-near, m - 1, axis=1)[:, :m].ravel()
-            who = np.repeat(np.arange(len(ids)), m)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.round(np.einsum("ij,ij->i", q[who], x[at]) / (q_norm[who] * np.linalg.norm(x, axis=1)[at]), 6)
-            meta = [np.asarray(b.column(n))[at] for n in ("doc_id", "chunk_index", "id")]
-            rows = [who, score, *meta] if best is None else [np.concatenate(p) for p in zip(best, [who, score, *meta], strict=True)]
-            keep = ~np.isnan(rows[1])
-            rows = [r[keep] for r in rows]
-            order = np.lexsort((rows[4], rows[3], rows[2], -rows[1], rows[0]))
-            first = np.searchsorted(rows[0][order], rows[0][order], side="left")
-            order = order[np.arange(len(order)) - first < pool]
-            best = [r[order] for r in rows]
-        if best is not None:
-            who, score, doc, place, own = best
-            yield pa.RecordBatch.from_arrays([pa.array([ids[w] for w in who], arrow["query_id"]), pa.array(own, arrow["id"]), pa.array(doc, arrow["doc_id"]), pa.array(place, arrow["chunk_index"]), pa.array(score)], [*kinds, "score"])
+            best = [better(held, b, q) for held, (_, q) in zip(best, shared.value, strict=True)]
+        for found, (ids, _) in zip(best, shared.value, strict=True):
+            if found is not None:
+                who, score, doc, place, own = found
+                yield pa.RecordBatch.from_arrays([pa.array([ids[w] for w in who], arrow["query_id"]), pa.array(own, arrow["id"]), pa.array(doc, arrow["doc_id"]), pa.array(place, arrow["chunk_index"]), pa.array(score)], [*kinds, "score"])
 
     return held.mapInArrow(search, schema)
 
@@ -302,12 +306,30 @@ def document_relevance(fused: DataFrame, keyword_least: float = 1e-4, trigram_le
     return fused.groupBy("query_id", "doc_id").agg(F.bool_or(lexical).alias("lexical"), F.max("vector_score").alias("best_vector"))
 
 
-def admit_documents(relevance: DataFrame, least: float = 0.78, margin: float = 0.035) -> DataFrame:
-    """Admitted with a lexical hit, or a vector score that is high and close to the query's best."""
+EPSILON = 1e-12
+
+
+def version_representatives(relevance: DataFrame, versions: DataFrame, least: float = 0.78) -> DataFrame:
+    """(query_id, doc_id) of the best document by vector of each version (query_id, doc_id, version); ties to the smaller doc_id.
+
+    versions: those that documents state of the product a query asks for, of
+    queries that name no version themselves.
+    """
+    near = relevance.where(F.col("best_vector") >= least).join(versions.select("query_id", "doc_id", F.lower("version").alias("version")).distinct(), ["query_id", "doc_id"])
+    best = near.groupBy("query_id", "version").agg(F.max_by("doc_id", F.struct("best_vector", (-F.col("doc_id")).alias("o"))).alias("doc_id"))
+    return best.select("query_id", "doc_id").distinct()
+
+
+def admit_documents(relevance: DataFrame, least: float = 0.78, margin: float = 0.035, versions: DataFrame | None = None, forced: DataFrame | None = None) -> DataFrame:
+    """Admitted with a lexical hit, a vector score that is high and close to the query's best, as the best document of a
+    version of the wanted product (see version_representatives), or by a list of its own (query_id, doc_id)."""
     top = F.max("best_vector").over(Window.partitionBy("query_id"))
-    near = (F.col("best_vector") >= least) & (F.col("best_vector") >= top - margin - 1e-12)
-    reason = F.when(F.col("lexical"), "lexical_hit").when(near, "vector_near_best").otherwise("weak")
-    return relevance.withColumn("reason", reason).withColumn("admitted", F.col("reason") != "weak")
+    near = (F.col("best_vector") + EPSILON >= least) & (F.col("best_vector") >= top - margin - EPSILON)
+    rows = relevance
+    for name, keys in (("__version", None if versions is None else version_representatives(relevance, versions, least)), ("__forced", None if forced is None else forced.select("query_id", "doc_id").distinct())):
+        rows = rows.withColumn(name, F.lit(None).cast("boolean")) if keys is None else rows.join(keys.withColumn(name, F.lit(True)), ["query_id", "doc_id"], "left")
+    reason = F.when(F.col("lexical"), "lexical_hit").when(near, "vector_near_best").when(F.col("__version"), "version_representative").when(F.col("__forced"), "forced").otherwise("weak")
+    return rows.withColumn("reason", reason).withColumn("admitted", F.col("reason") != "weak").drop("__version", "__forced")
 
 
 def admit_candidates(fused: DataFrame, admitted: DataFrame, records: DataFrame | None = None, least: float = 0.18) -> DataFrame:

@@ -153,12 +153,25 @@ def missing_sequences(events: DataFrame) -> DataFrame:
     return out.select("trace_id", F.array_join(F.array_sort(F.array_except(F.sequence(F.lit(1).cast("long"), "last"), "seen")), ",").alias("missing"))
 
 
-def trace_diagnostics(events: DataFrame) -> DataFrame:
-    """First payload of each kind of event, the last of all, and how many model attempts there were."""
-    first = lambda e: F.min_by("payload", F.when(F.col("event") == e, F.col("seq")))
-    return events.groupBy("trace_id").agg(
-        first("chat.request").alias("request"), first("intent.model_result").alias("intent"), F.max_by("payload", "seq").alias("latest"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event") == "intent.model_result", F.struct("seq", "payload")))), lambda x: x["payload"]), "|").alias("attempts")
-    )
+#: Events that assess coverage, the canonical one first.
+COVERAGE_EVENTS = ["evidence.coverage_assessed", "evidence.coverage"]
+
+
+def trace_diagnostics(events: DataFrame, coverage: list[str] = COVERAGE_EVENTS, attempt: str = "intent.model_result") -> DataFrame:
+    """A trace's first request and intent, its newest payload, its coverage and every model attempt in order.
+
+    coverage: the newest payload of the canonical event, else of any other of them;
+    coverage_history: all of these in order.  A payload that is null or no JSON
+    object is not counted.
+    """
+    object_ = F.coalesce(F.schema_of_variant(V.parsed("payload")).startswith("OBJECT"), F.lit(False))
+    rows = events.withColumn("__own", F.when(object_, F.col("payload")))
+    at = lambda *names: F.when(F.col("event").isin(*names) & F.col("__own").isNotNull(), F.col("seq"))
+    history = lambda *names: F.transform(F.array_sort(F.collect_list(F.when(at(*names).isNotNull(), F.struct("seq", "__own")))), lambda x: x["__own"])
+    return rows.groupBy("trace_id").agg(
+        F.min_by("__own", at("chat.request")).alias("request"), F.min_by("__own", at(attempt)).alias("intent"), F.max_by("payload", "seq").alias("latest"),
+        F.coalesce(F.max_by("__own", at(coverage[0])), F.max_by("__own", at(*coverage))).alias("coverage"), history(*coverage).alias("coverage_history"), history(attempt).alias("attempts"),
+    )
 
 
 def number_events(events: DataFrame, cap: int = 500) -> DataFrame:
@@ -252,3 +265,12 @@ def export_trace(events: DataFrame, most_events: int = 500, most_bytes: int = 24
     priority = F.when(F.col("seq") == last, 0).when(F.col("event").isin(VERBOSE_EVENTS), 2).otherwise(1)
     rows = events.select("trace_id", priority.alias("priority"), "seq", "event", (F.octet_length("payload") + 512).cast("long").alias("bytes"))
     return greedy_budget(rows, "trace_id", ["priority", "seq"], "bytes", most_bytes, most_events).select("trace_id", "seq", "event", "bytes")
+
+
+def export_stats(events: DataFrame, exported: DataFrame) -> DataFrame:
+    """(trace_id, persisted, selected, omitted, truncated, bytes) of every trace; exported: rows of export_trace()."""
+    chosen = exported.groupBy("trace_id").agg(F.count("*").alias("selected"), F.sum("bytes").alias("bytes"))
+    out = events.groupBy("trace_id").agg(F.count("*").alias("persisted")).join(chosen, "trace_id", "left")
+    out = out.withColumn("selected", F.coalesce("selected", F.lit(0))).withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    out = out.withColumn("omitted", F.col("persisted") - F.col("selected"))
+    return out.select("trace_id", "persisted", "selected", "omitted", (F.col("omitted") > 0).alias("truncated"), "bytes")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators import retrieval as R
-from gleaner.session import shared_folder, stored
+from gleaner.session import discard, release_shuffles, shared_folder, stored
 
 #: Postings of a bucket, and buckets at most.
 BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 32_768
@@ -104,25 +104,30 @@ def build_text_index(chunks: DataFrame, bm25: R.Bm25 = R.Bm25()) -> TextIndex:
         made.append(table)
         return out
 
+    def delete(name: str) -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        release_shuffles(spark)
+
     tf = held.select("id", "doc_id", "chunk_index", "len", F.explode("w").alias("token")).groupBy("token", "id", "doc_id", "chunk_index", "len").agg(F.count("*").alias("tf"))
     n = _buckets(totals["words"] or 0)
     tf.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).write.parquet(f"{base}/tf")
     tf = spark.read.parquet(f"{base}/tf")
     word_counts = kept(tf.groupBy("token").agg(F.count("*").alias("df")), "word_counts", "token", n)
     words = kept(_dealt(tf, word_counts, "token", tf.count(), n), "words", "token", n)
+    delete("tf")
     best = F.max(share(F.col("tf"), F.col("len"), F.lit(totals["avg_len"]).cast("double"), bm25)).alias("share")
     bounds = kept(words.groupBy("token", "block").agg(best), "bounds", "token", n)
 
+    # Grams are taken twice, to be counted and to be written, rather than stored in between.
     pairs = held.select("id", "doc_id", "chunk_index", F.explode(R.word_trigrams(F.col("own"))).alias("gram"))
-    pairs.write.parquet(f"{base}/pairs")
-    pairs = spark.read.parquet(f"{base}/pairs")
-    total = pairs.count()
+    counts = stored(pairs.groupBy("gram").agg(F.count("*").alias("df")), "gram_counts")
+    total = counts.agg(F.sum("df")).first()[0] or 0
     n = _buckets(total)
-    gram_counts = kept(pairs.groupBy("gram").agg(F.count("*").alias("df")), "gram_counts", "gram", n)
+    gram_counts = kept(counts, "gram_counts", "gram", n)
     grams = kept(_dealt(pairs, gram_counts, "gram", total, n), "grams", "gram", n)
-    for name in ("chunks", "tf", "pairs"):
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    discard(counts)
+    delete("chunks")
     one = spark.range(1).select(F.lit(totals["n"]).alias("n"), F.lit(totals["avg_len"]).cast("double").alias("avg_len"))
     return TextIndex(words, bounds, grams, word_counts, gram_counts, one, bm25, made)
 

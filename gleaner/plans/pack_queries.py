@@ -192,10 +192,6 @@ Q = {
         _verdicts,
         duckdb_views("chunks") + " SELECT id, round(least(1.0, length(content) % 13 / 10), 6) AS topic_relevance, round(length(content) % 7 / 10, 6) AS answer_support, CASE WHEN block_type = 'table' THEN 'direct' ELSE 'irrelevant' END AS role FROM chunks",
     ),
-    "K4_table_functions": (
-        _from_sql,
-        "WITH p AS (SELECT * FROM events) SELECT event_id, 'server.port' AS path, CAST(event_id % 100 AS VARCHAR) AS value, 'listen port ' || (user_id % 5) AS meaning FROM p UNION ALL SELECT event_id, 'server.tls.enabled', 'true', NULL FROM p UNION ALL SELECT event_id, 'max.size', CAST(user_id AS VARCHAR), NULL FROM p",
-    ),
     "A1_read_documents": (_read_back, f"SELECT 'txt' AS file_type, CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(sum(1 + length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS lines FROM documents WHERE text IS NOT NULL"),
     "C16_bridge_two_hop": (
         lambda v: K.bridge_two_hop(_record_queries(v).withColumn("query", F.concat(F.lit("what is "), "query", F.lit(" for"))), _records(v)),
@@ -227,3 +223,4 @@ Q = {
         None,
     ),
 }
+Q["K4_table_functions"] = (_from_sql, Q["E15_extract_config_assignments"][1])

@@ -86,6 +86,14 @@ def _fused(v: Views):
     return R.fuse(_limited(v))
 
 
+def _by_version(v: Views):
+    """Candidates without lexical evidence; documents state one of three versions to every second query, and some are forced."""
+    weak = _fused(v).where("keyword_score is null and coalesce(trigram_score, 0) < 0.5")
+    rel = stored(R.document_relevance(weak.withColumn("trigram_score", F.lit(0.0))), "relevance")
+    versions = rel.where("query_id % 2 = 0").select("query_id", "doc_id", F.concat(F.lit("V"), F.col("doc_id") % 3).alias("version"))
+    return R.admit_documents(rel, 0.1, 0.01, versions, rel.where("doc_id % 11 = 0")).drop("lexical")
+
+
 def _sources(v: Views):
     lim = _limited(v)
     parts = [lim[c].select("query_id", F.lit(c).alias("source"), F.col("rank").alias("pos"), F.col("id").alias("item")) for c in ("keyword", "trigram")]
@@ -149,6 +157,14 @@ Q = {
     "B9_restrict_to_ids": (lambda v: R.restrict_to_ids(_fused(v), v.docs.where("created_by is null")).select("query_id", "id", "doc_id"), BASE + "SELECT query_id, id, doc_id FROM fused WHERE doc_id IN (SELECT doc_id FROM docs WHERE created_by IS NULL)"),
     "D18_document_relevance": (lambda v: R.document_relevance(_fused(v)), BASE + "SELECT query_id, doc_id, lexical, best_vector FROM rel"),
     "D19_admit_documents": (lambda v: R.admit_documents(R.document_relevance(_fused(v))), BASE + "SELECT query_id, doc_id, lexical, best_vector, reason, reason <> 'weak' AS admitted FROM adm"),
+    "D19_version_representatives": (
+        _by_version,
+        BASE + """, r2 AS (SELECT query_id, doc_id, max(vector_score) AS best_vector FROM fused WHERE keyword_score IS NULL AND coalesce(trigram_score, 0) < 0.5 GROUP BY ALL),
+        ver AS (SELECT query_id, doc_id, 'v' || (doc_id % 3) AS version FROM r2 WHERE query_id % 2 = 0),
+        rep AS (SELECT DISTINCT query_id, doc_id FROM (SELECT * FROM r2 JOIN ver USING (query_id, doc_id) WHERE best_vector >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, version ORDER BY best_vector DESC, doc_id) = 1)),
+        k AS (SELECT r2.*, CASE WHEN best_vector + 1e-12 >= 0.1 AND best_vector >= max(best_vector) OVER (PARTITION BY query_id) - 0.01 - 1e-12 THEN 'vector_near_best' WHEN rep.doc_id IS NOT NULL THEN 'version_representative' WHEN doc_id % 11 = 0 THEN 'forced' ELSE 'weak' END AS reason FROM r2 LEFT JOIN rep USING (query_id, doc_id))
+        SELECT query_id, doc_id, best_vector, reason, reason <> 'weak' AS admitted FROM k""",
+    ),
     "D20_admit_candidates": (
         lambda v: R.admit_candidates((f := stored(_fused(v), "fused")), R.admit_documents(R.document_relevance(f.where("doc_id % 2 = 0"))), f.where("trigram_score is not null").select("query_id", "id", "doc_id", F.col("trigram_score").alias("structured_score"))),
         BASE + """, even AS (SELECT * FROM adm WHERE doc_id % 2 = 0), rec AS (SELECT query_id, id, doc_id, trigram_score >= 0.18 AS ok FROM fused WHERE trigram_score IS NOT NULL), anchor AS (SELECT DISTINCT query_id, doc_id FROM rec WHERE ok)
@@ -168,7 +184,7 @@ Q = {
         SELECT doc_id, origin, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM n UNION ALL SELECT * FROM a) GROUP BY ALL""",
     ),
     "G1_top_k": (lambda v: R.top_k(_fused(v), 5).select("query_id", "id", "score", "rank"), BASE + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index, id) AS rank FROM fused QUALIFY rank <= 5"),
-    "W3_fused_document_rank": (lambda v: R.hybrid_search(v.queries, _visible(v), 1000).select("query_id", "id", "fused_document_rank"), BASE.replace("<= 80", "<= 240") + "SELECT query_id, id, fused_document_rank FROM few"),
+    "W3_fused_document_rank": (lambda v: R.hybrid_search(v.queries, v.searched, 1000, index=v.text_index).select("query_id", "id", "fused_document_rank"), BASE.replace("<= 80", "<= 240") + "SELECT query_id, id, fused_document_rank FROM few"),
     "W4_fusion_rank": (
         lambda v: R.fuse_sources(_sources(v), 1000).select("query_id", "item", "fusion_rank"),
         BASE + f", s AS (SELECT query_id, item, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score, min((source, pos)) AS seen FROM {SOURCES_SQL} GROUP BY query_id, item) SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, item) AS fusion_rank FROM s QUALIFY fusion_rank <= 1000",

@@ -70,6 +70,13 @@ def _throttles(v):
     return U.retained_throttles(rows.crossJoin(F.broadcast(_now(v.logins, "attempt_at"))), F.col("now")).drop("now")
 
 
+def _covered(v):
+    """Events of which some assess coverage, and payloads of which some are no objects."""
+    event = F.when(F.col("event_id") % 8 == 0, "evidence.coverage_assessed").when(F.col("event_id") % 8 < 3, "evidence.coverage").otherwise(F.col("event"))
+    payload = F.when(F.col("event_id") % 13 == 1, "[1]").when(F.col("event_id") % 13 > 1, F.col("payload"))
+    return v.trace_events.withColumn("event", event).withColumn("payload", payload)
+
+
 def _now(df, c):
     return df.agg(F.max(c).alias("now"))
 
@@ -127,8 +134,16 @@ Q = {
     "D33_trace_stage_index": (lambda v: T.trace_stage_index(v.trace_events), TE + " SELECT trace_id, split_part(event, '.', 1) AS stage, array_to_string(list_sort(list(seq)), ',') AS seqs FROM trace_events GROUP BY 1, 2"),
     "D33_missing_sequences": (lambda v: T.missing_sequences(v.trace_events.where("event <> 'intent.model_result'")), TE + ", t AS (SELECT * FROM trace_events WHERE event <> 'intent.model_result'), m AS (SELECT trace_id, max(seq) AS last FROM t GROUP BY 1), a AS (SELECT trace_id, unnest(range(1, last + 1)) AS seq FROM m) SELECT m.trace_id, coalesce(x.missing, '') AS missing FROM m LEFT JOIN (SELECT trace_id, array_to_string(list_sort(list(seq)), ',') AS missing FROM a ANTI JOIN t USING (trace_id, seq) GROUP BY 1) x USING (trace_id)"),
     "D35_trace_diagnostics": (
-        lambda v: T.trace_diagnostics(v.trace_events),
-        TE + " SELECT trace_id, arg_min(payload, seq) FILTER (event = 'chat.request') AS request, arg_min(payload, seq) FILTER (event = 'intent.model_result') AS intent, arg_max(payload, seq) AS latest, coalesce(string_agg(payload, '|' ORDER BY seq) FILTER (event = 'intent.model_result'), '') AS attempts FROM trace_events GROUP BY trace_id",
+        lambda v: T.trace_diagnostics(_covered(v)),
+        TE + """, c AS (SELECT * REPLACE (CASE event_id % 8 WHEN 0 THEN 'evidence.coverage_assessed' WHEN 1 THEN 'evidence.coverage' WHEN 2 THEN 'evidence.coverage' ELSE event END AS event, CASE event_id % 13 WHEN 0 THEN NULL WHEN 1 THEN '[1]' ELSE payload END AS payload) FROM trace_events),
+        o AS (SELECT *, event_id % 13 > 1 AS fine FROM c)
+        SELECT trace_id, arg_min(payload, seq) FILTER (event = 'chat.request' AND fine) AS request, arg_min(payload, seq) FILTER (event = 'intent.model_result' AND fine) AS intent, last(payload ORDER BY seq) AS latest,
+        coalesce(arg_max(payload, seq) FILTER (event = 'evidence.coverage_assessed' AND fine), arg_max(payload, seq) FILTER (event = 'evidence.coverage' AND fine)) AS coverage,
+        coalesce(list(payload ORDER BY seq) FILTER (event IN ('evidence.coverage_assessed', 'evidence.coverage') AND fine), []) AS coverage_history, coalesce(list(payload ORDER BY seq) FILTER (event = 'intent.model_result' AND fine), []) AS attempts FROM o GROUP BY trace_id""",
+    ),
+    "A7_export_stats": (
+        lambda v: T.export_stats(v.trace_events, T.export_trace(v.trace_events, 3)),
+        TE + " SELECT trace_id, count(*) AS persisted, least(count(*), 3) AS selected, greatest(count(*) - 3, 0) AS omitted, count(*) > 3 AS truncated, CAST(sum(strlen(payload) + 512) FILTER (place <= 3) AS BIGINT) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY CASE WHEN seq = last THEN 0 ELSE 1 END, seq) AS place FROM (SELECT *, max(seq) FILTER (event IN " + ALL_TERM + ") OVER (PARTITION BY trace_id) AS last FROM trace_events)) GROUP BY trace_id",
     ),
     "W8_number_events": (
         lambda v: T.number_events(v.trace_events.withColumn("trace_id", F.col("user_id")), 50).select("trace_id", "event_id", "event", "sequence"),
