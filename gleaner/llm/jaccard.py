@@ -12,15 +12,16 @@ result does not depend on it.
      each node with one hub; only nodes outside the class that most of them
      fall in then meet the others, so that a large group of copies is not
      expanded into its pairs
-  3. the suffix filter bounds the difference of two sets from below by the sizes
-     of their parts between fixed pivots of the hash order (where pivots are
-     usually chosen anew for each pair); what is left is intersected once a pair
+  3. the suffix filter bounds the difference of two sets from below by counts of
+     their grams in 256 residue cells of the hashes (not by pivots chosen for the
+     pair); what is left is intersected once a pair
   4. linked nodes form components
 
 Cases: a text with fewer words than n is one gram of all its words; a null or
 wordless text has no grams and stays alone; rows that are equal in text are one
 node; a null doc_id takes part but never names a component unless it is alone
-there (then null); an empty table gives no rows.
+there (then null); an empty table gives no rows; texts of any length are read
+whole; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations

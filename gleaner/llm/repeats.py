@@ -3,8 +3,10 @@
 Every document is cut into non-overlapping reference blocks of half a window.
 A window that also stands elsewhere holds one whole block of that other place,
 so rolling probes at every word find it.  Probes that hit extend to the windows
-around them; a window's words are compared by a 96-bit fingerprint: among n
-windows, some two unlike ones are taken for equal with a chance below n**2 / 2**97.
+around them; a window's words are compared by a 96-bit fingerprint between
+batches and by 64 bits of it within one.  Words themselves are not compared: among
+n windows of which at most m share a batch, some two unlike ones are taken for
+equal with a chance below n**2 / 2**97 + n * m / 2**65.
 
 Rounds (all by shuffles of packets, see packets.py):
   1. probes and anchors of all batches meet; hits go back to their batches
