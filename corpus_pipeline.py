@@ -3,6 +3,8 @@
 Each stage takes what its predecessor kept and returns the columns of documents;
 the last adds what the mix takes of each.  Columns that a stage's operator makes
 never replace columns of the same name in documents: those are renamed meanwhile.
+The last stage alone gives its result columns (size, source_size, target, taken)
+precedence over columns of these names.
 Nulls, empty tables and repeated rows are as the operators define them.
 """
 
