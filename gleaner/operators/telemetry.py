@@ -84,7 +84,7 @@ def hit_stats(runs: DataFrame) -> DataFrame:
     return runs.where("hit_count is not null").agg(F.round(F.avg("hit_count"), 2).alias("avg_hits"), F.round(F.avg("selected_kb_count"), 2).alias("avg_kbs"))
 
 
-def token_usage(events: DataFrame, kinds: list[str], prompt: str = "prompt_tokens", completion: str = "completion_tokens", total: str = "total_tokens") -> DataFrame:
+def token_usage(events: DataFrame, kinds: list[str], prompt: str = "k", completion: str = "c", total: str = "t") -> DataFrame:
     """By day and event.  Only JSON numbers count; a call's total is the one it states, else the sum of its parts; a call counts as measured with any of the three."""
     v = F.col("__v")
     rows = events.where(F.col("event").isin(kinds)).withColumn("__v", V.parsed("payload"))
@@ -117,14 +117,14 @@ def filter_operations(operations: DataFrame, prefix: str, name: str) -> DataFram
     return operations.where(F.col("action").startswith(prefix) & F.lower("username").contains(name.lower()))
 
 
-def overview(runs: DataFrame, logins: DataFrame, docs: DataFrame, users: DataFrame, kb: DataFrame, chunks: DataFrame, events: DataFrame, operations: DataFrame, kinds: list[str], days: int = 7) -> DataFrame:
+def overview(runs: DataFrame, logins: DataFrame, docs: DataFrame, users: DataFrame, kb: DataFrame, chunks: DataFrame, events: DataFrame, operations: DataFrame, kinds: list[str], days: int = 7, tokens: tuple[str, str, str] = ("k", "c", "t")) -> DataFrame:
     """One nested row of the last days up to the latest run; tables without a time are taken whole."""
     now = runs.agg(F.max("started_at").alias("__now"))
     lately = lambda df, at: df.crossJoin(F.broadcast(now)).where(F.col(at) >= F.col("__now") - F.make_dt_interval(F.lit(days))).drop("__now")
     runs, logins, events, operations = lately(runs, "started_at"), lately(logins, "attempt_at"), lately(events, "created_at"), lately(operations, "created_at")
     one = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
     most = lambda df, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.struct(*df.columns).alias("x")))), lambda r: r["x"]).alias(name))
-    usage = token_usage(events, kinds)
+    usage = token_usage(events, kinds, *tokens)
     parts = [one(qa_daily(runs), "daily"), one(evidence_quality(runs), "quality"), one(latency_stats(runs), "latency"), one(hit_stats(runs), "hits"), one(login_security(logins), "security"), one(documents_by_status(docs), "documents")]
     parts += [one(scale_counts(runs, users, kb, docs, chunks), "scale"), most(qa_per_user(runs), "top_users"), one(usage, "tokens"), one(token_rollups(usage), "token_totals"), most(top_actions(operations), "top_actions")]
     out = parts[0].select(F.lit(days).alias("days"), "daily")

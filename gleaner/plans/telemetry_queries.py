@@ -48,6 +48,7 @@ _TOKENS = {c: f"CAST(round({_number(n)}) AS BIGINT)" for c, n in (("p", "prompt_
 USAGE = RE + f""", u AS (SELECT CAST(created_at AS DATE) AS day, event, {_TOKENS['p']} AS p, {_TOKENS['c']} AS c, {_TOKENS['t']} AS t FROM (SELECT *, payload::JSON AS j FROM records) WHERE event IN ('generation.completed', 'intent.model_result')),
 usage AS (SELECT day, event, CAST(coalesce(sum(p), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(c), 0) AS BIGINT) AS completion_tokens, CAST(sum(coalesce(t, coalesce(p, 0) + coalesce(c, 0))) AS BIGINT) AS total_tokens, count(coalesce(t, p, c)) AS calls FROM u GROUP BY ALL)"""
 COMPLETIONS = ["generation.completed", "intent.model_result"]
+TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens")
 
 
 #: Runs after the sweep: silent ones are interrupted.
@@ -126,11 +127,11 @@ Q = {
     ),
     "D6_latency_stats": (lambda v: T.latency_stats(v.runs), RUNS + " SELECT request_kind, round(avg(duration_ms), 4) AS avg_ms, round(quantile_cont(CAST(duration_ms AS DOUBLE), 0.95), 4) AS p95_ms FROM runs GROUP BY 1"),
     "D7_hit_stats": (lambda v: T.hit_stats(v.runs), RUNS + " SELECT round(avg(hit_count), 2) AS avg_hits, round(avg(selected_kb_count), 2) AS avg_kbs FROM runs WHERE hit_count IS NOT NULL"),
-    "D8_token_usage": (lambda v: T.token_usage(v.records, COMPLETIONS), USAGE + " SELECT * FROM usage"),
-    "D9_token_rollups": (lambda v: T.token_rollups(T.token_usage(v.records, COMPLETIONS)), USAGE + " SELECT day, event, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(calls) AS BIGINT) AS calls FROM usage GROUP BY GROUPING SETS ((day), (event), ())"),
+    "D8_token_usage": (lambda v: T.token_usage(v.records, COMPLETIONS, *TOKENS), USAGE + " SELECT * FROM usage"),
+    "D9_token_rollups": (lambda v: T.token_rollups(T.token_usage(v.records, COMPLETIONS, *TOKENS)), USAGE + " SELECT day, event, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(calls) AS BIGINT) AS calls FROM usage GROUP BY GROUPING SETS ((day), (event), ())"),
     "D10_login_security": (lambda v: T.login_security(v.logins), LOG + " SELECT count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, count(DISTINCT username) FILTER (success) AS users, count(DISTINCT ip) FILTER (NOT success) AS failing_ips FROM logins"),
     "D11_top_actions": (lambda v: T.top_actions(_actions(v)), f"WITH {ACT} SELECT action, count(*) AS n FROM acts GROUP BY action ORDER BY n DESC, action LIMIT 5"),
-    "D12_overview": (lambda v: T.overview(v.runs, v.logins, v.docs, v.users, v.kb, v.chunks, v.trace_events, v.events.select(F.concat(F.col("event_type"), F.lit("."), F.col("event_id") % 3).alias("action"), F.col("ts").alias("created_at")), COMPLETIONS), None),
+    "D12_overview": (lambda v: T.overview(v.runs, v.logins, v.docs, v.users, v.kb, v.chunks, v.records, v.events.select(F.concat(F.col("event_type"), F.lit("."), F.col("event_id") % 3).alias("action"), F.col("ts").alias("created_at")), COMPLETIONS, tokens=TOKENS), None),
     "D33_trace_stage_index": (lambda v: T.trace_stage_index(v.trace_events), TE + " SELECT trace_id, split_part(event, '.', 1) AS stage, array_to_string(list_sort(list(seq)), ',') AS seqs FROM trace_events GROUP BY 1, 2"),
     "D33_missing_sequences": (lambda v: T.missing_sequences(v.trace_events.where("event <> 'intent.model_result'")), TE + ", t AS (SELECT * FROM trace_events WHERE event <> 'intent.model_result'), m AS (SELECT trace_id, max(seq) AS last FROM t GROUP BY 1), a AS (SELECT trace_id, unnest(range(1, last + 1)) AS seq FROM m) SELECT m.trace_id, coalesce(x.missing, '') AS missing FROM m LEFT JOIN (SELECT trace_id, array_to_string(list_sort(list(seq)), ',') AS missing FROM a ANTI JOIN t USING (trace_id, seq) GROUP BY 1) x USING (trace_id)"),
     "D35_trace_diagnostics": (
