@@ -10,9 +10,10 @@ Nulls, empty tables and repeated rows are as the operators define them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.columns import restored, shielded
 from gleaner.llm.decontamination import without_contaminated
 from gleaner.llm.jaccard import Similarity, one_of_each_class
 from gleaner.llm.language import identify
@@ -25,44 +26,34 @@ from gleaner.tables import table
 LEAST_SCORE = 0.35
 
 
-def _shielded(docs: DataFrame, *known: str) -> tuple[DataFrame, dict[str, str]]:
-    """docs with all but the known columns renamed out of the operators' way; original name -> name now."""
-    names = {c: c if c in known else f"__own{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), names
-
-
-def _restored(docs: DataFrame, names: dict[str, str], **made: Column) -> DataFrame:
-    return docs.select(*[made.get(c, F.col(now)).alias(c) for c, now in names.items()])
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters and a language of their own stay."""
-    rows, names = _shielded(docs, "doc_id", "text")
+    rows, names = shielded(docs, "doc_id", "text")
     judged = identify(rows, learn_from=docs.select("doc_id", "text", "lang"))
-    return _restored(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), names)
+    return restored(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar ones stays: five words, 0.8 or more."""
-    rows, names = _shielded(docs, "doc_id", "text")
-    return _restored(one_of_each_class(rows, Similarity(n=5, num=80, den=100)), names)
+    rows, names = shielded(docs, "doc_id", "text")
+    return restored(one_of_each_class(rows, Similarity(n=5, num=80, den=100)), names)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document holds go; so do documents of which nothing is left."""
-    rows, names = _shielded(docs, "doc_id", "text")
+    rows, names = shielded(docs, "doc_id", "text")
     cut = remove_repeats(rows)
     changed = F.col("n_removed") > 0
     made = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in names:
         made["n_chars"] = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col(names["n_chars"]))
-    return _restored(cut.where(~changed | (F.col("n_removed") < F.col("n_words"))), names, **made)
+    return restored(cut.where(~changed | (F.col("n_removed") < F.col("n_words"))), names, **made)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
-    rows, names = _shielded(docs, "doc_id", "text")
-    return _restored(without_contaminated(rows, table(spark, sf_dir, "benchmark")), names)
+    rows, names = shielded(docs, "doc_id", "text")
+    return restored(without_contaminated(rows, table(spark, sf_dir, "benchmark")), names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,18 @@ def untaken(names: list[str], wanted: str) -> str:
     return wanted
 
 
+def shielded(rows: DataFrame, *known: str) -> tuple[DataFrame, dict[str, str]]:
+    """rows with all but the known columns renamed out of an operator's way; original name -> name now."""
+    wanted = {k.lower() for k in known}
+    names = {c: c if c.lower() in wanted else f"__own{i}" for i, c in enumerate(rows.columns)}
+    return rows.toDF(*names.values()), names
+
+
+def restored(rows: DataFrame, names: dict[str, str], *added: str, **made: Column) -> DataFrame:
+    """The columns of what was shielded, under their own names, some of them made anew, and the added ones."""
+    return rows.select(*[made.get(c, F.col(now)).alias(c) for c, now in names.items()], *added)
+
+
 #: A key is heavy with more than one in so many rows; there are at most so many heavy keys.
 HEAVY = 1000
 

@@ -21,7 +21,7 @@ Cases: a text with fewer words than n is one gram of all its words; a null or
 wordless text has no grams and stays alone; rows that are equal in text are one
 node; a null doc_id takes part but never names a component unless it is alone
 there (then null); an empty table gives no rows; texts of any length are read
-whole; columns beside doc_id and text are not read.
+whole; columns beside doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.columns import heavy_keys, spread_join
+from gleaner.llm.columns import heavy_keys, restored, shielded, spread_join
 from gleaner.llm.grams import doc_slices, mix, rolling, text_bytes, word_codes, word_spans
 from gleaner.llm.language import LOWER
 from gleaner.operators.components import components
@@ -258,7 +258,8 @@ def one_of_each_class(docs: DataFrame, sim: Similarity = Similarity()) -> DataFr
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.__th").eqNullSafe(F.col(f"{b}.__th"))
     once = best.alias("b").join(copies.where("n > 0").alias("c"), same("b", "c")).select("b.doc_id", "b.__th", "copies")
     stay = once.unionByName(copies.where("n = 0").select("doc_id", "__th", F.lit(1).cast("long").alias("copies")))
-    rows = docs.withColumn("__th", F.xxhash64("text"))
+    rows, names = shielded(docs, "doc_id", "text")
+    rows = rows.withColumn("__th", F.xxhash64("text"))
     kept = rows.alias("r").join(stay.alias("s"), same("r", "s")).select("r.*", F.col("s.copies").alias("__copies"))
     several = kept.where("__copies > 1").dropDuplicates(["doc_id", "__th"])
-    return kept.where("__copies = 1").unionByName(several).drop("__th", "__copies")
+    return restored(kept.where("__copies = 1").unionByName(several), names)

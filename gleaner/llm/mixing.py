@@ -2,8 +2,9 @@
 
 Cases: a null text has size 0 and a null source is a source of its own, ordered
 last; an empty table gives no rows; rows that are equal in every ordering column
-are interchangeable; columns beside text, source and doc_id pass through, and a
-clash with a result column is resolved in favour of the result.
+are interchangeable; very long texts are counted whole; columns beside text,
+source and doc_id pass through whatever their names, and a clash with a result
+column is resolved in favour of the result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.columns import word_count
+from gleaner.llm.columns import restored, shielded, word_count
 
 RESULT = ("size", "source_size", "target", "taken")
 
@@ -63,7 +64,8 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     running sum over a source is cut into 4096 digest slices, so that no task
     holds a whole source.
     """
-    rows = docs.drop(*RESULT).withColumn("size", word_count(F.col("text")))
+    rows, names = shielded(docs.drop(*RESULT), "doc_id", "source", "text")
+    rows = rows.withColumn("size", word_count(F.col("text")))
     digest = F.md5(F.concat_ws("|", F.lit(plan.seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("-"))).cast("binary"))
     rows = rows.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, 3))
     slices = rows.groupBy("source", "__slice").agg(F.sum("size").alias("slice_size"))
@@ -79,4 +81,4 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     inside = Window.partitionBy("source", "__slice").orderBy("__digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__quota") - start))
-    return joined.withColumn("taken", (F.col("__whole") * F.col("size") + extra).cast("long")).drop("__digest", "__slice", "__whole", "__quota", "__ahead")
+    return restored(joined.withColumn("taken", (F.col("__whole") * F.col("size") + extra).cast("long")), names, *RESULT)

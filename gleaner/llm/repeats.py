@@ -15,9 +15,10 @@ Rounds (all by shuffles of packets, see packets.py):
 
 Cases: a null text has no words and stays null; a document with a null doc_id
 is neither a source of removals nor cut; rows with one doc_id don't cut each
-other; an empty table gives no rows; other columns pass through, and a clash
-with a result column is resolved in favour of the result.  doc_id is a whole
-number; rows equal in doc_id and text share a batch.
+other; an empty table gives no rows; other columns pass through whatever their
+names, and a clash with a result column is resolved in favour of the result.
+Texts are read whole; one of over 2 GB exceeds an Arrow string and fails.  doc_id
+is a whole number; rows equal in doc_id and text share a batch.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gleaner.llm.columns import restored, shielded
 from gleaner.llm.grams import SPACE, doc_slices, mix, rolling, text_bytes, word_codes, word_spans
 from gleaner.llm.packets import Layout, by_batch, contains, cut, in_batches, joined, layout, pack, pack_ids, shortened, unpack, unpack_ids
 
@@ -236,7 +238,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     `window` words that also starts in a document with a smaller doc_id is cut."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop(*RESULT)
+    docs, names = shielded(docs.drop(*RESULT), "doc_id", "text")
     block = (window + 1) // 2
     lay = layout(docs, 6.0 * block)
     batched = in_batches(docs, lay.batches)
@@ -254,7 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         is_hit = b.column("doc").is_null()
         return cut_repeats(a, b.filter(_not(is_hit)), b.filter(is_hit), block, window, lay, arrow_out)
 
-    return batched.groupBy("__batch").cogroup(answers.groupBy("batch")).applyInArrow(last, out)
+    return restored(batched.groupBy("__batch").cogroup(answers.groupBy("batch")).applyInArrow(last, out), names, *RESULT)
 
 
 def _not(mask: pa.ChunkedArray) -> pa.ChunkedArray:

@@ -23,7 +23,9 @@ with one beginning are taken for equal with a chance below n**2 / 2**65.
 
 Cases: a null text is empty and stays null; texts below `length` bytes lose
 nothing; equal rows remove each other; an empty table gives no rows; doc_id is
-only passed through, as are other columns; rows equal in doc_id and text share a
+only passed through, as are other columns whatever their names, and a clash with a
+result column is resolved in favour of the result; texts are read whole, and one of
+over 2 GB exceeds an Arrow string and fails; rows equal in doc_id and text share a
 batch.
 """
 
@@ -38,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.columns import restored, shielded
 from gleaner.llm.grams import BYTE_BASE, BYTE_CODES, doc_slices, inverse_powers, mix, powers, text_bytes
 from gleaner.llm.minimizers import sample_positions
 from gleaner.llm.packets import Layout, by_batch, contains, cut, in_batches, joined, layout, occupied, pack, shortened, unpack
@@ -343,7 +346,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200, gram: int = 160)
     """docs with n_bytes, n_removed, n_spans and kept (the bytes that are left)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop(*RESULT)
+    docs, names = shielded(docs.drop(*RESULT), "doc_id", "text")
     lay = layout(docs, 20.0)
     splitters = sampled_splitters(docs, lay.buckets, docs.count())
     job = Job(lay, length, gram, splitters)
@@ -362,4 +365,4 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200, gram: int = 160)
     near = met(round_of(job.send_neighbourhoods, grams, sent), job.match_neighbourhoods)
     known = grams.unionByName(near)
     strings = met(round_of(job.send_suffixes, known, sent), job.sort_suffixes)
-    return round_of(lambda a, b: job.remove(a, b, arrow_out), known.unionByName(strings), out)
+    return restored(round_of(lambda a, b: job.remove(a, b, arrow_out), known.unionByName(strings), out), names, *RESULT)

@@ -44,8 +44,8 @@ def rows(spark):
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    clash = [(d, t, 1, "x", "y") for d, t in rows]
-    return spark.createDataFrame(clash, DOC + ", size int, batch string, node string").repartition(5)
+    clash = [(d, t, 1, "x", "y", "U") for d, t in rows]
+    return spark.createDataFrame(clash, DOC + ", size int, batch string, node string, __batch string").repartition(5)
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +104,7 @@ def test_substring_dedup(docs, none, rows, monkeypatch, batch):
     digest = lambda df: repeats.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256))
     assert ordered(digest(docs)) == brute.earlier_windows(rows)
     assert digest(none).count() == 0
+    assert {r[0] for r in repeats.remove_repeats(docs).select("__batch").distinct().collect()} == {"U"}
 
 
 @pytest.mark.parametrize("crowd", [4, 48])
@@ -119,6 +120,8 @@ def test_jaccard_keeps_one_of_each_class(spark, none):
     got = jaccard.one_of_each_class(spark.createDataFrame(rows, DOC))
     assert ordered(got) == sorted([(2, text + " end"), (9, None), (9, ""), (None, "alone in the world today"), (None, "another one of these rows"), (5, "Short")], key=str)
     assert jaccard.one_of_each_class(none).count() == 0
+    clash = spark.createDataFrame([(*r, "c", "t") for r in rows], DOC + ", __copies string, __th string")
+    assert ordered(jaccard.one_of_each_class(clash)) == sorted([(*r, "c", "t") for r in ordered(jaccard.one_of_each_class(spark.createDataFrame(rows, DOC)))], key=str)
 
 
 def test_decontamination(spark, docs, none, rows, monkeypatch):
@@ -197,7 +200,8 @@ def test_mixing_against_water_filling_step_by_step(spark):
     rng = random.Random(2)
     for sources in (["a"], ["a", "b", "c", "d", None], [f"s{i}" for i in range(9)]):
         rows = [(i, rng.choice(sources), " ".join("w" * rng.choice([0, 1, 5, 400]))) for i in range(120)] + [(121, sources[0], None), (122, sources[0], "w " * 300_000)]
-        clash = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, source string, text string, taken string, weight int")
+        internal = ["__digest", "__slice", "__whole", "__quota", "__ahead"]
+        clash = spark.createDataFrame([(*r, "x", 3, *internal) for r in rows], "doc_id long, source string, text string, taken string, weight int, " + ", ".join(f"{c} string" for c in internal))
         got = {r["doc_id"]: r for r in mixing.mix_sources(clash).collect()}
         sizes = {}
         for d, s, t in rows:
@@ -216,7 +220,7 @@ def test_mixing_against_water_filling_step_by_step(spark):
         for s in sizes:
             own = [got[d] for d, x, _ in rows if x == s]
             assert abs(own[0]["target"] - target[s]) < 1e-6 * max(1, target[s]) and abs(sum(r["taken"] for r in own) - target[s]) <= 1
-            assert all(r["size"] == len((r["text"] or "").split()) and (r["taken"] // max(1, r["size"])) <= 2 and r["weight"] == 3 for r in own)
+            assert all(r["size"] == len((r["text"] or "").split()) and (r["taken"] // max(1, r["size"])) <= 2 and r["weight"] == 3 and all(r[c] == c for c in internal) for r in own)
 
 
 def test_mixing_meets_targets(spark, none):
