@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.columns import ALNUM_WORD, lower_ascii
+from gleaner.llm.columns import ALNUM_WORD, lower_ascii, word_count
 from gleaner.session import discard, stored
 
 #: A table of at most this many bytes may be broadcast, at so many a row.
@@ -165,13 +165,12 @@ def spelled_out(found: DataFrame, docs: DataFrame, windows: Windows) -> DataFram
     return kept.where(F.size("hits") > 0)
 
 
-def hit_words(docs: DataFrame, items: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, doc, n_hit, hit_items) of the documents with any occurrence, and (doc, n_words) of all with words; both stored."""
+def hit_words(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """(doc_id, doc, n_hit, hit_items) of the documents with any occurrence, stored."""
     windows = test_windows(items, n)
     postings = build_postings(docs)
     ranked = from_the_rarest(postings, windows)
     found = phrase_matches(postings, ranked)
-    lengths = stored(postings.groupBy("doc").agg((F.max("pos") + 1).cast("long").alias("n_words")), "lengths")
     discard(postings)
     real = stored(spelled_out(found.select("doc", "start", "window_id"), docs, windows).dropDuplicates(["doc_id", "doc"]), "real")
     each = real.select("doc_id", "doc", F.explode("hits").alias("h"))
@@ -182,7 +181,7 @@ def hit_words(docs: DataFrame, items: DataFrame, n: int = 10) -> tuple[DataFrame
     hits = words.alias("a").join(names.alias("b"), same_document("a", "b"), "left").select("a.*", "b.hit_items")
     out = stored(hits, "hits")
     discard(ranked, found, real, windows.stored_at)
-    return out, lengths
+    return out
 
 
 def same_document(a: str, b: str) -> Column:
@@ -191,12 +190,12 @@ def same_document(a: str, b: str) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits, lengths = hit_words(docs, items, n)
-    rows = docs.select("doc_id", doc_key().alias("doc")).join(lengths, "doc", "left")
+    hits = hit_words(docs, items, n)
+    rows = docs.select("doc_id", doc_key().alias("doc"), word_count(F.col("text"), ALNUM_WORD).alias("n_words"))
     names = F.coalesce("hit_items", F.array().cast("array<string>"))
     return rows.alias("r").join(hits.alias("h"), same_document("r", "h"), "left").select(
         F.col("r.doc_id").alias("doc_id"),
-        F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"),
+        "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
@@ -206,6 +205,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The documents in which no test window occurs, with all their columns."""
-    hits, _ = hit_words(docs, items, n)
+    hits = hit_words(docs, items, n)
     bad = hits.select(F.col("doc_id").alias("id"), F.col("doc").alias("key"))
     return docs.join(bad, (doc_key() == bad["key"]) & docs["doc_id"].eqNullSafe(bad["id"]), "left_anti")
