@@ -218,6 +218,56 @@ def scope_groups(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "product_group", "version_group", "project_group").crossJoin(F.broadcast(counts.select(dimension.alias("dimension"))))  # one row
 
 
+def _attached(rows: DataFrame, values: str, name: str, outer: list[str]) -> DataFrame:
+    """rows with `name`, the least doc_id of a cluster of shared values inside of their outer cluster: one row for
+    each cluster that a document is in, and for each there is where it has no values (null where there is none)."""
+    inside = F.to_json(F.struct(*outer))
+    placed = rows.withColumn("inside", inside).withColumn("node", F.concat_ws("|", inside, F.col("doc_id").cast("string")))
+    placed = stored(placed, "placed")
+    links = placed.select("inside", "node", "doc_id", F.explode(values).alias("value"))
+    hubs = links.groupBy("inside", "value").agg(F.min("node").alias("hub"))
+    found = components(links.join(hubs, ["inside", "value"]).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    own = links.select("inside", "node", "doc_id").distinct().join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    own = own.select("inside", "doc_id", "node", F.coalesce("component", "node").alias("component"))
+    least = own.groupBy("component").agg(F.min("doc_id").alias(name))
+    own = stored(own.join(least, "component").select("inside", "node", name), "clusters")
+    scoped = placed.join(own.drop("inside"), "node")
+    shared = placed.where(F.size(values) == 0).join(own.select("inside", name).distinct(), "inside", "left")
+    shared = shared.withColumn("shared", F.col("shared") | F.col(name).isNotNull())
+    return scoped.unionByName(shared).drop("inside", "node")
+
+
+def scope_members(docs: DataFrame) -> DataFrame:
+    """The scopes that a question's documents (question, doc_id, products, versions, projects) fall into, as a table
+    of members: question, product_group, version_group, project_group, doc_id, shared, dimension.
+
+    Documents that share a product form a cluster, chains included; inside of it those that share a version, inside
+    of that those that share a project.  A document without values on a level is a companion: it is a member of
+    every cluster there (shared), so that no choice between scopes loses it.  dimension says what tells a
+    question's scopes apart: the products of its groups, their versions, or else their projects.
+
+    Members grow with a question's clusters times its companions; a question's documents are what its search
+    admitted.  Cases: rows of one document are merged; null values, and rows without doc_id, count for nothing; a
+    group's name is null where no document of the outer cluster has values; a null question is one of its own.
+    """
+    levels = ("products", "versions", "projects")
+    merged = [F.array_distinct(F.flatten(F.collect_list(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())))).alias(c) for c in levels]
+    rows = docs.where("doc_id is not null").groupBy("question", "doc_id").agg(*merged).withColumn("shared", F.lit(False))
+    outer = ["question"]
+    for values, name in zip(levels, ("product_group", "version_group", "project_group"), strict=True):
+        rows = _attached(rows, values, name, outer)
+        outer = [*outer, name]
+    rows = stored(rows, "members")
+    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in levels]
+    groups = rows.groupBy(*outer).agg(*unions)
+    counts = groups.groupBy(F.to_json(F.struct("question")).alias("asked")).agg(
+        F.count_distinct("products").alias("p"), F.count_distinct(F.when(F.size("versions") > 0, F.col("versions"))).alias("v"), F.count("*").alias("n"), F.min(F.size("projects")).alias("least")
+    )
+    dimension = F.when(F.col("p") > 1, "product_version").when(F.col("v") > 1, "version").when((F.col("n") > 1) & (F.col("least") > 0), "project")
+    named = rows.withColumn("asked", F.to_json(F.struct("question"))).join(counts.select("asked", dimension.alias("dimension")), "asked")
+    return named.select(*outer, "doc_id", "shared", "dimension")
+
+
 def match_config(queries: DataFrame, assignments: DataFrame) -> DataFrame:
     """Assignments that a question asks for: by identifier 100, by meaning 50 and more, else by shared pairs of letters."""
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z_][a-z0-9_.\-]+"), F.lit(0)))

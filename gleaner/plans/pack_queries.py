@@ -112,13 +112,23 @@ SCOPED = {
 }
 
 
+SCOPED_SQL = ", ".join(f"{x.replace('array(', 'list_value(').replace('floor(doc_id / 50)', 'CAST(floor(doc_id / 50) AS BIGINT)')} AS {n}" for n, x in SCOPED.items())
+
+
 def _clustered(table: str, values: str, within: list[str], name: str) -> str:
     """Recursive reach over shared values inside of the outer clusters."""
     group = {"products": "product_group", "versions": "version_group", "projects": "project_group"}[values]
     inside = " || '/' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in within) or "''"
     return f"""{name}x AS (SELECT doc_id, {inside} AS inside, unnest({values}) AS value FROM {table}),
-        {name}r AS (WITH RECURSIVE reach(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM {name}x UNION SELECT reach.a, y.doc_id FROM reach JOIN {name}x x ON x.doc_id = reach.b JOIN {name}x y ON y.value = x.value AND y.inside = x.inside) SELECT a, min(b) AS m FROM reach GROUP BY a),
-        {name} AS (SELECT t.*, m AS {group} FROM {table} t LEFT JOIN {name}r ON a = doc_id)"""
+        {name}r AS (WITH RECURSIVE reach(i, a, b) AS (SELECT DISTINCT inside, doc_id, doc_id FROM {name}x UNION SELECT reach.i, reach.a, y.doc_id FROM reach JOIN {name}x x ON x.inside = reach.i AND x.doc_id = reach.b JOIN {name}x y ON y.value = x.value AND y.inside = x.inside) SELECT i, a, min(b) AS m FROM reach GROUP BY i, a),
+        {name} AS (SELECT t.*, m AS {group} FROM {table} t LEFT JOIN {name}r ON a = doc_id AND i = {inside})"""
+
+
+def _companions(table: str, group: str, keys: list[str]) -> str:
+    """Documents without values as members of every cluster of their outer group."""
+    same = " AND ".join(f"t.{k} IS NOT DISTINCT FROM c.{k}" for k in keys)
+    return f"""{table}_all AS (SELECT t.* EXCLUDE ({group}), coalesce(t.{group}, c.{group}) AS {group} FROM {table} t
+        LEFT JOIN (SELECT DISTINCT {", ".join(keys)}, {group} FROM {table} WHERE {group} IS NOT NULL) c ON t.{group} IS NULL AND {same})"""
 
 
 CONTAINED = "substr(p, CAST(i AS INT), 3)"
@@ -206,10 +216,21 @@ Q = {
     ),
     "D24_scope_groups": (
         lambda v: K.scope_groups(v.docs.select("doc_id", *[F.expr(x).alias(n) for n, x in SCOPED.items()])),
-        duckdb_views("docs") + f""", d AS (SELECT doc_id, {", ".join(f"{x.replace('array(', 'list_value(').replace('floor(doc_id / 50)', 'CAST(floor(doc_id / 50) AS BIGINT)')} AS {n}" for n, x in SCOPED.items())} FROM docs),
+        duckdb_views("docs") + f""", d AS (SELECT doc_id, {SCOPED_SQL} FROM docs),
         {_clustered("d", "products", [], "p")}, {_clustered("p", "versions", ["product_group"], "v")}, {_clustered("v", "projects", ["product_group", "version_group"], "j")}
         SELECT doc_id, product_group, version_group, project_group, (SELECT CASE WHEN count(DISTINCT product_group) > 1 THEN 'product_version' WHEN count(DISTINCT version_group) > 1 THEN 'version' WHEN count(DISTINCT project_group) > 1 THEN 'project' END FROM j) AS dimension FROM j""",
     ),
+    "D24_scope_members": (
+        lambda v: K.scope_members(v.docs.select(F.floor(F.col("doc_id") / 40).alias("question"), "doc_id", *[F.expr(x).alias(n) for n, x in SCOPED.items()])),
+        duckdb_views("docs") + f""", d AS (SELECT doc_id // 40 AS question, doc_id, {SCOPED_SQL} FROM docs),
+        {_clustered("d", "products", ["question"], "p")}, {_companions("p", "product_group", ["question"])},
+        {_clustered("p_all", "versions", ["question", "product_group"], "v")}, {_companions("v", "version_group", ["question", "product_group"])},
+        {_clustered("v_all", "projects", ["question", "product_group", "version_group"], "j")}, {_companions("j", "project_group", ["question", "product_group", "version_group"])},
+        each AS (SELECT j_all.*, CASE WHEN product_group IS NOT NULL AND products IS NULL OR version_group IS NOT NULL AND versions IS NULL OR project_group IS NOT NULL AND projects IS NULL THEN true ELSE false END AS shared FROM j_all),
+        grp AS (SELECT question, product_group, version_group, project_group, list_sort(list_distinct(flatten(list(coalesce(products, []))))) AS ps, list_sort(list_distinct(flatten(list(coalesce(versions, []))))) AS vs, list_distinct(flatten(list(coalesce(projects, [])))) AS js FROM each GROUP BY ALL),
+        dim AS (SELECT question, CASE WHEN count(DISTINCT ps) > 1 THEN 'product_version' WHEN count(DISTINCT vs) FILTER (len(vs) > 0) > 1 THEN 'version' WHEN count(*) > 1 AND min(len(js)) > 0 THEN 'project' END AS dimension FROM grp GROUP BY question)
+        SELECT question, product_group, version_group, project_group, doc_id, shared, dimension FROM each JOIN dim USING (question)""",
+    ),
     "A5_rebuild_knowledge_records": (
         lambda v: rebuild_knowledge_records(None, _md(v), _md(v).select("doc_id", "kb_id", F.lit("ready").alias("status"), (F.floor(F.col("doc_id") / 10) % 2 == 1).alias("is_active"))).select("kb_id", "doc_id", "subject", "predicate", "value"),
         RECORDS_SQL + " SELECT CAST(replace(doc_name[7:], '-', '') AS BIGINT) % 3 AS kb_id, CAST(replace(doc_name[7:], '-', '') AS BIGINT) AS doc_id, subject, predicate, value FROM rec WHERE CAST(replace(doc_name[7:], '-', '') AS BIGINT) // 10 % 2 = 1",

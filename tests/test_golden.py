@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import time
 
 import pandas as pd
@@ -202,6 +203,39 @@ def test_bridge_and_groups(spark):
     assert tuple(got[500])[1:4] == (500, None, 500) and tuple(got[501])[1:4] == (500, 501, 501) and tuple(got[502])[1:4] == (None, None, None)
 
 
+def test_members_of_scopes_against_plain_python(spark):
+    """Clusters by repeated merging, companions copied into each, level after level."""
+    from gleaner.operators import packs as K
+
+    def clusters(own, values):
+        found = []
+        for d in own:
+            if values(d):
+                met = [c for c in found if any(values(x) & values(d) for x in c)]
+                found = [c for c in found if c not in met] + [[d, *[x for c in met for x in c]]]
+        rest = [d for d in own if not values(d)]
+        return [(min(x[1] for x in c), c + rest) for c in found] or [(None, rest)]
+
+    rng = random.Random(8)
+    some = lambda letter, n, most: rng.choice([None, [], [None], [f"{letter}{rng.randrange(n)}" for _ in range(rng.randrange(1, most))]])
+    rows = [(rng.choice([1, 2, 3, None]), i, some("p", 9, 3), some("v", 4, 3), some("j", 3, 2)) for i in range(60)]
+    rows += [(7, 1, None, None, None), (7, 2, None, ["v"], None), (8, 1, ["p"], None, ["j1"]), (8, 2, ["p"], None, ["j2"]), (9, 1, ["p"], ["a"], None), (9, 2, ["p"], ["b"], None), (9, 3, None, None, None), (9, None, ["p"], None, None)]
+    rows += [(10, 1, ["p"], ["a"], None), (10, 2, ["p"], ["b"], None), (10, 3, None, ["a", "b"], None)]
+    want = []
+    for q in {r[0] for r in rows}:
+        own = [(r[0], r[1], *[frozenset(x for x in v or [] if x) for v in r[2:]]) for r in rows if r[0] == q and r[1] is not None]
+        groups = [(p, v, j, c) for p, a in clusters(own, lambda d: d[2]) for v, b in clusters(a, lambda d: d[3]) for j, c in clusters(b, lambda d: d[4])]
+        union = lambda c, k: frozenset().union(*[d[k] for d in c])
+        versions = {union(c, 3) for *_, c in groups} - {frozenset()}
+        dimension = "product_version" if len({union(c, 2) for *_, c in groups}) > 1 else "version" if len(versions) > 1 else "project" if len(groups) > 1 and all(union(c, 4) for *_, c in groups) else None
+        want += [(q, p, v, j, d[1], any(n is not None and not x for n, x in zip((p, v, j), d[2:])), dimension) for p, v, j, c in groups for d in c]
+    schema = "question long, doc_id long, products array<string>, versions array<string>, projects array<string>"
+    got = K.scope_members(spark.createDataFrame(rows + rows[:5], schema))
+    assert sorted([tuple(r) for r in got.collect()], key=str) == sorted(want, key=str)
+    assert {r[6] for r in want} == {"product_version", "version", "project", None}
+    assert K.scope_members(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_evidence_pack_stages_can_be_replaced(spark):
     from gleaner.operators import packs as K
 
