@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleaner.llm import jaccard, language, mixing, neighbours, packets, pages, repeats, suffixes, tokens, urls
+from gleaner.llm import jaccard, language, mixing, neighbours, packets, page_rounds, pages, repeats, suffixes, tokens, urls
 from gleaner.llm import decontamination as dc
 from gleaner.llm import queries as Q
 from gleaner.session import stored
@@ -414,6 +414,41 @@ def test_repeats_of_a_host_decide_what_markup_leaves_open(spark):
     assert got[200] == f"Read more\n{body(1)}\n{body(2)}" and all(got[300 + i] == f"{body(9)} {i % 2}" for i in range(3))
 
 
+def test_main_text_does_not_depend_on_shards(spark):
+    rng = random.Random(11)
+    fresh = lambda i, n: " ".join(f"u{i}x{k}" for k in range(n))
+    line = "this very line of twelve words stands on all of these pages"
+    few = ["a line of ten words that few pages hold here " + str(j) for j in range(20)]  # on two pages each: seldom in one shard
+    page = lambda i: f"<article><p>{fresh(i, 40)}</p><p class=end>{line}</p></article><div class=x>{few[i % 20]}</div>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(40)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<div>{fresh(900 + i, 25)} {few[i % 20]}</div><p class=k>{' '.join(rng.choice('abc') for _ in range(12))}</p>") for i in range(40)]
+    rows += [(200, "http://a.org/0", page(0)), (201, "http://b.org/e", ""), (202, None, None)]
+    found = {}
+    for size in (4_000_000, 3_000, 400):
+        made = pages.extract_main_text(spark.createDataFrame(rows, HTML).repartition(3), pages.PagePlan(shard_bytes=size))
+        found[size] = sorted((r["page_id"], r["text"], r["n_repeated"]) for r in made.collect())
+    assert found[4_000_000] == found[3_000] == found[400] and len(found[400]) == len(rows)
+    got = {p: (t, n) for p, t, n in found[400]}
+    assert all(got[i][0] == fresh(i, 40) and got[i][1] == 12 + len(few[i % 20].split()) for i in range(40))
+    assert all(got[100 + i][0].startswith(fresh(900 + i, 25)) and few[i % 20] not in got[100 + i][0] for i in range(40))
+
+
+def test_slot_counts_do_not_depend_on_shards(spark):
+    given = spark.read.parquet(f"{SF}/pages.parquet").withColumn("url", F.concat(F.lit("http://one.org/"), "page_id"))
+    found = []
+    for size in (1_000_000_000, 60_000):
+        found.append(sorted((r["page_id"], r["text"], r["n_repeated"]) for r in pages.extract_main_text(given, pages.PagePlan(shard_bytes=size)).collect()))
+    assert found[0] == found[1] and any(r[2] for r in found[0])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**48 - 1), max_size=50, unique=True))
+def test_packed_numbers(values):
+    want = np.array(sorted(values), np.uint64)
+    assert page_rounds.unpack_sorted(page_rounds.pack_sorted(want)).tolist() == want.tolist()
+    assert page_rounds.unpack_numbers(page_rounds.pack_numbers(want)).tolist() == want.tolist()
+
+
 def test_pictures_and_side_classes_lose_no_text(spark):
     assert mains("<article><p>x <svg class='i'/> mid</p><p>After</p><p>in <svg><title>no</title></svg> line</p><p class=side>Side</p></article>") == ["x mid", "After", "in line", "Side"]
     long = "<article>" + "".join(f"<p>{'word%d ' % i * 200}</p>" for i in range(1500)) + "</article>"
